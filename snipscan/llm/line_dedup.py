@@ -65,3 +65,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", site: str = "source", min_s
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
     joined = docs.join(gone, (F.col("doc_id") == F.col("_of")) & (F.xxhash64(text) == F.col("_of_text")), "left")
     return joined.select(*rest, edited.alias(text), "_removed", F.size(F.split(F.col(text), "\n", -1)).alias("_lines"))
+
+
+def edit_documents(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """``docs`` with the texts edited and ``n_chars``, where there is one, made that of the new text; no row goes."""
+    out = dedup_lines(docs, min_sites=min_sites)
+    made = {"n_chars": F.length("text").cast("bigint")} if "n_chars" in docs.columns else {}
+    return out.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in docs.columns])

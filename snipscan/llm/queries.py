@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snipscan.llm import line_dedup, quality_gam, rule_forest, spotsigs, toxicity_ftrl
+from snipscan.llm import html_blocks, line_dedup, mixing, order_minhash, packing, quality_gam, rule_forest, spotsigs, token_rollup, toxicity_ftrl
+from snipscan.llm.common import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,12 +50,68 @@ def op5_rule_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(f"_rules.{c}") for c in names])
 
 
+def op6_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_blocks.extract_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", F.col("_text").alias("text"), F.length("_text").cast("bigint").alias("n_chars"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.with_draws(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.size("_draws")).cast("bigint").alias("taken"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches load an estimate for each document, two revise it to the count; each batch is delivered twice."""
+    counts = materialize(token_rollup.token_counts(table(spark, sf_dir, "documents")), "token-counts")
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    guess = counts.withColumn("tokens", (F.coalesce("tokens", F.lit(0)) + 3).cast("bigint"))
+    store = token_rollup.Rollup(spark)
+    for k in (0, 1):
+        for _ in range(2):
+            store.commit(f"load-{k}", token_rollup.inserts(guess.where(batch == k)))
+    for k in (0, 1):
+        for _ in range(2):
+            store.commit(f"revise-{k}", token_rollup.revisions(guess.where(batch == k), counts.where(batch == k)))
+    return store.totals()
+
+
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = order_minhash.near_classes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_gam": op2_quality_gam,
     "op3_spotsigs": op3_spotsigs,
     "op4_toxicity_ftrl": op4_toxicity_ftrl,
     "op5_rule_forest": op5_rule_forest,
+    "op6_html_blocks": op6_html_blocks,
+    "op7_mixing": op7_mixing,
+    "op8_packing": op8_packing,
+    "op9_token_rollup": op9_token_rollup,
+    "op10_order_minhash": op10_order_minhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": """
+with parts as (
+  select doc_id, text, coalesce('s' || source, '') as site, string_split(text, chr(10)) as p from documents where doc_id is not null and text is not null),
+l as (
+  select doc_id, md5(text) as t, site, unnest(p) as raw, generate_subscripts(p, 1) - 1 as pos from parts),
+k as (
+  select doc_id, t, site, pos, raw, trim(raw, chr(32) || chr(9) || chr(13)) as line from l),
+wide as (
+  select line, min({'d': doc_id, 't': t, 'p': pos}) as first from k where line <> '' group by line having count(distinct site) >= 5),
+marked as (
+  select k.*, wide.line is not null and {'d': k.doc_id, 't': k.t, 'p': k.pos} <> wide.first as gone from k left join wide on k.line = wide.line),
+edited as (
+  select doc_id, t, count(*) as n_lines, sum(gone::int) as n_removed, string_agg(raw, chr(10) order by pos) filter (not gone) as text from marked group by doc_id, t)
+select d.doc_id, cast(coalesce(e.n_lines, 0) as bigint) as n_lines, cast(coalesce(e.n_removed, 0) as bigint) as n_removed, case when d.text is null then null else coalesce(e.text, '') end as text
+from documents d left join edited e on d.doc_id = e.doc_id and md5(d.text) = e.t
+""",
+}
