@@ -1 +1 @@
-
+"""Queries over the driver's tables, with the SQL that states their results."""
