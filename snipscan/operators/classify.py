@@ -75,25 +75,43 @@ def with_rules(calls: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     return out.withColumn("compute", F.when(F.col("rule").isNull() & F.col("method").isNull() & F.col("canonical").contains(".") & root.isin(catalog.COMPUTE), root))
 
 
-def classify_calls(calls: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """A hit for each call that has an effect."""
-    c = with_rules(calls, rules).withColumns({"_hazards": hazards(F.col("texts")), "_open": F.col("canonical").isin("open", "io.open")})
+_NO_CALL = {"display": "string", "receiver": "string", "mode": "string", "args": "array<string>", "named": "map<string,string>", "texts": "array<string>", "kwargs": "array<struct<name:string,value:string,path:string>>", "local": "boolean"}
+_PLACE = ["seq", "owner", "line", "col"]
+
+
+def emissions(walked: DataFrame, *carry: str) -> DataFrame:
+    """A row for each call and each use of the environment, with the columns to carry; a snippet with none keeps one row of nulls.
+
+    One explode of one struct: the sources are walked once, however many results are made of the rows.
+    """
+    call = lambda c: F.struct(*[c[k].alias(k) for k in (*_PLACE, "canonical", "snippet", *_NO_CALL)], F.lit(None).cast("string").alias("env_verb"), F.lit(None).cast("string").alias("env_target"))
+    use = lambda e: F.struct(*[e[k].alias(k) for k in _PLACE], F.when(e["verb"] == "argv", "sys.argv").otherwise("os.environ").alias("canonical"), e["snippet"].alias("snippet"), *[F.lit(None).cast(t).alias(k) for k, t in _NO_CALL.items()], e["verb"].alias("env_verb"), e["target"].alias("env_target"))
+    both = F.concat(F.transform("facts.calls", call), F.transform("facts.env", use))
+    return walked.select("snippet_id", *carry, F.explode_outer(both).alias("_f")).select("snippet_id", *[c.rsplit(".", 1)[-1] for c in carry], "_f.*")
+
+
+def classify_rows(rows: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """``rows`` of ``emissions`` with effect (null: none), severity, verb, symbol, target and note; other columns stay."""
+    use = F.col("env_verb").isNotNull()
+    c = with_rules(rows, rules).withColumns({"_hazards": F.when(F.col("texts").isNotNull(), hazards(F.col("texts"))).otherwise(F.array().cast("array<string>")), "_open": ~use & F.col("canonical").isin("open", "io.open")})
     mode = F.coalesce("mode", F.lit("r"))
     opened = F.when(mode.contains("w"), "truncate").when(mode.contains("a"), "append").when(mode.contains("x"), "create").when(mode.contains("+"), "update").otherwise("read")
-    base = F.coalesce("rule", "method")
-    c = c.withColumns({"_base": base, "_verb": F.when(F.col("_open"), opened)})
-    c = c.withColumn("_kw", F.when(F.col("rule").isNotNull(), keyword_hazards(F.col("canonical"), F.col("kwargs"))).otherwise(F.array().cast("array<struct<note:string,severity:int,effect:string>>")))
+    none = F.array().cast("array<struct<note:string,severity:int,effect:string>>")
+    c = c.withColumns({"_base": F.when(~use, F.coalesce("rule", "method")), "_verb": F.when(F.col("_open"), opened)})
+    c = c.withColumn("_kw", F.when(F.col("rule").isNotNull() & F.col("kwargs").isNotNull(), keyword_hazards(F.col("canonical"), F.col("kwargs"))).otherwise(none))
     target = (
-        F.when(F.col("_open"), argument(F.lit("file/0"), F.col("args"), F.col("named")))
+        F.when(use, F.col("env_target"))
+        .when(F.col("_open"), argument(F.lit("file/0"), F.col("args"), F.col("named")))
         .when(F.col("_base").isNotNull(), F.coalesce(argument(F.col("_base.target"), F.col("args"), F.col("named")), F.col("receiver")))
         .otherwise(F.col("compute"))
     )
     c = c.withColumn("_target", target)
     changed = F.get(F.reverse(F.filter(F.transform("_kw", lambda k: k["effect"]), lambda e: e.isNotNull())), F.lit(0))
-    effect = F.when(F.col("_open"), F.when(F.col("_verb") == "read", "fs_read").otherwise("fs_write")).when(F.col("_base").isNotNull(), F.coalesce(changed, F.col("_base.effect"))).when(F.col("compute").isNotNull(), "compute")
-    alarmed = (F.size("_hazards") > 0) & (F.col("_open") | F.col("_base.effect").isin(WORLDLY))
-    secret = F.coalesce((effect == "env") & F.col("rule.verb").isin("getenv", "dotenv") & secret_name(F.col("_target")), F.lit(False)) & ~F.col("_open")
-    own = F.when(F.col("_open"), F.when(F.col("_verb") == "read", INFO).otherwise(NOTABLE)).otherwise(F.coalesce("_base.severity", F.lit(INFO)))
+    effect = F.when(use, "env").when(F.col("_open"), F.when(F.col("_verb") == "read", "fs_read").otherwise("fs_write")).when(F.col("_base").isNotNull(), F.coalesce(changed, F.col("_base.effect"))).when(F.col("compute").isNotNull(), "compute")
+    alarmed = (F.size("_hazards") > 0) & F.coalesce(F.col("_open") | F.col("_base.effect").isin(WORLDLY), F.lit(False))
+    read = F.when(use, F.col("env_verb") == "getenv").otherwise((effect == "env") & F.col("rule.verb").isin("getenv", "dotenv"))
+    secret = F.coalesce(read & secret_name(F.col("_target")), F.lit(False))
+    own = F.when(use, F.when(F.col("env_verb") == "argv", INFO).otherwise(NOTABLE)).when(F.col("_open"), F.when(F.col("_verb") == "read", INFO).otherwise(NOTABLE)).otherwise(F.coalesce("_base.severity", F.lit(INFO)))
     severity = F.greatest(own, F.when(alarmed, CAUTION).otherwise(INFO), F.coalesce(F.array_max(F.transform("_kw", lambda k: k["severity"])), F.lit(INFO)), F.when(secret, CAUTION).otherwise(INFO))
     notes = F.concat(
         F.array(F.when(~F.col("_open"), F.col("_base.note"))),
@@ -102,27 +120,20 @@ def classify_calls(calls: DataFrame, rules: DataFrame | None = None) -> DataFram
         F.array(F.when(secret, F.lit(_SECRET))),
     )
     notes = F.filter(notes, lambda n: n.isNotNull())
-    return c.select(
-        "snippet_id", "seq", "owner", "line", "col", effect.alias("effect"), severity.cast("int").alias("severity"), F.coalesce("_verb", "_base.verb", F.lit("compute")).alias("verb"), F.col("canonical").alias("symbol"),
-        F.col("_target").alias("target"), F.when(F.size(notes) > 0, F.array_join(notes, "; ")).alias("note"), "snippet",
-    ).where("effect is not null")
+    made = {"effect": effect, "severity": F.when(effect.isNotNull(), severity).cast("int"), "verb": F.when(effect.isNotNull(), F.coalesce("env_verb", "_verb", "_base.verb", F.lit("compute"))), "symbol": F.col("canonical"), "target": F.col("_target"), "note": F.when(F.size(notes) > 0, F.array_join(notes, "; "))}
+    used = {"canonical", "receiver", "mode", "args", "named", "texts", "kwargs", "env_verb", "env_target"}
+    return c.select(*[k for k in rows.columns if k not in used], *[v.alias(k) for k, v in made.items()])
 
 
-def classify_env(env: DataFrame) -> DataFrame:
-    """Hits of ``os.environ[...]`` and ``sys.argv``."""
-    secret = F.coalesce((F.col("verb") == "getenv") & secret_name(F.col("target")), F.lit(False))
-    severity = F.when(F.col("verb") == "argv", INFO).when(secret, CAUTION).otherwise(NOTABLE)
-    return env.select(
-        "snippet_id", "seq", "owner", "line", "col", F.lit("env").alias("effect"), severity.cast("int").alias("severity"), "verb", F.when(F.col("verb") == "argv", "sys.argv").otherwise("os.environ").alias("symbol"),
-        "target", F.when(secret, _SECRET).alias("note"), "snippet",
-    )
+def classify_calls(calls: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """A hit for each of the calls that has an effect."""
+    rows = calls.withColumns({"env_verb": F.lit(None).cast("string"), "env_target": F.lit(None).cast("string")})
+    return classify_rows(rows, rules).where("effect is not null")
 
 
 def classify(walked: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """All hits of snippets with the facts ``calls`` and ``env``."""
-    from snipscan.operators.facts import unfold
-
-    return classify_calls(unfold(walked, "calls"), rules).unionByName(classify_env(unfold(walked, "env")))
+    return classify_rows(emissions(walked), rules).where("effect is not null")
 
 
 def third_party(imports: DataFrame) -> DataFrame:

@@ -42,6 +42,11 @@ def order_hits(hits: DataFrame) -> DataFrame:
     return hits.withColumn("pos", F.row_number().over(Window.partitionBy("snippet_id").orderBy("line", "col", "seq")))
 
 
+def _score(cautions: Column, notables: Column, infos: Column, kinds: Column, has) -> Column:
+    score = CAUTION * cautions + NOTABLE * notables + F.least(infos, F.lit(INFO_CAP)) + KIND * F.greatest(kinds - 1, F.lit(0))
+    return score + F.when(has("net") & (has("process") | has("dynamic")), FETCH_RUN).otherwise(0) + F.when(has("net") & has("fs_write"), FETCH_WRITE).otherwise(0) + F.when(has("env") & has("net"), ENV_SEND).otherwise(0)
+
+
 def risk(hits: DataFrame) -> DataFrame:
     """snippet_id, risk (0 to 100), worst severity, mask of effects, number of hits."""
     s, mask = F.col("severity"), F.bit_or(bit(F.col("effect")))
@@ -50,8 +55,7 @@ def risk(hits: DataFrame) -> DataFrame:
         F.bit_count(F.coalesce(F.bit_or(F.when(s == 2, bit(F.col("effect")))), F.lit(0))).alias("kinds"), mask.alias("mask"), F.max(s).alias("worst"), F.count("*").alias("hits"),
     )
     has = lambda e: F.col("mask").bitwiseAND(F.lit(1 << catalog.EFFECTS.index(e))) != 0
-    score = CAUTION * F.col("c") + NOTABLE * F.col("n") + F.least(F.col("i"), F.lit(INFO_CAP)) + KIND * F.greatest(F.col("kinds") - 1, F.lit(0))
-    score = score + F.when(has("net") & (has("process") | has("dynamic")), FETCH_RUN).otherwise(0) + F.when(has("net") & has("fs_write"), FETCH_WRITE).otherwise(0) + F.when(has("env") & has("net"), ENV_SEND).otherwise(0)
+    score = _score(F.col("c"), F.col("n"), F.col("i"), F.col("kinds"), has)
     return out.select("snippet_id", F.least(score, F.lit(TOP)).cast("int").alias("risk"), "worst", "mask", "hits")
 
 
@@ -108,17 +112,53 @@ def phrase(effect: Column, n: Column, thing: Column) -> Column:
     )
 
 
+def _phrases() -> Column:
+    """The order of a phrase in the sentence, and its text, from a row by snippet and effect."""
+    return F.struct((F.col("severity") != 2).cast("int").alias("calm"), stage(F.col("effect")).alias("stage"), F.col("first").alias("first"), (F.col("effect").isin(QUIET) & (F.col("severity") != 2)).alias("quiet"), phrase(F.col("effect"), F.col("n"), F.col("thing")).alias("text"))
+
+
+def _sentence(phrases: Column) -> Column:
+    texts = lambda quiet: F.transform(F.filter(phrases, lambda x: x["quiet"] == quiet), lambda x: x["text"])
+    main, aside = texts(False), texts(True)
+    parts = F.concat(main, F.slice(aside, 1, F.greatest(F.lit(3) - F.size(main), F.lit(0))))
+    more = F.when(F.size(parts) > 4, F.concat(F.lit(" (+"), (F.size(parts) - 4).cast("string"), F.lit(" more)"))).otherwise("")
+    return F.concat(F.array_join(F.slice(parts, 1, 4), " → "), more)
+
+
 def synopsis(hits: DataFrame) -> DataFrame:
     """snippet_id, synopsis: at most four phrases, cautions first, then in the order a program runs; quiet effects only while there are under three."""
-    each = count_targets(hits)
-    order = F.struct((F.col("severity") != 2).cast("int").alias("calm"), stage(F.col("effect")).alias("stage"), F.col("first").alias("first"), (F.col("effect").isin(QUIET) & (F.col("severity") != 2)).alias("quiet"), phrase(F.col("effect"), F.col("n"), F.col("thing")).alias("text"))
-    told = each.groupBy("snippet_id").agg(F.array_sort(F.collect_list(order)).alias("all"))  # at most one for each effect
-    texts = lambda quiet: F.transform(F.filter("all", lambda x: x["quiet"] == quiet), lambda x: x["text"])
-    told = told.select("snippet_id", texts(False).alias("main"), texts(True).alias("aside"))
-    parts = F.concat("main", F.slice("aside", 1, F.greatest(F.lit(3) - F.size("main"), F.lit(0))))
-    told = told.withColumn("parts", parts)
-    more = F.when(F.size("parts") > 4, F.concat(F.lit(" (+"), (F.size("parts") - 4).cast("string"), F.lit(" more)"))).otherwise("")
-    return told.select("snippet_id", F.concat(F.array_join(F.slice("parts", 1, 4), " → "), more).alias("synopsis"))
+    told = count_targets(hits).groupBy("snippet_id").agg(F.array_sort(F.collect_list(_phrases())).alias("all"))  # at most one for each effect
+    return told.select("snippet_id", _sentence(F.col("all")).alias("synopsis"))
+
+
+def overview(rows: DataFrame, carry: list[str] | None = None, notes: int = 0) -> DataFrame:
+    """risk, worst, mask, hits and synopsis of each snippet in one pass, from classified rows that may have a null effect.
+
+    One shuffle by snippet serves the dedup, the order and the three levels of aggregates. ``carry``: columns that are the
+    same in all rows of a snippet. ``notes``: also the leading notes, as ``event_notes`` has them.
+    """
+    carry = carry or []
+    near = rows.repartition("snippet_id")
+    real = F.col("effect").isNotNull()
+    hits = near.withColumn("_n", F.row_number().over(Window.partitionBy("snippet_id", "line", "col", "symbol").orderBy("seq")))
+    hits = hits.withColumn("pos", F.row_number().over(Window.partitionBy("snippet_id").orderBy("line", "col", "seq"))).where((F.col("_n") == 1) | F.col("line").isNull())
+    same = [F.first(c).alias(c) for c in carry]
+    note = F.struct((-F.col("severity")).alias("less"), "line", "pos", "effect", "severity", "verb", "target", "note")
+    leading = [F.collect_list(F.when(F.col("severity") > 0, note)).alias("_notes")] if notes else []
+    of = lambda s: F.count_if(F.col("severity") == s)
+    by = hits.groupBy("snippet_id", "effect", "target").agg(F.count_if(real).alias("times"), F.min("pos").alias("first"), F.max("severity").alias("severity"), of(2).alias("c"), of(1).alias("m"), of(0).alias("i"), *same, *leading)
+    named = F.col("target").isNotNull() & real
+    best = F.min(F.when(named, F.struct((-F.col("times")).alias("less"), "first", "target")))
+    merged = [F.flatten(F.collect_list("_notes")).alias("_notes")] if notes else []
+    sums = [F.sum(k).alias(k) for k in "cmi"]
+    by = by.groupBy("snippet_id", "effect").agg(F.when(F.count_if(named) > 0, F.count_if(named)).otherwise(F.sum("times")).alias("n"), clip(best["target"], 28).alias("thing"), F.min("first").alias("first"), F.max("severity").alias("severity"), F.sum("times").alias("hits"), *sums, *same, *merged)
+    out = by.groupBy("snippet_id").agg(
+        F.array_sort(F.collect_list(F.when(real, _phrases()))).alias("_all"), F.coalesce(F.bit_or(F.when(real, bit(F.col("effect")))), F.lit(0)).alias("mask"), F.count_if((F.col("c") > 0) & real).alias("kinds"), F.max("severity").alias("worst"), F.sum("hits").alias("hits"), *sums, *same, *merged,
+    )
+    has = lambda e: F.col("mask").bitwiseAND(F.lit(1 << catalog.EFFECTS.index(e))) != 0
+    score = _score(F.col("c"), F.col("m"), F.col("i"), F.col("kinds"), has)
+    told = [F.transform(F.slice(F.array_sort("_notes"), 1, notes), lambda x: F.struct(*[x[k].alias(k) for k in ("effect", "severity", "verb", "target", "line", "note")])).alias("notes")] if notes else []
+    return out.select("snippet_id", *carry, F.least(score, F.lit(TOP)).cast("int").alias("risk"), "worst", "mask", "hits", F.when(F.size("_all") > 0, _sentence(F.col("_all"))).alias("synopsis"), *told)
 
 
 def quiet_synopsis(functions: Column, classes: Column, statements: Column) -> Column:
@@ -143,24 +183,17 @@ def event_notes(hits: DataFrame, limit: int = 4) -> DataFrame:
     return hits.where("severity > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def symbols(calls: DataFrame, hits: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """The inventory of callees by snippet: uses, lines, origin, effects; without noise builtins and methods of no effect.
+def symbols(rows: DataFrame) -> DataFrame:
+    """The inventory of callees by snippet from classified rows that carry ``roots`` (what the snippet imports): uses, lines, origin, effects.
 
-    ``roots``: (snippet_id, root) of what each snippet imports.
+    Noise builtins and methods of no effect are left out; uses of the environment aren't calls.
     """
-    canonical = F.col("canonical")
-    root = F.substring_index(canonical, ".", 1)
-    masks = hits.groupBy("snippet_id", "seq").agg(F.bit_or(bit(F.col("effect"))).alias("_mask"))
-    used = calls.join(masks, ["snippet_id", "seq"], "left").withColumns({"_root": root})
-    if roots is not None:
-        used = used.join(roots.select("snippet_id", F.col("root").alias("_root"), F.lit(True).alias("_imported")).distinct(), ["snippet_id", "_root"], "left")
-    else:
-        used = used.withColumn("_imported", F.lit(None).cast("boolean"))
-    origin = F.when(canonical.startswith("<"), "method").when(~canonical.contains("."), F.when(F.col("local"), "local").otherwise("builtin")).when(F.coalesce(F.col("_imported"), F.lit(False)) | root.isin(catalog.STDLIB), "import").otherwise("method")
-    out = used.groupBy("snippet_id", "canonical").agg(
-        F.min_by("display", "seq").alias("display"), F.max(origin).alias("origin"), F.count("*").alias("count"), F.coalesce(F.bit_or("_mask"), F.lit(0)).alias("effects"), F.array_sort(F.collect_set("line")).alias("lines"),
+    symbol, root = F.col("symbol"), F.substring_index("symbol", ".", 1)
+    origin = F.when(symbol.startswith("<"), "method").when(~symbol.contains("."), F.when(F.col("local"), "local").otherwise("builtin")).when(F.array_contains("roots", root) | root.isin(catalog.STDLIB), "import").otherwise("method")
+    out = rows.where(F.col("display").isNotNull()).groupBy("snippet_id", symbol.alias("canonical")).agg(
+        F.min_by("display", "seq").alias("display"), F.max(origin).alias("origin"), F.count("*").alias("count"), F.coalesce(F.bit_or(bit(F.col("effect"))), F.lit(0)).alias("effects"), F.array_sort(F.collect_set("line")).alias("lines"),
     )
-    return out.where(~canonical.isin(catalog.NOISE) & ~((F.col("origin") == "method") & (F.col("effects") == 0)))
+    return out.where(~F.col("canonical").isin(catalog.NOISE) & ~((F.col("origin") == "method") & (F.col("effects") == 0)))
 
 
 def bindings_read(bindings: DataFrame, reads: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from snipscan.functions import catalog
 from snipscan.functions.text import age_text, band_block, barcode
 from snipscan.operators import digest
-from snipscan.operators.classify import classify
+from snipscan.operators.classify import classify_rows, emissions
 from snipscan.operators.facts import with_facts
 
 SCHEMA = 1
@@ -20,34 +20,27 @@ def severity_name(s: Column) -> Column:
     return F.get(F.array(*map(F.lit, catalog.SEVERITIES)), s)
 
 
-def reports(snippets: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """One row for each snippet: parsed, bytes, line and node counts, risk, worst, band, mask, synopsis.
+def _calm() -> Column:
+    return F.when(F.col("statements") == 0, "nothing to run").otherwise(digest.quiet_synopsis(F.col("functions"), F.col("classes"), F.col("statements")))
+
 
-    Hits are aggregated by snippet and joined back; a snippet without hits has risk 0.
-    """
+def reports(snippets: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """One row for each snippet: parsed, bytes, line and node counts, risk, worst, band, mask, synopsis. One walk, one shuffle."""
     walked = with_facts(snippets, ("parsed", "bytes", "counters", "calls", "env"))
-    hits = digest.order_hits(digest.dedup_hits(classify(walked, rules)))
-    told = digest.risk(hits).join(digest.synopsis(hits), "snippet_id")
-    counts = walked.select("snippet_id", "facts.parsed", "facts.bytes", "facts.counters.*")
-    r = counts.join(told, "snippet_id", "left").withColumns({"risk": F.coalesce("risk", F.lit(0)), "mask": F.coalesce("mask", F.lit(0)), "hits": F.coalesce("hits", F.lit(0).cast("bigint"))})
-    calm = F.when(F.col("statements") == 0, "nothing to run").otherwise(digest.quiet_synopsis(F.col("functions"), F.col("classes"), F.col("statements")))
-    return r.withColumns({"band": digest.band(F.col("risk"), F.col("worst")), "synopsis": F.coalesce("synopsis", calm), "worst": severity_name(F.col("worst"))})
+    rows = classify_rows(emissions(walked, "facts.parsed", "facts.bytes", "facts.counters"), rules)
+    r = digest.overview(rows, ["parsed", "bytes", "counters"]).select("snippet_id", "parsed", "bytes", "counters.*", "risk", "worst", "mask", "hits", "synopsis")
+    return r.withColumns({"band": digest.band(F.col("risk"), F.col("worst")), "synopsis": F.coalesce("synopsis", _calm()), "worst": severity_name(F.col("worst"))})
 
 
 def events(snippets: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Snippets (snippet_id, ts, name, origin, source) condensed to feed events with at most four notes."""
     walked = with_facts(snippets, ("counters", "calls", "env"))
-    hits = digest.order_hits(digest.dedup_hits(classify(walked, rules)))
-    note = F.struct("rank", "effect", severity_name(F.col("severity")).alias("severity"), "verb", "target", "line", "note")
-    notes = digest.event_notes(hits).groupBy("snippet_id").agg(F.array_sort(F.collect_list(note)).alias("notes"))  # four at most
-    told = digest.risk(hits).join(digest.synopsis(hits), "snippet_id").join(notes, "snippet_id", "left")
-    e = walked.select("snippet_id", "ts", "name", F.col("origin").alias("source"), "facts.counters.*").join(told, "snippet_id", "left")
-    calm = F.when(F.col("statements") == 0, "nothing to run").otherwise(digest.quiet_synopsis(F.col("functions"), F.col("classes"), F.col("statements")))
-    bare = F.transform("notes", lambda n: F.struct(n["effect"].alias("effect"), n["severity"].alias("severity"), n["verb"].alias("verb"), n["target"].alias("target"), n["line"].alias("line"), n["note"].alias("note")))
-    risk = F.coalesce("risk", F.lit(0))
+    rows = classify_rows(emissions(walked, "ts", "name", "origin", "facts.counters"), rules)
+    e = digest.overview(rows, ["ts", "name", "origin", "counters"], notes=4).select("*", "counters.*")
+    notes = F.transform("notes", lambda n: F.struct(n["effect"].alias("effect"), severity_name(n["severity"]).alias("severity"), n["verb"].alias("verb"), n["target"].alias("target"), n["line"].alias("line"), n["note"].alias("note")))
     return e.select(
-        F.lit(SCHEMA).alias("schema"), "ts", "name", "source", F.col("lines_total").alias("lines"), risk.alias("risk"), digest.band(risk, F.col("worst")).alias("band"), F.coalesce("mask", F.lit(0)).alias("mask"),
-        severity_name(F.col("worst")).alias("worst"), F.coalesce("synopsis", calm).alias("synopsis"), F.coalesce(bare, F.array().cast("array<struct<effect:string,severity:string,verb:string,target:string,line:int,note:string>>")).alias("notes"), F.lit(False).alias("blocked"),
+        F.lit(SCHEMA).alias("schema"), "ts", "name", F.col("origin").alias("source"), F.col("lines_total").alias("lines"), "risk", digest.band(F.col("risk"), F.col("worst")).alias("band"), "mask",
+        severity_name(F.col("worst")).alias("worst"), F.coalesce("synopsis", _calm()).alias("synopsis"), notes.alias("notes"), F.lit(False).alias("blocked"),
     )
 
 

@@ -96,8 +96,7 @@ with s(kind, canonical, origin, n, effects) as (values ('view', 'os.listdir', 'i
 select event_id as snippet_id, canonical, origin, cast(n as bigint) as uses, cast(effects as bigint) as effects from events join s on event_type = kind""")
 def symbol_inventory(spark, sf):
     walked = facts.with_facts(snippets(spark, sf), ("calls", "env", "roots"))
-    roots = walked.select("snippet_id", F.explode("facts.roots").alias("root"))
-    s = digest.symbols(facts.unfold(walked, "calls"), classify.classify(walked), roots)
+    s = digest.symbols(classify.classify_rows(classify.emissions(walked, "facts.roots")))
     return longs(s.withColumnRenamed("count", "uses"), "effects").select("snippet_id", "canonical", "origin", "uses", "effects")
 
 
