@@ -20,7 +20,7 @@ from snipscan.llm.common import bounded_sample, held_out, small_batches
 from snipscan.llm.textwords import U64, Words, chunks, mix
 
 #: Labelled rows of each kind that training sees at most, and the length in characters of the longest of them.
-TRAIN_ROWS, TRAIN_CHARS = 5_000, 12_000
+TRAIN_ROWS, TRAIN_CHARS = 3_000, 8_000
 BITS = 20
 ALPHA, BETA, L2, EPOCHS = 1.0, 1.0, 0.5, 6
 #: L1 for very many rows, and the rows at which half of it holds: with few rows a gradient sum is small.
@@ -120,13 +120,17 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, seed: int
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("_label")).where("doc_id is not null and _label is not null").where(~held_out(F.col("doc_id"), 5, 0))
     known = known.groupBy("doc_id").agg(F.max("_label").alias("_label"))
     short = docs.where(F.length("text") <= TRAIN_CHARS).select("doc_id", "text")
-    rows, y = [], []
+    rows: list[np.ndarray] = []
+    y: list[int] = []
     for label in (0, 1):
         picked = bounded_sample(known.where(F.col("_label") == label), ["doc_id"], bound, seed)
-        part = short.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi").limit(bound)
-        got = part.select("doc_id", coordinates.asNondeterministic()("text").alias("at")).toPandas().sort_values("doc_id", kind="stable")
-        rows += [np.asarray(x, np.int64) for x in got["at"]]
-        y += [label] * len(got)
+        part = short.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")
+        got = part.select("doc_id", coordinates.asNondeterministic()("text").alias("at")).limit(bound).toArrow().combine_chunks()
+        lists = got.column("at").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        order = np.argsort(got.column("doc_id").to_numpy(), kind="stable") if got.num_rows else []
+        rows += [flat[ends[i] : ends[i + 1]] for i in order]
+        y += [label] * got.num_rows
     return fit_ftrl(rows, np.asarray(y, np.float64), seed)
 
 
