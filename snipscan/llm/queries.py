@@ -97,7 +97,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_order_minhash": op10_order_minhash,
 }
 
+_STOP = "[" + ", ".join(f"'{w}'" for w in spotsigs.anchors()) + "]"
+_CODE = "cast('0x' || substr(md5({0}), 1, 8) as bigint) - 2147483648"
+
 ORACLES: dict[str, str] = {
+    "op3_spotsigs": f"""
+with d as (
+  select row_number() over (order by doc_id nulls first, coalesce(text, '')) as r, doc_id, coalesce(text, '') as text from documents),
+n as (
+  select d.*, coalesce(lead(text) over (order by r), (select text from d where r = 1)) as nxt, coalesce(lead(r) over (order by r), 1) as nr from d),
+e as (
+  select *, substr(text, 1, length(text) - length(text) // 4) || substr(nxt, 1, length(text) // 4) as edited from n),
+t as (
+  select r, 0 as k, text from e union all select r, 1, edited from e),
+w as (
+  select r, k, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as w from t),
+c as (
+  select r, k, w, list_filter(w, lambda x: not list_contains({_STOP}, x)) as c, list_filter(range(1, len(w) + 1), lambda i: list_contains({_STOP}, w[i])) as a from w),
+h as (
+  select r, k, list_sort(list_distinct(list_concat(
+    case when len(w) > 0 then [{_CODE.format("concat_ws(' ', '^', c[1], c[2])")}] else [] end,
+    list_transform(list_filter(list_zip(a, range(1, len(a) + 1)), lambda p: p[1] - p[2] + 2 <= len(c)), lambda p: {_CODE.format("w[p[1]] || ' ' || c[p[1] - p[2] + 1] || ' ' || c[p[1] - p[2] + 2]")})))) as s from c),
+j as (
+  select e.doc_id, e.text, e.edited, o.s as own, x.s as changed, f.s as following from e join h o on o.r = e.r and o.k = 0 join h x on x.r = e.r and x.k = 1 join h f on f.r = e.nr and f.k = 0)
+select doc_id, cast(length(text) as bigint) as n_chars, sha256(edited) as edited_sha256, array_to_string(own, ',') as fingerprint, array_to_string(changed, ',') as edited_fingerprint,
+  case when len(own) = 0 and len(changed) = 0 then 1.0 else len(list_intersect(own, changed))::double / len(list_distinct(list_concat(own, changed))) end as near_edited,
+  case when len(own) = 0 and len(following) = 0 then 1.0 else len(list_intersect(own, following))::double / len(list_distinct(list_concat(own, following))) end as near_next
+from j
+""",
     "op1_line_dedup": """
 with parts as (
   select doc_id, text, coalesce('s' || source, '') as site, string_split(text, chr(10)) as p from documents where doc_id is not null and text is not null),

@@ -19,6 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from snipscan.llm.buckets import EPSILON, crowded, link_buckets
+from snipscan.llm.common import materialize
+
 #: Common words of English, German, French and Spanish. Fixed values.
 ANCHORS = """a an and are as at be by for from has he in is it its of on or that the this to was were will with
 als auch auf aus bei das dem den der des die ein eine einen er es für ist mit nicht sich sie und von wie zu
@@ -125,3 +128,26 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 def fingerprint_text(signatures: Column) -> Column:
     """The fingerprint as text: the sorted signature hashes."""
     return F.array_join(signatures, ",")
+
+
+def near_classes(docs: DataFrame, tau: float = TAU, leaders: int = 3) -> DataFrame:
+    """(doc_id, class_id) for documents whose fingerprints are alike by ``tau`` or more, directly or through others; a class is named by its smallest id.
+
+    Equal fingerprints are one. Sets meet if they share one of their first hashes, as many as two sets of likeness ``tau``
+    can't differ in, within a length partition or two neighbouring ones; a pair is verified by its pruned Jaccard.
+    """
+    own = materialize(with_signatures(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")), "_text", "_own").select("doc_id", "_own"), "fingerprints")
+    sets = materialize(own.groupBy("_own").agg(F.min("doc_id").alias("rep")).select("rep", "_own", F.size("_own").alias("n")).where("rep is not null"), "fingerprint-sets")
+    first = F.slice("_own", 1, (F.col("n") - F.ceil(F.col("n") * F.lit(tau) - EPSILON) + 1).cast("int"))
+    part = length_partition(F.col("n"), tau)
+    keys = sets.where("n > 0").select("rep", "n", part.alias("p"), F.explode(first).alias("h")).select("rep", "n", F.explode(F.array(F.struct("p", "h"), F.struct((F.col("p") + 1).alias("p"), "h"))).alias("key"))
+    met = crowded(keys.select(F.xxhash64("key.p", "key.h").alias("key"), "rep", "n"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        left, right = (sets.select(F.col("rep").alias(f"r{x}"), F.col("_own").alias(f"s{x}")) for x in "ab")
+        both = pairs.join(left, F.col("a") == F.col("ra")).select("a", "b", "sa").join(right, F.col("b") == F.col("rb"))
+        return both.where(pruned_likeness(F.col("sa"), F.col("sb"), tau) >= tau).select("a", "b")
+
+    classes = link_buckets(met, verify, tau, leaders)
+    named = sets.join(classes, F.col("rep") == F.col("id"), "left").select("_own", F.coalesce("class", "rep").alias("class_id"))
+    return own.join(named, "_own").select("doc_id", "class_id")

@@ -3,8 +3,9 @@ from __future__ import annotations
 import hashlib
 import re
 
+from compare import connect, differences
 from snipscan.llm import spotsigs
-from snipscan.llm.queries import QUERIES
+from snipscan.llm.queries import ORACLES, QUERIES
 
 COMMON = set(spotsigs.anchors())
 
@@ -51,6 +52,10 @@ def test_against_brute_force(spark, sf, documents):
     check([(r.doc_id, r.text) for r in documents.collect()], QUERIES["op3_spotsigs"](spark, sf))
 
 
+def test_query_equals_sql(spark, sf):
+    assert differences(QUERIES["op3_spotsigs"](spark, sf), connect(sf), ORACLES["op3_spotsigs"]) == []
+
+
 def test_groups_hand_over(spark, tmp_path, make, monkeypatch):
     monkeypatch.setattr(spotsigs, "GROUP_ROWS", 3)
     rows = [(i * i, f"the start {i} of a chain {i * 7} and the end {i % 3} of it all") for i in range(1, 40)]
@@ -80,3 +85,34 @@ def test_pruned_likeness(spark):
 
     got = df.select(*[spotsigs.pruned_likeness(F.col("a"), F.col(x)) for x in "bcd"]).first()
     assert list(got) == [0.0, 1.0, 0.0]
+
+
+def test_near_classes_against_brute_force(make):
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for g in range(30):
+        base = [rng.choice(["the", "of", "a", "in"]) if rng.random() < 0.4 else f"w{rng.randrange(900)}" for _ in range(rng.choice([20, 80, 200]))]
+        for _ in range(rng.choice([1, 2, 5])):
+            words = list(base)
+            for _ in range(rng.choice([0, 1, 2, 4])):
+                words[rng.randrange(len(words))] = f"x{rng.random()}"
+            rows.append(" ".join(words))
+    rows += ["", None, "the", "the"]
+    rng.shuffle(rows)
+    sets = [signatures(t) for t in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if likeness(sets[i], sets[j]) >= 0.8:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    got = {r.doc_id: r.class_id for r in spotsigs.near_classes(make(list(enumerate(rows)))).collect()}
+    assert got == {i: find(i) for i in range(len(rows))}
