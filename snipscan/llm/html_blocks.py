@@ -28,9 +28,12 @@ DROPPED = "script style noscript template svg iframe select button textarea canv
 BLOCK = "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul"
 PART = "article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section table ul"
 APART_TAGS = "nav footer aside form menu dialog fieldset"
-HINTS = "ad ads advert advertisement banner breadcrumb breadcrumbs byline-share comment comments cookie cookies consent disqus discussion footer gdpr header masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo promoted related recommended replies reviews sidebar signup social share sharing skip sponsor sponsored subscribe tags teaser toolbar topbar widget login search alert"
+HINTS = "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus discussion footer gdpr header masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo promoted related recommended replies reviews sidebar signup social share sharing skip sponsor sponsored subscribe tags teaser toolbar topbar widget login search alert adslot adsbygoogle advertising advertorial commentlist commentbox complementary contentinfo copyright disclaimer legal paywall privacy respond skiplink sidenav sitemap toc"
+#: What marks even an article as apart. Fixed values.
+ARTICLE_HINTS = "comment comments reply replies teaser related promo sponsored"
 
-_DROPPED, _BLOCK, _PART, _APART, _HINTS = (frozenset(x.split()) for x in (DROPPED, BLOCK, PART, APART_TAGS, HINTS))
+_DROPPED, _BLOCK, _PART, _APART, _HINTS, _ARTICLE = (frozenset(x.split()) for x in (DROPPED, BLOCK, PART, APART_TAGS, HINTS, ARTICLE_HINTS))
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|(?=<)|\Z)", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
@@ -54,11 +57,12 @@ class Block:
 def _apart(tag: str, attributes: str) -> bool:
     if tag in _APART or _HIDDEN.search(attributes):
         return True
-    if tag in ("article", "main", "body"):
+    if tag in ("main", "body"):
         return False
+    hints = _ARTICLE if tag == "article" else _HINTS
     for m in _NAMED.finditer(attributes):
-        value = (m[1] or m[2] or m[3] or "").lower()
-        if any(w in _HINTS for w in re.split(r"[\s_-]+", value)) or any(w in _HINTS for w in value.split()):
+        value = _HUMP.sub("-", m[1] or m[2] or m[3] or "").lower()
+        if any(w in hints for w in re.split(r"[^a-z0-9]+", value)):
             return True
     return False
 

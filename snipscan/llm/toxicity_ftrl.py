@@ -22,9 +22,9 @@ from snipscan.llm.textwords import U64, Words, chunks, mix
 #: Labelled rows of each kind that training sees at most, and the length in characters of the longest of them.
 TRAIN_ROWS, TRAIN_CHARS = 3_000, 8_000
 BITS = 20
-ALPHA, BETA, L2, EPOCHS = 1.0, 1.0, 0.5, 6
+ALPHA, BETA, L2, EPOCHS = 1.5, 1.0, 0.2, 6
 #: L1 for very many rows, and the rows at which half of it holds: with few rows a gradient sum is small.
-L1, L1_ROWS = 12.0, 3_000
+L1, L1_ROWS = 20.0, 3_000
 
 _KEEP = bytes(b if b >= 128 or bytes([b]).isalnum() or b in b"'\n" else 32 for b in range(256))
 #: (distance of the second word, seed): single words, bigrams and two skip-grams.
