@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Sources that Spark hands to Python at once: they may be wide.
+ARROW_ROWS = 1_000
 COUNTERS = ["statements", "complexity", "functions", "classes", "async_defs", "calls", "imports", "loops", "branches", "handlers", "lines_total", "lines_blank", "lines_comment", "lines_code", "max_depth"]
 _KWARG = [("name", pa.string()), ("value", pa.string()), ("path", pa.string())]
 _TYPES: dict[str, pa.DataType] = {
@@ -53,6 +55,7 @@ def _plain(value, t: pa.DataType):
 def with_facts(snippets: DataFrame, parts: tuple[str, ...] = ("calls", "env"), source: str = "source") -> DataFrame:
     """``snippets`` with the struct ``facts`` of the parts asked for."""
     kind = pa.struct([(p, _TYPES[p]) for p in parts])
+    snippets.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
     @F.arrow_udf(_ddl(kind))
     def walk(sources: pa.Array) -> pa.Array:

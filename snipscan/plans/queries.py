@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from snipscan.functions import catalog, render
 from snipscan.functions import text as fn
-from snipscan.operators import classify, digest, events, facts, policy
+from snipscan.operators import classify, digest, events, facts, panels, policy
 from snipscan.plans.corpus import EFFECTS_SQL, MADE_EVENTS, MADE_HITS, SNIPPET_HITS, made_events, made_hits, snippets, table
 from snipscan.sources import extract
 from snipscan.streaming import feed
@@ -443,10 +443,67 @@ def windowed_totals(spark, sf):
     return w.select(F.unix_millis("window.start").alias("hour"), *[c for c in w.columns if c != "window"])
 
 
-@query()
+@query("""
+with s(kind, line) as (values ('view', 'reads /data/u{u} → prints results'), ('click', 'calls https://api.example/{u} → writes 2 files'), ('purchase', 'runs `rm -rf /tmp/u{u}`'), ('error', 'reads the environment → calls https://h/{u}'), ('signup', 'no side effects — 2 statements')),
+r(kind, lines, risk, mask, band, worst, notes, lead) as (values ('view', 3, 2, 129, 'inert', 'info', 0, null), ('click', 3, 38, 10, 'routine', 'notable', 3, 'GET@2'), ('purchase', 2, 30, 16, 'check', 'caution', 1, 'run@2'), ('error', 5, 82, 40, 'read', 'caution', 2, 'getenv@3'), ('signup', 3, 0, 0, 'inert', null, 0, null))
+select 'e' || event_id as name, 'u' || user_id as source, epoch_us(ts) // 1000 as ts, cast(lines as bigint) as lines, cast(risk as bigint) as risk, cast(mask as bigint) as mask, band, worst, cast(notes as bigint) as notes, lead, replace(line, '{u}', user_id::varchar) as synopsis
+from events join s on event_type = s.kind join r on event_type = r.kind""")
 def feed_events(spark, sf):
-    """The events of the snippets, with their notes as JSON: the walk to the feed in one plan."""
-    return events.events(snippets(spark, sf)).withColumn("notes", F.to_json("notes"))
+    """The events of the snippets: the walk to the feed in one plan."""
+    e = events.events(snippets(spark, sf))
+    first = F.get("notes", F.lit(0))
+    out = e.withColumns({"lead": F.concat(first["verb"], F.lit("@"), first["line"].cast("string")), "notes": F.size("notes")})
+    return longs(out, "lines", "risk", "mask", "notes").select("name", "source", "ts", "lines", "risk", "mask", "band", "worst", "notes", "lead", "synopsis")
+
+
+def _linear(c: str, i: int) -> str:
+    v = f"(cast('0x' || substr({c}, {i}, 2) as int) / 255.0)"
+    return f"case when {v} <= 0.04045 then {v} / 12.92 else pow(({v} + 0.055) / 1.055, 2.4) end"
+
+
+def _light(c: str) -> str:
+    return f"(0.2126 * {_linear(c, 2)} + 0.7152 * {_linear(c, 4)} + 0.0722 * {_linear(c, 6)})"
+
+
+THEME_ROWS = ", ".join(str((t, *c)) for t, c in render.THEMES.items())
+
+
+@query(f"with t(theme, inert, routine, c, r) as (values {THEME_ROWS}), l as (select theme, {_light('c')} as a, {_light('r')} as b from t) select theme, round((greatest(a, b) + 0.05) / (least(a, b) + 0.05), 6) as ratio from l")
+def theme_contrast(spark, sf):
+    return render.theme_table(spark).select("theme", F.round(render.contrast(F.col("check"), F.col("read")), 6).alias("ratio"))
+
+
+COLOURS = ", ".join(str((t, b, c)) for t, row in render.THEMES.items() for b, c in zip(catalog.BANDS, row, strict=True))
+
+
+@query(f"with {MADE_EVENTS}, t(theme, b, colour) as (values {COLOURS}) select seq as snippet_id, theme, '<pre style=\"color:' || colour || '\">' || name || ' &lt;' || risk || '&gt;</pre>' as html from feed join t on band = b")
+def contact_sheet(spark, sf):
+    e = made_events(spark, sf)
+    return render.contact_sheet(e.select(F.col("seq").alias("snippet_id"), "band", F.concat("name", F.lit(" <"), F.col("risk").cast("string"), F.lit(">")).alias("line")))
+
+
+@query(f"with {MADE_EVENTS} select source, seq as snippet_id from feed where band = 'read' qualify row_number() over (partition by source order by ts desc, seq desc) <= 3")
+def card_files(spark, sf):
+    cards = made_events(spark, sf).where("band = 'read'").select("source", "ts", F.col("seq").alias("snippet_id"))
+    return panels.keep_cards(cards, 3, "source").select("source", "snippet_id")
+
+
+PAGE = """
+with p(kind, head, body) as (values
+  ('view', '█   e{e} inert risk 2', '█·· ··· · ···· █· reads /data/u{u} → prints results' || chr(10) || chr(10) || 'fs_read      info     ×1' || chr(10) || 'stdout       info     ×1' || chr(10) || chr(10) || '   2 list /data/u{u}' || chr(10) || '   3 print p'),
+  ('click', '█   e{e} routine risk 38', '·█· █·· · ···· ·· calls https://api.example/{u} → writes 2 files' || chr(10) || chr(10) || 'net          notable  ×1' || chr(10) || 'fs_write     notable  ×2' || chr(10) || chr(10) || '   2 GET https://api.example/{u}' || chr(10) || '   3 write open(''out{u}.txt'', ''w'')' || chr(10) || '   3 truncate out{u}.txt'),
+  ('purchase', '██  e{e} check it risk 30', '··· ·█· · ···· ·· runs `rm -rf /tmp/u{u}`' || chr(10) || chr(10) || 'process      caution  ×1' || chr(10) || chr(10) || '   2 run rm -rf /tmp/u{u}'),
+  ('error', '███ e{e} read it first risk 82', '··· █·█ · ···· ·· reads the environment → calls https://h/{u}' || chr(10) || chr(10) || 'net          caution  ×1' || chr(10) || 'env          caution  ×1' || chr(10) || chr(10) || '   3 getenv API_TOKEN' || chr(10) || '   5 POST https://h/{u}'),
+  ('signup', '█   e{e} inert risk 0', '··· ··· · ···· ·· no side effects — 2 statements'))
+select event_id as snippet_id, replace(replace(head || chr(10) || body, '{e}', event_id::varchar), '{u}', user_id::varchar) as page from events join p on event_type = kind"""
+
+
+@query(PAGE)
+def pages_of_panels(spark, sf):
+    s = snippets(spark, sf)
+    hits = digest.order_hits(digest.dedup_hits(classify.classify(facts.with_facts(s))))
+    head = panels.header(events.reports(s), F.concat(F.lit("e"), F.col("snippet_id").cast("string")))
+    return panels.page(head, panels.capabilities(hits), panels.timeline(hits))
 
 
 @query()
@@ -454,3 +511,17 @@ def cards(spark, sf):
     """A card for each snippet that is worth a look."""
     r = events.reports(snippets(spark, sf)).where("band in ('check', 'read')")
     return r.select("snippet_id", render.card(F.concat(F.lit("e"), F.col("snippet_id").cast("string"))).alias("card"), render.html_card(F.lit("snippet")).alias("html"))
+
+
+@query()
+def whole_pages(spark, sf):
+    """All panels of each snippet."""
+    s = snippets(spark, sf)
+    walked = facts.with_facts(s, ("calls", "env", "roots", "imports", "bindings", "reads", "nodes"))
+    rows = classify.classify_rows(classify.emissions(walked, "facts.roots"))
+    hits = digest.order_hits(digest.dedup_hits(rows.where("effect is not null")))
+    read = digest.bindings_read(facts.unfold(walked, "bindings"), facts.unfold(walked, "reads"))
+    return panels.page(
+        panels.header(events.reports(s), F.lit("snippet")), panels.capabilities(hits), panels.timeline(hits), panels.outline(digest.rollup_nodes(facts.unfold(walked, "nodes"), hits)),
+        panels.symbols(digest.symbols(rows)), panels.imports(classify.third_party(facts.unfold(walked, "imports"))), panels.bindings(read),
+    )
