@@ -1,7 +1,7 @@
 """Calls to effect hits: joins with the small catalogue tables, then expressions.
 
-Order of precedence: ``open`` by its mode, an exact rule, a telling method, a numeric package. The catalogue tables have a
-few hundred rows and are broadcast.
+Order of precedence: ``open`` by its mode, an exact rule, a telling method, a numeric package. Our own catalogue tables have
+a few hundred rows and are broadcast; for a table that the caller brings Spark decides.
 """
 
 from __future__ import annotations
@@ -59,15 +59,16 @@ def argument(spec: Column, args: Column, named: Column) -> Column:
     return F.when(spec == "-", None).when(spec.contains("/"), F.coalesce(F.try_element_at(named, F.substring_index(spec, "/", 1)), place)).otherwise(place)
 
 
-def _table(df: DataFrame, key: str, prefix: str) -> DataFrame:
+def _table(df: DataFrame, key: str, prefix: str, small: bool = True) -> DataFrame:
     severity = F.array_position(F.array(*map(F.lit, catalog.SEVERITIES)), F.col("severity")).cast("int") - 1
-    return F.broadcast(df.select(F.col("path").alias(key), F.struct("effect", severity.alias("severity"), "verb", "target", "note").alias(prefix)))
+    out = df.select(F.col("path").alias(key), F.struct("effect", severity.alias("severity"), "verb", "target", "note").alias(prefix))
+    return F.broadcast(out) if small else out
 
 
 def with_rules(calls: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """``calls`` with the structs ``rule`` (exact), ``method`` (by last name, where there is no rule) and ``compute`` (the root of a numeric package)."""
     spark = calls.sparkSession
-    out = calls.join(_table(rules if rules is not None else catalog.rule_table(spark), "_path", "rule"), F.col("canonical") == F.col("_path"), "left").drop("_path")
+    out = calls.join(_table(rules if rules is not None else catalog.rule_table(spark), "_path", "rule", rules is None), F.col("canonical") == F.col("_path"), "left").drop("_path")
     dotted = F.col("canonical").contains(".") & ~F.col("canonical").startswith("<")
     out = out.withColumn("_method", F.when(F.col("rule").isNull() & dotted, F.substring_index("canonical", ".", -1)))
     out = out.join(_table(catalog.method_table(spark), "_name", "method"), F.col("_method") == F.col("_name"), "left").drop("_name", "_method")
