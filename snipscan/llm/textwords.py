@@ -41,9 +41,9 @@ class Words:
         self.doc = np.searchsorted(self.text_start, self.start, side="right") - 1
         self.count = np.bincount(self.doc, minlength=self.n)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        length = self.end - self.start
+    def hashes(self, most: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word's bytes, or of its first ``most`` bytes."""
+        length = self.end - self.start if most is None else np.minimum(self.end - self.start, most)
         h = length.astype(U64) * U64(0x9E3779B97F4A7C15)
         live = np.arange(len(length))
         for j in range(_LONG):

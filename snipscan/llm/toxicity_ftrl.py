@@ -27,6 +27,8 @@ ALPHA, BETA, L2, EPOCHS = 1.5, 1.0, 0.2, 6
 L1, L1_ROWS = 20.0, 3_000
 
 _KEEP = bytes(b if b >= 128 or bytes([b]).isalnum() or b in b"'\n" else 32 for b in range(256))
+#: Words count by their first bytes too: inflected forms share them.
+STEM_BYTES = 5
 #: (distance of the second word, seed): single words, bigrams and two skip-grams.
 _SHAPES = ((0, 0x1), (1, 0x2), (2, 0x3), (3, 0x4))
 
@@ -36,7 +38,7 @@ def _clean(texts: pa.Array) -> list[bytes]:
 
 
 def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, coordinate) of each n-gram and skip-gram, repeats included."""
+    """(text, coordinate) of each word, stem, bigram and skip-gram, repeats included."""
     words = Words(texts)
     h = words.hashes()
     doc, at = [], []
@@ -48,6 +50,9 @@ def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         key = first if not gap else mix(first * U64(0xD6E8FEB86659FD93) + h[gap:])
         doc.append(words.doc[gap:][same])
         at.append((mix(key[same] + U64(seed)) >> U64(64 - BITS)).astype(np.int64))
+    if len(h):
+        doc.append(words.doc)
+        at.append((mix(words.hashes(STEM_BYTES) + U64(0x5)) >> U64(64 - BITS)).astype(np.int64))
     return (np.concatenate(doc), np.concatenate(at)) if doc else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
