@@ -87,3 +87,29 @@ def gate_value(raw: Column) -> Column:
     """A gate setting: off, none, -1 and blank mean none; a number is clamped to 0..100; anything else means none."""
     v = F.lower(F.btrim(raw))
     return F.when(v.isin("", "off", "none", "-1"), None).otherwise(F.when(v.try_cast("int").isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), v.try_cast("int")))))
+
+
+#: Cells of a rising ramp, and ASCII stand-ins for the marks that labels use. Fixed values.
+RAMP = "▁▂▃▄▅▆▇█"
+MARKS, PLAIN = "…→←—–·•█░", "~><--..#."
+
+
+def ramp(share: Column) -> Column:
+    """The ramp's cell for a share of 0 to 1."""
+    s = F.least(F.lit(1.0), F.greatest(F.lit(0.0), share))
+    return F.substring(F.lit(RAMP), (F.floor(s * (len(RAMP) - 1) + 0.5) + 1).cast("int"), F.lit(1))
+
+
+def meter(share: Column, width: int) -> Column:
+    """A bar of ``width`` cells; the empty ones are drawn too."""
+    n = F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)) * width + 0.5).cast("int")
+    return F.concat(F.repeat(F.lit("█"), n), F.repeat(F.lit("░"), F.lit(width) - n))
+
+
+def asciify(c: Column) -> Column:
+    return F.translate(c, MARKS, PLAIN)
+
+
+def call_key(tool: Column, arguments: Column, call_id: Column) -> Column:
+    """What names a tool call: its id, or else its tool and the hash of its arguments."""
+    return F.when(F.coalesce(call_id, F.lit("")) != "", F.concat(F.lit("id:"), call_id)).otherwise(F.concat(tool, F.lit(":"), F.sha1(arguments.cast("binary"))))

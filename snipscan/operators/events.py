@@ -44,6 +44,27 @@ def events(snippets: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     )
 
 
+def documents(snippets: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """(snippet_id, report): everything known of each snippet as one JSON document, in the nested form of a single report.
+
+    The parts that need no join (imports, bindings, nodes, problems, counters) come straight from the walk; effects are
+    classified rows put back together by snippet. The walked table is used twice, so store it first where that is dear.
+    """
+    walked = with_facts(snippets, ("parsed", "bytes", "counters", "calls", "env", "imports", "bindings", "reads", "nodes", "problems"))
+    hits = digest.order_hits(digest.dedup_hits(classify_rows(emissions(walked), rules).where("effect is not null")))
+    hit = F.struct("pos", "effect", severity_name(F.col("severity")).alias("severity"), "verb", "symbol", "target", "line", "col", "snippet", "note")
+    effects = hits.groupBy("snippet_id").agg(F.array_sort(F.collect_list(hit)).alias("effects"))  # a snippet's own
+    f = walked.select("snippet_id", "facts.*").join(effects, "snippet_id", "left")
+    third = lambda i: (i["level"] == 0) & ~F.substring_index(i["module"], ".", 1).isin(catalog.STDLIB)
+    imports = F.transform("imports", lambda i: F.struct(i["module"].alias("module"), i["names"].alias("names"), i["alias"].alias("alias"), i["line"].alias("line"), third(i).alias("third_party"), i["deferred"].alias("deferred")))
+    loads = lambda b: F.coalesce(F.get(F.filter("reads", lambda r: r["name"] == b["name"]), F.lit(0))["n"], F.lit(0))
+    bindings = F.transform("bindings", lambda b: F.struct(*[b[k].alias(k) for k in ("name", "kind", "value", "origin", "scope", "line", "depth", "rebinds", "accumulates")], loads(b).alias("reads"), (loads(b) == 0).alias("dead")))
+    shown = F.coalesce("effects", F.array().cast(effects.schema["effects"].dataType))
+    bare = F.transform(shown, lambda e: F.struct(*[e[k].alias(k) for k in ("effect", "severity", "verb", "symbol", "target", "line", "col", "snippet", "note")]))
+    report = F.struct(F.lit(SCHEMA).alias("schema"), F.struct("parsed", "bytes").alias("meta"), F.col("nodes").alias("spine"), imports.alias("imports"), bare.alias("effects"), bindings.alias("bindings"), F.col("counters").alias("metrics"), F.col("problems").alias("diagnostics"))
+    return f.select("snippet_id", F.to_json(report).alias("report"))
+
+
 def totals() -> list[Column]:
     """Aggregates of a session: events, blocked, bands, capabilities."""
     bands = [F.count_if(F.col("band") == b).alias(f"band_{b}") for b in BANDS]

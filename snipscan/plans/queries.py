@@ -525,3 +525,27 @@ def whole_pages(spark, sf):
         panels.header(events.reports(s), F.lit("snippet")), panels.capabilities(hits), panels.timeline(hits), panels.outline(digest.rollup_nodes(facts.unfold(walked, "nodes"), hits)),
         panels.symbols(digest.symbols(rows)), panels.imports(classify.third_party(facts.unfold(walked, "imports"))), panels.bindings(read),
     )
+
+
+@query("select event_id, substr('▁▂▃▄▅▆▇█', cast(floor(x * 7 + 0.5) as int) + 1, 1) as cell, repeat('█', cast(floor(x * 10 + 0.5) as int)) || repeat('░', 10 - cast(floor(x * 10 + 0.5) as int)) as bar from (select event_id, least(1.0, greatest(0.0, (event_id % 130 - 10) / 100.0)) as x from events)")
+def ramp_meter(spark, sf):
+    share = (F.col("event_id") % 130 - 10) / 100.0
+    return table(spark, sf, "events").select("event_id", fn.ramp(share).alias("cell"), fn.meter(share, 10).alias("bar"))
+
+
+@query("select event_id, translate('reads ' || user_id || ' → writes … — ok', '…→←—–·•█░', '~><--..#.') as plain, case when event_id % 2 = 0 then 'id:' || event_id else event_type || ':' || sha1(props) end as key from events")
+def plain_text_and_keys(spark, sf):
+    said = F.concat(F.lit("reads "), F.col("user_id").cast("string"), F.lit(" → writes … — ok"))
+    named = F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string"))
+    return table(spark, sf, "events").select("event_id", fn.asciify(said).alias("plain"), fn.call_key(F.col("event_type"), F.col("props"), named).alias("key"))
+
+
+@query("""
+with r(kind, lines, effects, imports, bindings, dead) as (values ('view', 3, 'fs_read,stdout', 'os', 1, 0), ('click', 3, 'net,fs_write,fs_write', 'requests', 1, 0), ('purchase', 2, 'process', 'subprocess', 0, 0), ('error', 5, 'env,net', 'os,requests', 1, 0), ('signup', 3, '', '', 2, 1))
+select event_id as snippet_id, cast(lines as bigint) as lines, effects, imports, cast(bindings as bigint) as bindings, cast(dead as bigint) as dead from events join r on event_type = kind""")
+def report_documents(spark, sf):
+    """The nested reports, read back from their JSON."""
+    d = events.documents(snippets(spark, sf))
+    r = F.from_json("report", "struct<effects:array<struct<effect:string>>,imports:array<struct<module:string>>,bindings:array<struct<dead:boolean>>,metrics:struct<lines_total:bigint>>")
+    d = d.select("snippet_id", r.alias("r"))
+    return d.select("snippet_id", F.col("r.metrics.lines_total").alias("lines"), F.array_join("r.effects.effect", ",").alias("effects"), F.array_join("r.imports.module", ",").alias("imports"), F.size("r.bindings").cast("bigint").alias("bindings"), F.size(F.filter("r.bindings", lambda b: b["dead"])).cast("bigint").alias("dead"))

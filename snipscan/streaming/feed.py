@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
-from snipscan.functions import catalog
+from snipscan.functions import catalog, render
 from snipscan.operators import events as ev
 
 NOTE = T.StructType([T.StructField("effect", T.StringType()), T.StructField("severity", T.StringType()), T.StructField("verb", T.StringType()), T.StructField("target", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("note", T.StringType())])
@@ -52,6 +52,21 @@ def write_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     return events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
 
 
+def look(snippets: DataFrame, path: str, checkpoint: str, pages: str | None = None) -> StreamingQuery:
+    """Analyse a stream of snippets: each batch's events go to the feed, and a line for each to ``pages``, if given.
+
+    A batch writes to a folder of its own, over what a failed attempt may have left there, so a retry adds nothing twice.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        events = ev.events(batch)
+        events.write.mode("overwrite").json(f"{path}/batch={number}")
+        if pages:
+            events.select(render.line(F.col("name")).alias("value")).write.mode("overwrite").text(f"{pages}/batch={number}")
+
+    return snippets.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def trim(lines: DataFrame, limit: int = TRIM_BYTES, group: str | None = None) -> DataFrame:
     """Of lines (seq, value, and a group) of over ``limit`` bytes, those that start after half of them; under it, all. A group is one log."""
     by = [group] if group else []

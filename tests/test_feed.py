@@ -126,3 +126,29 @@ def test_rows_and_cards(spark, tmp_path):
     assert len(rows) == 2 and rows[0].text.strip().startswith("1m ██  30") or "1m" in rows[0].text
     card = events.select(render.card(F.col("name")).alias("c"), render.html_card(F.lit("<x>")).alias("h")).first()
     assert {len(x) for x in card.c.split("\n")} == {60} and "&lt;x&gt;" in card.h
+
+
+def test_look_writes_each_batch_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i, code in enumerate(["import os\\nos.remove('x')", "print(1)"]):
+        (tmp_path / "in" / f"{i}.json").write_text(json.dumps({"snippet_id": i, "ts": 5, "name": f"n{i}", "origin": "o", "source": code.replace("\\n", "\n")}) + "\n")
+    stream = spark.readStream.schema("snippet_id int, ts long, name string, origin string, source string").option("maxFilesPerTrigger", "1").json(str(tmp_path / "in"))
+    feed.look(stream, str(tmp_path / "feed"), str(tmp_path / "cp"), str(tmp_path / "pages")).awaitTermination(120)
+    got = {r.name: r.band for r in feed.read(spark, f"{tmp_path}/feed/*").collect()}
+    assert got == {"n0": "check", "n1": "inert"}
+    assert spark.read.text(f"{tmp_path}/pages/*").count() == 2
+
+
+def test_files(spark, tmp_path):
+    from snipscan.operators import events
+    from snipscan.sources import files
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.py").write_text("print(1)\nprint(2)\n")
+    (tmp_path / "y.py").write_bytes(b"# \xff\n")
+    (tmp_path / "z.txt").write_text("no")
+    found = files.read(spark, str(tmp_path))
+    assert sorted(r.name for r in found.collect()) == ["x.py", "y.py"]
+    assert [r.name for r in files.long_enough(found, 2).collect()] == ["x.py"]
+    assert events.reports(found).count() == 2
+    assert {r.path for r in files.scripts(spark, str(tmp_path), f"{tmp_path}/").collect()} == {"a/x.py", "y.py", "z.txt"}
