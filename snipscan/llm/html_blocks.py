@@ -75,6 +75,7 @@ def blocks_of(page: str) -> list[Block]:
     heading = False
     text: list[str] = []
     linked: list[str] = []
+    open_ended: set[str] = set()  # tags without an end tag from here on
 
     def end() -> None:
         words = " ".join(entities.unescape("".join(text)).split())
@@ -143,10 +144,12 @@ def blocks_of(page: str) -> list[Block]:
                     article += tag in ("article", "main")
                     listed += tag in ("ul", "ol", "menu", "dl")
                     tabled += tag == "table"
-            elif not closing and m[3] and _apart("", m[3]):
+            elif not closing and m[3] and tag not in open_ended and _apart("", m[3]):
                 stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)  # a marked leaf such as <p class="ad">
                 if stop:
                     at = stop.end()
+                else:
+                    open_ended.add(tag)
         elif tag in ("td", "th"):
             text.append(" ")
     end()

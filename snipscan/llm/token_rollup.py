@@ -63,30 +63,35 @@ class Rollup:
         self.spark = spark
         self.path = path or f"{shared_dir(spark)}/token-rollup-{uuid.uuid4().hex}"
 
-    def _log(self) -> list:
+    def _last(self, batch_id: str | None = None) -> tuple[int, str | None, bool]:
+        """(number, snapshot) of the last commit, -1 and None before the first; whether a batch of this id is in the log."""
         try:
-            return self.spark.read.schema(_LOG).parquet(f"{self.path}/log").orderBy("number").collect()  # a row for each batch
+            log = self.spark.read.schema(_LOG).parquet(f"{self.path}/log")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return []
+            return -1, None, False
+        last, seen = log.agg(F.max(F.struct("number", "snapshot")), F.max(F.col("batch_id") == F.lit(batch_id))).first()
+        return last.number, last.snapshot, bool(seen)
+
+    def _at(self, snapshot: str | None) -> DataFrame:
+        if snapshot is None:
+            return self.spark.createDataFrame([], _TOTALS)
+        return self.spark.read.schema(_TOTALS).parquet(f"{self.path}/{snapshot}")
 
     def totals(self) -> DataFrame:
         """The state after the last commit."""
-        log = self._log()
-        if not log:
-            return self.spark.createDataFrame([], _TOTALS)
-        return self.spark.read.schema(_TOTALS).parquet(f"{self.path}/{log[-1].snapshot}")
+        return self._at(self._last()[1])
 
     def commit(self, batch_id: str, delta: DataFrame) -> bool:
         """Fold in a batch of signed rows; False if a batch of this id was committed before."""
-        log = self._log()
-        if any(x.batch_id == batch_id for x in log):
+        number, before, seen = self._last(batch_id)
+        if seen:
             return False
-        number = log[-1].number + 1 if log else 0
+        number += 1
         snapshot = f"snapshot-{number}-{uuid.uuid4().hex}"
         folded = delta.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        new = self.totals().unionByName(folded).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        new = self._at(before).unionByName(folded).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         new.where("n_docs <> 0 or n_tokens <> 0").coalesce(1).write.parquet(f"{self.path}/{snapshot}")
         self.spark.createDataFrame([(batch_id, number, snapshot)], _LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
         return True
