@@ -23,16 +23,17 @@ from pyspark.sql import functions as F
 from snipscan.llm.common import small_batches
 from snipscan.llm.html_examples import PAGES
 
-#: Tags whose content isn't text, tags that end a block, tags that hold parts of a page, and hints in class, id and role that a part isn't the article. Fixed values.
-DROPPED = "script style noscript template svg iframe select button textarea canvas object head math datalist audio video map"
-BLOCK = "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul"
+#: Tags whose content isn't text, those of them that run to the page's end if they aren't closed, tags that end a block, tags that hold parts of a page, and hints in class, id and role that a part isn't the article. Fixed values.
+DROPPED = "script style noscript template svg iframe select button textarea canvas object head title math datalist audio video map"
+RAW = "script style textarea iframe"
+BLOCK = "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul"
 PART = "article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section table ul"
 APART_TAGS = "nav footer aside form menu dialog fieldset"
 HINTS = "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus discussion footer gdpr header masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo promoted related recommended replies reviews sidebar signup social share sharing skip sponsor sponsored subscribe tags teaser toolbar topbar widget login search alert adslot adsbygoogle advertising advertorial commentlist commentbox complementary contentinfo copyright disclaimer legal paywall privacy respond skiplink sidenav sitemap toc"
 #: What marks even an article as apart. Fixed values.
 ARTICLE_HINTS = "comment comments reply replies teaser related promo sponsored"
 
-_DROPPED, _BLOCK, _PART, _APART, _HINTS, _ARTICLE = (frozenset(x.split()) for x in (DROPPED, BLOCK, PART, APART_TAGS, HINTS, ARTICLE_HINTS))
+_DROPPED, _RAW, _BLOCK, _PART, _APART, _HINTS, _ARTICLE = (frozenset(x.split()) for x in (DROPPED, RAW, BLOCK, PART, APART_TAGS, HINTS, ARTICLE_HINTS))
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|(?=<)|\Z)", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -115,12 +116,15 @@ def blocks_of(page: str) -> list[Block]:
         tag, closing = m[2].lower(), bool(m[1])
         if tag in _DROPPED and not closing:
             if not m[3].rstrip().endswith("/"):
-                stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                stop = None if tag in open_ended else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 if tag == "head" and not stop:
                     stop = re.compile(r"(?=<body\b)", re.I).search(page, at)
-                    if not stop:
-                        continue
-                at = stop.end() if stop else size
+                if stop:
+                    at = stop.end()
+                elif tag in _RAW:
+                    at = size
+                else:
+                    open_ended.add(tag)
             text.append(" ")
             continue
         if tag == "a":

@@ -23,6 +23,8 @@ def test_tree_fits_its_table():
     (f"<article><p>{P}</p><aside>{P} x</aside><form><p>{P} y</p></form><div class='cookie-banner'>{P} z</div><p>{P} end</p></article>", f"{P}\n{P} end"),
     (f"<body><div id='sidebar'><p>{P} s</p></div><main><p>{P}</p><div class=\"ads\">{P} ad</div></main><section id=comments><p>{P} c</p></section></body>", P),
     (f"<article><p>{P}</p></article><article class='comment'><p>{P} r</p></article><div class='cookieBanner'><p>{P} c</p></div><ol id=commentlist><li>{P} l</li></ol><div role=contentinfo>{P} f</div>", P),
+    (f"<title>Site</title><article><button>{P} b</button><svg><p>{P}</p></article>", P),
+    (f"<head><title>x</title><body><article><p>{P}</p><object><p>{P} o</p></article>", f"{P}\n{P} o"),
     (f"<article><p><b>{P}<i>bold</i></b></p></div></p></article>", f"{P}bold"),
     (f"<article><style>p{{}}</style><p>{P}</p><script>var t='</p>';</script><noscript>{P} no</noscript></article>", P),
     (f"<article><p>x &#233; &eacute; &#x1F600; {P}</p></article>", f"x é é 😀 {P}"),
