@@ -506,7 +506,14 @@ def pages_of_panels(spark, sf):
     return panels.page(head, panels.capabilities(hits), panels.timeline(hits))
 
 
-@query()
+CARD = "'┌' || repeat('─', 58) || '┐' || chr(10) || array_to_string(list_transform(list_concat([{0} || '  ' || word || ' · risk ' || risk, " + BAR + "], regexp_extract_all(synopsis, '(\\S.{{0,55}})(?:\\s|$)', 1)), lambda x: '│ ' || rpad(substr(x, 1, 56), 56, ' ') || ' │'), chr(10)) || chr(10) || '└' || repeat('─', 58) || '┘'"
+CARD_HTML = CARD.format("'snippet'")
+
+
+@query(f"""
+with s(kind, line, risk, mask, word, colour) as (values ('purchase', 'runs `rm -rf /tmp/u{{u}}`', 30, 16, 'check it', '{render.THEMES["plain"][2]}'), ('error', 'reads the environment → calls https://h/{{u}}', 82, 40, 'read it first', '{render.THEMES["plain"][3]}')),
+e as (select *, replace(line, '{{u}}', user_id::varchar) as synopsis from events join s on event_type = kind)
+select event_id as snippet_id, {CARD.format("'e' || event_id")} as card, '<pre style="color:' || colour || '">' || replace(replace(replace(replace({CARD_HTML}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</pre>' as html from e""")
 def cards(spark, sf):
     """A card for each snippet that is worth a look."""
     r = events.reports(snippets(spark, sf)).where("band in ('check', 'read')")
