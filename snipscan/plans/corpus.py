@@ -32,7 +32,8 @@ TEMPLATES = {
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """snippet_id, ts, name, origin, source of each event."""
-    e = table(spark, sf_dir, "events")
+    # parsing is dear and the file is small: deal its rows over all cores
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type").repartition(spark.sparkContext.defaultParallelism)
     source = F.lit(None).cast("string")
     for kind, text in TEMPLATES.items():
         filled = F.replace(F.replace(F.lit(text), F.lit("{u}"), F.col("user_id").cast("string")), F.lit("{e}"), F.col("event_id").cast("string"))
