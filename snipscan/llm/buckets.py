@@ -1,29 +1,40 @@
 """Links among sets that meet in buckets, without a bucket's pairs.
 
-In a first round every member of a bucket is compared with one leader, by an order that is the same in all buckets, so that
-few different pairs arise; verified links give classes. Buckets that still hold several classes are compared again with a
-few other leaders, drawn anew for each bucket. The pairs are at most a few for each member, and a link is missed only if in
-every bucket where two like sets meet all leaders fail one of them and nothing else joins their classes.
+In a first round every member of a bucket is compared with one leader: the member with the most company in all its buckets,
+so that few different pairs arise and the original of many copies leads them; verified links give classes. Buckets that
+still hold several classes are compared again with a few other leaders, drawn anew for each bucket. A last pass is exact:
+the sets of buckets that hold several classes even then are joined by their rarest items, as many as two like sets can't
+differ in, and every pair of different classes that sizes and places in that order allow is verified. So two like sets that
+share a bucket are always in one class; the leaders only spare the last pass its work.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snipscan.llm.common import materialize
+from snipscan.llm.common import discard, materialize, small_batches
 from snipscan.llm.components import connected_components
 
 EPSILON = 1e-9  # for bounds whose product with a decimal share isn't exact
+#: So many of the most frequent items are known as such on every worker. They only order the items: others count as rare.
+COMMON = 1 << 18
 
 
 def crowded(members: DataFrame) -> DataFrame:
     """The members (key, rep, n) of buckets of two or more, with the bucket's leader ``lead``."""
-    led = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep").alias("o"), "rep", "n")).alias("lead"), F.count("*").alias("size"))
-    leads = materialize(led.where("size > 1").select("key", "lead"), "buckets")
-    return materialize(members.join(leads, "key").select("key", "rep", "n", "lead"), "bucket-members")
+    sizes = materialize(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    shared = materialize(members.join(sizes, "key").select("key", "rep", "n", "size"), "bucket-sizes")
+    company = shared.groupBy("rep").agg(F.sum("size").alias("company"))
+    rank = F.struct((-F.col("company")).alias("c"), F.xxhash64("rep").alias("o"), "rep", "n")
+    leads = shared.select("key", "rep", "n").join(company, "rep").groupBy("key").agg(F.min(rank).alias("lead"))
+    met = materialize(shared.join(leads, "key").select("key", "rep", "n", "lead"), "bucket-members")
+    discard(shared)
+    return met
 
 
 def _fits(n: str, m: str, share: float) -> Column:
@@ -35,15 +46,84 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
 
 
-def link_buckets(met: DataFrame, verify: Callable[[DataFrame], DataFrame], share: float, leaders: int) -> DataFrame:
-    """(id, class) of the reps that have a link. ``met`` is what ``crowded`` gives; ``verify`` keeps the like pairs (a, b)."""
+def link_buckets(met: DataFrame, verify: Callable[[DataFrame], DataFrame], share: float, leaders: int, items: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, class) of the reps that have a link. ``met`` is what ``crowded`` gives; ``verify`` keeps the like pairs (a, b).
+
+    ``items`` gives (rep, items) for a table of reps: arrays of different numbers, n of them. Pairs that ``verify`` keeps
+    have a Jaccard likeness of these of at least ``share``.
+    """
     first = _pairs(met.where((F.col("rep") != F.col("lead.rep")) & _fits("n", "lead.n", share)))
     links = materialize(verify(first), "links-1")
     classes = connected_components(links)
-    placed = met.join(classes, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", F.coalesce("class", "rep").alias("class"))
+    placed = _placed(met, classes)
     orders = [F.min(F.struct(F.xxhash64("rep", "key", F.lit(r)).alias("o"), F.col("rep").alias("rep"), F.col("n").alias("n"), F.col("class").alias("class"))).alias(f"l{r}") for r in range(leaders)]
     split = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), *orders).where("low <> high").select("key", F.array(*[f"l{r}" for r in range(leaders)]).alias("leads"))
     again = placed.join(split, "key").select("rep", "n", "class", F.explode("leads").alias("lead"))
     second = _pairs(again.where((F.col("class") != F.col("lead.class")) & _fits("n", "lead.n", share))).join(first, ["a", "b"], "left_anti")
     more = materialize(verify(second), "links-2")
-    return connected_components(links.union(more)) if more.limit(1).count() else classes
+    if more.limit(1).count():
+        links = links.union(more)
+        classes = connected_components(links)
+    last = materialize(verify(_unlinked(met, classes, items, share)), "links-3")
+    return connected_components(links.union(last)) if last.limit(1).count() else classes
+
+
+def _placed(met: DataFrame, classes: DataFrame) -> DataFrame:
+    return met.join(classes, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", F.coalesce("class", "rep").alias("class"))
+
+
+def _unlinked(met: DataFrame, classes: DataFrame, items: Callable[[DataFrame], DataFrame], share: float) -> DataFrame:
+    """All pairs (a, b) of different classes that may reach ``share``, among the members of buckets of several classes.
+
+    Of two like sets of n <= m items, n + m - least and more are shared, and so is one of the first items by rarity of both;
+    the first that is shared stands where enough follow it in both. Of the smaller set fewer items come first than of the larger.
+    """
+    placed = _placed(met, classes)
+    split = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
+    left = materialize(placed.join(split, "key").select("rep", "class").distinct(), "unlinked")
+    sets = materialize(items(left.select("rep")).join(left, "rep").select("rep", "class", "items"), "unlinked-sets")
+    first = _first_items(sets, share)
+    n, place = F.size("items"), F.col("place")
+    rows = sets.select("rep", "class", n.alias("n"), F.posexplode(first("items")).alias("place", "item"))
+    short = place <= F.col("n") - F.ceil(F.lit(2 * share / (1 + share)) * F.col("n") - EPSILON)
+    rows = materialize(rows.withColumn("short", short), "first-items")
+    common = rows.groupBy("item").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("short").alias("any")).where("low <> high and any").select("item")
+    near = materialize(rows.join(common, "item"), "shared-items")
+    discard(rows)
+    # pairs of classes first, so that a class's own pairs never arise
+    x = near.where("short").select("item", F.col("class").alias("cx"), F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"))
+    y = near.select(F.col("item").alias("_item"), F.col("class").alias("_class"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"))
+    met_classes = x.select("item", "cx").distinct().join(near.select("item", F.col("class").alias("cy")).distinct(), "item").where("cx <> cy")
+    least = F.lit(share / (1 + share)) * (F.col("nx") + F.col("ny")) - EPSILON
+    fits = (F.col("nx") <= F.col("ny")) & _fits("nx", "ny", share) & (F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= least)
+    both = met_classes.join(x, ["item", "cx"]).join(y, (F.col("item") == F.col("_item")) & (F.col("cy") == F.col("_class")) & fits)
+    return materialize(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "unlinked-pairs")
+
+
+def _first_items(sets: DataFrame, share: float) -> Callable[[str], Column]:
+    """A function of an array of items: its first by rarity, as many as a larger set of a like pair must share one of."""
+    spark = sets.sparkSession
+    small_batches(spark)
+    counts = materialize(sets.select(F.explode("items").alias("item")).groupBy("item").count().where("count > 1"), "item-counts")
+    levels = {r.level: r["count"] for r in counts.groupBy(F.floor(F.log2("count") + EPSILON).alias("level")).count().collect()}
+    level = max(levels, default=0) + 1
+    while level > 1 and sum(v for k, v in levels.items() if k >= level - 1) <= COMMON:
+        level -= 1
+    known = counts.where(F.floor(F.log2("count") + EPSILON) >= level).toPandas().sort_values("item")
+    table = spark.sparkContext.broadcast((known["item"].to_numpy(np.int64), known["count"].to_numpy(np.int64)))
+
+    @F.arrow_udf("array<bigint>")
+    def first(column: pa.Array) -> pa.Array:
+        item, count = table.value
+        out = []
+        for row in column:
+            x = np.asarray(row.values.to_numpy(zero_copy_only=False), np.int64)
+            often = np.zeros(len(x), np.int64)
+            if len(item):
+                at = np.minimum(np.searchsorted(item, x), len(item) - 1)
+                often = np.where(item[at] == x, count[at], 0)
+            k = len(x) - int(np.ceil(share * len(x) - EPSILON)) + 1
+            out.append(x[np.lexsort((x, often))[:k]])
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return first

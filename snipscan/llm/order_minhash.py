@@ -6,8 +6,8 @@ meet in a bucket where such a tuple is equal. Candidates are verified by a bande
 k-mers matched in order over all k-mers of both (an ordered Jaccard) must reach SIMILARITY. No alignment that reaches it
 leaves the band.
 
-No bucket is expanded into all its pairs: its texts are compared with leaders (see ``snipscan.llm.buckets``). Equal texts
-are one text throughout.
+No bucket is expanded into all its pairs: its texts are compared with leaders, and what leaders leave apart is joined by
+its rarest k-mers (see ``snipscan.llm.buckets``). Equal texts are one text throughout.
 
 A text of fewer than WORDS words is one k-mer of all its words; one without a word has none, and is like others without a
 word only where equal byte by byte. Null counts as the empty text. Rows without an id form classes of their own text but
@@ -183,6 +183,19 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a bigint, b bigint")
 
 
+def _labelled_kmers(texts: DataFrame) -> DataFrame:
+    """(rep, items): the labelled k-mers of each text."""
+    small_batches(texts.sparkSession)
+
+    @F.arrow_udf("array<bigint>")
+    def items(column: pa.Array) -> pa.Array:
+        lower = [x.lower().encode() if x else b"" for x in column.to_pylist()]
+        grams = [g for lo, hi in chunks(lower) for g in kmers(lower[lo:hi])]
+        return pa.array([labelled(g).view(np.int64) for g in grams], pa.list_(pa.int64()))
+
+    return texts.select("rep", items.asNondeterministic()("text").alias("items"))
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id) for each row of ``docs``; a class is named by its smallest document id."""
     sketches = materialize(with_sketches(docs), "sketches")
@@ -191,7 +204,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     reps = texts_of.where("rep is not null")
     met = crowded(reps.select("rep", "n", F.explode("keys").alias("key")))
     texts = materialize(_texts(docs, reps, met.select("rep").distinct()), "bucket-texts")
-    classes = link_buckets(met, lambda pairs: verified(pairs, texts), SIMILARITY, LEADERS)
+    classes = link_buckets(met, lambda pairs: verified(pairs, texts), SIMILARITY, LEADERS, lambda some: _labelled_kmers(texts.join(some, "rep", "left_semi")))
     named = texts_of.join(classes, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("class", "rep").alias("class_id"))
     return sketches.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id")
 

@@ -148,6 +148,6 @@ def near_classes(docs: DataFrame, tau: float = TAU, leaders: int = 3) -> DataFra
         both = pairs.join(left, F.col("a") == F.col("ra")).select("a", "b", "sa").join(right, F.col("b") == F.col("rb"))
         return both.where(pruned_likeness(F.col("sa"), F.col("sb"), tau) >= tau).select("a", "b")
 
-    classes = link_buckets(met, verify, tau, leaders)
+    classes = link_buckets(met, verify, tau, leaders, lambda some: sets.join(some, "rep", "left_semi").select("rep", F.col("_own").alias("items")))
     named = sets.join(classes, F.col("rep") == F.col("id"), "left").select("_own", F.coalesce("class", "rep").alias("class_id"))
     return own.join(named, "_own").select("doc_id", "class_id")

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from snipscan.llm import order_minhash as om
+from snipscan.llm.buckets import crowded, link_buckets
 from snipscan.llm.components import connected_components
 from snipscan.llm.queries import QUERIES
 
@@ -137,3 +138,31 @@ def test_components(spark):
     got = {r.id: r["class"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 10 for i in range(10, 61)} | {1: 1, 2: 1, 3: 1, 100: 100, 200: 100} | {i: 500 for i in range(500, 600)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_copies_that_only_their_original_joins(make):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(400, " ".join(base))]
+    for i in range(801):
+        if i != 400:
+            words = list(base)
+            for at in rng.sample(range(3, 198, 5), rng.choice([3, 4])):
+                words[at] = f"x{i}_{at}"
+            rows.append((i, " ".join(words)))
+    assert all(similar(rows[0][1], t) for _, t in rows) and sum(similar(rows[1][1], t) for _, t in rows[2:]) < 80
+    assert set(classes(make(rows)).values()) == {0}
+
+
+def test_bucket_of_a_chain_is_linked_whole(spark):
+    sets = [(r, [r * 2 + k for k in range(40)]) for r in range(120)] + [(500 + r, [10_000 * r + k for k in range(40)]) for r in range(1, 30)]
+    random.Random(3).shuffle(sets)
+    table = spark.createDataFrame(sets, "rep bigint, items array<bigint>").cache()
+    met = crowded(table.selectExpr("1L as key", "rep", "size(items) as n"))
+
+    def verify(pairs):
+        both = pairs.join(table.selectExpr("rep as a", "items as x"), "a").join(table.selectExpr("rep as b", "items as y"), "b")
+        return both.where("size(array_intersect(x, y)) >= 0.8 * size(array_union(x, y))").select("a", "b")
+
+    got = {r.id: r["class"] for r in link_buckets(met, verify, 0.8, 3, lambda some: table.join(some, "rep", "left_semi")).collect()}
+    assert got == {r: 0 for r in range(120)}
