@@ -2,7 +2,8 @@
 
 The tags cut a page into blocks of text. A block is described by its words and link density, those of the blocks before and
 after it, and where it stands (in an article, in a list, a heading, in a part that its tag or class name marks as apart from
-the text). A decision tree, grown on a small labelled table of pages, says which blocks are main text.
+the text). Names hint at parts by whole class names or the first or last part of one, and never at a part that holds the
+page's main or, without one, its longest article. A decision tree, grown on a small labelled table of pages, says which blocks are main text.
 
 A null or empty page has no text. Broken mark-up never fails: an open comment or script runs to the page's end, an end tag
 without a start is passed over. Repeated rows get equal texts. An empty table gives an empty result.
@@ -24,7 +25,7 @@ from snipscan.llm.common import small_batches
 from snipscan.llm.html_examples import PAGES
 
 #: Tags whose content isn't text, those of them that run to the page's end if they aren't closed, tags that end a block, tags that hold parts of a page, and hints in class, id and role that a part isn't the article. Fixed values.
-DROPPED = "script style noscript template svg iframe select button textarea canvas object head title math datalist audio video map"
+DROPPED = "script style noscript template svg iframe select button textarea canvas object head title annotation annotation-xml datalist audio video map"
 RAW = "script style textarea iframe"
 BLOCK = "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul"
 PART = "article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section table ul"
@@ -36,8 +37,10 @@ ARTICLE_HINTS = "comment comments reply replies teaser related promo sponsored"
 _DROPPED, _RAW, _BLOCK, _PART, _APART, _HINTS, _ARTICLE = (frozenset(x.split()) for x in (DROPPED, RAW, BLOCK, PART, APART_TAGS, HINTS, ARTICLE_HINTS))
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|(?=<)|\Z)", re.S)
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+_INNER = re.compile(r"<(?:article|main)\b", re.I)
+_STATES = frozenset("has with no without".split())  # first parts of a class that says what a wrapper holds
 FEATURES = ["words", "link_density", "words_before", "links_before", "words_after", "links_after", "in_article", "has_article", "apart", "heading", "in_list", "in_table", "in_head"]
 
 
@@ -55,23 +58,40 @@ class Block:
 
 
 @lru_cache(4096)
-def _apart(tag: str, attributes: str) -> bool:
-    if tag in _APART or _HIDDEN.search(attributes):
-        return True
-    if tag in ("main", "body"):
-        return False
-    hints = _ARTICLE if tag == "article" else _HINTS
-    for m in _NAMED.finditer(attributes):
-        value = _HUMP.sub("-", m[1] or m[2] or m[3] or "").lower()
-        if any(w in hints for w in re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+def _apart(tag: str, attributes: str) -> int:
+    """2 for a part that is apart whatever it holds, 1 for one that its names hint at unless it holds the article, else 0."""
+    values = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)]
+    for name, value in values:
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and _UNSEEN.search(value)):
+            return 2
+    if tag in _APART:
+        return 2
+    if tag in ("html", "main", "body"):
+        return 0
+    found = 0
+    for name, value in values:
+        if name not in ("class", "id", "role"):
+            continue
+        for token in _HUMP.sub("-", value).lower().split():
+            w = [x for x in re.split(r"[^a-z0-9]+", token) if x]
+            if not w or w[0] in _STATES:
+                continue
+            if tag == "article":
+                found = max(found, 2 * (w[0] in _ARTICLE or w[-1] in _ARTICLE))
+            elif w[0] in _HINTS or w[-1] in _HINTS:
+                found = max(found, 2 if len(w) == 1 and w[0] in _ARTICLE else 1)
+    return found
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks of text in order."""
     out: list[Block] = []
-    parts: list[tuple[str, bool]] = []
+    parts: list[tuple[str, bool, int, bool]] = []
+    hinted: list[list[int]] = [[0, 1]]  # for each hinted part: the one around it, whether it holds the article; a first that stands for none
+    articles: list[list[int]] = []  # for each article that isn't apart: its words, the hinted part around it
+    inside: list[int] = []  # the open ones of them
+    within: list[int] = []  # for each block, the hinted part around it
+    around, mains = 0, 0
     apart = article = listed = tabled = anchors = 0
     heading = False
     text: list[str] = []
@@ -82,18 +102,28 @@ def blocks_of(page: str) -> list[Block]:
         words = " ".join(entities.unescape("".join(text)).split())
         if words:
             in_links = len(entities.unescape(" ".join(linked)).split())
-            head = parts and any(t == "header" for t, _ in parts)
+            head = parts and any(t == "header" for t, *_ in parts)
             out.append(Block(words, len(words.split()), in_links, article > 0, apart > 0 or bool(head and not article), heading, listed > 0, tabled > 0))
+            within.append(around)
+            if inside:
+                articles[inside[-1]][0] += out[-1].words
         text.clear()
         linked.clear()
 
+    def spare(part: int) -> None:
+        while not hinted[part][1]:
+            hinted[part][1] = 1
+            part = hinted[part][0]
+
     def close(tag: str) -> None:
-        nonlocal apart, article, listed, tabled
-        if not any(t == tag for t, _ in parts):
+        nonlocal apart, article, listed, tabled, around
+        if not any(t == tag for t, *_ in parts):
             return
         while parts:
-            t, off = parts.pop()
+            t, off, around, counted = parts.pop()
             apart -= off
+            if counted:
+                inside.pop()
             article -= t in ("article", "main")
             listed -= t in ("ul", "ol", "menu", "dl")
             tabled -= t == "table"
@@ -142,21 +172,38 @@ def blocks_of(page: str) -> list[Block]:
                 if closing:
                     close(tag)
                 else:
-                    off = _apart(tag, m[3])
-                    parts.append((tag, off))
+                    mark = _apart(tag, m[3])
+                    off, counted = mark == 2, tag == "article" and mark == 0 and apart == 0
+                    parts.append((tag, off, around, counted))
                     apart += off
+                    if mark == 1:
+                        hinted.append([around, 0])
+                        around = len(hinted) - 1
+                    if counted:
+                        articles.append([0, around])
+                        inside.append(len(articles) - 1)
+                    if tag == "main" and apart == 0:
+                        mains += 1
+                        spare(around)
                     article += tag in ("article", "main")
                     listed += tag in ("ul", "ol", "menu", "dl")
                     tabled += tag == "table"
-            elif not closing and m[3] and tag not in open_ended and _apart("", m[3]):
+            elif not closing and m[3] and tag not in open_ended and tag != "html" and _apart("", m[3]):
                 stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)  # a marked leaf such as <p class="ad">
-                if stop:
-                    at = stop.end()
-                else:
+                if not stop:
                     open_ended.add(tag)
+                elif _apart("", m[3]) == 2 or not _INNER.search(page, at, stop.start()):
+                    at = stop.end()
         elif tag in ("td", "th"):
             text.append(" ")
     end()
+    if articles and not mains:
+        spare(max(articles, key=lambda a: a[0])[1])
+    off_by_hint = [False]
+    for up, spared in hinted[1:]:
+        off_by_hint.append(not spared or off_by_hint[up])
+    for b, part in zip(out, within, strict=True):
+        b.apart = b.apart or off_by_hint[part]
     return out
 
 

@@ -15,5 +15,6 @@ PAGES: list[tuple[str, set[str]]] = [
     (f'<body><div class="topbar"><p>Call us on weekdays</p></div><div><h1>Harvest</h1><div>{_LONG}</div><div>{_MORE}</div><table><tr><td>Wheat</td><td>40 tons</td></tr><tr><td>Rye and oats</td><td>12 tons</td></tr></table></div><div><a href="/x">Next page</a> <a href="/y">Last page</a></div><div class="footer">Printed in the valley. Terms of use apply to every reader of this page.</div></body>', {"Harvest", _LONG, _MORE, "Wheat", "40 tons", "Rye and oats", "12 tons"}),
     (f'<body><article><h1>Bread</h1><p>{_MORE}</p><div class="ad">Flour at half price in our shop by the bridge, today only.</div><p>{_SHORT}</p><p><b>{_LONG}<br><p>Done.</p></article><p><a href="/1">One</a></p><p><a href="/2">Two more of the same kind</a></p></body>', {"Bread", _MORE, _SHORT, _LONG, "Done."}),
     (f'<body><p>{_LONG}</p><p>{_MORE}</p><p>{_SHORT}</p><ul><li><a href="/q">Back to the list of all pages</a></li><li><a href="/w">Map</a></li></ul></body>', {_LONG, _MORE, _SHORT}),
+    (f'<body class="overflow-x-hidden" style="overflow:hidden"><div id="page" class="has-sidebar">{_NAV}<div class="content-sidebar"><article><h1>Floods</h1><p>{_LONG}</p><p>{_MORE}</p></article></div><div class="sidebar"><p>{_LINKED}</p></div></div></body>', {"Floods", _LONG, _MORE}),
     (f'<body>{_NAV}<div class="notice"><p>This site will be down on Sunday morning while we move it to a new machine.</p></div><article><p>Yes.</p><p>{_LINKED}</p><p>No.</p><section class="comments"><p>First to write here, and glad of it, thank you all.</p></section></article><div class="related"><p>{_SHORT}</p><a href="/k">Old mills of the valley, in pictures</a></div><footer><p>Contact</p></footer></body>', {"Yes.", _LINKED_TEXT, "No."}),
 ]

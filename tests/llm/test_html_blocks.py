@@ -48,3 +48,16 @@ def test_odd_rows(spark):
     out = hb.extract_text(df).collect()
     assert len(out) == 5 and next(r for r in out if r.page_id == 3)._text.count("\n") == 4_999
     assert hb.extract_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("wrapper, kept", [
+    ('<body style="overflow:hidden">{}</body>', True), ('<body class="overflow-x-hidden">{}</body>', True), ('<main aria-hidden="false">{}</main>', True), ('<div class="overflow-hidden">{}</div>', True),
+    ('<div id="page" class="has-sidebar">{}</div>', True), ('<div class="post with-comments">{}</div>', True), ('<div class="sidebar-left">{}</div>', True), ('<html class="no-sidebar">{}</html>', True),
+    ('<div hidden>{}</div>', False), ('<div aria-hidden="true">{}</div>', False), ('<div style="color:red; display: none">{}</div>', False), ('<div class="comments">{}</div>', False),
+])
+def test_wrappers_of_an_article(wrapper, kept):
+    assert hb.main_text(wrapper.format(f"<article><p>{P}</p></article>")) == (P if kept else "")
+
+
+def test_math_is_text():
+    assert hb.main_text(f"<article><p>{P} <math><mi>x</mi><annotation>tex</annotation></math> end</p></article>") == f"{P} x end"
