@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from snipscan.llm.common import discard, materialize, small_batches
 from snipscan.llm.components import connected_components
+from snipscan.llm.skew import hot_keys, join_split
 
 EPSILON = 1e-9  # for bounds whose product with a decimal share isn't exact
 #: So many of the most frequent items are known as such on every worker. They only order the items: others count as rare.
@@ -33,6 +34,7 @@ def crowded(members: DataFrame) -> DataFrame:
     rank = F.struct((-F.col("company")).alias("c"), F.xxhash64("rep").alias("o"), "rep", "n")
     leads = shared.select("key", "rep", "n").join(company, "rep").groupBy("key").agg(F.min(rank).alias("lead"))
     met = materialize(shared.join(leads, "key").select("key", "rep", "n", "lead"), "bucket-members")
+    discard(sizes)
     discard(shared)
     return met
 
@@ -46,33 +48,43 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
 
 
-def link_buckets(met: DataFrame, verify: Callable[[DataFrame], DataFrame], share: float, leaders: int, items: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, class) of the reps that have a link. ``met`` is what ``crowded`` gives; ``verify`` keeps the like pairs (a, b).
+Verify = Callable[[DataFrame], DataFrame]
+First = Callable[[DataFrame, float], DataFrame]
+
+
+def link_buckets(met: DataFrame, verify: Verify, share: float, leaders: int, items: Verify, first_items: First) -> DataFrame:
+    """(id, class) of the reps that have a link. ``met`` is what ``crowded`` gives; ``verify`` keeps the like pairs (a, b) of a written table.
 
     ``items`` gives (rep, items) for a table of reps: arrays of different numbers, n of them. Pairs that ``verify`` keeps
-    have a Jaccard likeness of these of at least ``share``.
+    have a Jaccard likeness of these of at least ``share``. ``first_items`` is ``by_counts`` or ``by_broadcast``.
     """
-    first = _pairs(met.where((F.col("rep") != F.col("lead.rep")) & _fits("n", "lead.n", share)))
+    first = materialize(_pairs(met.where((F.col("rep") != F.col("lead.rep")) & _fits("n", "lead.n", share))), "pairs-1")
     links = materialize(verify(first), "links-1")
     classes = connected_components(links)
     placed = _placed(met, classes)
     orders = [F.min(F.struct(F.xxhash64("rep", "key", F.lit(r)).alias("o"), F.col("rep").alias("rep"), F.col("n").alias("n"), F.col("class").alias("class"))).alias(f"l{r}") for r in range(leaders)]
     split = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), *orders).where("low <> high").select("key", F.array(*[f"l{r}" for r in range(leaders)]).alias("leads"))
     again = placed.join(split, "key").select("rep", "n", "class", F.explode("leads").alias("lead"))
-    second = _pairs(again.where((F.col("class") != F.col("lead.class")) & _fits("n", "lead.n", share))).join(first, ["a", "b"], "left_anti")
+    second = materialize(_pairs(again.where((F.col("class") != F.col("lead.class")) & _fits("n", "lead.n", share))).join(first, ["a", "b"], "left_anti"), "pairs-2")
     more = materialize(verify(second), "links-2")
     if more.limit(1).count():
-        links = links.union(more)
-        classes = connected_components(links)
-    last = materialize(verify(_unlinked(met, classes, items, share)), "links-3")
-    return connected_components(links.union(last)) if last.limit(1).count() else classes
+        discard(classes)
+        classes = connected_components(links.union(more))
+    third = _unlinked(met, classes, items, first_items, share)
+    last = materialize(verify(third), "links-3")
+    if last.limit(1).count():
+        discard(classes)
+        classes = connected_components(links.union(more).union(last))
+    for done in (first, links, second, more, third, last):
+        discard(done)
+    return classes
 
 
 def _placed(met: DataFrame, classes: DataFrame) -> DataFrame:
     return met.join(classes, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", F.coalesce("class", "rep").alias("class"))
 
 
-def _unlinked(met: DataFrame, classes: DataFrame, items: Callable[[DataFrame], DataFrame], share: float) -> DataFrame:
+def _unlinked(met: DataFrame, classes: DataFrame, items: Verify, first_items: First, share: float) -> DataFrame:
     """All pairs (a, b) of different classes that may reach ``share``, among the members of buckets of several classes.
 
     Of two like sets of n <= m items, n + m - least and more are shared, and so is one of the first items by rarity of both;
@@ -82,14 +94,11 @@ def _unlinked(met: DataFrame, classes: DataFrame, items: Callable[[DataFrame], D
     split = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
     left = materialize(placed.join(split, "key").select("rep", "class").distinct(), "unlinked")
     sets = materialize(items(left.select("rep")).join(left, "rep").select("rep", "class", "items"), "unlinked-sets")
-    first = _first_items(sets, share)
-    n, place = F.size("items"), F.col("place")
-    rows = sets.select("rep", "class", n.alias("n"), F.posexplode(first("items")).alias("place", "item"))
+    place = F.col("place")
     short = place <= F.col("n") - F.ceil(F.lit(2 * share / (1 + share)) * F.col("n") - EPSILON)
-    rows = materialize(rows.withColumn("short", short), "first-items")
+    rows = materialize(first_items(sets, share).withColumn("short", short), "first-items")
     common = rows.groupBy("item").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("short").alias("any")).where("low <> high and any").select("item")
     near = materialize(rows.join(common, "item"), "shared-items")
-    discard(rows)
     # pairs of classes first, so that a class's own pairs never arise
     x = near.where("short").select("item", F.col("class").alias("cx"), F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"))
     y = near.select(F.col("item").alias("_item"), F.col("class").alias("_class"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"))
@@ -97,11 +106,23 @@ def _unlinked(met: DataFrame, classes: DataFrame, items: Callable[[DataFrame], D
     least = F.lit(share / (1 + share)) * (F.col("nx") + F.col("ny")) - EPSILON
     fits = (F.col("nx") <= F.col("ny")) & _fits("nx", "ny", share) & (F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= least)
     both = met_classes.join(x, ["item", "cx"]).join(y, (F.col("item") == F.col("_item")) & (F.col("cy") == F.col("_class")) & fits)
-    return materialize(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "unlinked-pairs")
+    pairs = materialize(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "unlinked-pairs")
+    for done in (left, sets, rows, near):
+        discard(done)
+    return pairs
+
+
+def by_counts(sets: DataFrame, share: float) -> DataFrame:
+    """(rep, class, n, place, item): the first items of each set by rarity, as many as a larger set of a like pair must share one of. DataFrame functions only."""
+    items = materialize(sets.select("rep", "class", F.size("items").alias("n"), F.explode("items").alias("item")), "items")
+    counts = items.groupBy(F.col("item").alias("_item")).agg(F.count("*").alias("times"))
+    often = join_split(items, counts, "item", "_item", hot=hot_keys(items, "item")).groupBy("rep", "class", "n").agg(F.array_sort(F.collect_list(F.struct("times", "item"))).alias("all"))
+    most = (F.col("n") - F.ceil(F.lit(share) * F.col("n") - EPSILON) + 1).cast("int")
+    return often.select("rep", "class", "n", F.posexplode(F.slice("all", 1, most)).alias("place", "_i")).select("rep", "class", "n", "place", "_i.item")
 
 
-def _first_items(sets: DataFrame, share: float) -> Callable[[str], Column]:
-    """A function of an array of items: its first by rarity, as many as a larger set of a like pair must share one of."""
+def by_broadcast(sets: DataFrame, share: float) -> DataFrame:
+    """As ``by_counts``, but only the counts of the COMMON most frequent items are known, on every worker; nothing but counts is shuffled."""
     spark = sets.sparkSession
     small_batches(spark)
     counts = materialize(sets.select(F.explode("items").alias("item")).groupBy("item").count().where("count > 1"), "item-counts")
@@ -110,6 +131,7 @@ def _first_items(sets: DataFrame, share: float) -> Callable[[str], Column]:
     while level > 1 and sum(v for k, v in levels.items() if k >= level - 1) <= COMMON:
         level -= 1
     known = counts.where(F.floor(F.log2("count") + EPSILON) >= level).toPandas().sort_values("item")
+    discard(counts)
     table = spark.sparkContext.broadcast((known["item"].to_numpy(np.int64), known["count"].to_numpy(np.int64)))
 
     @F.arrow_udf("array<bigint>")
@@ -126,4 +148,4 @@ def _first_items(sets: DataFrame, share: float) -> Callable[[str], Column]:
             out.append(x[np.lexsort((x, often))[:k]])
         return pa.array(out, pa.list_(pa.int64()))
 
-    return first
+    return sets.select("rep", "class", F.size("items").alias("n"), F.posexplode(first("items")).alias("place", "item"))

@@ -32,10 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: the lineage ends there, and a lost executor costs nothing."""
+    """Write ``df`` as a table in the shared folder and read it back: the lineage ends there, and a lost executor costs nothing.
+
+    A result may read the table at any later time, so it stays until the application ends, or ``discard`` takes it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,6 +52,14 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores before it until ``df`` has no column of the name: a caller's column is never taken."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
 def bounded_sample(df: DataFrame, keys: list[str], bound: int, seed: int) -> DataFrame:
     """At most ``bound`` rows, those with the smallest hashes of ``keys``: the same rows on each run, however the data lie.
 

@@ -1,12 +1,14 @@
 """HTML extraction by flat text blocks.
 
 The tags cut a page into blocks of text. A block is described by its words and link density, those of the blocks before and
-after it, and where it stands (in an article, in a list, a heading, in a part that its tag or class name marks as apart from
-the text). Names hint at parts by whole class names or the first or last part of one, and never at a part that holds the
-page's main or, without one, its longest article. A decision tree, grown on a small labelled table of pages, says which blocks are main text.
-
-A null or empty page has no text. Broken mark-up never fails: an open comment or script runs to the page's end, an end tag
-without a start is passed over. Repeated rows get equal texts. An empty table gives an empty result.
+after it, and where it stands: in an article, a list, a heading, and in parts that their tags or names say are apart, with
+the share of the page's words that such a part holds and whether it holds an article. A decision tree, grown on a
+small labelled table of pages, says which blocks are main text; nothing is taken out before it but what isn't text
+(scripts, styles, the head, controls).
+
+A null or empty page has no text. Broken mark-up never fails: a block tag ends an open paragraph, an open comment or script
+runs to the page's end, an end tag without a start is passed over. A very long page is read whole. Repeated rows get equal
+texts, blocks that are repeated stay repeated. An empty table gives an empty result. A column ``_text`` of the input is kept: the result then has one more underscore.
 """
 
 from __future__ import annotations
@@ -21,27 +23,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snipscan.llm.common import small_batches
+from snipscan.llm.common import free_name, small_batches
 from snipscan.llm.html_examples import PAGES
 
-#: Tags whose content isn't text, those of them that run to the page's end if they aren't closed, tags that end a block, tags that hold parts of a page, and hints in class, id and role that a part isn't the article. Fixed values.
+#: Tags whose content isn't text, those of them that run to the page's end if they aren't closed, tags that cut blocks. Fixed values.
 DROPPED = "script style noscript template svg iframe select button textarea canvas object head title annotation annotation-xml datalist audio video map"
 RAW = "script style textarea iframe"
-BLOCK = "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul"
-PART = "article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section table ul"
+BLOCK = "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html label legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul"
+#: What an opening tag ends without an end tag, and the tags beyond which it doesn't. Fixed values.
+ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tr": ("tr", "table"), "tbody": ("thead tbody tfoot", "table"), "tfoot": ("thead tbody", "table"), "option": ("option", "select")}
+LINES = "p h1 h2 h3 h4 h5 h6"
+#: Parts apart from the text by their tag; names in class, id and role that nearly always say so; names that also stand on parts of articles; names of parts whose own articles aren't the page's. Fixed values.
 APART_TAGS = "nav footer aside form menu dialog fieldset"
-HINTS = "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus discussion footer gdpr header masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo promoted related recommended replies reviews sidebar signup social share sharing skip sponsor sponsored subscribe tags teaser toolbar topbar widget login search alert adslot adsbygoogle advertising advertorial commentlist commentbox complementary contentinfo copyright disclaimer legal paywall privacy respond skiplink sidenav sitemap toc"
-#: What marks even an article as apart. Fixed values.
-ARTICLE_HINTS = "comment comments reply replies teaser related promo sponsored"
-
-_DROPPED, _RAW, _BLOCK, _PART, _APART, _HINTS, _ARTICLE = (frozenset(x.split()) for x in (DROPPED, RAW, BLOCK, PART, APART_TAGS, HINTS, ARTICLE_HINTS))
+STRONG = "ad ads advert advertisement advertising advertorial adslot adsbygoogle breadcrumb breadcrumbs comment comments commentlist commentbox complementary consent contentinfo cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter pager pagination paywall popup promo promoted recommended related replies reply respond reviews share sharing sidebar sidenav signup sitemap skiplink social sponsor sponsored subscribe teaser toolbar topbar widget"
+WEAK = "alert banner copyright disclaimer discussion header legal notice privacy search skip tags toc"
+OTHERS = "comment comments reply replies teaser related promo sponsored"
+
+_DROPPED, _RAW, _BLOCK, _LINES, _APART, _STRONG, _WEAK, _OTHERS = (frozenset(x.split()) for x in (DROPPED, RAW, BLOCK, LINES, APART_TAGS, STRONG, WEAK, OTHERS))
+_ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
+_LISTS = frozenset(("ul", "ol", "menu", "dl"))
+_MAIN = frozenset(("article", "main"))
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|(?=<)|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
-_INNER = re.compile(r"<(?:article|main)\b", re.I)
 _STATES = frozenset("has with no without".split())  # first parts of a class that says what a wrapper holds
-FEATURES = ["words", "link_density", "words_before", "links_before", "words_after", "links_after", "in_article", "has_article", "apart", "heading", "in_list", "in_table", "in_head"]
+#: Shares of its blocks that the thinned copies of a labelled page keep.
+THINNED = (0.7, 0.4, 0.2)
+FEATURES = ["words", "link_density", "words_before", "links_before", "words_after", "links_after", "article", "apart", "hidden", "strong", "strong_share", "weak", "weak_share", "heading", "listed", "tabled"]
+
+
+@dataclass
+class Part:
+    """An open element that its tag or name says is apart: its kind, words, and whether it holds an article of the page."""
+
+    kind: str
+    sure: bool = False
+    words: int = 0
+    holds: bool = False
 
 
 @dataclass
@@ -50,93 +69,86 @@ class Block:
     words: int
     linked: int
     article: bool
-    apart: bool
+    hidden: bool
     heading: bool
     listed: bool
     tabled: bool
-    parts: list[str] = field(default_factory=list)
+    parts: tuple[int, ...]
 
 
 @lru_cache(4096)
-def _apart(tag: str, attributes: str) -> int:
-    """2 for a part that is apart whatever it holds, 1 for one that its names hint at unless it holds the article, else 0."""
-    values = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)]
-    for name, value in values:
-        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and _UNSEEN.search(value)):
-            return 2
-    if tag in _APART:
-        return 2
-    if tag in ("html", "main", "body"):
-        return 0
-    found = 0
-    for name, value in values:
-        if name not in ("class", "id", "role"):
+def _marks(tag: str, attributes: str) -> tuple[bool, str, bool]:
+    """(hidden, what its names hint at: "strong", "weak" or "", whether an article within changes nothing)."""
+    hidden, hint, sure = False, "", False
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        hidden |= name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and bool(_UNSEEN.search(value)))
+        if name not in ("class", "id", "role") or tag in ("html", "body", "main"):
             continue
         for token in _HUMP.sub("-", value).lower().split():
             w = [x for x in re.split(r"[^a-z0-9]+", token) if x]
             if not w or w[0] in _STATES:
                 continue
-            if tag == "article":
-                found = max(found, 2 * (w[0] in _ARTICLE or w[-1] in _ARTICLE))
-            elif w[0] in _HINTS or w[-1] in _HINTS:
-                found = max(found, 2 if len(w) == 1 and w[0] in _ARTICLE else 1)
-    return found
+            ends = {w[0], w[-1]}
+            if ends & (_OTHERS if tag == "article" else _STRONG):
+                hint = "strong"
+                sure |= tag == "article" or (len(w) == 1 and w[0] in _OTHERS)
+            elif ends & _WEAK and tag != "article":
+                hint = hint or "weak"
+    return hidden, hint, sure
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's blocks of text in order."""
+@dataclass
+class _Open:
+    """An open element: its tag, whether it hides what it holds, and its part (-1: none)."""
+
+    tag: str
+    hidden: bool
+    part: int
+
+
+def blocks_of(page: str) -> tuple[list[Block], list[Part]]:
+    """The page's blocks of text in order, and the parts apart that they refer to."""
     out: list[Block] = []
-    parts: list[tuple[str, bool, int, bool]] = []
-    hinted: list[list[int]] = [[0, 1]]  # for each hinted part: the one around it, whether it holds the article; a first that stands for none
-    articles: list[list[int]] = []  # for each article that isn't apart: its words, the hinted part around it
-    inside: list[int] = []  # the open ones of them
-    within: list[int] = []  # for each block, the hinted part around it
-    around, mains = 0, 0
-    apart = article = listed = tabled = anchors = 0
-    heading = False
+    parts: list[Part] = []
+    stack: list[_Open] = []
+    count: dict[str, int] = {}  # open elements by tag
+    hidden = 0
+    anchor = -1  # elements that were open where the open link began; -1: none
+    unseen = ""  # an inline tag that hides its content
     text: list[str] = []
     linked: list[str] = []
     open_ended: set[str] = set()  # tags without an end tag from here on
 
+    def within(tags) -> bool:
+        return any(count.get(t) for t in tags)
+
     def end() -> None:
         words = " ".join(entities.unescape("".join(text)).split())
         if words:
-            in_links = len(entities.unescape(" ".join(linked)).split())
-            head = parts and any(t == "header" for t, *_ in parts)
-            out.append(Block(words, len(words.split()), in_links, article > 0, apart > 0 or bool(head and not article), heading, listed > 0, tabled > 0))
-            within.append(around)
-            if inside:
-                articles[inside[-1]][0] += out[-1].words
+            n, open_parts = len(words.split()), tuple(o.part for o in stack if o.part >= 0)
+            for k in open_parts:
+                parts[k].words += n
+            line = stack[-1].tag if stack else ""
+            out.append(Block(words, n, len(entities.unescape(" ".join(linked)).split()), within(_MAIN), hidden > 0, line[:1] == "h" and line[1:].isdigit(), within(_LISTS), bool(count.get("table")), open_parts))
         text.clear()
         linked.clear()
 
-    def spare(part: int) -> None:
-        while not hinted[part][1]:
-            hinted[part][1] = 1
-            part = hinted[part][0]
-
-    def close(tag: str) -> None:
-        nonlocal apart, article, listed, tabled, around
-        if not any(t == tag for t, *_ in parts):
-            return
-        while parts:
-            t, off, around, counted = parts.pop()
-            apart -= off
-            if counted:
-                inside.pop()
-            article -= t in ("article", "main")
-            listed -= t in ("ul", "ol", "menu", "dl")
-            tabled -= t == "table"
-            if t == tag:
-                return
+    def pop() -> None:
+        nonlocal hidden, anchor
+        o = stack.pop()
+        count[o.tag] -= 1
+        hidden -= o.hidden
+        if anchor > len(stack):
+            anchor = -1
 
     at, size = 0, len(page)
     while at < size:
         m = _MARKUP.search(page, at)
         piece = page[at : m.start() if m else size]
-        if piece:
+        if piece and not unseen:
             text.append(piece)
-            if anchors:
+            if anchor >= 0:
                 linked.append(piece)
         if not m:
             break
@@ -156,67 +168,75 @@ def blocks_of(page: str) -> list[Block]:
                 else:
                     open_ended.add(tag)
             text.append(" ")
-            continue
-        if tag == "a":
-            anchors = 0 if closing else 1
+        elif tag == "a":
+            anchor = -1 if closing else len(stack)
         elif tag == "br":
             text.append(" ")
-        elif tag in _BLOCK:
+        elif tag == "hr":
             end()
-            anchors = 0
-            if tag[0] == "h" and tag[1:].isdigit():
-                heading = not closing
-            elif tag in ("p", "div", "li", "td"):
-                heading = False
-            if tag in _PART:
-                if closing:
-                    close(tag)
-                else:
-                    mark = _apart(tag, m[3])
-                    off, counted = mark == 2, tag == "article" and mark == 0 and apart == 0
-                    parts.append((tag, off, around, counted))
-                    apart += off
-                    if mark == 1:
-                        hinted.append([around, 0])
-                        around = len(hinted) - 1
-                    if counted:
-                        articles.append([0, around])
-                        inside.append(len(articles) - 1)
-                    if tag == "main" and apart == 0:
-                        mains += 1
-                        spare(around)
-                    article += tag in ("article", "main")
-                    listed += tag in ("ul", "ol", "menu", "dl")
-                    tabled += tag == "table"
-            elif not closing and m[3] and tag not in open_ended and tag != "html" and _apart("", m[3]):
-                stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)  # a marked leaf such as <p class="ad">
-                if not stop:
-                    open_ended.add(tag)
-                elif _apart("", m[3]) == 2 or not _INNER.search(page, at, stop.start()):
-                    at = stop.end()
-        elif tag in ("td", "th"):
-            text.append(" ")
+        elif tag not in _BLOCK:
+            if closing and tag == unseen:
+                unseen = ""
+            elif not closing and m[3] and not unseen and not m[3].rstrip().endswith("/") and tag not in ("img", "input", "wbr") and _marks(tag, m[3])[0]:
+                unseen = tag
+        else:
+            end()
+            unseen = ""
+            if closing:
+                if count.get(tag):
+                    while stack[-1].tag != tag:
+                        pop()
+                    pop()
+                continue
+            while stack and stack[-1].tag in _LINES:
+                pop()
+            ended, beyond = _ENDS.get(tag, (frozenset(), frozenset()))
+            if within(ended):
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k].tag in beyond:
+                        break
+                    if stack[k].tag in ended:
+                        while len(stack) > k:
+                            pop()
+                        break
+            hides, hint, sure = _marks(tag, m[3]) if m[3] else (False, "", False)
+            apart = tag in _APART or (tag == "header" and not within(_MAIN))
+            if tag in _MAIN and not hides and not (hint and sure):
+                for o in stack:
+                    if o.part >= 0:
+                        parts[o.part].holds = True
+            part = -1
+            if hint == "strong" or apart or hint:
+                parts.append(Part("strong" if hint == "strong" else "apart" if apart else "weak", sure))
+                part = len(parts) - 1
+            stack.append(_Open(tag, hides, part))
+            count[tag] = count.get(tag, 0) + 1
+            hidden += hides
     end()
-    if articles and not mains:
-        spare(max(articles, key=lambda a: a[0])[1])
-    off_by_hint = [False]
-    for up, spared in hinted[1:]:
-        off_by_hint.append(not spared or off_by_hint[up])
-    for b, part in zip(out, within, strict=True):
-        b.apart = b.apart or off_by_hint[part]
-    return out
-
-
-def describe(blocks: list[Block]) -> np.ndarray:
-    """A row of FEATURES for each block."""
+    return out, parts
+
+
+def describe(blocks: list[Block], parts: list[Part]) -> np.ndarray:
+    """A row of FEATURES for each block.
+
+    "article" is 2 in an article, 0 outside of those of the page, 1 on a page without one. "apart", "strong" and "weak" are 2 in such a part, 1 if all such parts around the block hold an article, else 0; the shares
+    are of the page's words in the smallest such part around it, 1 without any.
+    """
     if not blocks:
         return np.zeros((0, len(FEATURES)))
     words = np.array([b.words for b in blocks], float)
     density = np.array([min(1.0, b.linked / max(1, b.words)) for b in blocks])
     shift = lambda x, k: np.concatenate(([0.0], x[:-1])) if k < 0 else np.concatenate((x[1:], [0.0]))
-    has = float(any(b.article for b in blocks))
-    flags = [[b.article, has, b.apart, b.heading, b.listed, b.tabled, i == 0] for i, b in enumerate(blocks)]
-    return np.column_stack([words, density, shift(words, -1), shift(density, -1), shift(words, 1), shift(density, 1), np.array(flags, float)])
+    has, total = any(b.article for b in blocks), words.sum()
+
+    def level(b: Block, kind: str) -> tuple[float, float]:
+        around = [parts[k] for k in b.parts if parts[k].kind == kind]
+        return max((1.0 if p.holds and not p.sure else 2.0 for p in around), default=0.0), min((min(1.0, p.words / total) for p in around), default=1.0)
+
+    rows = []
+    for b in blocks:
+        rows.append([2 * b.article if has else 1, level(b, "apart")[0], b.hidden, *level(b, "strong"), *level(b, "weak"), b.heading, b.listed, b.tabled])
+    return np.column_stack([words, density, shift(words, -1), shift(density, -1), shift(words, 1), shift(density, 1), np.array(rows, float)])
 
 
 @dataclass
@@ -240,7 +260,7 @@ class Tree:
         return np.array(self.share)[node] >= 0.5
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Tree:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 2) -> Tree:
     """A decision tree by the Gini gain; ties go to the earlier column and the lower cut."""
     tree = Tree()
 
@@ -253,13 +273,17 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Tree:
         if level == depth or tree.share[me] in (0.0, 1.0) or len(rows) < 2 * least:
             return me
         best = (1e-9, -1, 0.0)
-        impure = lambda k: len(k) * y[k].mean() * (1 - y[k].mean())
+        impure = lambda n, k: k - k * k / n
+        n, k = len(rows), y[rows].sum()
         for c in range(x.shape[1]):
-            values = np.unique(x[rows, c])
-            for v in (values[1:] + values[:-1]) / 2:
-                low, high = rows[x[rows, c] <= v], rows[x[rows, c] > v]
-                if min(len(low), len(high)) >= least and (gain := impure(rows) - impure(low) - impure(high)) > best[0] + 1e-9:
-                    best = (gain, c, float(v))
+            order = rows[np.argsort(x[rows, c], kind="stable")]
+            v, left = x[order, c], np.cumsum(y[order])[:-1]
+            size = np.arange(1, n)
+            gain = impure(n, k) - impure(size, left) - impure(n - size, k - left)
+            gain[(v[1:] == v[:-1]) | (size < least) | (n - size < least)] = 0
+            at = int(np.argmax(gain))
+            if gain[at] > best[0] + 1e-9:
+                best = (gain[at], c, float(v[at] + v[at + 1]) / 2)
         if best[1] >= 0:
             right = x[rows, best[1]] > best[2]
             tree.column[me], tree.cut[me] = best[1], best[2]
@@ -270,32 +294,42 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Tree:
     return tree
 
 
-@lru_cache(1)
-def trained() -> Tree:
-    """The tree for the labelled table PAGES: a page, and the blocks of it that are main text."""
+def table_rows() -> tuple[np.ndarray, np.ndarray]:
+    """(features, 1 for main text) of all blocks of the labelled table PAGES, and of copies of its pages that lack some blocks, so that any block may be first, last or next to any other."""
+    rng = np.random.default_rng(5)
     rows, labels = [], []
     for page, main in PAGES:
-        blocks = blocks_of(page)
-        rows.append(describe(blocks))
-        labels += [float(b.text in main) for b in blocks]
-    return grow(np.concatenate(rows), np.array(labels))
+        blocks, parts = blocks_of(page)
+        for share in (1.0, *THINNED):
+            some = [b for b in blocks if rng.random() < share]
+            rows.append(describe(some, parts))
+            labels += [float(b.text in main) for b in some]
+    return np.concatenate(rows), np.array(labels)
+
+
+@lru_cache(1)
+def trained() -> Tree:
+    """The tree for the labelled table."""
+    return grow(*table_rows())
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, tree: Tree | None = None) -> str:
     if not page:
         return ""
-    blocks = blocks_of(page)
+    blocks, parts = blocks_of(page)
     if not blocks:
         return ""
-    return "\n".join(b.text for b, keep in zip(blocks, trained().main(describe(blocks)), strict=True) if keep)
+    keep = (tree or trained()).main(describe(blocks, parts))
+    return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
 def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pages`` with the column ``_text``."""
+    """``pages`` with the main text in the column ``_text``, the last."""
     small_batches(pages.sparkSession)
+    tree = trained()
 
     @F.arrow_udf("string")
     def extract(column: pa.Array) -> pa.Array:
-        return pa.array([main_text(x) for x in column.to_pylist()], pa.string())
+        return pa.array([main_text(x, tree) for x in column.to_pylist()], pa.string())
 
-    return pages.withColumn("_text", extract.asNondeterministic()(F.col(html)))
+    return pages.withColumn(free_name(pages, "_text"), extract.asNondeterministic()(F.col(html)))

@@ -7,7 +7,9 @@ line with a spread of at least ``min_sites`` goes from everywhere but its first
 first position.
 
 Null texts stay null, empty ones empty; a null source is a site of its own. Rows without an id are left as they are. Equal rows are
-edited alike: the first place is one of each of them. An empty table gives an empty result. Everything is DataFrame functions.
+edited alike: the first place is one of each of them; of documents with the same id the text's hash decides. A very long text
+is split and joined whole. An empty table gives an empty result. Columns of any name are kept: a result whose name is taken
+gets underscores before it. Everything is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from math import floor, sqrt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snipscan.llm.common import materialize
+from snipscan.llm.common import free_name, materialize
 
 MIN_SITES = 5
 #: log2 of the sketch's registers, and the standard errors within which an estimate counts as near the threshold.
@@ -50,21 +52,23 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """``docs`` with the text edited, and ``_removed``: the positions of the lines that went (null: none)."""
+    """``docs`` with the text edited; last come ``_removed``, the positions of the lines that went (null: none), and ``_lines``, how many there were."""
     lines = _lines(docs, text, site)
     wide = spread_lines(lines, min_sites)
     gone = (
         lines.join(wide, ["_a", "_b", "_n"])
         .where(F.struct("doc_id", "_t", "_pos") != F.col("_first"))
-        .groupBy(F.col("doc_id").alias("_of"), F.col("_t").alias("_of_text"))
-        .agg(F.collect_set("_pos").alias("_removed"))
+        .groupBy(F.col("doc_id").alias("of"), F.col("_t").alias("of_text"))
+        .agg(F.collect_set("_pos").alias("removed"))
     )
-    parts = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_removed", i)), "\n")
-    edited = F.when(F.col("_removed").isNull(), F.col(text)).otherwise(kept)
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    joined = docs.join(gone, (F.col("doc_id") == F.col("_of")) & (F.xxhash64(text) == F.col("_of_text")), "left")
-    return joined.select(*rest, edited.alias(text), "_removed", F.size(F.split(F.col(text), "\n", -1)).alias("_lines"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))  # so that no name of a column can clash
+    old = F.col(f"doc.`{text}`")
+    parts = F.split(old, "\n", -1)
+    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("removed", i)), "\n")
+    made = {text: F.when(F.col("removed").isNull(), old).otherwise(kept)}
+    joined = whole.join(gone, (F.col("doc.doc_id") == F.col("of")) & (F.xxhash64(old) == F.col("of_text")), "left")
+    rest = [made.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns]
+    return joined.select(*rest, F.col("removed").alias(free_name(docs, "_removed")), F.size(parts).alias(free_name(docs, "_lines")))
 
 
 def edit_documents(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:

@@ -9,7 +9,9 @@ distribution with a generator seeded by the node, so any shard can be computed a
 disjoint. Within a shard the documents are ordered by a hash.
 
 Null and empty texts have size 0 and are taken 0 words. A null source is a source of its own, last in order. Equal rows
-share a block; each counts. Results depend on the rows alone, not on how they lie. An empty table gives an empty result.
+share a block; each counts, and the mix takes each as often as the others. A very long document is taken whole or not at all;
+ties are broken by hashes of the rows. Results depend on the rows alone, not on how they lie. An empty table gives an empty
+result. Columns of any name are carried along in a struct, so none can clash.
 """
 
 from __future__ import annotations
@@ -32,8 +34,10 @@ SEED = 17
 SHARD_WORDS = 4_000_000
 #: Blocks of a source: at least, at most, and documents of the table for each.
 BLOCKS_LOW, BLOCKS_HIGH, BLOCK_DOCS = 1_024, 65_536, 256
-#: Sources are a dimension: their totals go to the driver. More than this is an error.
-MAX_SOURCES = 100_000
+#: Blocks of all sources; beyond, each source has fewer. A block is drawn CAP + 1 times at most, and the generator of the hypergeometric distribution takes sums of under 10**9.
+BLOCKS = 200_000_000
+#: Sources are a dimension: their totals, a hundred bytes each, go to the driver. More than this is an error.
+MAX_SOURCES = 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -53,7 +57,8 @@ def source_targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIG
         for s in over:
             target[s] = float(cap * sizes[s])
             left -= target[s]
-        open_ = [s for s in open_ if s not in over]
+        gone = set(over)
+        open_ = [s for s in open_ if s not in gone]
     return target
 
 
@@ -76,13 +81,20 @@ def _uniform(*columns: Column) -> Column:
     return (F.xxhash64(*columns).cast("double") / F.lit(2.0**64)) + 0.5
 
 
-def with_draws(docs: DataFrame, seed: int = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """``docs`` with _size, _source_size, _target and _draws: an array of (pass, shard), one for each time the mix takes the row."""
+def blocks_of_source(rows: int, sources: int, total: int = BLOCKS) -> int:
+    """Blocks that each source is dealt into."""
+    return max(1, min(BLOCKS_HIGH, max(BLOCKS_LOW, rows // BLOCK_DOCS), int(total / (1.2 * max(1, sources)))))
+
+
+def with_draws(docs: DataFrame, seed: int = SEED, shard_words: int = SHARD_WORDS, carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (all) as the struct doc, and size, source_size, target and draws: an array of (pass, shard), one for each time the mix takes the row."""
     spark = docs.sparkSession
-    blocks = min(BLOCKS_HIGH, max(BLOCKS_LOW, docs.count() // BLOCK_DOCS))
+    rows, sources = docs.agg(F.count("*"), F.approx_count_distinct("source") + 1).first()
+    blocks = blocks_of_source(rows, sources)
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
     identity = [F.col("doc_id"), F.xxhash64("text")]
-    sized = docs.withColumns({"_size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint"), "_key": key, "_block": F.pmod(F.xxhash64(*identity, F.lit(seed)), F.lit(blocks)).cast("int"), "_u": _uniform(*identity, F.lit(seed + 1))})
+    row = F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns])  # so that no name of a column can clash
+    sized = docs.select(row.alias("doc"), "doc_id", "text", "source").select("doc", *[e.alias(k) for k, e in {"_size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint"), "_key": key, "_block": F.pmod(F.xxhash64(*identity, F.lit(seed)), F.lit(blocks)).cast("int"), "_u": _uniform(*identity, F.lit(seed + 1))}.items()])
     table = materialize(sized.groupBy("_key", "_block").agg(F.sum("_size").alias("words"), F.count("*").alias("n")), "blocks")
     totals = table.groupBy("_key").agg(F.sum("words").alias("words"), F.count("*").alias("blocks")).limit(MAX_SOURCES + 1).toPandas().sort_values("_key", kind="stable")
     if len(totals) > MAX_SOURCES:
@@ -134,12 +146,13 @@ def with_draws(docs: DataFrame, seed: int = SEED, shard_words: int = SHARD_WORDS
     draws = dealt.join(ranked, ["source", "rank"]).groupBy("_key", "_block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", F.when(F.col("pass") < F.col("passes"), 1.0).otherwise(F.col("part")).alias("part")))).alias("_drawn"))
     taken = F.filter("_drawn", lambda d: F.col("_u") < d["part"])
     out = sized.join(sources.select("_key", "_source_size", "_target"), "_key").join(draws, ["_key", "_block"], "left")
-    return out.withColumn("_draws", F.when(F.col("_drawn").isNull(), F.array().cast("array<struct<pass:bigint,shard:bigint>>")).otherwise(F.transform(taken, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"))))).drop("_drawn", "_u", "_block", "_key")
+    none = F.array().cast("array<struct<pass:bigint,shard:bigint>>")
+    found = F.when(F.col("_drawn").isNull(), none).otherwise(F.transform(taken, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"))))
+    return out.select("doc", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), found.alias("draws"))
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix: a row for each time a document is taken, in the columns of ``docs``; shards lie together and are shuffled within."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    rows = with_draws(docs, seed).select(*names, F.explode("_draws").alias("_draw"))
-    spread = rows.repartition("_draw.shard").sortWithinPartitions(F.col("_draw.shard"), F.xxhash64("_draw.shard", "_draw.pass", "doc_id", F.lit(seed)))
-    return spread.select(*names)
+    rows = with_draws(docs, seed).select("doc", F.explode("draws").alias("draw"))
+    spread = rows.repartition("draw.shard").sortWithinPartitions(F.col("draw.shard"), F.xxhash64("draw.shard", "draw.pass", "doc.doc_id", F.lit(seed)))
+    return spread.select("doc.*")

@@ -2,16 +2,19 @@
 
 The k-mers of a text are its windows of WORDS words, in lower case, each labelled by how often it has stood before. Each of
 SKETCHES hash functions takes the ELL k-mers with the smallest values and keeps them in the order of the text; two texts
-meet in a bucket where such a tuple is equal. Candidates are verified by a banded alignment of the two k-mer sequences: the
-k-mers matched in order over all k-mers of both (an ordered Jaccard) must reach SIMILARITY. No alignment that reaches it
-leaves the band.
+meet in a bucket where such a tuple is equal. Candidates are verified by a banded alignment of their words: the words
+matched in order over all words of both (an ordered Jaccard, which edits lower as they do the edit similarity) must reach
+SIMILARITY. No alignment that reaches it leaves the band. Texts whose k-mers have an ordered Jaccard of SIMILARITY are always
+like, for their words then have one too.
 
 No bucket is expanded into all its pairs: its texts are compared with leaders, and what leaders leave apart is joined by
-its rarest k-mers (see ``snipscan.llm.buckets``). Equal texts are one text throughout.
+its rarest words (see ``snipscan.llm.buckets``). Equal texts are one text throughout, known by a digest of 128 bits.
 
 A text of fewer than WORDS words is one k-mer of all its words; one without a word has none, and is like others without a
-word only where equal byte by byte. Null counts as the empty text. Rows without an id form classes of their own text but
-their id can't name a class. Repeated rows are in one class. An empty table gives an empty result.
+word only where equal byte by byte. Null counts as the empty text; a very long text is read whole. A class is named by its
+smallest id, null if none of its rows has one; of rows with the same id each belongs to the class of its own text. Repeated
+rows are in one class. Ties of a hash are broken by the order in the text. An empty table gives an empty result. Columns of
+any name are carried along in a struct, so none can clash.
 """
 
 from __future__ import annotations
@@ -25,18 +28,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snipscan.llm.buckets import EPSILON, crowded, link_buckets
-from snipscan.llm.common import materialize, small_batches
+from snipscan.llm.buckets import EPSILON, by_broadcast, crowded, link_buckets
+from snipscan.llm.common import discard, materialize, small_batches
+from snipscan.llm.skew import hot_keys, join_split
 from snipscan.llm.textwords import U64, Words, as_bytes, chunks, mix
 
 WORDS, SIMILARITY = 5, 0.8
-SKETCHES, ELL, LEADERS = 24, 4, 3
+#: Where one word in nine differs, the words reach SIMILARITY and some 42 % of the k-mers are shared: 24 pairs of them all differ in 1 % of the cases.
+SKETCHES, ELL, LEADERS = 24, 2, 3
 #: Texts of at most so many k-mers also meet by single k-mers: few of them survive an edit.
-SHORT = 16
+SHORT = 32
 _MULTIPLY = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 _ROWS = 1 << 15
 
 
+def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """The hashes of each text's words in order."""
+    words = Words(texts)
+    return np.split(words.hashes(), np.cumsum(words.count)[:-1])
+
+
 def kmers(texts: list[bytes]) -> list[np.ndarray]:
     """The hashes of each text's k-mers in order."""
     words = Words(texts)
@@ -54,7 +65,9 @@ def kmers(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def labelled(gram: np.ndarray) -> np.ndarray:
-    """Each k-mer with its occurrence number, as one hash."""
+    """Each element with its occurrence number, as one hash."""
+    if not len(gram):
+        return gram
     order = np.argsort(gram, kind="stable")
     s = gram[order]
     new = np.flatnonzero(np.concatenate((np.ones(1, bool), s[1:] != s[:-1])))
@@ -124,7 +137,7 @@ def _matched(a: np.ndarray, b: np.ndarray, band: int) -> int:
 
 
 def ordered_similarity(a: np.ndarray, b: np.ndarray, at_least: float = SIMILARITY) -> float:
-    """K-mers matched in order over all of both; below ``at_least`` some lower bound of it, often 0."""
+    """Elements matched in order over all of both; below ``at_least`` some lower bound of it, often 0."""
     n, m = len(a), len(b)
     if not n or not m:
         return float(n == m)
@@ -147,83 +160,107 @@ def ordered_similarity(a: np.ndarray, b: np.ndarray, at_least: float = SIMILARIT
     return common / (n + m - common)
 
 
+def digests(texts: pa.Array) -> pa.Array:
+    return pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in as_bytes(texts)], pa.binary())
+
+
+def _lower(texts: pa.Array) -> list[bytes]:
+    return [x.lower().encode() if x else b"" for x in texts.to_pylist()]
+
+
 def with_sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, the text's digest, its number of k-mers and its bucket keys, for each row."""
+    """doc_id, the text's digest, its number of words and its bucket keys, for each row."""
     small_batches(docs.sparkSession)
 
     @F.arrow_udf("struct<digest: binary, n: int, keys: array<bigint>>")
     def sketched(texts: pa.Array) -> pa.Array:
-        raw = as_bytes(texts)
         grams: list[np.ndarray] = []
-        lower = [x.lower().encode() if x else b"" for x in texts.to_pylist()]
+        n: list[int] = []
+        lower = _lower(texts)
         for lo, hi in chunks(lower):
             grams += kmers(lower[lo:hi])
-        digests = [hashlib.blake2b(x, digest_size=16).digest() for x in raw]
-        return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array([len(g) for g in grams], pa.int32()), pa.array([sketch(g) for g in grams], pa.list_(pa.int64()))], names=["digest", "n", "keys"])
+            n += Words(lower[lo:hi]).count.tolist()
+        return pa.StructArray.from_arrays([digests(texts), pa.array(n, pa.int32()), pa.array([sketch(g) for g in grams], pa.list_(pa.int64()))], names=["digest", "n", "keys"])
 
     return docs.select("doc_id", sketched.asNondeterministic()("text").alias("_s")).select("doc_id", "_s.*")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        ta, tb = ([(x or "").lower().encode() for x in batch.column(c).to_pylist()] for c in ("text_a", "text_b"))
+        a, b = batch.column("a"), batch.column("b")
+        ta, tb = (_lower(batch.column(c)) for c in ("text_a", "text_b"))
         keep = []
         for lo in range(0, len(a), 64):
-            ka, kb = kmers(ta[lo : lo + 64]), kmers(tb[lo : lo + 64])
-            keep += [lo + i for i, (x, y) in enumerate(zip(ka, kb, strict=True)) if ordered_similarity(x, y) >= SIMILARITY]
-        yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+            ha, hb = word_hashes(ta[lo : lo + 64]), word_hashes(tb[lo : lo + 64])
+            keep += [lo + i for i, (x, y) in enumerate(zip(ha, hb, strict=True)) if ordered_similarity(x, y) >= SIMILARITY]
+        rows = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([a.take(rows), b.take(rows)], names=["a", "b"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are near copies."""
+    """The pairs (a, b) of a written table whose texts are near copies."""
     left = texts.select(F.col("rep").alias("ra"), F.col("text").alias("text_a"))
     right = texts.select(F.col("rep").alias("rb"), F.col("text").alias("text_b"))
-    both = pairs.join(left, F.col("a") == F.col("ra")).select("a", "b", "text_a").join(right, F.col("b") == F.col("rb"))
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a bigint, b bigint")
+    with_a = join_split(pairs.select("a", "b"), left, "a", "ra", hot=hot_keys(pairs, "a")).select("a", "b", "text_a")
+    both = join_split(with_a, right, "b", "rb", hot=hot_keys(pairs, "b"))
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary")
 
 
-def _labelled_kmers(texts: DataFrame) -> DataFrame:
-    """(rep, items): the labelled k-mers of each text."""
+def _labelled_words(texts: DataFrame) -> DataFrame:
+    """(rep, items): the labelled words of each text."""
     small_batches(texts.sparkSession)
 
     @F.arrow_udf("array<bigint>")
     def items(column: pa.Array) -> pa.Array:
-        lower = [x.lower().encode() if x else b"" for x in column.to_pylist()]
-        grams = [g for lo, hi in chunks(lower) for g in kmers(lower[lo:hi])]
-        return pa.array([labelled(g).view(np.int64) for g in grams], pa.list_(pa.int64()))
+        lower = _lower(column)
+        hashes = [h for lo, hi in chunks(lower) for h in word_hashes(lower[lo:hi])]
+        return pa.array([labelled(h).view(np.int64) for h in hashes], pa.list_(pa.int64()))
 
     return texts.select("rep", items.asNondeterministic()("text").alias("items"))
 
 
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest) of each row, and for each text its digest, its smallest id ``low``, and the ``class``, a digest. Both are written tables."""
+    sketches = materialize(with_sketches(docs), "sketches")
+    texts_of = materialize(sketches.groupBy("digest").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct-texts")
+    met = crowded(texts_of.select(F.col("digest").alias("rep"), "n", F.explode("keys").alias("key")))
+    texts = materialize(_texts(docs, texts_of.select("digest", "low").join(met.select(F.col("rep").alias("digest")).distinct(), "digest", "left_semi")), "bucket-texts")
+    classes = link_buckets(met, lambda pairs: verified(pairs, texts), SIMILARITY, LEADERS, lambda some: _labelled_words(texts.join(some, "rep", "left_semi")), by_broadcast)
+    named = materialize(texts_of.join(classes, F.col("digest") == F.col("id"), "left").select("digest", "low", F.coalesce("class", "digest").alias("class")), "text-classes")
+    rows = materialize(sketches.select("doc_id", "digest"), "row-digests")
+    for done in (sketches, texts_of, met, texts, classes):
+        discard(done)
+    return rows, named
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id) for each row of ``docs``; a class is named by its smallest document id."""
-    sketches = materialize(with_sketches(docs), "sketches")
-    same = sketches.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    texts_of = materialize(same, "distinct-texts")
-    reps = texts_of.where("rep is not null")
-    met = crowded(reps.select("rep", "n", F.explode("keys").alias("key")))
-    texts = materialize(_texts(docs, reps, met.select("rep").distinct()), "bucket-texts")
-    classes = link_buckets(met, lambda pairs: verified(pairs, texts), SIMILARITY, LEADERS, lambda some: _labelled_kmers(texts.join(some, "rep", "left_semi")))
-    named = texts_of.join(classes, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("class", "rep").alias("class_id"))
-    return sketches.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id")
-
-
-def _texts(docs: DataFrame, reps: DataFrame, used: DataFrame) -> DataFrame:
-    """(rep, text) of the texts that share a bucket. Where an id repeats with other texts, the digest tells them apart."""
+    rows, named = _classes(docs.select("doc_id", "text"))
+    names = named.groupBy("class").agg(F.min("low").alias("class_id"))
+    texts = materialize(join_split(named.select("digest", "class"), names.withColumnRenamed("class", "_class"), "class", "_class", hot=hot_keys(named, "class")).select(F.col("digest").alias("_digest"), "class_id"), "class-names")
+    return join_split(rows, texts, "digest", "_digest", hot=hot_keys(rows, "digest")).select("doc_id", "class_id")
+
+
+def _id_and_digest(docs: DataFrame) -> DataFrame:
+    """The row as the struct doc, its id as text (null: empty), its text's digest."""
     small_batches(docs.sparkSession)
+    digest = F.arrow_udf(digests, "binary").asNondeterministic()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("doc"), F.coalesce(F.concat(F.lit("i"), F.col("doc_id")), F.lit("")).alias("id"), digest("text").alias("digest"))
 
-    @F.arrow_udf("binary")
-    def digest(texts: pa.Array) -> pa.Array:
-        return pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in as_bytes(texts)], pa.binary())
 
-    wanted = reps.select("rep", F.col("digest").alias("_d")).join(used, "rep", "left_semi")
-    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("rep")).select("rep", "text", "_d")
-    return rows.where(digest("text") == F.col("_d")).groupBy("rep").agg(F.min("text").alias("text"))
+def _texts(docs: DataFrame, used: DataFrame) -> DataFrame:
+    """(rep, text) of the texts of ``used`` (digest, low), from the row of the smallest id, so that of many copies one is moved."""
+    wanted = used.select(F.coalesce(F.concat(F.lit("i"), F.col("low")), F.lit("")).alias("id"), "digest")
+    rows = _id_and_digest(docs.select("doc_id", "text")).join(wanted, ["id", "digest"])
+    return rows.groupBy(F.col("digest").alias("rep")).agg(F.coalesce(F.min("doc.text"), F.lit("")).alias("text"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that name their class: one document of each group, in the columns of ``docs``. Rows without an id stay; of equal rows one does."""
-    kept = near_classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias("_of")).distinct()
-    numbered = docs.join(kept, F.col("doc_id") == F.col("_of"), "left_semi")
-    return numbered.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
+    """One row of each class, in the columns of ``docs``: that of the smallest id (a row without an id only where its class has none); of equal rows one."""
+    rows, named = _classes(docs.select("doc_id", "text"))
+    discard(rows)
+    order = F.struct(F.col("low").isNull(), "low", "digest")
+    first = named.groupBy("class").agg(F.min_by(F.struct("low", "digest"), order).alias("k"))
+    kept = first.select(F.coalesce(F.concat(F.lit("i"), F.col("k.low")), F.lit("")).alias("id"), F.col("k.digest").alias("digest"))
+    return _id_and_digest(docs).join(kept, ["id", "digest"]).dropDuplicates(["id", "digest"]).select("doc.*")

@@ -5,8 +5,9 @@ needs: patterns of a few lengths that nearly fill a sequence are enumerated, non
 is repeated so that the histogram is used up, the counts are rounded down to what there is, and what remains is packed best
 fit, longest first, on counts. Then each piece gets its rank among the pieces of its length and so its place in the plan.
 
-Null and empty texts are one piece of the end id. Repeated rows are packed as often as they stand. An empty table gives an
-empty result.
+Null and empty texts are one piece of the end id. Repeated rows are packed as often as they stand; pieces that equal one another
+in all that is known of them may take one another's places. A very long text is tokenised whole. An empty table gives an empty
+result. Only doc_id and text are read, so other columns of any name change nothing.
 """
 
 from __future__ import annotations
@@ -190,7 +191,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
         histogram[length] = n
     where = spark.sparkContext.broadcast(_intervals(plan_packing(histogram, capacity), capacity))
     groups = int(min(GROUPS_HIGH, max(GROUPS_LOW, histogram.sum() // GROUP_ROWS)))
-    dealt = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
+    dealt = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
     sizes = dealt.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(F.col("length").alias("_of"), F.col("_salt").alias("_os"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

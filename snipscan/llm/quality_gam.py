@@ -4,8 +4,9 @@ Each feature of the text is cut into bins; boosting goes round the features in t
 four leaves over that one feature's bins adds a small step to the feature's lookup table. Then the strongest pairs get
 two-way tables in the same manner. A score is the logistic of a sum of table entries.
 
-Null and empty texts get the score of a text of no word. Repeated rows get equal scores. Without labels of both kinds each
-score is the share of good rows, or 0.5. An empty table gives an empty result.
+Null and empty texts get the score of a text of no word; a very long text is counted whole. Repeated rows get equal scores, a
+value on a bin's edge belongs to the bin above. Without labels of both kinds each score is the share of good rows, or 0.5. An
+empty table gives an empty result. Columns of the input are never overwritten: a result whose name is taken gets underscores before it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snipscan.llm.common import held_out, small_batches
+from snipscan.llm.common import free_name, held_out, small_batches
 from snipscan.llm.rule_forest import labelled_counts
 from snipscan.llm.textstats import COUNTS, features, text_counts
 from snipscan.llm.textwords import as_bytes
@@ -139,7 +140,7 @@ def fit_gam(x: np.ndarray, y: np.ndarray) -> Gam:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, seed: int = 5) -> DataFrame:
-    """``docs`` with ``_held_out`` and ``_score``; labels of held-out rows are never read by the training."""
+    """``docs`` with ``_held_out`` and ``_score`` as the last columns (more underscores where the names are taken); labels of held-out rows are never read by the training."""
     small_batches(docs.sparkSession)
     known = labelled_counts(docs, labels.where(~held_out(F.col("doc_id"), 3, 1)), "quality", bound, seed).sort_values("doc_id", kind="stable")
     model = fit_gam(features(known[COUNTS]), known["_label"].to_numpy(np.float64))
@@ -148,4 +149,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, s
     def score(texts: pa.Array) -> pa.Array:
         return pa.array(model.score(features(text_counts(as_bytes(texts)))) if len(texts) else np.zeros(0))
 
-    return docs.withColumn("_held_out", held_out(F.col("doc_id"), 3, 1)).withColumn("_score", score.asNondeterministic()(F.col("text")))
+    held, name = free_name(docs, "_held_out"), free_name(docs, "_score")
+    return docs.withColumns({held: held_out(F.col("doc_id"), 3, 1), name: score.asNondeterministic()(F.col("text"))})

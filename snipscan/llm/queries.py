@@ -16,13 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     gone = F.when(F.col("_removed").isNull(), 0).otherwise(F.size("_removed"))
     return out.select("doc_id", F.greatest(F.coalesce("_lines", F.lit(0)), F.lit(0)).cast("bigint").alias("n_lines"), gone.cast("bigint").alias("n_removed"), "text")
 
 
 def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_gam.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = quality_gam.score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", F.col("_held_out").alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -40,24 +40,24 @@ def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = toxicity_ftrl.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = toxicity_ftrl.score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", F.col("_held_out").alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op5_rule_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rule_forest.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = rule_forest.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly"]
     return out.select("doc_id", *[F.col(f"_rules.{c}") for c in names])
 
 
 def op6_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = html_blocks.extract_text(table(spark, sf_dir, "pages"))
+    out = html_blocks.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", F.col("_text").alias("text"), F.length("_text").cast("bigint").alias("n_chars"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.with_draws(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.size("_draws")).cast("bigint").alias("taken"))
+    out = mixing.with_draws(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return out.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("bigint").alias("taken"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two batches load an estimate for each document, two revise it to the count; each batch is delivered twice."""
+    """Two batches load an estimate for each document, two revise it to the count, one takes half of the documents away and one brings them back; each batch is delivered twice."""
     counts = materialize(token_rollup.token_counts(table(spark, sf_dir, "documents")), "token-counts")
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(2))
     guess = counts.withColumn("tokens", (F.coalesce("tokens", F.lit(0)) + 3).cast("bigint"))
@@ -76,6 +76,10 @@ def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k in (0, 1):
         for _ in range(2):
             store.commit(f"revise-{k}", token_rollup.revisions(guess.where(batch == k), counts.where(batch == k)))
+    half = counts.where(batch == 0)
+    for name, rows in (("away", token_rollup.deletes(half)), ("back", token_rollup.inserts(half))):
+        for _ in range(2):
+            store.commit(name, rows)
     return store.totals()
 
 
@@ -84,6 +88,11 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
+def near_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes of documents with like fingerprints, through length partitions and the pruned Jaccard."""
+    return spotsigs.near_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_gam": op2_quality_gam,
@@ -95,9 +104,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_token_rollup": op9_token_rollup,
     "op10_order_minhash": op10_order_minhash,
+    "near_fingerprints": near_fingerprints,
 }
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in spotsigs.anchors()) + "]"
+_WORDS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 _CODE = "cast('0x' || substr(md5({0}), 1, 8) as bigint) - 2147483648"
 
 ORACLES: dict[str, str] = {
@@ -124,6 +135,27 @@ select doc_id, cast(length(text) as bigint) as n_chars, sha256(edited) as edited
   case when len(own) = 0 and len(changed) = 0 then 1.0 else len(list_intersect(own, changed))::double / len(list_distinct(list_concat(own, changed))) end as near_edited,
   case when len(own) = 0 and len(following) = 0 then 1.0 else len(list_intersect(own, following))::double / len(list_distinct(list_concat(own, following))) end as near_next
 from j
+""",
+    "near_fingerprints": f"""
+with recursive w as (
+  select row_number() over () as r, doc_id, {_WORDS} as w from (select doc_id, coalesce(text, '') as text from documents)),
+c as (
+  select r, doc_id, w, list_filter(w, lambda x: not list_contains({_STOP}, x)) as c, list_filter(range(1, len(w) + 1), lambda i: list_contains({_STOP}, w[i])) as a from w),
+h as (
+  select r, doc_id, list_sort(list_distinct(list_concat(
+    case when len(w) > 0 then [{_CODE.format("concat_ws(' ', '^', c[1], c[2])")}] else [] end,
+    list_transform(list_filter(list_zip(a, range(1, len(a) + 1)), lambda p: p[1] - p[2] + 2 <= len(c)), lambda p: {_CODE.format("w[p[1]] || ' ' || c[p[1] - p[2] + 1] || ' ' || c[p[1] - p[2] + 2]")})))) as s from c),
+g as (
+  select min(r) as k, s, len(s) as n, min(doc_id) as low from h group by s),
+x as (
+  select k, n, unnest(s) as i from g),
+p as (
+  select a.k as a, b.k as b from x a join x b on a.i = b.i and a.k <> b.k and least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) group by a.k, a.n, b.k, b.n having count(*) >= 0.8 * (a.n + b.n - count(*))),
+t(a, b) as (
+  select k, k from g union select t.a, p.b from t join p on t.b = p.a),
+m as (
+  select t.a as k, min(g.low) as class_id from t join g on t.b = g.k group by t.a)
+select h.doc_id, m.class_id from h join g on h.s = g.s join m on m.k = g.k
 """,
     "op1_line_dedup": """
 with parts as (

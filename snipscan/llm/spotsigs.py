@@ -6,8 +6,10 @@ signatures' hashes. Two fingerprints are compared by their Jaccard likeness; set
 in length partitions far apart and aren't intersected.
 
 Null texts count as empty. An empty text, or one of fewer content words than a chain needs, has the signatures of what
-words it has; without a word the set is empty, and two empty sets have likeness 1. Ties of a document id are ordered by
-text. An empty table gives an empty result. Everything is DataFrame functions.
+words it has; without a word the set is empty, and two empty sets have likeness 1. A very long text is read whole. Rows without
+an id come first, ties of a document id are ordered by text; rows of one id, or of none, lie in one window group, which
+spills where it is large. Repeated rows follow one another. An empty table gives an empty result. Only doc_id and text are
+read, so other columns of any name change nothing. Everything is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from snipscan.llm.buckets import EPSILON, crowded, link_buckets
-from snipscan.llm.common import materialize
+from snipscan.llm.buckets import EPSILON, by_counts, crowded, link_buckets
+from snipscan.llm.common import discard, materialize
+from snipscan.llm.skew import hot_keys, join_split
 
 #: Common words of English, German, French and Spanish. Fixed values.
 ANCHORS = """a an and are as at be by for from has he in is it its of on or that the this to was were will with
@@ -79,19 +82,19 @@ def pruned_likeness(a: Column, b: Column, tau: float = TAU) -> Column:
 
 
 def with_next(df: DataFrame, order: str, carry: list[str], ties: str) -> DataFrame:
-    """``df`` with ``_next_<c>`` for each carried column: that of the next row by ``order``, after the last row that of the first.
+    """``df`` with ``_next_<c>`` for each carried column: that of the next row by ``order``, nulls first, after the last row that of the first.
 
     Ids cut the table into groups, found by approximate percentiles; the row that opens a group is sent to the group before
     it as well, so each group sees the row that follows it. No group holds the whole table.
     """
-    first, rows = df.agg(F.min(order), F.count(order)).first()
-    if not rows:
+    first, rows, nulls = df.agg(F.min(order), F.count(order), F.count_if(F.col(order).isNull())).first()
+    if not rows + nulls:
         return df.select("*", *[F.col(c).alias(f"_next_{c}") for c in carry])
     groups = max(1, min(100_000, rows // GROUP_ROWS))
     cuts = df.agg(F.percentile_approx(order, [k / groups for k in range(1, groups)], 1_000_000)).first()[0] if groups > 1 else []
     cuts = sorted({*cuts} - {first})
     group, opens = _group(F.col(order), cuts)
-    is_first = F.coalesce(F.col(order) == first, F.lit(False))
+    is_first = F.col(order).isNull() if nulls else F.col(order) == first
     place = lambda g, guest, wrap: F.struct(g.cast("int").alias("g"), F.lit(guest).alias("guest"), F.lit(wrap).alias("wrap"))
     places = F.array(place(group, 0, 0), F.when(opens, place(group - 1, 1, 0)), F.when(is_first, place(F.lit(len(cuts)), 1, 1)))
     dealt = df.select("*", F.explode(F.filter(places, lambda p: p.isNotNull())).alias("_at"))
@@ -131,23 +134,32 @@ def fingerprint_text(signatures: Column) -> Column:
 
 
 def near_classes(docs: DataFrame, tau: float = TAU, leaders: int = 3) -> DataFrame:
-    """(doc_id, class_id) for documents whose fingerprints are alike by ``tau`` or more, directly or through others; a class is named by its smallest id.
+    """(doc_id, class_id) for each row of ``docs``: the smallest id of the documents whose fingerprints are alike by ``tau`` or more, directly or through others; null if none of them has an id.
 
     Equal fingerprints are one. Sets meet if they share one of their first hashes, as many as two sets of likeness ``tau``
-    can't differ in, within a length partition or two neighbouring ones; a pair is verified by its pruned Jaccard.
+    can't differ in, within a length partition or two neighbouring ones; a pair is verified by its pruned Jaccard. Empty
+    fingerprints are alike.
     """
-    own = materialize(with_signatures(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")), "_text", "_own").select("doc_id", "_own"), "fingerprints")
-    sets = materialize(own.groupBy("_own").agg(F.min("doc_id").alias("rep")).select("rep", "_own", F.size("_own").alias("n")).where("rep is not null"), "fingerprint-sets")
-    first = F.slice("_own", 1, (F.col("n") - F.ceil(F.col("n") * F.lit(tau) - EPSILON) + 1).cast("int"))
+    signed = with_signatures(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")), "_text", "sig")
+    own = materialize(signed.select("doc_id", "sig", F.unhex(F.md5(F.array_join("sig", ","))).alias("own_rep")), "fingerprints")
+    grouped = own.groupBy("sig", F.col("own_rep").alias("rep")).agg(F.min("doc_id").alias("low"))
+    sets = materialize(grouped.select("rep", "sig", F.size("sig").alias("n"), "low"), "fingerprint-sets")
+    first = F.slice("sig", 1, (F.col("n") - F.ceil(F.col("n") * F.lit(tau) - EPSILON) + 1).cast("int"))
     part = length_partition(F.col("n"), tau)
     keys = sets.where("n > 0").select("rep", "n", part.alias("p"), F.explode(first).alias("h")).select("rep", "n", F.explode(F.array(F.struct("p", "h"), F.struct((F.col("p") + 1).alias("p"), "h"))).alias("key"))
     met = crowded(keys.select(F.xxhash64("key.p", "key.h").alias("key"), "rep", "n"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left, right = (sets.select(F.col("rep").alias(f"r{x}"), F.col("_own").alias(f"s{x}")) for x in "ab")
-        both = pairs.join(left, F.col("a") == F.col("ra")).select("a", "b", "sa").join(right, F.col("b") == F.col("rb"))
+        left, right = (sets.select(F.col("rep").alias(f"r{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
+        with_a = join_split(pairs.select("a", "b"), left, "a", "ra", hot=hot_keys(pairs, "a")).select("a", "b", "sa")
+        both = join_split(with_a, right, "b", "rb", hot=hot_keys(pairs, "b"))
         return both.where(pruned_likeness(F.col("sa"), F.col("sb"), tau) >= tau).select("a", "b")
 
-    classes = link_buckets(met, verify, tau, leaders, lambda some: sets.join(some, "rep", "left_semi").select("rep", F.col("_own").alias("items")))
-    named = sets.join(classes, F.col("rep") == F.col("id"), "left").select("_own", F.coalesce("class", "rep").alias("class_id"))
-    return own.join(named, "_own").select("doc_id", "class_id")
+    items = lambda some: sets.join(some, "rep", "left_semi").select("rep", F.col("sig").cast("array<bigint>").alias("items"))
+    classes = link_buckets(met, verify, tau, leaders, items, by_counts)
+    named = materialize(sets.join(classes, F.col("rep") == F.col("id"), "left").select("rep", "low", F.coalesce("class", "rep").alias("class")), "fingerprint-classes")
+    names = named.groupBy(F.col("class").alias("_class")).agg(F.min("low").alias("class_id"))
+    out = materialize(join_split(named.select("rep", "class"), names, "class", "_class", hot=hot_keys(named, "class")).select("rep", "class_id"), "fingerprint-names")
+    for done in (sets, met, classes, named):
+        discard(done)
+    return join_split(own.select("doc_id", "own_rep"), out, "own_rep", "rep", hot=hot_keys(own, "own_rep")).select("doc_id", "class_id")

@@ -6,20 +6,23 @@ meets the state. A batch has an id; a commit writes a new snapshot, then a line
 is in the log is not folded in again, so a redelivery changes nothing, and a snapshot without a log line never counts.
 
 Null sources and languages are groups of their own; null and empty texts have 0 tokens. Repeated rows count as often as
-they stand. Groups whose documents and tokens come to zero vanish. An empty batch only leaves its line in the log.
+they stand, and of batches that are ready at once any may come first. A very long text is tokenised whole. Groups whose documents
+and tokens come to zero vanish. An empty batch only leaves its line in the log. Of the documents only doc_id, source, lang and
+text are read, so other columns of any name change nothing.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snipscan.llm import tokens
-from snipscan.llm.common import shared_dir, small_batches
+from snipscan.llm.common import discard, materialize, shared_dir, small_batches
 
 KEYS = ["source", "lang", "tokenizer_version"]
 _TOTALS = "source string, lang string, tokenizer_version string, n_docs bigint, n_tokens bigint"
@@ -57,22 +60,32 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """The totals under one folder, which driver and executors share."""
+    """The totals under one folder, which driver and executors share.
+
+    ``log`` holds one small file for each commit, named by its number. It is created exclusively, so of two writers that
+    saw the same last number one starts again, and then finds the other's batch. A file that a lost writer left unfinished
+    doesn't parse: it counts as no commit, and its number is passed over.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
         self.path = path or f"{shared_dir(spark)}/token-rollup-{uuid.uuid4().hex}"
+        root = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        if path is None:
+            self._files.deleteOnExit(root)
+
+    def _log(self) -> DataFrame:
+        """(batch_id, number, snapshot, used): the commits, and the number in the name of each file, finished or not."""
+        self._files.mkdirs(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/log"))
+        lines = self.spark.read.text(f"{self.path}/log", wholetext=True).select(F.from_json("value", _LOG).alias("c"), F.regexp_extract("_metadata.file_name", r"(\d+)", 1).cast("bigint").alias("used"))
+        return lines.select("c.*", "used")
 
     def _last(self, batch_id: str | None = None) -> tuple[int, str | None, bool]:
-        """(number, snapshot) of the last commit, -1 and None before the first; whether a batch of this id is in the log."""
-        try:
-            log = self.spark.read.schema(_LOG).parquet(f"{self.path}/log")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return -1, None, False
-        last, seen = log.agg(F.max(F.struct("number", "snapshot")), F.max(F.col("batch_id") == F.lit(batch_id))).first()
-        return last.number, last.snapshot, bool(seen)
+        """(the highest number used, snapshot of the last commit or None, whether a batch of this id is in the log)."""
+        done = F.col("snapshot").isNotNull()
+        used, last, seen = self._log().agg(F.max("used"), F.max(F.when(done, F.struct("number", "snapshot"))), F.max(done & (F.col("batch_id") == F.lit(batch_id)))).first()
+        return -1 if used is None else used, last and last.snapshot, bool(seen)
 
     def _at(self, snapshot: str | None) -> DataFrame:
         if snapshot is None:
@@ -83,15 +96,31 @@ class Rollup:
         """The state after the last commit."""
         return self._at(self._last()[1])
 
+    def _create(self, number: int, line: str) -> bool:
+        """Write the log's file of this number; False if there is one."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/log/{number:012d}.json")
+        try:
+            out = self._files.create(path, False)
+        except Py4JJavaError:
+            if self._files.exists(path):
+                return False
+            raise
+        out.write(bytearray(line, "utf-8"))
+        out.close()
+        return True
+
     def commit(self, batch_id: str, delta: DataFrame) -> bool:
         """Fold in a batch of signed rows; False if a batch of this id was committed before."""
-        number, before, seen = self._last(batch_id)
-        if seen:
-            return False
-        number += 1
-        snapshot = f"snapshot-{number}-{uuid.uuid4().hex}"
-        folded = delta.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        new = self._at(before).unionByName(folded).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        new.where("n_docs <> 0 or n_tokens <> 0").coalesce(1).write.parquet(f"{self.path}/{snapshot}")
-        self.spark.createDataFrame([(batch_id, number, snapshot)], _LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
-        return True
+        sums = [F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")]
+        folded = None
+        while True:
+            number, before, seen = self._last(batch_id)
+            if seen:
+                return False
+            folded = folded or materialize(delta.groupBy(*KEYS).agg(*sums), "rollup-delta")
+            snapshot = f"snapshot-{number + 1}-{uuid.uuid4().hex}"
+            new = self._at(before).unionByName(folded).groupBy(*KEYS).agg(*sums)
+            new.where("n_docs <> 0 or n_tokens <> 0").write.parquet(f"{self.path}/{snapshot}")
+            if self._create(number + 1, json.dumps({"batch_id": batch_id, "number": number + 1, "snapshot": snapshot})):
+                discard(folded)
+                return True

@@ -3,8 +3,9 @@
 Every coordinate has a learning rate of its own, and the L1 term keeps most weights at exactly zero, so what goes to the
 executors is a short list of (coordinate, weight). A feature counts once per text, however long the text is.
 
-Null and empty texts have no feature: their score is the logistic of the intercept. Repeated rows get equal scores.
-Without labelled rows each score is 0.5. An empty table gives an empty result.
+Null and empty texts have no feature: their score is the logistic of the intercept; a very long text is read whole. Repeated
+rows get equal scores, and a score of just 0.5 counts as toxic. Without labelled rows each score is 0.5. An empty table gives
+an empty result. Columns of the input are never overwritten: a result whose name is taken gets underscores before it.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snipscan.llm.common import bounded_sample, held_out, small_batches
+from snipscan.llm.common import bounded_sample, discard, free_name, held_out, materialize, small_batches
 from snipscan.llm.textwords import U64, Words, chunks, mix
 
-#: Labelled rows of each kind that training sees at most, and the length in characters of the longest of them.
-TRAIN_ROWS, TRAIN_CHARS = 3_000, 8_000
+#: Labelled rows of each kind that training sees at most, and the distinct coordinates of all of them together. Rows are taken
+#: in the order of a hash of their ids up to these bounds, so long texts are learnt from as often as they are labelled.
+TRAIN_ROWS, TRAIN_COORDINATES = 5_000, 24_000_000
 BITS = 20
 ALPHA, BETA, L2, EPOCHS = 1.5, 1.0, 0.2, 6
 #: L1 for very many rows, and the rows at which half of it holds: with few rows a gradient sum is small.
@@ -106,10 +108,9 @@ def fit_ftrl(rows: list[np.ndarray], y: np.ndarray, seed: int = 3) -> Weights:
     return Weights(at, w[at].astype(np.float32), float(w[size]))
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, seed: int = 3) -> Weights:
-    """Fit on at most ``bound`` labelled rows of each kind that aren't held out, whole texts of at most TRAIN_CHARS."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def sample(docs: DataFrame, labels: DataFrame, bound: int, seed: int) -> DataFrame:
+    """doc_id, label, rank and the distinct coordinates ``at`` of the whole text, for at most ``bound`` labelled rows of each kind that aren't held out."""
+    small_batches(docs.sparkSession)
 
     @F.arrow_udf("array<int>")
     def coordinates(texts: pa.Array) -> pa.Array:
@@ -122,25 +123,31 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, seed: int
             out += np.split((once & ((1 << BITS) - 1)).astype(np.int32), cuts)
         return pa.array(out, pa.list_(pa.int32()))
 
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("_label")).where("doc_id is not null and _label is not null").where(~held_out(F.col("doc_id"), 5, 0))
-    known = known.groupBy("doc_id").agg(F.max("_label").alias("_label"))
-    short = docs.where(F.length("text") <= TRAIN_CHARS).select("doc_id", "text")
-    rows: list[np.ndarray] = []
-    y: list[int] = []
-    for label in (0, 1):
-        picked = bounded_sample(known.where(F.col("_label") == label), ["doc_id"], bound, seed)
-        part = short.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")
-        got = part.select("doc_id", coordinates.asNondeterministic()("text").alias("at")).limit(bound).toArrow().combine_chunks()
-        lists = got.column("at").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
-        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        order = np.argsort(got.column("doc_id").to_numpy(), kind="stable") if got.num_rows else []
-        rows += [flat[ends[i] : ends[i + 1]] for i in order]
-        y += [label] * got.num_rows
-    return fit_ftrl(rows, np.asarray(y, np.float64), seed)
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where("doc_id is not null and label is not null").where(~held_out(F.col("doc_id"), 5, 0))
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    picked = bounded_sample(known.where("label = 0"), ["doc_id"], bound, seed).unionByName(bounded_sample(known.where("label = 1"), ["doc_id"], bound, seed))
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "label", coordinates.asNondeterministic()("text").alias("at"))
+    once = rows.groupBy("doc_id", "label").agg(F.min("at").alias("at"))  # of rows with the same id, one
+    return materialize(once.withColumn("rank", F.xxhash64("doc_id", F.lit(seed))), "toxicity-sample")
+
+
+def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, most: int = TRAIN_COORDINATES, seed: int = 3) -> Weights:
+    """Fit on the sample, in the order of the rows' hashes, as far as ``most`` coordinates go."""
+    known = sample(docs, labels, bound, seed)
+    sizes = known.select("rank", F.size("at").alias("n")).toPandas().sort_values("rank", kind="stable")
+    fit = sizes["rank"][sizes["n"].cumsum() <= most]
+    got = known.where(F.col("rank") <= int(fit.iloc[-1])).select("rank", "label", "at").toArrow().combine_chunks() if len(fit) else None
+    discard(known)
+    if got is None:
+        return fit_ftrl([], np.zeros(0), seed)
+    lists = got.column("at").combine_chunks()
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    order = np.argsort(got.column("rank").to_numpy(), kind="stable")
+    return fit_ftrl([flat[ends[i] : ends[i + 1]] for i in order], got.column("label").to_numpy()[order].astype(np.float64), seed)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> DataFrame:
-    """``docs`` with ``_held_out`` and ``_score``; labels of held-out rows are never read by the training."""
+    """``docs`` with ``_held_out`` and ``_score`` as the last columns (more underscores where the names are taken); labels of held-out rows are never read by the training."""
     weights = docs.sparkSession.sparkContext.broadcast(train(docs, labels, bound))
     tables: dict[int, np.ndarray] = {}
 
@@ -150,4 +157,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS)
             tables[0] = weights.value.table()
         return pa.array(1 / (1 + np.exp(-np.clip(logits(tables[0], weights.value.intercept, _clean(texts)), -30, 30))))
 
-    return docs.withColumn("_held_out", held_out(F.col("doc_id"), 5, 0)).withColumn("_score", score.asNondeterministic()(F.col("text")))
+    held, name = free_name(docs, "_held_out"), free_name(docs, "_score")
+    return docs.withColumns({held: held_out(F.col("doc_id"), 5, 0), name: score.asNondeterministic()(F.col("text"))})

@@ -3,6 +3,7 @@ from __future__ import annotations
 import html
 import re
 
+import numpy as np
 import pytest
 
 from snipscan.llm import html_blocks as hb
@@ -11,9 +12,35 @@ from snipscan.llm.queries import QUERIES
 P = "The quick brown fox goes over the lazy dog and then comes back again for a while."
 
 
-def test_tree_fits_its_table():
+def errors(tree, columns=None):
+    """The share of the table's whole pages' blocks that a tree gets wrong, with only some features if ``columns`` says so."""
+    wrong = total = 0
     for page, main in hb.PAGES:
-        assert set(hb.main_text(page).split("\n")) == main
+        blocks, parts = hb.blocks_of(page)
+        x = hb.describe(blocks, parts)
+        if columns is not None:
+            x[:, [c for c in range(x.shape[1]) if c not in columns]] = 0
+        y = np.array([b.text in main for b in blocks])
+        wrong, total = wrong + (tree.main(x) != y).sum(), total + len(y)
+    return wrong / total
+
+
+def test_tree_fits_its_table():
+    assert errors(hb.trained()) < 0.01
+
+
+@pytest.mark.parametrize("without", ["words link_density", "words_before links_before words_after links_after", "strong strong_share", "weak weak_share article"])
+def test_each_kind_of_feature_changes_results(without):
+    x, y = hb.table_rows()
+    columns = [i for i, f in enumerate(hb.FEATURES) if f not in without.split()]
+    x[:, [c for c in range(x.shape[1]) if c not in columns]] = 0
+    assert errors(hb.grow(x, y), columns) > 1.2 * errors(hb.trained()) + 0.0005
+
+
+def test_neighbours_decide_on_pages_without_names():
+    foot = "Printed in the valley by us."
+    page = "<div><a href=/>Home</a> <a href=/n>News</a></div>{}<h1>High water</h1><p>" + P + "</p><p>Yes.</p><p>" + P + " 2</p><div><a href=/a>Back to all</a> <a href=/b>Map</a></div><p>{}</p>"
+    assert hb.main_text(page.format("", foot)) == f"High water\n{P}\nYes.\n{P} 2"
 
 
 @pytest.mark.parametrize("page, text", [
@@ -59,5 +86,24 @@ def test_wrappers_of_an_article(wrapper, kept):
     assert hb.main_text(wrapper.format(f"<article><p>{P}</p></article>")) == (P if kept else "")
 
 
+@pytest.mark.parametrize("page, text", [
+    (f'<article style="overflow: hidden"><h1 class="entry-header">T</h1><p class="discussion">{P}</p><p id="legal">{P} l</p></article>', f"T\n{P}\n{P} l"),
+    (f'<div class="nav">x</div><article><p class="ad">Buy<p>text<p>{P}</p></article>', f"text\n{P}"),
+    (f'<article><p>{P}</p><div class="ad">Buy two</div><p>Yes.</p><p><a href="/s">The source of it all</a></p></article>', f"{P}\nYes.\nThe source of it all"),
+    (f'<nav><a href=/>Home</a></nav><article><p>Be.</p><p>No.</p></article><footer>f</footer>', "Be.\nNo."),
+    (f'<article><ul><li>one<li>two<li><p>three</ul><table><tr><td>a<td>b<tr><td>{P}</table></article>', f"one\ntwo\nthree\na\nb\n{P}"),
+    (f'<article><p>{P} <span style="display:none">secret</span>end</p><p hidden>h</p></article>', f"{P} end"),
+    (f'<form id="aspnetForm"><main><p>{P}</p><form><p>{P} f</p></form></main></form>', P),
+])
+def test_no_text_of_an_article_is_lost(page, text):
+    assert hb.main_text(page) == text
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, f"<p>{P}</p>", "mine")], "page_id int, html string, _text string")
+    out = hb.extract_text(df)
+    assert out.columns == ["page_id", "html", "_text", "__text"] and out.first()[2:] == ("mine", P)
+
+
 def test_math_is_text():
     assert hb.main_text(f"<article><p>{P} <math><mi>x</mi><annotation>tex</annotation></math> end</p></article>") == f"{P} x end"

@@ -37,10 +37,11 @@ def test_threshold_is_exact(make):
 
 
 def test_repeated_rows_empty_and_clashing_columns(make, spark):
-    docs = make([(1, "a\nb", "x"), (1, "a\nb", "x"), (2, "a", "y"), (3, "a", "z")], {"_removed_by": "me", "n_words": "7"})
+    docs = make([(1, "a\nb", "x"), (1, "a\nb", "x"), (2, "a", "y"), (3, "a", "z")], {"_removed": "me", "_lines": "7", "_of": "x", "removed": "y", "doc": "z", "_a": "1"})
     out = line_dedup.edit_documents(docs, min_sites=3)
     assert out.columns == docs.columns
     assert sorted((r.doc_id, r.text, r.n_chars) for r in out.collect()) == [(1, "a\nb", 3), (1, "a\nb", 3), (2, "", 0), (3, "", 0)]
+    assert {tuple(r)[5:] for r in out.collect()} == {("me", "7", "x", "y", "z", "1")}
     assert line_dedup.edit_documents(make([]).limit(0)).count() == 0
 
 

@@ -55,7 +55,7 @@ def test_query(spark, sf, documents):
 
 
 def test_partitions_do_not_matter(documents):
-    a, b = (sorted((r.doc_id, len(r._draws)) for r in mixing.with_draws(d).select("doc_id", "_draws").collect()) for d in (documents, documents.repartition(13)))
+    a, b = (sorted((r.doc_id, len(r.draws)) for r in mixing.with_draws(d).select("doc.doc_id", "draws").collect()) for d in (documents, documents.repartition(13)))
     assert a == b
 
 
@@ -64,7 +64,7 @@ def test_mix_repeats_and_shards(documents, monkeypatch):
     drawn = mixing.with_draws(documents, shard_words=3_000)
     from pyspark.sql import functions as F
 
-    rows = drawn.select("doc_id", F.explode("_draws").alias("d")).select("doc_id", "d.*").collect()
+    rows = drawn.select("doc.doc_id", F.explode("draws").alias("d")).select("doc_id", "d.*").collect()
     assert len(set((r.doc_id, r["pass"]) for r in rows)) == len(rows) and len({r.shard for r in rows}) > 3
     out = mixing.mix(documents)
     assert out.columns == documents.columns and sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in rows)
@@ -72,7 +72,28 @@ def test_mix_repeats_and_shards(documents, monkeypatch):
 
 def test_odd_rows(spark, tmp_path, make):
     rows = [(1, None, "a"), (2, "", "b"), (3, "w " * 40_000, None), (None, "x y", "a"), (4, "p q r", "b"), (4, "p q r", "b"), (5, "one", "")]
-    docs = make(rows, {"target": "x", "_size": "y"}).drop("_size")
+    docs = make(rows, {"target": "x", "_size": "y", "_key": "k", "size": "z", "_draws": "d", "doc": "o"})
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     check(docs, QUERIES["op7_mixing"](spark, str(tmp_path)).collect())
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and {(r._size, r._key, r.size, r._draws, r.doc) for r in mixed.collect()} == {("y", "k", "z", "d", "o")}
     assert mixing.with_draws(docs.limit(0)).count() == 0 and mixing.mix(docs.where("text = ''")).count() <= 1
+
+
+def test_many_sources_stay_within_the_generator():
+    for rows, sources in ((10**10, 10), (10**10, 100_000), (10**10, 1_000_000), (100, 3)):
+        blocks = mixing.blocks_of_source(rows, sources)
+        assert blocks >= 1 and blocks * sources * (mixing.CAP + 1) < 10**9
+    quotas = np.full(5_000, 199_000)
+    first, n = mixing.split_quotas(quotas, 64, 17, 5)
+    assert abs(n.sum() - quotas.sum() / 64) <= 64
+
+
+def test_thousand_sources(make):
+    rows = [(i, "w " * (1 + i % 7), f"s{i % 1000:04}") for i in range(3000)]
+    out = mixing.with_draws(make(rows), carry=["doc_id", "source"]).select("doc.*", "size", "source_size", "target", "draws").collect()
+    taken, target = {}, {r.source: r.target for r in out}
+    for r in out:
+        taken[r.source] = taken.get(r.source, 0) + r.size * len(r.draws)
+    assert len(target) == 1000 and abs(sum(target.values()) - sum(r.size for r in out)) < 1e-6
+    assert all(abs(taken[s] - t) <= 7 for s, t in target.items())

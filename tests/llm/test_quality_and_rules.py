@@ -116,5 +116,111 @@ def test_ftrl_is_sparse():
 def test_forest_scores_outliers_higher():
     rng = np.random.default_rng(0)
     x = np.concatenate((rng.normal(0, 0.1, (500, 3)), [[5.0, 5, 5]]))
-    s = rule_forest.fit_forest(x).score(x)
+    s = rule_forest.fit_forest(x[:500], x[500:]).score(x)
     assert s.argmax() == 500
+
+
+def test_the_forest_decides_and_sees_raw_statistics(spark):
+    """Bad rows are found by path lengths alone: with a forest grown on all rows alike, or a threshold of no labels, they aren't."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    known = rule_forest.labelled_counts(docs, labels, "quality", 12_000, 11)
+    known = known[~rule_forest.base_failed(known)]
+    good, x = (known["_label"] == 1).to_numpy(), rule_forest.statistics(known)
+    half = np.arange(len(x)) % 2 == 0
+
+    def caught(forest):
+        odd = forest.score(x)
+        limit = np.quantile(odd[good & half], 0.999)
+        return (odd[~good & ~half] > limit).mean(), (odd[good & ~half] > limit).mean()
+
+    found, lost = caught(rule_forest.fit_forest(x[good & half], x[~good & half]))
+    assert found > 0.9 and lost < 0.01
+    assert caught(rule_forest.fit_forest(x[half], x[:0]))[0] < 0.5
+
+
+def scalar_gam(model, row):
+    """One row's logit, table by table."""
+    cell = lambda v, edges: sum(e <= v for e in edges)
+    z = model.base + sum(model.tables[f][cell(v, model.edges[f])] for f, v in enumerate(row))
+    return z + sum(t[cell(row[i], model.pair_edges[i])][cell(row[j], model.pair_edges[j])] for t, (i, j) in zip(model.pair_tables, model.pairs, strict=True))
+
+
+def scalar_path(forest, row):
+    """Mean path length of one row, tree by tree."""
+    z = [np.arcsinh((v - c) / s) for v, c, s in zip(row, forest.centre, forest.spread, strict=True)]
+    total = 0.0
+    for column, cut, path in zip(forest.column, forest.cut, forest.path, strict=True):
+        node = 0
+        while column[node] >= 0:
+            node = 2 * node + (2 if z[column[node]] >= cut[node] else 1)
+        total += path[node]
+    return total / len(forest.path)
+
+
+def test_vectorised_scores_against_slow_ones():
+    rng = np.random.default_rng(1)
+    x = rng.random((600, 4)) ** 2
+    gam = quality_gam.fit_gam(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.5).astype(float))
+    assert np.allclose(gam.logit(x[:50]), [scalar_gam(gam, r) for r in x[:50]])
+    forest = rule_forest.fit_forest(x[:300], x[300:])
+    assert np.allclose(forest.score(x[:50]), [2 ** (-scalar_path(forest, r) / forest.norm) for r in x[:50]])
+
+
+def test_toxicity_scores_against_slow_ones(documents):
+    import pyarrow as pa
+
+    texts = [r.text for r in documents.limit(60).collect()] + ["", None, "a b a b"]
+    rng = np.random.default_rng(2)
+    table = np.where(rng.random(1 << toxicity_ftrl.BITS) < 0.3, rng.normal(size=1 << toxicity_ftrl.BITS), 0).astype(np.float32)
+    clean = toxicity_ftrl._clean(pa.array(texts))
+    slow = []
+    for t in clean:
+        _, at = toxicity_ftrl._hashed([t])
+        slow.append(0.5 + sum(float(table[k]) for k in set(at.tolist())))
+    assert np.allclose(toxicity_ftrl.logits(table, 0.5, clean), slow, atol=1e-4)
+
+
+def slow_ftrl(rows, y, seed):
+    """FTRL-proximal as published, coordinate by coordinate."""
+    t = toxicity_ftrl
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    l1 = t.L1 * len(y) / (len(y) + t.L1_ROWS)
+    weight = lambda i: 0.0 if abs(z[i]) <= (l1 if i >= 0 else 0) else -(z[i] - (np.sign(z[i]) * l1 if i >= 0 else 0)) / ((t.BETA + n[i] ** 0.5) / t.ALPHA + t.L2)
+    rng = np.random.default_rng(seed)
+    for _ in range(t.EPOCHS):
+        for k in rng.permutation(len(y)):
+            at = [*rows[k].tolist(), -1]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + np.exp(-np.clip(sum(w.values()), -30, 30))) - y[k]
+            for i in at:
+                s = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / t.ALPHA
+                z[i] += g - s * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def test_ftrl_against_the_published_steps():
+    rng = np.random.default_rng(4)
+    y = np.array([i % 2 for i in range(300)], float)
+    rows = [np.unique(np.append(rng.integers(0, 40, 6), [50 + i % 2] * 2)) for i in range(300)]
+    got, want = toxicity_ftrl.fit_ftrl(rows, y, 3), slow_ftrl(rows, y, 3)
+    assert dict(zip(got.at.tolist(), got.weight.tolist(), strict=True)) == pytest.approx({k: v for k, v in want.items() if k >= 0}, rel=1e-4)
+    assert got.intercept == pytest.approx(want.get(-1, 0.0), rel=1e-6)
+
+
+def test_long_texts_are_learnt_from(make, spark):
+    """A word that only very long toxic texts have gets its weight."""
+    rng = np.random.default_rng(0)
+    rows = [(i, " ".join([f"w{k}" for k in rng.integers(0, 400, 3_000)] + ["vile"] * (i % 2))) for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = toxicity_ftrl.score_toxicity(make(rows), labels).toPandas()
+    assert auc(got._score.to_numpy(), (got.doc_id % 2).to_numpy()) > 0.99
+
+
+def test_clashing_names_are_kept(make, labels):
+    docs = make([(1, "a b c"), (2, None)], {"_score": "s", "_held_out": "h", "_rules": "r", "_counts": "c", "_label": "l"})
+    for out, name in ((quality_gam.score_quality(docs, labels), "__score"), (toxicity_ftrl.score_toxicity(docs, labels), "__score"), (rule_forest.judge(docs, labels), "__rules"), (rule_forest.with_counts(docs), "__counts")):
+        assert out.columns[-1] == name and out.columns[: len(docs.columns)] == docs.columns
+        assert {(r._score, r._held_out, r._rules, r._counts) for r in out.collect()} == {("s", "h", "r", "c")}
+    assert rule_forest.keep_good(docs, labels).columns == docs.columns

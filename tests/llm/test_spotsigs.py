@@ -3,8 +3,10 @@ from __future__ import annotations
 import hashlib
 import re
 
+import pytest
+
 from compare import connect, differences
-from snipscan.llm import spotsigs
+from snipscan.llm import skew, spotsigs
 from snipscan.llm.queries import ORACLES, QUERIES
 
 COMMON = set(spotsigs.anchors())
@@ -74,6 +76,24 @@ def test_equal_rows_and_empty_table(spark, tmp_path, make):
     assert run(spark, tmp_path, make, []).count() == 0
 
 
+def test_rows_without_an_id_come_first(spark, tmp_path, make):
+    for rows in ([(None, "the start of a text x"), (1, "the other one of it all"), (2, "in the end of the third y")], [(None, "the a b c"), (None, "of the d e f g h")]):
+        out = run(spark, tmp_path, make, rows)
+        assert differences(out, connect_to(tmp_path), ORACLES["op3_spotsigs"]) == []
+
+
+def connect_to(folder):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    return con
+
+
+def test_classes_equal_sql(spark, sf):
+    assert differences(QUERIES["near_fingerprints"](spark, sf), connect(sf), ORACLES["near_fingerprints"]) == []
+
+
 def test_edited_texts_are_nearer_than_the_next(spark, sf):
     r = QUERIES["op3_spotsigs"](spark, sf).where("n_chars > 200").toPandas()
     assert (r.near_edited > r.near_next).mean() > 0.98
@@ -87,9 +107,14 @@ def test_pruned_likeness(spark):
     assert list(got) == [0.0, 1.0, 0.0]
 
 
-def test_near_classes_against_brute_force(make):
+@pytest.mark.parametrize("split", [False, True])
+def test_near_classes_against_brute_force(make, monkeypatch, split):
     import random
 
+    if split:
+        monkeypatch.setattr(skew, "SPLIT_ROWS", 3)
+        monkeypatch.setattr(skew, "HOT", 40)
+
     rng = random.Random(2)
     rows = []
     for g in range(30):

@@ -48,6 +48,28 @@ def test_a_snapshot_without_a_log_line_does_not_count(spark):
     assert state(store) == {("a", "en", "v"): (1, 10)}
 
 
+def test_torn_logs_and_two_writers(spark, tmp_path):
+    one, two = counts(spark, [(1, "a", "en", "v", 10)]), counts(spark, [(2, "b", "en", "v", 5)])
+    (tmp_path / "r" / "log" / "_temporary" / "0").mkdir(parents=True)
+    store = tr.Rollup(spark, str(tmp_path / "r"))
+    assert state(store) == {} and store.commit("one", tr.inserts(one))
+    (tmp_path / "r" / "log" / "000000000001.json").write_text('{"batch_id": "two", "numb')
+    (tmp_path / "r" / "log" / "000000000002.json").write_text("")
+    assert state(store) == {("a", "en", "v"): (1, 10)}
+    assert store.commit("two", tr.inserts(two)) and not store.commit("two", tr.inserts(two))
+    other, real, calls = tr.Rollup(spark, store.path), tr.Rollup._create, []
+
+    def late(self, number, line):
+        if not calls:
+            calls.append(number)
+            assert other.commit("three", tr.inserts(two))
+        return real(self, number, line)
+
+    store._create = late.__get__(store)
+    assert not store.commit("three", tr.inserts(two))
+    assert state(store) == {("a", "en", "v"): (1, 10), ("b", "en", "v"): (2, 10)}
+
+
 def test_odd_rows(make):
     docs = make([(1, None), (2, "", None), (3, "w " * 30_000), (3, "one"), (None, "two")], {"tokens": "x", "tokenizer_version": "y"})
     got = sorted(r.tokens for r in tr.token_counts(docs).collect())
