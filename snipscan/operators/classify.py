@@ -25,7 +25,7 @@ def hazards(texts: Column) -> Column:
 
 
 def keyword_hazards(canonical: Column, kwargs: Column) -> Column:
-    """(note, severity, new effect) of each keyword argument that changes what the call does, in order."""
+    """(note, severity, new effect) of each keyword argument that changes what the call does, in order. Keywords, calls and notes are fixed values."""
     http = canonical.rlike(r"^(requests|httpx|<session>|aiohttp|urllib3)\.")
     process = canonical.startswith("subprocess.") | canonical.startswith("asyncio.create_subprocess")
 
@@ -80,15 +80,20 @@ _NO_CALL = {"display": "string", "receiver": "string", "mode": "string", "args":
 _PLACE = ["seq", "owner", "line", "col"]
 
 
-def emissions(walked: DataFrame, *carry: str) -> DataFrame:
+def emissions(walked: DataFrame, *carry: str, once: tuple[str, ...] = ()) -> DataFrame:
     """A row for each call and each use of the environment, with the columns to carry; a snippet with none keeps one row of nulls.
 
-    One explode of one struct: the sources are walked once, however many results are made of the rows.
+    One explode of one struct: the sources are walked once, however many results are made of the rows. Columns of ``once``
+    may be wide: they stand on the first row of each snippet alone.
     """
     call = lambda c: F.struct(*[c[k].alias(k) for k in (*_PLACE, "canonical", "snippet", *_NO_CALL)], F.lit(None).cast("string").alias("env_verb"), F.lit(None).cast("string").alias("env_target"))
     use = lambda e: F.struct(*[e[k].alias(k) for k in _PLACE], F.when(e["verb"] == "argv", "sys.argv").otherwise("os.environ").alias("canonical"), e["snippet"].alias("snippet"), *[F.lit(None).cast(t).alias(k) for k, t in _NO_CALL.items()], e["verb"].alias("env_verb"), e["target"].alias("env_target"))
     both = F.concat(F.transform("facts.calls", call), F.transform("facts.env", use))
-    return walked.select("snippet_id", *carry, F.explode_outer(both).alias("_f")).select("snippet_id", *[c.rsplit(".", 1)[-1] for c in carry], "_f.*")
+    names = [c.rsplit(".", 1)[-1] for c in carry]
+    if not once:
+        return walked.select("snippet_id", *carry, F.explode_outer(both).alias("_f")).select("snippet_id", *names, "_f.*")
+    rows = walked.select("snippet_id", *carry, *once, F.posexplode_outer(both).alias("_p", "_f"))
+    return rows.select("snippet_id", *names, *[F.when(F.coalesce("_p", F.lit(0)) == 0, F.col(c)).alias(c) for c in once], "_f.*")
 
 
 def classify_rows(rows: DataFrame, rules: DataFrame | None = None) -> DataFrame:

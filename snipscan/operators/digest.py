@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from snipscan.functions import catalog
 from snipscan.functions.text import clip
+from snipscan.operators.classify import classify_rows, emissions
 
 #: Weights of the score, pinned to the bands. Fixed values.
 CAUTION, NOTABLE, INFO_CAP, KIND, FETCH_RUN, FETCH_WRITE, ENV_SEND, TOP = 30, 10, 12, 12, 15, 8, 10, 100
@@ -117,10 +118,14 @@ def _phrases() -> Column:
     return F.struct((F.col("severity") != 2).cast("int").alias("calm"), stage(F.col("effect")).alias("stage"), F.col("first").alias("first"), (F.col("effect").isin(QUIET) & (F.col("severity") != 2)).alias("quiet"), phrase(F.col("effect"), F.col("n"), F.col("thing")).alias("text"))
 
 
-def _sentence(phrases: Column) -> Column:
+def _headline(phrases: Column) -> Column:
+    """The phrases of the sentence in their order, all of them; quiet ones only while there are under three."""
     texts = lambda quiet: F.transform(F.filter(phrases, lambda x: x["quiet"] == quiet), lambda x: x["text"])
     main, aside = texts(False), texts(True)
-    parts = F.concat(main, F.slice(aside, 1, F.greatest(F.lit(3) - F.size(main), F.lit(0))))
+    return F.concat(main, F.slice(aside, 1, F.greatest(F.lit(3) - F.size(main), F.lit(0))))
+
+
+def _sentence(parts: Column) -> Column:
     more = F.when(F.size(parts) > 4, F.concat(F.lit(" (+"), (F.size(parts) - 4).cast("string"), F.lit(" more)"))).otherwise("")
     return F.concat(F.array_join(F.slice(parts, 1, 4), " → "), more)
 
@@ -128,28 +133,32 @@ def _sentence(phrases: Column) -> Column:
 def synopsis(hits: DataFrame) -> DataFrame:
     """snippet_id, synopsis: at most four phrases, cautions first, then in the order a program runs; quiet effects only while there are under three."""
     told = count_targets(hits).groupBy("snippet_id").agg(F.array_sort(F.collect_list(_phrases())).alias("all"))  # at most one for each effect
-    return told.select("snippet_id", _sentence(F.col("all")).alias("synopsis"))
+    return told.select("snippet_id", _sentence(_headline(F.col("all"))).alias("synopsis"))
 
 
-def overview(rows: DataFrame, carry: list[str] | None = None, notes: int = 0) -> DataFrame:
-    """risk, worst, mask, hits and synopsis of each snippet in one pass, from classified rows that may have a null effect.
+def overview(rows: DataFrame, carry: list[str] | None = None, notes: int = 0, once: list[str] | None = None, collect: dict[str, Column] | None = None) -> DataFrame:
+    """risk, worst, mask, hits, headline and synopsis of each snippet in one pass, from classified rows that may have a null effect.
 
     One shuffle by snippet serves the dedup, the order and the three levels of aggregates. ``carry``: columns that are the
-    same in all rows of a snippet. ``notes``: also the leading notes, as ``event_notes`` has them.
+    same in all rows of a snippet; ``once``: columns that stand on one of them. ``notes``: also the leading notes, as
+    ``event_notes`` has them. ``collect``: arrays of what an expression gives for each row (nulls left out); it may use
+    ``pos``, the row's place in the source, and ``any_effect``, which a hit that repeats another at its place keeps too.
     """
-    carry = carry or []
+    carry, once, collect = carry or [], once or [], collect or {}
     near = rows.repartition("snippet_id")
+    again = F.row_number().over(Window.partitionBy("snippet_id", "line", "col", "symbol").orderBy(F.col("effect").isNull(), "seq")) > 1
+    pos = F.row_number().over(Window.partitionBy("snippet_id").orderBy("line", "col", "seq"))
+    hits = near.withColumns({"_again": again, "pos": pos}).withColumns({"any_effect": F.col("effect"), "effect": F.when(~F.col("_again"), F.col("effect")), "severity": F.when(~F.col("_again"), F.col("severity"))})
     real = F.col("effect").isNotNull()
-    hits = near.withColumn("_n", F.row_number().over(Window.partitionBy("snippet_id", "line", "col", "symbol").orderBy("seq")))
-    hits = hits.withColumn("pos", F.row_number().over(Window.partitionBy("snippet_id").orderBy("line", "col", "seq"))).where((F.col("_n") == 1) | F.col("line").isNull())
-    same = [F.first(c).alias(c) for c in carry]
+    same = [*[F.first(c).alias(c) for c in carry], *[F.first(c, ignorenulls=True).alias(c) for c in once]]
     note = F.struct((-F.col("severity")).alias("less"), "line", "pos", "effect", "severity", "verb", "target", "note")
-    leading = [F.collect_list(F.when(F.col("severity") > 0, note)).alias("_notes")] if notes else []
+    lists = collect | ({"_notes": F.when(F.col("severity") > 0, note)} if notes else {})
     of = lambda s: F.count_if(F.col("severity") == s)
-    by = hits.groupBy("snippet_id", "effect", "target").agg(F.count_if(real).alias("times"), F.min("pos").alias("first"), F.max("severity").alias("severity"), of(2).alias("c"), of(1).alias("m"), of(0).alias("i"), *same, *leading)
+    gathered = [F.collect_list(e).alias(k) for k, e in lists.items()]
+    by = hits.groupBy("snippet_id", "effect", "target").agg(F.count_if(real).alias("times"), F.min("pos").alias("first"), F.max("severity").alias("severity"), of(2).alias("c"), of(1).alias("m"), of(0).alias("i"), *same, *gathered)
     named = F.col("target").isNotNull() & real
     best = F.min(F.when(named, F.struct((-F.col("times")).alias("less"), "first", "target")))
-    merged = [F.flatten(F.collect_list("_notes")).alias("_notes")] if notes else []
+    merged = [F.flatten(F.collect_list(k)).alias(k) for k in lists]
     sums = [F.sum(k).alias(k) for k in "cmi"]
     by = by.groupBy("snippet_id", "effect").agg(F.when(F.count_if(named) > 0, F.count_if(named)).otherwise(F.sum("times")).alias("n"), clip(best["target"], 28).alias("thing"), F.min("first").alias("first"), F.max("severity").alias("severity"), F.sum("times").alias("hits"), *sums, *same, *merged)
     out = by.groupBy("snippet_id").agg(
@@ -158,14 +167,20 @@ def overview(rows: DataFrame, carry: list[str] | None = None, notes: int = 0) ->
     has = lambda e: F.col("mask").bitwiseAND(F.lit(1 << catalog.EFFECTS.index(e))) != 0
     score = _score(F.col("c"), F.col("m"), F.col("i"), F.col("kinds"), has)
     told = [F.transform(F.slice(F.array_sort("_notes"), 1, notes), lambda x: F.struct(*[x[k].alias(k) for k in ("effect", "severity", "verb", "target", "line", "note")])).alias("notes")] if notes else []
-    return out.select("snippet_id", *carry, F.least(score, F.lit(TOP)).cast("int").alias("risk"), "worst", "mask", "hits", F.when(F.size("_all") > 0, _sentence(F.col("_all"))).alias("synopsis"), *told)
+    headline = _headline(F.col("_all"))
+    return out.select("snippet_id", *carry, *once, F.least(score, F.lit(TOP)).cast("int").alias("risk"), "worst", "mask", "hits", headline.alias("headline"), F.when(F.size("_all") > 0, _sentence(headline)).alias("synopsis"), *told, *collect)
 
 
 def quiet_synopsis(functions: Column, classes: Column, statements: Column) -> Column:
     """The sentence of a snippet without hits."""
+    return F.concat(F.lit("no side effects — "), F.array_join(quiet_headline(functions, classes, statements), ", "))
+
+
+def quiet_headline(functions: Column, classes: Column, statements: Column) -> Column:
+    """What a snippet without hits consists of."""
     many = lambda n, one, plural: F.concat(n.cast("string"), F.lit(" "), F.when(n == 1, one).otherwise(plural))
     bits = F.filter(F.array(F.when(functions > 0, F.concat(F.lit("defines "), many(functions, "function", "functions"))), F.when(classes > 0, many(classes, "class", "classes"))), lambda x: x.isNotNull())
-    return F.concat(F.lit("no side effects — "), F.when(F.size(bits) > 0, F.array_join(bits, ", ")).otherwise(many(statements, "statement", "statements")))
+    return F.when(F.size(bits) > 0, bits).otherwise(F.array(many(statements, "statement", "statements")))
 
 
 def timeline(hits: DataFrame, limit: int) -> DataFrame:
@@ -196,24 +211,97 @@ def symbols(rows: DataFrame) -> DataFrame:
     return out.where(~F.col("canonical").isin(catalog.NOISE) & ~((F.col("origin") == "method") & (F.col("effects") == 0)))
 
 
-def bindings_read(bindings: DataFrame, reads: DataFrame) -> DataFrame:
-    """``bindings`` with the loads of each name in its snippet, and whether there is none."""
-    loads = reads.select("snippet_id", "name", F.col("n").alias("reads"))
-    return bindings.join(loads, ["snippet_id", "name"], "left").withColumn("reads", F.coalesce("reads", F.lit(0))).withColumn("dead", F.col("reads") == 0)
+def read_bindings(bindings: Column, reads: Column) -> Column:
+    """The bindings of a snippet by line and name, with the loads of each name and whether there is none."""
+    loads = lambda b: F.coalesce(F.get(F.filter(reads, lambda r: r["name"] == b["name"]), F.lit(0))["n"], F.lit(0))
+    names = ("name", "kind", "value", "origin", "scope", "line", "depth", "rebinds", "accumulates")
+    told = F.transform(bindings, lambda b: F.struct(*[b[k].alias(k) for k in names], loads(b).alias("reads"), (loads(b) == 0).alias("dead")))
+    return F.array_sort(told, lambda a, b: F.when(F.struct(a["line"], a["name"]) < F.struct(b["line"], b["name"]), -1).when(F.struct(a["line"], a["name"]) > F.struct(b["line"], b["name"]), 1).otherwise(0))
+
+
+def _group(symbol: Column, local: Column) -> Column:
+    """Where a callee belongs: its module or the kind of value whose method it is."""
+    return F.when(symbol.startswith("<"), F.regexp_extract(symbol, r"^<+([^>.]*)", 1)).when(symbol.contains("."), F.regexp_extract(symbol, r"^(.*)\.[^.]*$", 1)).otherwise(F.when(local, "<local>").otherwise("<builtins>"))
+
+
+def symbol_list(uses: Column, roots: Column) -> Column:
+    """The inventory of callees of a snippet from its uses (symbol, seq, display, local, line, bit), in order: by count, then by group and name."""
+    names = F.array_distinct(F.transform(uses, lambda u: u["symbol"]))
+
+    def one(name: Column) -> Column:
+        own = F.array_sort(F.transform(F.filter(uses, lambda u: u["symbol"] == name), lambda u: F.struct(u["seq"].alias("seq"), u["display"].alias("display"), u["local"].alias("local"), u["line"].alias("line"), u["bit"].alias("bit"))))
+        first, root = F.get(own, F.lit(0)), F.substring_index(name, ".", 1)
+        origin = F.when(name.startswith("<"), "method").when(~name.contains("."), F.when(first["local"], "local").otherwise("builtin")).when(F.array_contains(roots, root) | root.isin(catalog.STDLIB), "import").otherwise("method")
+        effects = F.aggregate(own, F.lit(0), lambda acc, u: acc.bitwiseOR(u["bit"]))
+        return F.struct((-F.size(own)).alias("less"), _group(name, first["local"]).alias("group"), name.alias("canonical"), first["display"].alias("display"), origin.alias("origin"), F.size(own).alias("count"), F.array_distinct(F.transform(own, lambda u: u["line"])).alias("lines"), effects.alias("effects"))
+
+    kept = F.filter(F.array_sort(F.transform(names, one)), lambda s: ~s["canonical"].isin(catalog.NOISE) & ~((s["origin"] == "method") & (s["effects"] == 0)))
+    return F.transform(kept, lambda s: F.struct(*[s[k].alias(k) for k in ("canonical", "display", "group", "origin", "count", "lines", "effects")]))
+
+
+def _cell(text: Column) -> dict[str, Column]:
+    """What a line looks like: indent (a tab is 4), width, blank, comment."""
+    lead = F.regexp_extract(text, r"^[ \t\f\x0b\r]*", 0)
+    body = F.btrim(text, F.lit(" \t\r\f\x0b"))
+    indent = F.least(F.lit(255), F.length(lead) + 3 * (F.length(lead) - F.length(F.replace(lead, F.lit("\t"), F.lit("")))))
+    return {"indent": indent, "width": F.length(body), "blank": body == "", "comment": body.startswith("#")}
+
+
+def line_cells(lines: Column, kinds: Column, hits: Column) -> Column:
+    """The texture of a snippet as an array: each line's look, the kind of the first node on it, effects and severity of its hits."""
+
+    def cell(text: Column, i: Column) -> Column:
+        on = F.filter(hits, lambda h: h["line"] == i + 1)
+        severity = F.get(F.array(*map(F.lit, catalog.SEVERITIES)), F.array_max(F.transform(on, lambda h: h["severity"])))
+        return F.struct(*[e.alias(k) for k, e in _cell(text).items()], F.get(kinds, i).alias("kind"), F.aggregate(on, F.lit(0), lambda acc, h: acc.bitwiseOR(bit(h["effect"]))).alias("effects"), severity.alias("severity"))
+
+    shown = F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit("")))
+    return F.transform(shown, cell)
+
+
+def bindings_of(walked: DataFrame) -> DataFrame:
+    """A row for each binding of snippets with the facts ``bindings`` and ``reads``; nothing is shuffled."""
+    told = read_bindings(F.col("facts.bindings"), F.col("facts.reads"))
+    return walked.select("snippet_id", F.posexplode(told).alias("pos", "_b")).select("snippet_id", "pos", "_b.*")
+
+
+#: How an outline is drawn: a line that goes on, one that has ended, a child, the last child. Fixed values.
+GOES_ON, ENDED, CHILD, LAST_CHILD = "│  ", "   ", "├─ ", "└─ "
 
 
-def rollup_nodes(nodes: DataFrame, hits: DataFrame) -> DataFrame:
-    """``nodes`` with own_effects, and effects, severity and weight of the whole subtree: each node counts for all its ancestors."""
-    own = hits.groupBy("snippet_id", F.col("owner").alias("node_id")).agg(F.bit_or(bit(F.col("effect"))).alias("own_effects"), F.max("severity").alias("_severity"))
-    told = nodes.join(own, ["snippet_id", "node_id"], "left").withColumn("own_effects", F.coalesce("own_effects", F.lit(0)))
-    up = told.select("snippet_id", F.explode("path").alias("node_id"), "own_effects", "_severity").groupBy("snippet_id", "node_id").agg(F.bit_or("own_effects").alias("effects"), F.max("_severity").alias("severity"), F.count("*").alias("weight"))
-    return told.drop("_severity").join(up, ["snippet_id", "node_id"])
+def roll_up(nodes: Column, hits: Column) -> Column:
+    """The nodes of a snippet with own_effects, and effects, severity and weight of the whole subtree, and the prefix that draws the tree.
+
+    ``hits`` have owner, effect and severity. Ids go down the tree first, so a subtree is the range of ids up to its last.
+    """
+    bits = lambda some: F.aggregate(some, F.lit(0), lambda acc, h: acc.bitwiseOR(bit(h["effect"])))
+    ends = lambda k: F.get(nodes, k)["last"] == F.get(nodes, F.get(nodes, k)["parent_id"])["last"]
+
+    def rolled(n: Column) -> Column:
+        own = F.filter(hits, lambda h: h["owner"] == n["node_id"])
+        below = F.filter(hits, lambda h: h["owner"].between(n["node_id"], n["last"]))
+        above = F.slice(n["path"], 2, F.greatest(F.size(n["path"]) - 2, F.lit(0)))
+        drawn = F.concat(F.array_join(F.transform(above, lambda k: F.when(ends(k), ENDED).otherwise(GOES_ON)), ""), F.when(ends(n["node_id"]), LAST_CHILD).otherwise(CHILD))
+        return F.struct(
+            *[n[k].alias(k) for k in ("node_id", "parent_id", "path", "kind", "label", "detail", "line", "end_line", "depth")], bits(own).alias("own_effects"), bits(below).alias("effects"),
+            F.array_max(F.transform(below, lambda h: h["severity"])).alias("severity"), (n["last"] - n["node_id"] + 1).alias("weight"), F.when(n["parent_id"] >= 0, drawn).otherwise("").alias("prefix"),
+        )
+
+    return F.transform(nodes, rolled)
+
+
+def nodes_of(walked: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """A row for each node of snippets with the facts ``calls``, ``env`` and ``nodes``, rolled up: one walk, one shuffle by snippet."""
+    rows = classify_rows(emissions(walked.withColumn("_nodes", F.col("facts.nodes")), once=("_nodes",)), rules)
+    hit = F.when(F.col("effect").isNotNull(), F.struct("owner", "effect", "severity"))
+    by = rows.groupBy("snippet_id").agg(F.first("_nodes", ignorenulls=True).alias("_nodes"), F.collect_list(hit).alias("_hits"))  # a snippet's own
+    return by.select("snippet_id", F.explode(roll_up(F.col("_nodes"), F.col("_hits"))).alias("_n")).select("snippet_id", "_n.*")
 
 
 def outline(nodes: DataFrame, max_depth: int) -> DataFrame:
     """The rolled-up nodes down to a depth, with how many each of the deepest hides."""
     hidden = F.when(F.col("depth") == max_depth, F.col("weight") - 1).otherwise(0)
-    return nodes.where(F.col("depth") <= max_depth).withColumn("hidden", hidden).withColumn("prefix", F.expr("repeat('  ', depth)"))
+    return nodes.where(F.col("depth") <= max_depth).withColumn("hidden", hidden)
 
 
 def source_lines(snippets: DataFrame, source: str = "source") -> DataFrame:
@@ -233,10 +321,7 @@ def line_counts(snippets: DataFrame, source: str = "source") -> DataFrame:
 
 def texture(snippets: DataFrame, hits: DataFrame | None = None, nodes: DataFrame | None = None, source: str = "source") -> DataFrame:
     """A row for each line: indent (a tab is 4), width, blank, comment, and the kind, effects and severity of what stands on it."""
-    lead = F.regexp_extract("text", r"^[ \t\f\x0b\r]*", 0)
-    body = F.btrim("text", F.lit(" \t\r\f\x0b"))
-    indent = F.least(F.lit(255), F.length(lead) + 3 * (F.length(lead) - F.length(F.replace(lead, F.lit("\t"), F.lit("")))))
-    out = source_lines(snippets, source).select("snippet_id", "line", indent.alias("indent"), F.length(body).alias("width"), (body == "").alias("blank"), body.startswith("#").alias("comment"))
+    out = source_lines(snippets, source).select("snippet_id", "line", *[e.alias(k) for k, e in _cell(F.col("text")).items()])
     if nodes is not None:
         out = out.join(nodes.where("kind <> 'module'").groupBy("snippet_id", "line").agg(F.min_by("kind", "node_id").alias("kind")), ["snippet_id", "line"], "left")
     if hits is not None:

@@ -10,7 +10,7 @@ from snipscan.functions import catalog
 from snipscan.functions.text import age_text, band_block, barcode
 from snipscan.operators import digest
 from snipscan.operators.classify import classify_rows, emissions
-from snipscan.operators.facts import with_facts
+from snipscan.operators.facts import COUNTERS, with_facts
 
 SCHEMA = 1
 BANDS = catalog.BANDS
@@ -20,49 +20,83 @@ def severity_name(s: Column) -> Column:
     return F.get(F.array(*map(F.lit, catalog.SEVERITIES)), s)
 
 
-def _calm() -> Column:
-    return F.when(F.col("statements") == 0, "nothing to run").otherwise(digest.quiet_synopsis(F.col("functions"), F.col("classes"), F.col("statements")))
+FAILED = "analysis failed — read it yourself"
+
+
+def _calm(failed: Column, of: str = "") -> Column:
+    """The sentence of a snippet without hits, from its counters under ``of``."""
+    n = lambda k: F.col(of + k)
+    return F.when(failed, FAILED).when(n("lines_total") == n("lines_blank"), "nothing to run").otherwise(digest.quiet_synopsis(n("functions"), n("classes"), n("outlined")))
 
 
 def reports(snippets: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """One row for each snippet: parsed, bytes, line and node counts, risk, worst, band, mask, synopsis. One walk, one shuffle."""
-    walked = with_facts(snippets, ("parsed", "bytes", "counters", "calls", "env"))
-    rows = classify_rows(emissions(walked, "facts.parsed", "facts.bytes", "facts.counters"), rules)
-    r = digest.overview(rows, ["parsed", "bytes", "counters"]).select("snippet_id", "parsed", "bytes", "counters.*", "risk", "worst", "mask", "hits", "synopsis")
-    return r.withColumns({"band": digest.band(F.col("risk"), F.col("worst")), "synopsis": F.coalesce("synopsis", _calm()), "worst": severity_name(F.col("worst"))})
+    walked = with_facts(snippets, ("parsed", "failed", "bytes", "counters", "calls", "env"))
+    rows = classify_rows(emissions(walked, "facts.parsed", "facts.failed", "facts.bytes", "facts.counters"), rules)
+    r = digest.overview(rows, ["parsed", "failed", "bytes", "counters"]).select("snippet_id", "parsed", "failed", "bytes", "counters.*", "risk", "worst", "mask", "hits", "synopsis")
+    return r.withColumns({"band": digest.band(F.col("risk"), F.col("worst")), "synopsis": F.coalesce("synopsis", _calm(F.col("failed"))), "worst": severity_name(F.col("worst"))}).drop("outlined")
 
 
 def events(snippets: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Snippets (snippet_id, ts, name, origin, source) condensed to feed events with at most four notes."""
-    walked = with_facts(snippets, ("counters", "calls", "env"))
-    rows = classify_rows(emissions(walked, "ts", "name", "origin", "facts.counters"), rules)
-    e = digest.overview(rows, ["ts", "name", "origin", "counters"], notes=4).select("*", "counters.*")
+    walked = with_facts(snippets, ("failed", "counters", "calls", "env"))
+    rows = classify_rows(emissions(walked, "ts", "name", "origin", "facts.failed", "facts.counters"), rules)
+    e = digest.overview(rows, ["ts", "name", "origin", "failed", "counters"], notes=4).select("*", "counters.*")
     notes = F.transform("notes", lambda n: F.struct(n["effect"].alias("effect"), severity_name(n["severity"]).alias("severity"), n["verb"].alias("verb"), n["target"].alias("target"), n["line"].alias("line"), n["note"].alias("note")))
     return e.select(
         F.lit(SCHEMA).alias("schema"), "ts", "name", F.col("origin").alias("source"), F.col("lines_total").alias("lines"), "risk", digest.band(F.col("risk"), F.col("worst")).alias("band"), "mask",
-        severity_name(F.col("worst")).alias("worst"), F.coalesce("synopsis", _calm()).alias("synopsis"), notes.alias("notes"), F.lit(False).alias("blocked"),
+        severity_name(F.col("worst")).alias("worst"), F.coalesce("synopsis", _calm(F.col("failed"))).alias("synopsis"), notes.alias("notes"), F.lit(False).alias("blocked"),
     )
 
 
-def documents(snippets: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """(snippet_id, report): everything known of each snippet as one JSON document, in the nested form of a single report.
+_PARTS = ("parsed", "failed", "bytes", "counters", "calls", "env", "imports", "roots", "bindings", "reads", "nodes", "problems", "line_kinds")
+_KEPT = [p for p in _PARTS if p not in ("calls", "env")]
+
 
-    The parts that need no join (imports, bindings, nodes, problems, counters) come straight from the walk; effects are
-    classified rows put back together by snippet. The walked table is used twice, so store it first where that is dear.
+def dossiers(snippets: DataFrame, rules: DataFrame | None = None, source: str = "source") -> DataFrame:
+    """Everything known of each snippet in one row: one walk, one shuffle by snippet, and arrays of its own parts.
+
+    snippet_id, source (an array of lines), parsed, failed, bytes, risk, band, worst, mask, headline, synopsis, metrics,
+    effects, symbols, imports, bindings, spine, texture, diagnostics. Wide parts travel on one row of each snippet.
     """
-    walked = with_facts(snippets, ("parsed", "bytes", "counters", "calls", "env", "imports", "bindings", "reads", "nodes", "problems"))
-    hits = digest.order_hits(digest.dedup_hits(classify_rows(emissions(walked), rules).where("effect is not null")))
-    hit = F.struct("pos", "effect", severity_name(F.col("severity")).alias("severity"), "verb", "symbol", "target", "line", "col", "snippet", "note")
-    effects = hits.groupBy("snippet_id").agg(F.array_sort(F.collect_list(hit)).alias("effects"))  # a snippet's own
-    f = walked.select("snippet_id", "facts.*").join(effects, "snippet_id", "left")
+    walked = with_facts(snippets, _PARTS, source)
+    parts = F.struct(F.col(source).alias("source"), *[F.col(f"facts.{p}").alias(p) for p in _KEPT])
+    rows = classify_rows(emissions(walked.select("snippet_id", "facts", parts.alias("_kept")), once=("_kept",)), rules)
+    hit = F.when(F.col("effect").isNotNull(), F.struct("pos", "owner", "effect", "severity", "verb", "symbol", "target", "line", "col", "snippet", "note"))
+    use = F.when(F.col("display").isNotNull(), F.struct("symbol", "seq", "display", "local", "line", F.coalesce(digest.bit(F.col("any_effect")), F.lit(0)).alias("bit")))
+    o = digest.overview(rows, once=["_kept"], collect={"_hits": hit, "_uses": use})
+    o = o.select("snippet_id", "risk", F.col("worst").alias("_worst"), "mask", "headline", "synopsis", F.array_sort("_hits").alias("_hits"), F.array_sort("_uses").alias("_uses"), "_kept")
+    kept, count = lambda k: F.col(f"_kept.{k}"), lambda k: F.col(f"_kept.counters.{k}")
+    text = F.regexp_replace(kept("source"), r"\n\z", "")
+    lines = F.when(F.length(kept("source")) > 0, F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, r"\r\z", ""))).otherwise(F.array().cast("array<string>"))
+    blank = kept("failed") | (count("lines_total") == count("lines_blank"))
+    calm = F.when(blank, F.array().cast("array<string>")).otherwise(digest.quiet_headline(count("functions"), count("classes"), count("outlined")))
     third = lambda i: (i["level"] == 0) & ~F.substring_index(i["module"], ".", 1).isin(catalog.STDLIB)
-    imports = F.transform("imports", lambda i: F.struct(i["module"].alias("module"), i["names"].alias("names"), i["alias"].alias("alias"), i["line"].alias("line"), third(i).alias("third_party"), i["deferred"].alias("deferred")))
-    loads = lambda b: F.coalesce(F.get(F.filter("reads", lambda r: r["name"] == b["name"]), F.lit(0))["n"], F.lit(0))
-    bindings = F.transform("bindings", lambda b: F.struct(*[b[k].alias(k) for k in ("name", "kind", "value", "origin", "scope", "line", "depth", "rebinds", "accumulates")], loads(b).alias("reads"), (loads(b) == 0).alias("dead")))
-    shown = F.coalesce("effects", F.array().cast(effects.schema["effects"].dataType))
-    bare = F.transform(shown, lambda e: F.struct(*[e[k].alias(k) for k in ("effect", "severity", "verb", "symbol", "target", "line", "col", "snippet", "note")]))
-    report = F.struct(F.lit(SCHEMA).alias("schema"), F.struct("parsed", "bytes").alias("meta"), F.col("nodes").alias("spine"), imports.alias("imports"), bare.alias("effects"), bindings.alias("bindings"), F.col("counters").alias("metrics"), F.col("problems").alias("diagnostics"))
-    return f.select("snippet_id", F.to_json(report).alias("report"))
+    found = {
+        "source": lines,
+        "band": digest.band(F.col("risk"), F.col("_worst")),
+        "worst": severity_name(F.col("_worst")),
+        "headline": F.when(F.size("headline") > 0, F.col("headline")).otherwise(calm),
+        "synopsis": F.coalesce("synopsis", _calm(kept("failed"), "_kept.counters.")),
+        "metrics": F.struct(*[count(k).alias(k) for k in COUNTERS if k != "outlined"], "risk"),
+        "effects": F.transform("_hits", lambda h: F.struct(*[h[k].alias(k) for k in ("effect",)], severity_name(h["severity"]).alias("severity"), *[h[k].alias(k) for k in ("verb", "symbol", "target", "line", "col", "snippet", "note")])),
+        "symbols": digest.symbol_list(F.col("_uses"), kept("roots")),
+        "imports": F.transform(kept("imports"), lambda i: F.struct(i["module"].alias("module"), i["names"].alias("names"), i["alias"].alias("alias"), i["line"].alias("line"), third(i).alias("third_party"), i["deferred"].alias("deferred"))),
+        "bindings": digest.read_bindings(kept("bindings"), kept("reads")),
+        "spine": F.transform(digest.roll_up(kept("nodes"), F.col("_hits")), lambda n: n.withField("severity", severity_name(n["severity"]))),
+        "texture": digest.line_cells(lines, kept("line_kinds"), F.col("_hits")),
+        "diagnostics": kept("problems"),
+    }
+    return o.select("snippet_id", "_kept.parsed", "_kept.failed", "_kept.bytes", "risk", "mask", *[e.alias(k) for k, e in found.items()])
+
+
+def documents(snippets: DataFrame, rules: DataFrame | None = None, name: str | None = None) -> DataFrame:
+    """(snippet_id, report): everything known of each snippet as one JSON document, in the nested form of a single report."""
+    named = snippets.select("snippet_id", F.coalesce(F.col(name) if name else F.lit(None), F.lit("<snippet>")).alias("_name"), "source")
+    d = dossiers(named.withColumn("snippet_id", F.struct("snippet_id", "_name")), rules)
+    meta = F.struct(F.col("snippet_id._name").alias("name"), "bytes", "parsed", "synopsis", "headline")
+    report = F.struct(F.lit(SCHEMA).alias("schema"), meta.alias("meta"), "spine", "imports", "effects", "symbols", "bindings", "metrics", "texture", "diagnostics", "source")
+    return d.select("snippet_id.snippet_id", F.to_json(report, {"ignoreNullFields": "false"}).alias("report"))
 
 
 def totals() -> list[Column]:
@@ -95,14 +129,22 @@ def latest(events: DataFrame, n: int, prefix: str | None = None) -> DataFrame:
     return chosen.orderBy(F.desc("seq")).limit(n)
 
 
+def read_index(lines: DataFrame, n: int = 50, text: str = "value") -> DataFrame:
+    """The ``n`` newest cards of an index of JSON objects, one a line in order of ``seq``, as (seq, row: a variant), newest first; lines that aren't objects are passed over."""
+    row = F.try_parse_json(text)
+    return lines.select("seq", row.alias("row")).where(F.schema_of_variant("row").startswith("OBJECT")).orderBy(F.desc("seq")).limit(n)
+
+
 def at_least(events: DataFrame, floor: str) -> DataFrame:
     """Events of a band or a higher one."""
     return events.where(F.col("band").isin(BANDS[BANDS.index(floor) :]))
 
 
-def worst_of(events: DataFrame, *keys: str) -> DataFrame:
-    """Of each group, the event of the greatest risk, the first on a tie."""
-    return events.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in events.columns if c not in keys]), F.struct("risk", (-F.col("seq")).alias("early"))).alias("e")).select(*keys, "e.*")
+def worst_of(events: DataFrame, *keys: str, by_band: bool = False) -> DataFrame:
+    """Of each group, the event of the greatest risk, the first on a tie; ``by_band``: of equal risk the one of the higher band."""
+    band = F.array_position(F.array(*map(F.lit, BANDS)), F.col("band"))
+    order = F.struct("risk", *([band.alias("band")] if by_band else []), (-F.col("seq")).alias("early"))
+    return events.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in events.columns if c not in keys]), order).alias("e")).select(*keys, "e.*")
 
 
 def feed_rows(events: DataFrame, now: Column) -> DataFrame:

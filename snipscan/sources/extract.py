@@ -19,16 +19,39 @@ CODE_KEYS, SHELL_KEYS = "code source python script".split(), "command cmd comman
 _FOUND = pa.list_(pa.struct([("source", pa.string()), ("label", pa.string()), ("file", pa.string())]))
 
 
+_FOUND_DDL = "array<struct<source:string,label:string,file:string>>"
+
+
+def _structs(found: list[tuple]) -> list[dict]:
+    return [dict(zip(("source", "label", "file"), x, strict=True)) for x in found]
+
+
 def found_in(command: Column, cwd: Column | None = None, depth: int = 1) -> Column:
-    """The snippets of a command: an array of (source, label, file)."""
+    """The snippets of a command: an array of (source, label, file). Marked as non-deterministic, so that Spark reads each command once."""
 
-    @F.arrow_udf("array<struct<source:string,label:string,file:string>>")
+    @F.arrow_udf(_FOUND_DDL)
     def read(texts: pa.Array, folders: pa.Array) -> pa.Array:
         from snipscan.sources.shell import extract
 
-        return pa.array([[dict(zip(("source", "label", "file"), x, strict=True)) for x in extract(c, d, depth)] for c, d in zip(texts.to_pylist(), folders.to_pylist(), strict=True)], _FOUND)
+        return pa.array([_structs(extract(c, d, depth)) for c, d in zip(texts.to_pylist(), folders.to_pylist(), strict=True)], _FOUND)
+
+    return read.asNondeterministic()(command, cwd if cwd is not None else F.lit(None).cast("string"))
+
+
+def found_in_first(commands: Column, cwd: Column) -> Column:
+    """The snippets with any text of the first of several commands that has one; null if none has."""
+
+    @F.arrow_udf(_FOUND_DDL)
+    def read(lists: pa.Array, folders: pa.Array) -> pa.Array:
+        from snipscan.sources.shell import extract
+
+        out = []
+        for texts, folder in zip(lists.to_pylist(), folders.to_pylist(), strict=True):
+            found = ([f for f in extract(c, folder) if (f[0] or "").strip(" \t\r\n")] for c in texts or [])
+            out.append(_structs(next(filter(None, found), [])) or None)
+        return pa.array(out, _FOUND)
 
-    return read(command, cwd if cwd is not None else F.lit(None).cast("string"))
+    return read.asNondeterministic()(commands, cwd)
 
 
 def argv(args: Column) -> Column:
@@ -68,8 +91,14 @@ def first_or_itself(commands: DataFrame, key: str, command: str = "command") ->
     return commands.select(key, command).join(found, key, "left").select(key, F.coalesce("f.source", command).alias("source"), F.coalesce("f.label", F.lit("<stdin>")).alias("label"))
 
 
-def _field(payload: Column, *names: str) -> Column:
-    return F.coalesce(*[F.nullif(F.get_json_object(payload, f"$.{n}"), F.lit("")) for n in names])
+#: What is read of a payload and of a tool's arguments, as text.
+PAYLOAD = "tool_name string, tool string, tool_input string, args string, input string, cwd string"
+ARGUMENTS = ", ".join(f"{k} string" for k in dict.fromkeys([*CODE_KEYS, *SHELL_KEYS, "cell_type", "new_source"]))
+
+
+def once(json: Column, schema: str) -> Column:
+    """The struct that a JSON text holds, as a row: a generated row isn't merged into what uses it, so the text is parsed once."""
+    return F.explode(F.array(F.from_json(json, schema)))
 
 
 def in_payloads(payloads: DataFrame, payload: str = "payload") -> DataFrame:
@@ -77,32 +106,28 @@ def in_payloads(payloads: DataFrame, payload: str = "payload") -> DataFrame:
 
     Payloads that aren't JSON objects have no snippets.
     """
-    p = F.col(payload)
-    tool = F.btrim(F.coalesce(_field(p, "tool_name", "tool"), F.lit("")))
-    low = F.lower(tool)
-    args = F.coalesce(*[F.when(F.get_json_object(p, f"$.{n}").startswith("{") & (F.get_json_object(p, f"$.{n}") != "{}"), F.get_json_object(p, f"$.{n}")) for n in ("tool_input", "args", "input")])
-    out = payloads.withColumns({"_tool": tool, "_low": low, "_args": args, "_cwd": F.get_json_object(p, "$.cwd")})
-    takes_code, takes_shell, notebook = F.col("_low").isin(CODE_TOOLS), F.col("_low").isin(SHELL_TOOLS), F.col("_low") == "notebookedit"
-    unknown = ~takes_code & ~takes_shell
-    a = F.col("_args")
-    value = lambda k: F.get_json_object(a, f"$.{k}")
+    row = F.struct(*[F.col(f"`{c}`") for c in payloads.columns]).alias("row")
+    given = lambda *names: F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names])
     full = lambda c: F.when(F.btrim(c, F.lit(" \t\r\n")) != "", c)
-    cell = F.when(F.lower(F.coalesce(_field(a, "cell_type"), F.lit("code"))) == "code", full(_field(a, "new_source", "source")))
+    p = payloads.select(row, once(F.col(payload), PAYLOAD).alias("p"))
+    args = F.coalesce(*[F.when(F.col(f"p.{n}").startswith("{") & (F.col(f"p.{n}") != "{}"), F.col(f"p.{n}")) for n in ("tool_input", "args", "input")])
+    tool = F.btrim(F.coalesce(given("p.tool_name", "p.tool"), F.lit("")))
+    p = p.select("row", tool.alias("tool"), F.lower(tool).alias("low"), F.col("p.cwd").alias("cwd"), once(args, ARGUMENTS).alias("a")).where(~F.col("low").isin(SKIP_TOOLS))
+    takes_code, takes_shell, notebook = F.col("low").isin(CODE_TOOLS), F.col("low").isin(SHELL_TOOLS), F.col("low") == "notebookedit"
+    unknown = ~takes_code & ~takes_shell
+    value = lambda k: F.col(f"a.{k}")
+    cell = F.when(F.lower(F.coalesce(given("a.cell_type"), F.lit("code"))) == "code", full(given("a.new_source", "a.source")))
     code = F.coalesce(*[F.when(takes_code | looks_like_python(value(k)), full(value(k))) for k in CODE_KEYS])
     spoken = [full(F.when(value(k).startswith("["), F.array_join(F.from_json(value(k), "array<string>"), " ")).otherwise(value(k))) for k in SHELL_KEYS]
-    out = out.withColumn("_code", F.when(F.col("_low").isin(SKIP_TOOLS) | a.isNull(), None).when(notebook, cell).when(takes_code | unknown, code))
-    out = out.withColumn("_spoken", F.when(F.col("_low").isin(SKIP_TOOLS) | a.isNull() | notebook | F.col("_code").isNotNull(), F.array().cast("array<string>")).when(takes_shell | unknown, F.array(*spoken)).otherwise(F.array().cast("array<string>")))
-    label = F.when(notebook, "notebook cell").otherwise(F.when(F.col("_tool") != "", F.col("_tool")).otherwise("code"))
-    direct = F.when(F.col("_code").isNotNull(), F.array(F.struct(F.col("_code").alias("source"), label.alias("label"), F.lit(None).cast("string").alias("file"))))
-    readings = F.array(*[F.filter(found_in(F.get("_spoken", F.lit(i)), F.col("_cwd")), lambda f: F.btrim(F.coalesce(f["source"], F.lit("")), F.lit(" \t\r\n")) != "") for i in range(len(SHELL_KEYS))])
-    out = out.withColumn("_read", readings)
-    shell = F.get(F.filter("_read", lambda r: F.size(r) > 0), F.lit(0))
-    found = F.coalesce(direct, shell)
-    rest = [F.col(f"`{c}`") for c in payloads.columns]
-    return out.select(*rest, F.posexplode(found).alias("segment", "_f")).select(*rest, "segment", "_f.source", "_f.label")
+    p = p.select("row", "tool", "cwd", notebook.alias("notebook"), F.when(notebook, cell).when(takes_code | unknown, code).alias("code"), F.when(~notebook & (takes_shell | unknown), F.array(*spoken)).alias("spoken"))
+    label = F.when(F.col("notebook"), "notebook cell").otherwise(F.when(F.col("tool") != "", F.col("tool")).otherwise("code"))
+    direct = F.when(F.col("code").isNotNull(), F.array(F.struct(F.col("code").alias("source"), label.alias("label"), F.lit(None).cast("string").alias("file"))))
+    p = p.withColumn("read", found_in_first(F.when(F.col("code").isNull(), F.col("spoken")), F.col("cwd")))
+    return p.select("row", F.posexplode(F.coalesce(direct, "read")).alias("segment", "f")).select("row.*", "segment", "f.source", "f.label")
 
 
 def origin(payload: Column, default: str = "hook") -> Column:
     """Where a payload came from: its source and the start of its session's id."""
-    session = F.substring(F.coalesce(_field(payload, "session_id"), F.lit("")), 1, 8)
-    return F.concat(F.coalesce(_field(payload, "hook_source"), F.lit(default)), F.when(session != "", F.concat(F.lit(":"), session)).otherwise(""))
+    told = F.from_json(payload, "session_id string, hook_source string")
+    session = F.substring(F.coalesce(told["session_id"], F.lit("")), 1, 8)
+    return F.concat(F.coalesce(F.nullif(told["hook_source"], F.lit("")), F.lit(default)), F.when(session != "", F.concat(F.lit(":"), session)).otherwise(""))

@@ -32,33 +32,99 @@ def text_of(e: ast.AST | None) -> str | None:
     return e.value if isinstance(e, ast.Constant) and isinstance(e.value, str) else None
 
 
-def parse(source: str) -> tuple[ast.Module | None, list[tuple[str, str, int, int]]]:
-    """The tree of the source, or of its longest prefix of lines that parses; what was wrong."""
-    problems: list[tuple[str, str, int, int]] = []
-    text, tries = source, 0
-    while tries < 12:
-        tries += 1
-        try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                return ast.parse(text), problems
-        except (RecursionError, MemoryError):
-            problems.append(("warning", "nested deeper than the parser goes", 1, 1))
-            return None, problems
-        except SyntaxError as e:
-            deep = "too many nested" in (e.msg or "") or "too many statically nested" in (e.msg or "") or "indentation" in (e.msg or "") and "too many" in (e.msg or "")
-            if not problems:
-                problems.append(("warning" if deep else "error", e.msg or "invalid syntax", e.lineno or 1, e.offset or 1))
-            cut = max(0, (e.lineno or 1) - 1)
-        except ValueError as e:
-            problems.append(("error", str(e), 1, 1))
-            return None, problems
-        rows = text.split("\n")
-        cut = min(cut, len(rows) - 1)
-        if not cut:
-            return None, problems
-        text = "\n".join(rows[:cut])
-    return None, problems
+Problem = tuple[str, str, int, int]
+#: Attempts to mend one broken top-level statement, and how often over a source may be read again to find where open statements
+#: end; then an open statement counts as broken. Marks of a statement that goes on beyond its lines.
+TRIES, REREADS = 400, 32
+_OPEN_ENDED = ("was never closed", "unterminated triple-quoted", "unexpected EOF")
+_GOES_ON = re.compile(r"[\s#)\]}]|(?:elif|else|except|finally)\b|$")
+
+
+def _parsed(text: str) -> tuple[ast.Module | None, Exception | None]:
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            return ast.parse(text), None
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        return None, e
+
+
+def _problem(e: Exception, offset: int = 0) -> Problem:
+    if isinstance(e, (RecursionError, MemoryError)):
+        return "warning", "nested deeper than the parser goes", 1 + offset, 1
+    text = getattr(e, "msg", None) or str(e) or "invalid syntax"
+    deep = "too many nested" in text or "too many statically nested" in text or ("indentation" in text and "too many" in text)
+    return "warning" if deep else "error", text, (getattr(e, "lineno", None) or 1) + offset, getattr(e, "offset", None) or 1
+
+
+def _mend(rows: list[str]) -> ast.Module | None:
+    """The tree of a broken statement's ``rows``, which are changed: a line that can't be read becomes ``pass``, or ``if 1:`` where a block hangs on it."""
+    mended: set[int] = set()
+    for _ in range(min(TRIES, 2 * len(rows) + 1)):
+        tree, e = _parsed("\n".join(rows))
+        if tree is not None:
+            return tree
+        if not isinstance(e, SyntaxError):
+            return None
+        at = min(max((e.lineno or 1) - 1, 0), len(rows) - 1)
+        before = next((k for k in range(at - 1, -1, -1) if rows[k].strip()), None)
+        margin = lambda k: rows[k][: len(rows[k]) - len(rows[k].lstrip())]
+        text = e.msg or ""
+        if "unexpected indent" in text and before in mended:
+            rows[before] = margin(before) + "if 1:"
+        elif ("unexpected indent" in text or "unindent does not match" in text) and at not in mended:
+            rows[at] = (margin(before) if before is not None else "") + rows[at].strip()
+            mended.add(at)
+        else:
+            if before is not None and before not in mended and ("expected an indented block" in text or rows[before].lstrip().startswith("@")):
+                at = before
+            elif at in mended:
+                at = next((k for k in [*range(at, -1, -1), *range(at, len(rows))] if k not in mended and rows[k].strip()), None)
+                if at is None:
+                    return None
+            body = next((k for k in range(at + 1, len(rows)) if rows[k].strip()), None)
+            deeper = body is not None and len(margin(body)) > len(margin(at)) and "expected an indented block" not in text
+            rows[at] = margin(at) + ("if 1:" if deeper else "pass")
+            mended.add(at)
+    return None
+
+
+def parse(source: str) -> tuple[ast.Module | None, list[Problem], list[str]]:
+    """The tree of the source, what was wrong, and the rows that the tree's places refer to. A source that doesn't parse is read by its top-level statements: those that parse are whole, and of one that doesn't the lines that can't be read are left out."""
+    tree, e = _parsed(source)
+    if tree is not None:
+        return tree, [], source.split("\n")
+    problems = [_problem(e)]
+    rows = source.replace("\0", " ").split("\n")
+    starts = [i for i, r in enumerate(rows) if not _GOES_ON.match(r) and not (i and rows[i - 1].startswith("@"))] or [0]
+    starts[0] = 0
+    ends = [*starts[1:], len(rows)]
+    body: list[ast.stmt] = []
+    i, found, room = 0, False, REREADS * (len(source) + 1)
+    while i < len(starts):
+        j, lo = i, starts[i]
+        tree, e = _parsed("\n".join(rows[lo : ends[i]]))
+        step = 1
+        while tree is None and isinstance(e, SyntaxError) and any(x in (e.msg or "") for x in _OPEN_ENDED) and i + step // 2 < len(starts) - 1 and room > 0:
+            j = min(i + step, len(starts) - 1)
+            text = "\n".join(rows[lo : ends[j]])
+            room -= len(text)
+            tree, e = _parsed(text)
+            step *= 2
+        if tree is None:
+            if not isinstance(e, (RecursionError, MemoryError)):
+                _, e = _parsed("\n".join(rows[lo : ends[i]]))
+            j, told = i, _problem(e, lo) if e else problems[0]
+            if told[2:] != problems[0][2:]:
+                problems.append(told)
+            some = rows[lo : ends[i]]
+            tree = _mend(some)
+            rows[lo : ends[i]] = some
+        if tree is not None:
+            found = True
+            body += ast.increment_lineno(tree, lo).body
+        i = j + 1
+    return (ast.Module(body, []) if found else None), problems, rows
 
 
 class Walk:
@@ -598,28 +664,50 @@ class Walk:
 _COMMENT = re.compile(r"\s*#")
 
 
-def facts(source: str | None) -> dict:
-    """The facts of one snippet; never raises."""
-    source = source or ""
-    rows = lines_of(source)
-    w = Walk(source)
-    tree, problems = parse(source)
-    w.problems += problems
-    failed = tree is None
-    if tree is not None:
-        try:
-            w.node([], "module", "module", None, 1, max(1, len(rows)))
-            w.prescan(tree.body)
-            w.block(tree.body, [0])
-        except RecursionError:
-            w.problems.append(("warning", "nested deeper than the walk goes", 1, 1))
-            failed = True
-    else:
-        w.node([], "module", "module", None, 1, max(1, len(rows)))
+def _last(nodes: list[tuple]) -> list[int]:
+    """The last descendant of each node: ids go down the tree before they go on."""
+    last = list(range(len(nodes)))
+    for n in reversed(nodes):
+        if n[1] >= 0:
+            last[n[1]] = max(last[n[1]], last[n[0]])
+    return last
+
+
+def _told(source: str, w: Walk, rows: list[str], failed: bool, parsed: bool) -> dict:
     blank = sum(not r.strip() for r in rows)
     comment = sum(bool(_COMMENT.match(r)) for r in rows)
-    counters = w.count | {"complexity": w.count["complexity"] + 1, "lines_total": len(rows), "lines_blank": blank, "lines_comment": comment, "lines_code": len(rows) - blank - comment, "max_depth": max((len(n[2]) - 2 for n in w.nodes), default=0) if len(w.nodes) > 1 else 0}
+    depth = max((len(n[2]) - 2 for n in w.nodes), default=0) if len(w.nodes) > 1 else 0
+    counters = w.count | {"complexity": w.count["complexity"] + (not failed), "lines_total": len(rows), "lines_blank": blank, "lines_comment": comment, "lines_code": len(rows) - blank - comment, "max_depth": depth, "outlined": len(w.nodes) - 1}
+    kinds: list[str | None] = [None] * len(rows)
+    for n in w.nodes[1:]:
+        if n[6] <= len(rows) and kinds[n[6] - 1] is None:
+            kinds[n[6] - 1] = n[3]
     return {
-        "parsed": not failed and not any(p[0] == "error" for p in w.problems), "bytes": len(source.encode(errors="replace")), "calls": w.calls, "env": w.env, "imports": w.imports,
-        "roots": sorted(w.roots), "bindings": [tuple(v.values()) for v in w.bindings.values()], "reads": list(w.reads.items()), "nodes": w.nodes, "problems": w.problems, "counters": counters,
+        "parsed": parsed, "failed": failed, "bytes": len(source.encode(errors="replace")), "calls": w.calls, "env": w.env, "imports": w.imports, "roots": sorted(w.roots), "bindings": [tuple(v.values()) for v in w.bindings.values()],
+        "reads": list(w.reads.items()), "nodes": [(*n, last) for n, last in zip(w.nodes, _last(w.nodes), strict=True)], "problems": w.problems, "counters": counters, "line_kinds": kinds,
     }
+
+
+def facts(source: str | None) -> dict:
+    """The facts of one snippet; never raises. What the walk can't finish gives an empty, honest answer: not parsed, failed, and why."""
+    source = source or ""
+    rows = lines_of(source)
+    try:
+        w = Walk(source)
+        tree, problems, w.rows = parse(source)
+        w.problems += problems
+        w.node([], "module", "module", None, 1, max(1, len(rows)))
+        parsed = tree is not None
+        if tree is not None:
+            try:
+                w.prescan(tree.body)
+                w.block(tree.body, [0])
+            except RecursionError:
+                w.problems.append(("warning", "nested deeper than the walk goes", 1, 1))
+                parsed = False
+        return _told(source, w, rows, False, parsed and not any(p[0] == "error" for p in w.problems))
+    except Exception as e:  # one odd source must not fail its task
+        w = Walk("")
+        w.node([], "module", "module", None, 1, max(1, len(rows)))
+        w.problems.append(("error", f"this snippet could not be analysed: {type(e).__name__}: {e}", 1, 1))
+        return _told(source, w, rows, True, False)

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from snipscan.functions import catalog, render
 from snipscan.operators import events as ev
+from snipscan.sources.extract import once
 
 NOTE = T.StructType([T.StructField("effect", T.StringType()), T.StructField("severity", T.StringType()), T.StructField("verb", T.StringType()), T.StructField("target", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("note", T.StringType())])
 EVENT = T.StructType([
@@ -23,14 +24,18 @@ TRIM_BYTES = 4 << 20
 
 def parse(lines: DataFrame, text: str = "value") -> DataFrame:
     """Events from lines of text: torn lines, lines without a required field or with an unknown name, and lines of a newer schema are dropped. A line without a schema counts as schema 0."""
-    e = lines.select(*[c for c in lines.columns if c != text], F.from_json(text, EVENT).alias("_e")).select(*[c for c in lines.columns if c != text], "_e.*")
+    rest = [F.col(f"`{c}`") for c in lines.columns if c != text]
+    e = lines.select(*rest, once(F.col(text), EVENT.simpleString()).alias("_e"))  # one parse of each line
+    of = lambda c: F.col(f"_e.{c}")
     whole = F.lit(True)
     for c in REQUIRED:
-        whole = whole & F.col(c).isNotNull()
-    known = F.col("band").isin(catalog.BANDS) & (F.col("worst").isNull() | F.col("worst").isin(catalog.SEVERITIES))
-    notes = F.forall("notes", lambda n: n["effect"].isin(catalog.EFFECTS) & n["severity"].isin(catalog.SEVERITIES) & n["verb"].isNotNull() & n["line"].isNotNull())
-    ranges = F.col("risk").between(0, 255) & F.col("mask").between(0, 65535) & (F.col("ts") >= 0) & (F.col("lines") >= 0)
-    return e.where(whole & known & F.coalesce(notes, F.lit(False)) & ranges & (F.coalesce("schema", F.lit(0)) <= ev.SCHEMA)).withColumn("schema", F.coalesce("schema", F.lit(0)))
+        whole = whole & of(c).isNotNull()
+    known = of("band").isin(catalog.BANDS) & (of("worst").isNull() | of("worst").isin(catalog.SEVERITIES))
+    notes = F.forall(of("notes"), lambda n: n["effect"].isin(catalog.EFFECTS) & n["severity"].isin(catalog.SEVERITIES) & n["verb"].isNotNull() & n["line"].isNotNull())
+    ranges = of("risk").between(0, 255) & of("mask").between(0, 65535) & (of("ts") >= 0) & (of("lines") >= 0)
+    schema = F.coalesce(of("schema"), F.lit(0))
+    good = e.where(whole & known & F.coalesce(notes, F.lit(False)) & ranges & (schema <= ev.SCHEMA))
+    return good.select(*rest, schema.alias("schema"), *[of(f.name).alias(f.name) for f in EVENT if f.name != "schema"])
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -52,19 +57,32 @@ def write_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     return events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
 
 
-def look(snippets: DataFrame, path: str, checkpoint: str, pages: str | None = None) -> StreamingQuery:
+def look(snippets: DataFrame, path: str, checkpoint: str, pages: str | None = None, errors: str | None = None, every: str | None = None) -> StreamingQuery:
     """Analyse a stream of snippets: each batch's events go to the feed, and a line for each to ``pages``, if given.
 
     A batch writes to a folder of its own, over what a failed attempt may have left there, so a retry adds nothing twice.
+    With ``errors`` a feed that can't be written doesn't stop the analysis: the batch's number and the error go there as
+    a JSON line (batch, feed_error), and its pages are written all the same. ``every`` is the time between polls; without
+    it what is there is read and the query ends.
     """
 
     def put(batch: DataFrame, number: int) -> None:
         events = ev.events(batch)
-        events.write.mode("overwrite").json(f"{path}/batch={number}")
+        if pages:
+            events = events.persist()
+        try:
+            events.write.mode("overwrite").json(f"{path}/batch={number}")
+        except Exception as e:
+            if errors is None:
+                raise
+            told = batch.sparkSession.createDataFrame([(number, f"{type(e).__name__}: {e}"[:2000])], "batch bigint, feed_error string")
+            told.write.mode("overwrite").json(f"{errors}/batch={number}")
         if pages:
             events.select(render.line(F.col("name")).alias("value")).write.mode("overwrite").text(f"{pages}/batch={number}")
+            events.unpersist()
 
-    return snippets.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    when = {"processingTime": every} if every else {"availableNow": True}
+    return snippets.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**when).start()
 
 
 def trim(lines: DataFrame, limit: int = TRIM_BYTES, group: str | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ import hashlib
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 HEAD = 64
-#: Bytes that one batch reads at most.
+#: Bytes that one batch reads at most, but for a longer line.
 STEP = 16 << 20
 
 
@@ -42,18 +42,26 @@ class TailReader(SimpleDataSourceStreamReader):
     def initialOffset(self) -> dict:
         return self._mark(0 if self.replay else self._size())
 
+    def _same(self, start: dict) -> bool:
+        """Whether the file is still the one that ``start`` was taken from."""
+        return self._size() >= start["bytes"] and hashlib.sha1(self._look(0, start["head"])).hexdigest() == start["sign"]
+
+    def _lines(self, data: bytes):
+        return iter([(line.decode(errors="replace").rstrip("\r"),) for line in data.split(b"\n")[:-1]])
+
     def read(self, start: dict):
-        at = start["bytes"]
-        if self._size() < at or hashlib.sha1(self._look(0, start["head"])).hexdigest() != start["sign"]:
-            at = 0
+        at = start["bytes"] if self._same(start) else 0
         data = self._look(at, STEP)
+        while b"\n" not in data and (more := self._look(at + len(data), STEP)):  # a line longer than a step
+            data += more
         data = data[: data.rfind(b"\n") + 1]
-        return iter([(line.decode(errors="replace").rstrip("\r"),) for line in data.split(b"\n")[:-1]]), self._mark(at + len(data))
+        return self._lines(data), self._mark(at + len(data))
 
     def readBetweenOffsets(self, start: dict, end: dict):
-        at = start["bytes"] if start["bytes"] <= end["bytes"] else 0
+        """The lines of a batch once more. A batch that began in a file since replaced has what is left: the new file up to its end."""
+        at = start["bytes"] if self._same(start) and start["bytes"] <= end["bytes"] else 0
         data = self._look(at, end["bytes"] - at)
-        return iter([(line.decode(errors="replace").rstrip("\r"),) for line in data.split(b"\n")[:-1]])
+        return self._lines(data[: data.rfind(b"\n") + 1])
 
 
 class TailSource(DataSource):

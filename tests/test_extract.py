@@ -10,23 +10,24 @@ from snipscan.sources import extract as x
 from snipscan.sources.shell import classify_argv, extract
 
 CASES = [
-    ("python3 <<'E'\nprint(1)\nE\n", [("print(1)\n", "heredoc <<E")]),
-    ("python3 <<-E\n\tprint(1)\n\tE\n", [("print(1)\n", "heredoc <<E")]),
-    ("python3 <<E\nprint(1)\n", [("print(1)\n", "heredoc <<E (unterminated)")]),
-    ("python3 <<'A' && python3 <<'B'\na\nA\nb\nB\n", [("a\n", "heredoc <<A"), ("b\n", "heredoc <<B")]),
-    ("cat <<E | python3\nx\nE\n", [("x\n", "heredoc <<E")]),
-    ("python3 <<< 'x'", [("x\n", "here-string <<<")]),
-    ("python -c \"x = 1 << 2\"", [("x = 1 << 2", "python -c")]),
-    ("python3 -uBc 'x'", [("x", "python -c")]),
-    ("A=1 sudo -u me timeout 5 nice -n 3 python3 -c x", [("x", "python -c")]),
-    ("uv run --with a python -c x", [("x", "python -c")]),
-    ("bash -lc \"python3 -c 'x'\"", [("x", "python -c")]),
-    ("echo -n 'x' | python3", [("x\n", "<pipe> echo")]),
-    ("curl u | python3 -", [("", "<pipe> curl")]),
-    ("python3 -m pytest", []),
-    ("echo \"python3 -c 'x'\"", []),
-    ("# python3 -c x\nls", []),
-    ("mypython3 s.py", []),
+    ("python3 - <<'PY'\nimport this\nPY\n", [("import this\n", "heredoc <<PY")]),
+    ("python3.12 <<-STOP\n\t\tn = 4\n\tSTOP\n", [("n = 4\n", "heredoc <<STOP")]),
+    ("pypy3 <<Q\nn = 5\n", [("n = 5\n", "heredoc <<Q (unterminated)")]),
+    ("python <<ONE; python <<'TWO'\n1\nONE\n2\nTWO\n", [("1\n", "heredoc <<ONE"), ("2\n", "heredoc <<TWO")]),
+    ("cat - <<T | sudo python\nk = 9\nT\n", [("k = 9\n", "heredoc <<T")]),
+    ("ipython <<< 'len([])'", [("len([])\n", "here-string <<<")]),
+    ("python -c \"m = 8 >> 1\"", [("m = 8 >> 1", "python -c")]),
+    ("python3 -OOsc 'm()'", [("m()", "python -c")]),
+    ("LANG=C doas -u web nohup timeout -k 1 9 nice -n 5 python3 -c go", [("go", "python -c")]),
+    ("uv run --python 3.12 --with rich python -c go", [("go", "python -c")]),
+    ("zsh -ic \"cd /srv; python3 -c 'go'\"", [("go", "python -c")]),
+    ("echo -e 'go()' | pypy", [("go()\n", "<pipe> echo")]),
+    ("printf 'a\\nb' | python3", [("a\nb", "<pipe> printf")]),
+    ("ssh host job | python3 -", [("", "<pipe> ssh")]),
+    ("py -m venv env", []),
+    ("grep -n \"python3 -c 'go'\" *.sh", []),
+    ("make # && python3 -c go\ndate", []),
+    ("notpython go.py; pythonic -c go", []),
     (None, []),
 ]
 
@@ -50,10 +51,12 @@ def test_depth():
 
 
 def test_argv():
-    assert classify_argv(["-X", "dev", "s.py", "-c"]).script == "s.py"
-    assert classify_argv(["-mpip"]).module == "pip"
-    assert classify_argv([]).stdin
-    assert not classify_argv(["-V"]).stdin
+    runs = lambda *args: next(((k, v) for k, v in vars(classify_argv(list(args))).items() if v not in (None, False)), None)
+    assert runs("-W", "error", "-Xutf8", "job.py", "-c", "no") == ("script", "job.py")
+    assert runs("-Bmvenv", "x") == ("module", "venv") and runs("-m") == ("module", "") and runs("-Ic") == ("code", "")
+    assert runs() == runs("-i") == runs("-", "x") == runs("-W") == ("stdin", True)
+    assert runs("-3.11", "--check-hash-based-pycs", "always", "--quiet", "a") == ("script", "a") and runs("--", "-c") == ("script", "-c")
+    assert runs("-uV", "a") is runs("--help") is runs("-?") is runs("--") is None
 
 
 def test_scripts_come_from_a_table(spark):
@@ -63,6 +66,17 @@ def test_scripts_come_from_a_table(spark):
     assert got == {1: ("x", "a.py"), 2: ("", "b.py (unreadable)"), 3: ("", "c.py (too large)")}
 
 
+def test_lines_that_look_like_python(spark):
+    yes = ["import os.path", "  from a import b", "async  def f (", "class C", "if x:  # why", "else:", "a.b[0] <<= 2", "print (1)", "return", "yield x", "@wrap", "prose\nx = 1", "lambda: 0"]
+    no = ["", "important news", "from here on", "a == b", "if only", "defer (x)", "printed(1)", "we return", "x : y", "classes", "@ noon"]
+    from pyspark.sql import functions as F
+
+    from snipscan.functions.text import looks_like_python
+
+    df = spark.createDataFrame([(t, t in yes) for t in yes + no], "t string, y boolean")
+    assert [r.t for r in df.where(looks_like_python(F.col("t")) != F.col("y")).collect()] == []
+
+
 def test_payloads(spark):
     rows = [
         {"tool_name": "Bash", "tool_input": {"command": "python -c 'x=1'"}, "session_id": "abcdefghijk"}, {"tool": "python", "args": {"code": "print(3)"}}, {"tool": "new", "input": {"script": "just prose", "args": ["python3", "-c", "1"]}},

@@ -73,6 +73,28 @@ def test_tail(tmp_path):
     assert list(tail.TailReader(str(tmp_path / "none"), True).read({"bytes": 0, "head": 0, "sign": "x"})[0]) == []
 
 
+def test_tail_reads_lines_longer_than_a_step(tmp_path, monkeypatch):
+    monkeypatch.setattr(tail, "STEP", 16)
+    path = tmp_path / "log"
+    path.write_text("x" * 100 + "\nshort\n" + "y" * 50)
+    reader, got = tail.TailReader(str(path), True), []
+    at = reader.initialOffset()
+    for _ in range(4):
+        rows, at = reader.read(at)
+        got += [r[0] for r in rows]
+    assert got == ["x" * 100, "short"]
+
+
+def test_tail_replays_a_file_that_took_the_place_of_another(tmp_path):
+    path = tmp_path / "log"
+    path.write_text("old one\nold two\n")
+    reader = tail.TailReader(str(path), True)
+    _, start = reader.read(reader.initialOffset())
+    path.write_text("new a\nnew b\nnew c that makes it longer than the old one\n")
+    rows, end = reader.read(start)
+    assert [r[0] for r in rows] == [r[0] for r in reader.readBetweenOffsets(start, end)] == ["new a", "new b", "new c that makes it longer than the old one"]
+
+
 def test_tail_as_a_source(spark, tmp_path):
     path = tmp_path / "log"
     write(path, [line(), line()])
@@ -117,6 +139,60 @@ def test_pending_calls_are_taken_once(spark):
     asked = spark.sql("select 'a' tool_call_id, timestamp'2024-01-01 00:00:00' at, 1 x union all select 'b', timestamp'2024-01-01 00:00:00', 2")
     done = spark.sql("select 'a' tool_call_id, timestamp'2024-01-01 00:00:05' at, true ok")
     assert [r.tool_call_id for r in policy.take_once(asked, done).collect()] == ["a"]
+    later = done.withColumn("at", F.expr("at + interval 1 minute"))
+    taken = policy.take_once(asked.union(asked), done.union(later)).collect()
+    assert [(r.tool_call_id, r.answered.second) for r in taken] == [("a", 5)]
+
+
+def test_pending_calls_are_taken_once_in_a_stream(spark, tmp_path):
+    for side, rows in (("asked", [("a", 0), ("b", 0)]), ("done", [("a", 5), ("a", 9), ("c", 5)])):
+        (tmp_path / side).mkdir()
+        write(tmp_path / side / "1.json", [json.dumps({"tool_call_id": k, "at": f"2024-01-01T00:00:0{s}Z"}) for k, s in rows])
+    read = lambda side: spark.readStream.schema("tool_call_id string, at timestamp").json(str(tmp_path / side))
+    q = policy.take_once(read("asked"), read("done")).writeStream.format("memory").queryName("taken").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination(120)
+    assert [r.tool_call_id for r in spark.table("taken").collect()] == ["a"]
+
+
+def test_directives(spark, tmp_path):
+    write(tmp_path / "a.jsonl", [line(risk=70), line(risk=5)])
+    events = feed.read(spark, str(tmp_path))
+    asked = [json.loads(r.directive) for r in policy.directive(events, F.lit(50)).where("directive is not null").collect()]
+    assert asked == [{"action": "approve", "message": "risk 70 is over the gate of 50 (check it) — runs\n  line 2: run", "rule_key": "snipscan:check"}]
+    stopped = json.loads(policy.directive(events, F.lit(50), "block").where("directive is not null").first().directive)
+    assert stopped["action"] == "block" and "rule_key" not in stopped
+
+
+def test_worst_by_risk_then_band(spark):
+    df = spark.createDataFrame([("c", 1, 30, "routine"), ("c", 2, 30, "check"), ("c", 3, 30, "check"), ("c", 4, 10, "read")], "call string, seq int, risk int, band string")
+    assert ev.worst_of(df, "call").first().seq == 1 and ev.worst_of(df, "call", by_band=True).first().seq == 2
+
+
+def test_card_index_is_read_newest_first(spark):
+    df = spark.createDataFrame(list(enumerate(['{"card": 1}', "torn {", '{"card": 2}', "[3]", '{"card": 4}', "5"])), "seq int, value string")
+    got = ev.read_index(df, 2).select("seq", F.variant_get("row", "$.card", "int").alias("card")).collect()
+    assert [(r.seq, r.card) for r in got] == [(4, 4), (2, 2)]
+
+
+def test_formats(spark):
+    df = spark.createDataFrame([("a <b>\nc",)], "t string")
+    made = df.select(render.ansi(F.col("t"), F.lit("#0a10ff")).alias("a"), render.svg(F.col("t"), F.lit("#0a10ff")).alias("s")).first()
+    assert made.a == "\x1b[38;2;10;16;255ma <b>\nc\x1b[0m"
+    import xml.etree.ElementTree as tree
+
+    assert [x.text for x in tree.fromstring(made.s)] == ["a <b>", "c"]
+    assert {r.kind for r in render.listing(spark, "/feed").collect()} == {"theme", "layout", "format", "schema", "feed"}
+
+
+def test_a_feed_that_fails_is_told(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.json").write_text(json.dumps({"snippet_id": 0, "ts": 5, "name": "n", "origin": "o", "source": "print(1)"}) + "\n")
+    (tmp_path / "blocked").write_text("a file, not a folder")
+    stream = spark.readStream.schema("snippet_id int, ts long, name string, origin string, source string").json(str(tmp_path / "in"))
+    q = feed.look(stream, str(tmp_path / "blocked"), str(tmp_path / "cp"), str(tmp_path / "pages"), errors=str(tmp_path / "errors"))
+    q.awaitTermination(120)
+    assert q.exception() is None and spark.read.json(f"{tmp_path}/errors/*").first().feed_error
+    assert spark.read.text(f"{tmp_path}/pages/*").count() == 1
 
 
 def test_rows_and_cards(spark, tmp_path):

@@ -27,6 +27,19 @@ def test_reports_walk_once_and_shuffle_once(spark):
         assert count(text, r"BroadcastHashJoin") == 2 and count(text, r"SortMergeJoin|NestedLoop|Cartesian") == 0
 
 
+def test_each_source_is_walked_once_however_much_is_made_of_it(spark):
+    for name in ("subtree_rollup", "outline_fold", "bindings_dead", "report_documents", "whole_pages", "symbol_inventory", "contact_sheet", "extract_commands", "payload_route"):
+        text = plan(QUERIES[name](spark, SF))
+        assert count(text, r"ArrowEvalPython") == 1, name
+        assert count(text, r"Exchange hashpartitioning") <= 1, name
+
+
+def test_lines_of_json_are_parsed_once(spark):
+    assert count(plan(QUERIES["feed_parse"](spark, SF)), r"from_json") == 1
+    text = plan(QUERIES["payload_route"](spark, SF))
+    assert count(text, r"from_json\(StructField\(tool_name") == 1 and count(text, r"from_json\(StructField\(code") == 1 and count(text, "get_json_object") == 0
+
+
 def test_only_needed_columns_are_read(spark):
     text = plan(events.at_least(made_events(spark, SF), "check").select("seq"))
     assert "ReadSchema: struct<event_id:bigint>" in text
