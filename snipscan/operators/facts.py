@@ -6,6 +6,8 @@ A part that isn't asked for isn't sent back from Python.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,17 +43,19 @@ def _ddl(t: pa.DataType) -> str:
     return {pa.int32(): "int", pa.int64(): "bigint", pa.bool_(): "boolean", pa.string(): "string"}[t]
 
 
-def _plain(value, t: pa.DataType):
-    """Tuples of the walk as the structs that Arrow wants."""
-    if value is None:
-        return None
+def _column(values: list, t: pa.DataType) -> pa.Array:
+    """The walk's tuples, lists and dicts as Arrow: each field of all rows at once, which is several times faster than row by row."""
     if pa.types.is_list(t):
-        return [_plain(v, t.value_type) for v in value]
+        return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, values))], pa.int32()), _column([x for v in values for x in v], t.value_type), type=t)
     if pa.types.is_map(t):
-        return list(value.items())
-    if pa.types.is_struct(t) and not isinstance(value, dict):
-        return {f.name: _plain(v, f.type) for f, v in zip(t, value, strict=True)}
-    return value
+        pairs = [x for v in values for x in v.items()]
+        keys, items = (_column([x[k] for x in pairs], u) for k, u in enumerate((t.key_type, t.item_type)))
+        return pa.MapArray.from_arrays(pa.array([0, *accumulate(map(len, values))], pa.int32()), keys, items, type=t)
+    if pa.types.is_struct(t):
+        rows = [tuple(v[f.name] for f in t) if isinstance(v, dict) else v for v in values]
+        columns = zip(*rows, strict=True) if rows else [()] * len(t)
+        return pa.StructArray.from_arrays([_column(list(c), f.type) for c, f in zip(columns, t, strict=True)], fields=list(t))
+    return pa.array(values, t)
 
 
 def with_facts(snippets: DataFrame, parts: tuple[str, ...] = ("calls", "env"), source: str = "source") -> DataFrame:
@@ -63,11 +67,7 @@ def with_facts(snippets: DataFrame, parts: tuple[str, ...] = ("calls", "env"), s
     def walk(sources: pa.Array) -> pa.Array:
         from snipscan.sources.walker import facts
 
-        rows = []
-        for s in sources.to_pylist():
-            found = facts(s)
-            rows.append({p: _plain(found[p], _TYPES[p]) for p in parts})
-        return pa.array(rows, kind)
+        return _column([facts(s) for s in sources.to_pylist()], kind)
 
     return snippets.withColumn("facts", walk.asNondeterministic()(F.col(source)))
 

@@ -77,6 +77,32 @@ def test_lines_keep_their_numbers_after_broken_ones(broken):
     assert [(c[2], c[9]) for c in got["calls"]] == [(len(source.splitlines()), ["last"])]
 
 
+def test_columns_hold_what_the_walk_told():
+    import pyarrow as pa
+
+    from snipscan.operators import facts as columns
+
+    def plain(v):
+        return [plain(x) for x in v] if isinstance(v, (list, tuple)) else v
+
+    def values(v):
+        if isinstance(v, dict):
+            return [values(x) for x in v.values()]
+        return [values(x) for x in v] if isinstance(v, (list, tuple)) else v
+
+    told = [facts(code) for code, _ in CLAIMS.values()]
+    for part, kind in columns._TYPES.items():
+        want = [f[part] for f in told]
+        got = columns._column(want, kind)
+        assert got.type == kind and len(got) == len(told)
+        if part == "calls":
+            want = [[(*c[:10], list(c[10].items()), *c[11:]) for c in calls] for calls in want]
+        if part == "counters":
+            want = [{k: v[k] for k in columns.COUNTERS} for v in want]
+        assert [values(v) for v in got.to_pylist()] == [values(v) for v in plain(want)]
+    assert columns._column([], pa.struct([("a", pa.list_(pa.int32()))])).to_pylist() == []
+
+
 def test_many_open_brackets_take_no_square_time():
     import time
 
