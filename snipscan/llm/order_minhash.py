@@ -7,8 +7,10 @@ matched in order over all words of both (an ordered Jaccard, which edits lower a
 SIMILARITY. No alignment that reaches it leaves the band. Texts whose k-mers have an ordered Jaccard of SIMILARITY are always
 like, for their words then have one too.
 
-No bucket is expanded into all its pairs: its texts are compared with leaders, and what leaders leave apart is joined by
-its rarest words (see ``snipscan.llm.buckets``). Equal texts are one text throughout, known by a digest of 128 bits.
+No bucket is expanded into all its pairs: its texts are compared with leaders, and what leaders leave apart is joined
+exactly by its rarest k-mers (see ``snipscan.llm.buckets``). So of the texts that share a bucket, those whose k-mers have a
+Jaccard of SIMILARITY are in one class for certain; texts with more edits, whose words alone are like, are where a leader of
+a shared bucket is like both. Equal texts are one text throughout, known by a digest of 128 bits.
 
 A text of fewer than WORDS words is one k-mer of all its words; one without a word has none, and is like others without a
 word only where equal byte by byte. Null counts as the empty text; a very long text is read whole. A class is named by its
@@ -206,15 +208,15 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary")
 
 
-def _labelled_words(texts: DataFrame) -> DataFrame:
-    """(rep, items): the labelled words of each text."""
+def _labelled_kmers(texts: DataFrame) -> DataFrame:
+    """(rep, items): the labelled k-mers of each text."""
     small_batches(texts.sparkSession)
 
     @F.arrow_udf("array<bigint>")
     def items(column: pa.Array) -> pa.Array:
         lower = _lower(column)
-        hashes = [h for lo, hi in chunks(lower) for h in word_hashes(lower[lo:hi])]
-        return pa.array([labelled(h).view(np.int64) for h in hashes], pa.list_(pa.int64()))
+        grams = [g for lo, hi in chunks(lower) for g in kmers(lower[lo:hi])]
+        return pa.array([labelled(g).view(np.int64) for g in grams], pa.list_(pa.int64()))
 
     return texts.select("rep", items.asNondeterministic()("text").alias("items"))
 
@@ -225,7 +227,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts_of = materialize(sketches.groupBy("digest").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct-texts")
     met = crowded(texts_of.select(F.col("digest").alias("rep"), "n", F.explode("keys").alias("key")))
     texts = materialize(_texts(docs, texts_of.select("digest", "low").join(met.select(F.col("rep").alias("digest")).distinct(), "digest", "left_semi")), "bucket-texts")
-    classes = link_buckets(met, lambda pairs: verified(pairs, texts), SIMILARITY, LEADERS, lambda some: _labelled_words(texts.join(some, "rep", "left_semi")), by_broadcast)
+    classes = link_buckets(met, lambda pairs: verified(pairs, texts), SIMILARITY, LEADERS, lambda some: _labelled_kmers(texts.join(some, "rep", "left_semi")), by_broadcast)
     named = materialize(texts_of.join(classes, F.col("digest") == F.col("id"), "left").select("digest", "low", F.coalesce("class", "digest").alias("class")), "text-classes")
     rows = materialize(sketches.select("doc_id", "digest"), "row-digests")
     for done in (sketches, texts_of, met, texts, classes):
