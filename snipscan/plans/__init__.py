@@ -1 +1,3 @@
 """Queries over the driver's tables, with the SQL that states their results."""
+
+from snipscan.plans import claims as claims

@@ -549,12 +549,11 @@ PAGE = PAGE_TEMPLATES + " select event_id as snippet_id, replace(replace(head ||
 
 
 COLOURS = ", ".join(str((t, b, c)) for t, row in render.THEMES.items() for b, c in zip(catalog.BANDS, row, strict=True))
-CARD_PAGE = "(head || chr(10) || body)"
 
 
 @query(f"""{PAGE_TEMPLATES}, bands(kind, band) as (values ('view', 'inert'), ('click', 'routine'), ('purchase', 'check'), ('error', 'read'), ('signup', 'inert')), t(theme, b, colour) as (values {COLOURS}),
 l(layout, wanted) as (values ('card', true), ('auto', true))
-select event_id as snippet_id, layout, theme, '<pre style="color:' || colour || '">' || replace(replace(replace({CARD_PAGE}, '{{e}}', event_id::varchar), '{{u}}', user_id::varchar), '"', '&quot;') || '</pre>' as html
+select event_id as snippet_id, layout, theme, '<pre style="color:' || colour || '">' || replace(replace(replace(head || chr(10) || body, '{{e}}', event_id::varchar), '{{u}}', user_id::varchar), '"', '&quot;') || '</pre>' as html
 from events join p on event_type = p.kind join bands on bands.kind = p.kind join t on band = b, l where layout = 'card' or band in ('check', 'read')""")
 def contact_sheet(spark, sf):
     """Cards in every theme, as they are and where ``auto`` stands for them."""
@@ -590,7 +589,6 @@ def cards(spark, sf):
 
 
 RAMPED = "substr('▁▂▃▄▅▆▇█', least(8, length({0}) // 10 + 1), 1)"
-OUTLINE_40 = "case when length({0}) <= 64 then {0} else substr({0}, 1, 63) || '…' end"
 WHOLE = """
 with t(kind, head, sentence, caps, times, calls, imports, given, shape, marks) as (values
   ('view', '█   snippet inert risk 2', '█·· ··· · ···· █· reads /data/u{u} → prints results', 'fs_read      info     ×1|stdout       info     ×1', '   2 list /data/u{u}|   3 print p', '  1 print|  1 os.listdir', 'os', 'p = os.listdir(''/data/u{u}'')', '3 code · 0 comment · 0 blank lines|3 statements · 0 functions · 0 classes · 1 loops · 0 branches · 2 calls · depth 1 · complexity 2', ''),
