@@ -53,39 +53,58 @@ First = Callable[[DataFrame, float], DataFrame]
 
 
 def link_buckets(met: DataFrame, verify: Verify, share: float, leaders: int, items: Verify, first_items: First) -> DataFrame:
-    """(id, class) of the reps that have a link. ``met`` is what ``crowded`` gives; ``verify`` keeps the like pairs (a, b) of a written table.
+    """(id, class) of the reps that have a link. ``met`` is what ``crowded`` gives; ``verify`` writes the like pairs (a, b) of a written table.
 
     ``items`` gives (rep, items) for a table of reps: arrays of different numbers, n of them. Pairs that ``verify`` keeps
     have a Jaccard likeness of these of at least ``share``. ``first_items`` is ``by_counts`` or ``by_broadcast``.
     """
     first = materialize(_pairs(met.where((F.col("rep") != F.col("lead.rep")) & _fits("n", "lead.n", share))), "pairs-1")
-    links = materialize(verify(first), "links-1")
+    links = verify(first)
     classes = connected_components(links)
     placed = _placed(met, classes)
     orders = [F.min(F.struct(F.xxhash64("rep", "key", F.lit(r)).alias("o"), F.col("rep").alias("rep"), F.col("n").alias("n"), F.col("class").alias("class"))).alias(f"l{r}") for r in range(leaders)]
     split = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), *orders).where("low <> high").select("key", F.array(*[f"l{r}" for r in range(leaders)]).alias("leads"))
     again = placed.join(split, "key").select("rep", "n", "class", F.explode("leads").alias("lead"))
     second = materialize(_pairs(again.where((F.col("class") != F.col("lead.class")) & _fits("n", "lead.n", share))).join(first, ["a", "b"], "left_anti"), "pairs-2")
-    more = materialize(verify(second), "links-2")
-    if more.limit(1).count():
-        discard(classes)
-        classes = connected_components(links.union(more))
+    written = [first, links, second]
+    if second.limit(1).count():
+        more = verify(second)
+        written.append(more)
+        classes = _joined(classes, more)
     third = _unlinked(met, classes, items, first_items, share)
-    last = materialize(verify(third), "links-3")
-    if last.limit(1).count():
-        discard(classes)
-        classes = connected_components(links.union(more).union(last))
-    for done in (first, links, second, more, third, last):
+    if third is not None:
+        last = verify(third)
+        written += [third, last]
+        classes = _joined(classes, last)
+    for done in written:
         discard(done)
     return classes
 
 
+def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` after more links: only the classes that these join are worked on, not the links within classes. The table ``classes`` goes."""
+    if not links.limit(1).count():
+        return classes
+    named = lambda side: classes.select(F.col("id").alias(f"id_{side}"), F.col("class").alias(f"class_{side}"))
+    both = links.join(named("a"), F.col("a") == F.col("id_a"), "left").join(named("b"), F.col("b") == F.col("id_b"), "left")
+    between = materialize(both.select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b")).distinct(), "class-links")
+    merged = connected_components(between)
+    # what was alone until now is in no class yet
+    every = classes.unionByName(merged.select("id", F.col("id").alias("class")).join(classes.select("id"), "id", "left_anti"))
+    every = materialize(every, "classes")
+    to = merged.select(F.col("id").alias("was"), F.col("class").alias("now"))
+    moved = materialize(join_split(every, to, "class", "was", "left", hot=hot_keys(every, "class")).select("id", F.coalesce("now", "class").alias("class")), "classes")
+    for done in (classes, between, merged, every):
+        discard(done)
+    return moved
+
+
 def _placed(met: DataFrame, classes: DataFrame) -> DataFrame:
     return met.join(classes, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", F.coalesce("class", "rep").alias("class"))
 
 
-def _unlinked(met: DataFrame, classes: DataFrame, items: Verify, first_items: First, share: float) -> DataFrame:
-    """All pairs (a, b) of different classes that may reach ``share``, among the members of buckets of several classes.
+def _unlinked(met: DataFrame, classes: DataFrame, items: Verify, first_items: First, share: float) -> DataFrame | None:
+    """None if no bucket holds several classes, else all pairs (a, b) of different classes that may reach ``share``, among the members of buckets of several classes.
 
     Of two like sets of n <= m items, n + m - least and more are shared, and so is one of the first items by rarity of both;
     the first that is shared stands where enough follow it in both. Of the smaller set fewer items come first than of the larger.
@@ -93,6 +112,9 @@ def _unlinked(met: DataFrame, classes: DataFrame, items: Verify, first_items: Fi
     placed = _placed(met, classes)
     split = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
     left = materialize(placed.join(split, "key").select("rep", "class").distinct(), "unlinked")
+    if not left.limit(1).count():
+        discard(left)
+        return None
     sets = materialize(items(left.select("rep")).join(left, "rep").select("rep", "class", "items"), "unlinked-sets")
     place = F.col("place")
     short = place <= F.col("n") - F.ceil(F.lit(2 * share / (1 + share)) * F.col("n") - EPSILON)

@@ -40,6 +40,8 @@ WORDS, SIMILARITY = 5, 0.8
 SKETCHES, ELL, LEADERS = 24, 2, 3
 #: Texts of at most so many k-mers also meet by single k-mers: few of them survive an edit.
 SHORT = 32
+#: Bins of a bag of words, and what a bin says that holds as many words or more.
+BINS, FULL = 256, 65_535
 _MULTIPLY = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 _ROWS = 1 << 15
 
@@ -199,13 +201,39 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a.take(rows), b.take(rows)], names=["a", "b"])
 
 
+def bags(texts: pa.Array) -> pa.Array:
+    """How many words of each text fall into each of BINS bins by their hashes, as 16-bit numbers."""
+    lower, out = _lower(texts), []
+    for lo, hi in chunks(lower):
+        words = Words(lower[lo:hi])
+        cell = words.doc * BINS + (words.hashes() >> U64(40)).astype(np.int64) % BINS
+        out.append(np.minimum(np.bincount(cell, minlength=(hi - lo) * BINS), FULL).astype("<u2").tobytes())
+    data, size = b"".join(out), 2 * BINS
+    return pa.array([data[i : i + size] for i in range(0, len(data), size)], pa.binary())
+
+
+def may_be_like(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Whether bags leave room for SIMILARITY: two texts share no more words than their bins do. A full bin may hold more than it says."""
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, BINS).astype(np.int64) for c in (a, b))
+    full = ((x == FULL) & (y == FULL)).any(axis=1)
+    room = np.minimum(x, y).sum(axis=1) >= SIMILARITY / (1 + SIMILARITY) * (x.sum(axis=1) + y.sum(axis=1)) - EPSILON
+    return pa.array(room | full | (x == FULL).any(axis=1) | (y == FULL).any(axis=1))
+
+
+def _with_both(pairs: DataFrame, texts: DataFrame, column: str) -> DataFrame:
+    """The pairs (a, b) of a written table with a column of ``texts`` for each side. A text in very many pairs is dealt over several tasks."""
+    left, right = (texts.select(F.col("rep").alias(f"r{x}"), F.col(column).alias(f"{column}_{x}")) for x in "ab")
+    with_a = join_split(pairs.select("a", "b"), left, "a", "ra", hot=hot_keys(pairs, "a")).select("a", "b", f"{column}_a")
+    return join_split(with_a, right, "b", "rb", hot=hot_keys(pairs, "b")).select("a", "b", f"{column}_a", f"{column}_b")
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of a written table whose texts are near copies."""
-    left = texts.select(F.col("rep").alias("ra"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("rep").alias("rb"), F.col("text").alias("text_b"))
-    with_a = join_split(pairs.select("a", "b"), left, "a", "ra", hot=hot_keys(pairs, "a")).select("a", "b", "text_a")
-    both = join_split(with_a, right, "b", "rb", hot=hot_keys(pairs, "b"))
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary")
+    """The pairs (a, b) of a written table whose texts are near copies, as a written table. Bags rule most others out before whole texts are moved."""
+    room = F.arrow_udf(may_be_like, "boolean")
+    some = materialize(_with_both(pairs, texts, "bag").where(room("bag_a", "bag_b")).select("a", "b"), "pairs-left")
+    links = materialize(_with_both(some, texts, "text").mapInArrow(_verify, "a binary, b binary"), "links")
+    discard(some)
+    return links
 
 
 def _labelled_kmers(texts: DataFrame) -> DataFrame:
@@ -252,10 +280,11 @@ def _id_and_digest(docs: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, used: DataFrame) -> DataFrame:
-    """(rep, text) of the texts of ``used`` (digest, low), from the row of the smallest id, so that of many copies one is moved."""
+    """(rep, text, bag) of the texts of ``used`` (digest, low), from the row of the smallest id, so that of many copies one is moved."""
     wanted = used.select(F.coalesce(F.concat(F.lit("i"), F.col("low")), F.lit("")).alias("id"), "digest")
     rows = _id_and_digest(docs.select("doc_id", "text")).join(wanted, ["id", "digest"])
-    return rows.groupBy(F.col("digest").alias("rep")).agg(F.coalesce(F.min("doc.text"), F.lit("")).alias("text"))
+    once = rows.groupBy(F.col("digest").alias("rep")).agg(F.coalesce(F.min("doc.text"), F.lit("")).alias("text"))
+    return once.withColumn("bag", F.arrow_udf(bags, "binary").asNondeterministic()("text"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -153,7 +153,7 @@ def near_classes(docs: DataFrame, tau: float = TAU, leaders: int = 3) -> DataFra
         left, right = (sets.select(F.col("rep").alias(f"r{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
         with_a = join_split(pairs.select("a", "b"), left, "a", "ra", hot=hot_keys(pairs, "a")).select("a", "b", "sa")
         both = join_split(with_a, right, "b", "rb", hot=hot_keys(pairs, "b"))
-        return both.where(pruned_likeness(F.col("sa"), F.col("sb"), tau) >= tau).select("a", "b")
+        return materialize(both.where(pruned_likeness(F.col("sa"), F.col("sb"), tau) >= tau).select("a", "b"), "links")
 
     items = lambda some: sets.join(some, "rep", "left_semi").select("rep", F.col("sig").cast("array<bigint>").alias("items"))
     classes = link_buckets(met, verify, tau, leaders, items, by_counts)
