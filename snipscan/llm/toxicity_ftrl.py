@@ -25,8 +25,8 @@ from snipscan.llm.textwords import U64, Words, chunks, mix
 TRAIN_ROWS, TRAIN_COORDINATES = 5_000, 24_000_000
 BITS = 20
 ALPHA, BETA, L2, EPOCHS = 1.5, 1.0, 0.2, 6
-#: L1 for very many rows, and the rows at which half of it holds: with few rows a gradient sum is small.
-L1, L1_ROWS = 20.0, 3_000
+#: L1 for very many rows, and the rows at which half of it holds: with few rows a gradient sum is small, but chance n-grams of long texts are many.
+L1, L1_ROWS = 16.0, 300
 
 _KEEP = bytes(b if b >= 128 or bytes([b]).isalnum() or b in b"'\n" else 32 for b in range(256))
 #: Words count by their first bytes too: inflected forms share them.
