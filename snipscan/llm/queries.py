@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snipscan.llm import html_blocks, line_dedup, mixing, order_minhash, packing, quality_gam, rule_forest, spotsigs, token_rollup, toxicity_ftrl
+from snipscan.llm import html_blocks, line_dedup, mixing, order_minhash, packing, quality_gam, rule_forest, spotsigs, token_rollup, toxicity_ftrl, whitening
 from snipscan.llm.common import materialize
 
 
@@ -88,6 +88,10 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def near_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The classes of documents with like fingerprints, through length partitions and the pruned Jaccard."""
     return spotsigs.near_classes(table(spark, sf_dir, "documents"))
@@ -104,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_token_rollup": op9_token_rollup,
     "op10_order_minhash": op10_order_minhash,
+    "op11_whitening": op11_whitening,
     "near_fingerprints": near_fingerprints,
 }
 
