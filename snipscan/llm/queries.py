@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snipscan.llm import html_blocks, line_dedup, mixing, order_minhash, packing, quality_gam, rule_forest, spotsigs, token_rollup, toxicity_ftrl, whitening
+from snipscan.llm import html_blocks, importance, line_dedup, mixing, order_minhash, packing, quality_gam, rule_forest, spotsigs, token_rollup, toxicity_ftrl, whitening
 from snipscan.llm.common import materialize
 
 
@@ -92,6 +92,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def near_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The classes of documents with like fingerprints, through length partitions and the pruned Jaccard."""
     return spotsigs.near_classes(table(spark, sf_dir, "documents"))
@@ -109,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_rollup": op9_token_rollup,
     "op10_order_minhash": op10_order_minhash,
     "op11_whitening": op11_whitening,
+    "op12_importance": op12_importance,
     "near_fingerprints": near_fingerprints,
 }
 
@@ -116,7 +121,46 @@ _STOP = "[" + ", ".join(f"'{w}'" for w in spotsigs.anchors()) + "]"
 _WORDS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 _CODE = "cast('0x' || substr(md5({0}), 1, 8) as bigint) - 2147483648"
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ASCII_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 ORACLES: dict[str, str] = {
+    "op12_importance": f"""
+with recursive step(i, k, c) as (
+  select i, 0, i::bigint from range(256) r(i) union all
+  select i, k + 1, case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from step where k < 8),
+crc_table as (
+  select list(c order by i) as t from step where k = 8),
+d as (
+  select row_number() over () as r, doc_id, {_ASCII_WORDS} as w from documents),
+dw as (
+  select r, unnest(w) as w from d),
+bw as (
+  select unnest({_ASCII_WORDS}) as w from benchmark),
+words as (
+  select w, hex(encode(w)) as x from (select w from dw union select w from bw)),
+bytes(w, x, c) as (
+  select w, x, 4294967295 from words union all
+  select w, x[3:], xor(t[(xor(c, ('0x' || x[1:2])::bigint) & 255) + 1], c >> 8) from bytes, crc_table where x <> ''),
+bucket as (
+  select w, xor(c, 4294967295) % 10000 as b from bytes where x = ''),
+s as (
+  select b, count(*) as s from dw join bucket using (w) group by b),
+t as (
+  select b, count(*) as t from bw join bucket using (w) group by b),
+gain as (
+  select b, floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select count(*) from dw) + 10000)::double / ((coalesce(s, 0) + 1)::double * ((select count(*) from bw) + 10000)::double)))::bigint as g
+  from (select distinct b from bucket) left join s using (b) left join t using (b)),
+weight as (
+  select r, sum(g)::bigint as weight from dw join bucket using (w) join gain using (b) group by r),
+score as (
+  select d.r, doc_id, len(w) as n, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || coalesce(doc_id::varchar, ''))[1:8])::bigint + 0.5::double) / 4294967296::double)))::bigint as score
+  from d left join weight using (r)),
+ranked as (
+  select *, row_number() over (partition by n >= 20 order by score desc, doc_id nulls last, r) as k, count(*) filter (n >= 20) over () as fit from score)
+select doc_id, n::bigint as n_features, weight::bigint as weight, score::bigint as score, case when n >= 20 and k <= 10 * fit // 100 then k end as rank from ranked
+""",
     "op3_spotsigs": f"""
 with d as (
   select row_number() over (order by doc_id nulls first, coalesce(text, '')) as r, doc_id, coalesce(text, '') as text from documents),
