@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snipscan.llm import html_blocks, importance, line_dedup, mixing, order_minhash, packing, quality_gam, rule_forest, spotsigs, token_rollup, toxicity_ftrl, whitening
+from snipscan.llm import decontamination, html_blocks, importance, line_dedup, mixing, order_minhash, packing, quality_gam, rule_forest, spotsigs, token_rollup, toxicity_ftrl, whitening
 from snipscan.llm.common import materialize
 
 
@@ -96,6 +96,10 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def near_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The classes of documents with like fingerprints, through length partitions and the pruned Jaccard."""
     return spotsigs.near_classes(table(spark, sf_dir, "documents"))
@@ -114,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_order_minhash": op10_order_minhash,
     "op11_whitening": op11_whitening,
     "op12_importance": op12_importance,
+    "op13_decontamination": op13_decontamination,
     "near_fingerprints": near_fingerprints,
 }
 
@@ -125,6 +130,25 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _ASCII_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 ORACLES: dict[str, str] = {
+    "op13_decontamination": f"""
+with d as (
+  select row_number() over () as r, doc_id, {_ASCII_WORDS} as w from documents),
+b as (
+  select coalesce(item_id::varchar, '') as item, {_ASCII_WORDS} as w from benchmark),
+bw as (
+  select distinct item, least(len(w), 10) as n, unnest(list_transform(range(1, greatest(1, len(w) - 9) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) as s from b where len(w) > 0),
+dw as (
+  select r, n, unnest(range(1, len(w) - n + 2)) as i, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) as s
+  from d, (select distinct n from bw) where len(w) >= n),
+m as (
+  select r, i, n, item from dw join bw using (n, s)),
+hit as (
+  select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + n)) as p from (select distinct r, i, n from m)) group by r),
+which as (
+  select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, item from m) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
+from d left join hit using (r) left join which using (r)
+""",
     "op12_importance": f"""
 with recursive step(i, k, c) as (
   select i, 0, i::bigint from range(256) r(i) union all
