@@ -27,6 +27,8 @@ from snipscan.llm.common import discard, materialize, shared_dir, small_batches
 KEYS = ["source", "lang", "tokenizer_version"]
 _TOTALS = "source string, lang string, tokenizer_version string, n_docs bigint, n_tokens bigint"
 _LOG = "batch_id string, number bigint, snapshot string"
+#: Races with other writers that a commit loses before it gives up.
+TRIES = 100
 
 
 def token_counts(docs: DataFrame, version: str = "word_bpe_49k", tokenizer: str | None = None) -> DataFrame:
@@ -63,8 +65,9 @@ class Rollup:
     """The totals under one folder, which driver and executors share.
 
     ``log`` holds one small file for each commit, named by its number. It is created exclusively, so of two writers that
-    saw the same last number one starts again, and then finds the other's batch. A file that a lost writer left unfinished
-    doesn't parse: it counts as no commit, and its number is passed over.
+    saw the same last number one starts again, and then finds the other's batch. A file that a lost writer left empty or
+    unfinished counts as no commit, and its number is passed over: numbers in use are those of the folder's listing, whatever
+    the files hold. A snapshot that no log line came to name is deleted by its writer, and one that a lost writer left by ``vacuum``.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
@@ -75,17 +78,23 @@ class Rollup:
         if path is None:
             self._files.deleteOnExit(root)
 
+    def _place(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
     def _log(self) -> DataFrame:
-        """(batch_id, number, snapshot, used): the commits, and the number in the name of each file, finished or not."""
-        self._files.mkdirs(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/log"))
-        lines = self.spark.read.text(f"{self.path}/log", wholetext=True).select(F.from_json("value", _LOG).alias("c"), F.regexp_extract("_metadata.file_name", r"(\d+)", 1).cast("bigint").alias("used"))
-        return lines.select("c.*", "used")
+        """(batch_id, number, snapshot): the commits."""
+        self._files.mkdirs(self._place("log"))
+        return self.spark.read.text(f"{self.path}/log", wholetext=True).select(F.from_json("value", _LOG).alias("c")).select("c.*").where("snapshot is not null")
+
+    def _used(self) -> int:
+        """The highest number in the name of a file of the log, finished or not; -1 if there is none."""
+        names = (status.getPath().getName() for status in self._files.listStatus(self._place("log")))
+        return max((int(n.split(".")[0]) for n in names if n.split(".")[0].isdigit()), default=-1)
 
-    def _last(self, batch_id: str | None = None) -> tuple[int, str | None, bool]:
-        """(the highest number used, snapshot of the last commit or None, whether a batch of this id is in the log)."""
-        done = F.col("snapshot").isNotNull()
-        used, last, seen = self._log().agg(F.max("used"), F.max(F.when(done, F.struct("number", "snapshot"))), F.max(done & (F.col("batch_id") == F.lit(batch_id)))).first()
-        return -1 if used is None else used, last and last.snapshot, bool(seen)
+    def _last(self, batch_id: str | None = None) -> tuple[str | None, bool]:
+        """(snapshot of the last commit or None, whether a batch of this id is in the log)."""
+        last, seen = self._log().agg(F.max(F.struct("number", "snapshot")), F.max(F.col("batch_id") == F.lit(batch_id))).first()
+        return last and last.snapshot, bool(seen)
 
     def _at(self, snapshot: str | None) -> DataFrame:
         if snapshot is None:
@@ -94,11 +103,11 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """The state after the last commit."""
-        return self._at(self._last()[1])
+        return self._at(self._last()[0])
 
     def _create(self, number: int, line: str) -> bool:
         """Write the log's file of this number; False if there is one."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/log/{number:012d}.json")
+        path = self._place(f"log/{number:012d}.json")
         try:
             out = self._files.create(path, False)
         except Py4JJavaError:
@@ -110,17 +119,33 @@ class Rollup:
         return True
 
     def commit(self, batch_id: str, delta: DataFrame) -> bool:
-        """Fold in a batch of signed rows; False if a batch of this id was committed before."""
+        """Fold in a batch of signed rows; False if a batch of this id was committed before. Gives up after TRIES lost races."""
         sums = [F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")]
         folded = None
-        while True:
-            number, before, seen = self._last(batch_id)
-            if seen:
-                return False
-            folded = folded or materialize(delta.groupBy(*KEYS).agg(*sums), "rollup-delta")
-            snapshot = f"snapshot-{number + 1}-{uuid.uuid4().hex}"
-            new = self._at(before).unionByName(folded).groupBy(*KEYS).agg(*sums)
-            new.where("n_docs <> 0 or n_tokens <> 0").write.parquet(f"{self.path}/{snapshot}")
-            if self._create(number + 1, json.dumps({"batch_id": batch_id, "number": number + 1, "snapshot": snapshot})):
+        try:
+            for _ in range(TRIES):
+                self._files.mkdirs(self._place("log"))
+                number = self._used() + 1  # before the log is read: who takes the number later is seen as lost
+                before, seen = self._last(batch_id)
+                if seen:
+                    return False
+                folded = folded or materialize(delta.groupBy(*KEYS).agg(*sums), "rollup-delta")
+                snapshot = f"snapshot-{number}-{uuid.uuid4().hex}"
+                new = self._at(before).unionByName(folded).groupBy(*KEYS).agg(*sums)
+                new.where("n_docs <> 0 or n_tokens <> 0").write.parquet(f"{self.path}/{snapshot}")
+                if self._create(number, json.dumps({"batch_id": batch_id, "number": number, "snapshot": snapshot})):
+                    return True
+                self._files.delete(self._place(snapshot), True)
+        finally:
+            if folded is not None:
                 discard(folded)
-                return True
+        raise RuntimeError(f"batch {batch_id} lost {TRIES} races for the log")
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete snapshots but those of the last ``keep`` commits (readers may still hold one); how many went. Not while a commit runs: its snapshot isn't in the log yet."""
+        named = {r.snapshot for r in self._log().orderBy(F.desc("number")).limit(max(1, keep)).collect()}
+        names = [status.getPath().getName() for status in self._files.listStatus(self._place(""))]
+        spent = [n for n in names if n.startswith("snapshot-") and n not in named]
+        for name in spent:
+            self._files.delete(self._place(name), True)
+        return len(spent)

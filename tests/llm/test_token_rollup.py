@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import collections
 
+import pytest
 from pyspark.sql import functions as F
 
+from compare import connect
 from snipscan.llm import token_rollup as tr
 from snipscan.llm.queries import QUERIES
 from test_packing import ids
@@ -66,8 +68,27 @@ def test_torn_logs_and_two_writers(spark, tmp_path):
         return real(self, number, line)
 
     store._create = late.__get__(store)
+    held = lambda: sorted(p.name for p in (tmp_path / "r").glob("snapshot-*"))
     assert not store.commit("three", tr.inserts(two))
     assert state(store) == {("a", "en", "v"): (1, 10), ("b", "en", "v"): (2, 10)}
+    assert len(held()) == 3  # the lost try's is gone
+    assert store.vacuum(1) == 2 and len(held()) == 1
+    assert state(store) == {("a", "en", "v"): (1, 10), ("b", "en", "v"): (2, 10)}
+
+
+def test_a_writer_that_never_wins_gives_up(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tr, "TRIES", 2)
+    store = tr.Rollup(spark, str(tmp_path / "r"))
+    store._create = lambda number, line: False
+    with pytest.raises(RuntimeError, match="lost 2 races"):
+        store.commit("one", tr.inserts(counts(spark, [(1, "a", "en", "v", 10)])))
+    assert not list((tmp_path / "r").glob("snapshot-*")) and state(tr.Rollup(spark, store.path)) == {}
+
+
+def test_documents_equal_sql(spark, sf):
+    """The counts of documents, as SQL states them."""
+    want = connect(sf).sql("select source, lang, count(*) from documents group by all").fetchall()
+    assert sorted(want, key=str) == sorted(((r.source, r.lang, r.n_docs) for r in QUERIES["op9_token_rollup"](spark, sf).collect()), key=str)
 
 
 def test_odd_rows(make):
