@@ -5,15 +5,13 @@ Every row of ``part`` stands for one of the sources, with its key in place of {k
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snipscan.operators import classify, digest, events, facts, policy
 from snipscan.plans.corpus import MADE_EVENTS, made_events, table
 from snipscan.plans.queries import STATS, longs, query
+from snipscan.plans.streams import feed_lines, shared_folder
 from snipscan.streaming import feed
 
 
@@ -136,29 +134,17 @@ def worst_by_band(spark, sf):
     return events.worst_of(made_events(spark, sf), "source", by_band=True).select("source", "seq")
 
 
-def _feed_lines(spark, sf) -> DataFrame:
-    """The made events as the lines of a feed (value)."""
-    e = made_events(spark, sf).withColumns({"schema": F.lit(1), "lines": F.lit(1), "worst": F.lit(None).cast("string"), "notes": F.array().cast(feed.EVENT["notes"].dataType)})
-    return e.select(F.to_json(F.struct(*[c.name for c in feed.EVENT])).alias("value"))
-
-
-def _folder(spark) -> str:
-    """A new folder that driver and executors share; in local mode without one, a temporary one."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-stream-")
-
-
 @query(f"with {MADE_EVENTS} select source, {STATS} from feed group by source")
 def stream_totals(spark, sf):
     """Session totals as a stream gives them: the feed's files come in, the last state of each source is what has to be found."""
-    folder = _folder(spark)
-    _feed_lines(spark, sf).write.text(f"{folder}/feed")
+    folder = shared_folder(spark)
+    feed_lines(spark, sf).select("value").write.text(f"{folder}/feed")
     totals = feed.running_totals(feed.read_stream(spark, f"{folder}/feed"), "source")
-    name = f"totals_{uuid.uuid4().hex}"  # a row for each source, so small
-    totals.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").start().awaitTermination()
-    return spark.table(name)
+    put = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/totals/{number}")
+    totals.writeStream.foreachBatch(put).outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").start().awaitTermination()
+    told = spark.read.parquet(f"{folder}/totals/*")
+    rest = [c for c in told.columns if c not in ("source", "batch")]
+    return told.groupBy("source").agg(F.max_by(F.struct(*rest), "batch").alias("t")).select("source", "t.*")
 
 
 @query(f"""with {MADE_EVENTS}, g as (select *, case when ts - lag(ts) over (partition by source order by ts) < 2231000 then 0 else 1 end as opens from feed),

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.window import Window
 
 from snipscan.functions import catalog, render
 from snipscan.operators import events as ev
+from snipscan.operators import ranges
 from snipscan.sources.extract import once
 
 NOTE = T.StructType([T.StructField("effect", T.StringType()), T.StructField("severity", T.StringType()), T.StructField("verb", T.StringType()), T.StructField("target", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("note", T.StringType())])
@@ -86,12 +86,8 @@ def look(snippets: DataFrame, path: str, checkpoint: str, pages: str | None = No
 
 
 def trim(lines: DataFrame, limit: int = TRIM_BYTES, group: str | None = None) -> DataFrame:
-    """Of lines (seq, value, and a group) of over ``limit`` bytes, those that start after half of them; under it, all. A group is one log."""
-    by = [group] if group else []
-    size = F.octet_length("value") + 1
-    before = F.coalesce(F.sum(size).over(Window.partitionBy(*by).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum(size).over(Window.partitionBy(*by))
-    out = lines.withColumns({"_before": before, "_total": total})
+    """Of lines (seq, value, and a group) of over ``limit`` bytes, those that start after half of them; under it, all. A group is one log, of any size: no task sees more than a range of it."""
+    out = ranges.with_running_sum(lines, "seq", F.octet_length("value") + 1, *([group] if group else []))
     return out.where((F.col("_total") <= limit) | (F.col("_before") >= F.floor(F.col("_total") / 2))).drop("_before", "_total")
 
 
