@@ -49,20 +49,42 @@ def is_assignment(c: Column) -> Column:
     return c.rlike("^[A-Za-z_][A-Za-z0-9_]*=")
 
 
-#: What a line of Python can begin with, and what has to follow that on the line.
-_BLOCKS, _WORDS = "if elif else for while with try except finally".split(), "return raise yield await lambda".split()
-_LEADS = {
-    "import": r"\s+[\w.]", "from": r"\s+[\w.]+\s+import\b", "class": r"\s+\w", "def": r"\s+\w+\s*\(", r"async\s+def": r"\s+\w+\s*\(", "print": r"\s*\(", "@": r"\w",
-    **dict.fromkeys(_BLOCKS, r"\b.*:\s*(?:#.*)?$"), **dict.fromkeys(_WORDS, r"\b"),
-}
-#: A name, with attributes and plain indexes, that is given a value.
-_GIVEN = r"[\w.\[\]]+\s*(?:<<|>>|//?|\*\*?|[-+%&|^])?=(?!=)"
+#: Words that open a block, words that alone make a statement, and what may stand before the sign of an assignment. Fixed values.
+_OPENERS = "if elif else for while with try except finally".split()
+_ALONE = "return raise yield await lambda".split()
+_AUGMENTED = ["", *"+ - * / // % ** & | ^ << >>".split()]
 
 
 def looks_like_python(c: Column) -> Column:
-    """A guard for unknown tools: some line begins as a statement does."""
-    begins = "|".join([*(f"{word}{rest}" for word, rest in _LEADS.items()), _GIVEN])
-    return F.btrim(c).rlike(rf"(?m)^\s*(?:{begins})")
+    """A guard for unknown tools: some line begins as a statement does, by its first word or by a sign of assignment."""
+    return F.exists(F.split(c, "\n"), _is_statement)
+
+
+def _is_statement(raw: Column) -> Column:
+    line = F.regexp_replace(raw, r"^\s+", "")
+    word = F.regexp_extract(line, r"(?U)^\w+", 0)
+    rest = line.substr(F.length(word) + 1, F.length(line))
+    parts = F.split(F.btrim(rest), r"\s+")  # what follows the first word
+    first, second = F.get(parts, F.lit(0)), F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
+    spaced = rest.rlike(r"^\s")
+    called = lambda text: text.rlike(r"(?U)^\w+\s*\(")
+    target = F.regexp_extract(line, r"(?U)^[\w.\[\]]+", 0)
+    after = F.regexp_replace(line.substr(F.length(target) + 1, F.length(line)), r"^\s+", "")
+    given = F.lit(False)
+    for sign in (f"{op}=" for op in _AUGMENTED):
+        given = given | (after.startswith(sign) & (after.substr(len(sign) + 1, 1) != "="))
+    return (
+        word.isin(_ALONE)
+        | (word.isin(_OPENERS) & rest.rlike(r":\s*(#|$)"))
+        | ((word == "import") & spaced & first.rlike(r"(?U)^[\w.]"))
+        | ((word == "from") & spaced & first.rlike(r"(?U)^[\w.]+$") & second.rlike(r"^import\b"))
+        | ((word == "class") & spaced & first.rlike(r"(?U)^\w"))
+        | ((word == "def") & spaced & called(F.btrim(rest)))
+        | ((word == "async") & spaced & (first == "def") & called(F.regexp_replace(F.btrim(rest), r"^def\s+", "")))
+        | ((word == "print") & rest.rlike(r"^\s*\("))
+        | line.rlike(r"(?U)^@\w")
+        | ((target != "") & given)
+    )
 
 
 def age_text(ms: Column) -> Column:

@@ -33,9 +33,9 @@ def text_of(e: ast.AST | None) -> str | None:
 
 
 Problem = tuple[str, str, int, int]
-#: Attempts to mend one broken top-level statement, and how often over a source may be read again to find where open statements
-#: end; then an open statement counts as broken. Marks of a statement that goes on beyond its lines.
-TRIES, REREADS = 400, 32
+#: Attempts to mend a broken statement line by line before it is cut into its blocks, and how often over a source may be read again
+#: to find where open statements end; then an open statement counts as broken. Marks of a statement that goes on beyond its lines.
+TRIES, REREADS = 12, 32
 _OPEN_ENDED = ("was never closed", "unterminated triple-quoted", "unexpected EOF")
 _GOES_ON = re.compile(r"[\s#)\]}]|(?:elif|else|except|finally)\b|$")
 
@@ -57,8 +57,53 @@ def _problem(e: Exception, offset: int = 0) -> Problem:
     return "warning" if deep else "error", text, (getattr(e, "lineno", None) or 1) + offset, getattr(e, "offset", None) or 1
 
 
+def _margin(row: str) -> str:
+    return row[: len(row) - len(row.lstrip())]
+
+
 def _mend(rows: list[str]) -> ast.Module | None:
-    """The tree of a broken statement's ``rows``, which are changed: a line that can't be read becomes ``pass``, or ``if 1:`` where a block hangs on it."""
+    """The tree of a broken statement's ``rows``, which are changed: a line that can't be read becomes ``pass``, or ``if 1:`` where a block hangs on it.
+
+    A few lines are mended one after the other; a statement with more of them is cut into its blocks, and each of their
+    statements is mended alone, so the work grows with the number of lines and none is too many.
+    """
+    some = list(rows)
+    tree = _mend_lines(some)
+    if tree is None:
+        some = list(rows)
+        tree = _mend_blocks(some)
+    rows[:] = some
+    return tree
+
+
+def _mend_blocks(rows: list[str]) -> ast.Module | None:
+    """As ``_mend``, by the blocks that hang on the lines of the least margin."""
+    base = len(_margin(next((r for r in rows if r.strip()), "")))
+    heads = [k for k, r in enumerate(rows) if r.strip() and len(_margin(r)) <= base]
+    hung: list[int] = []  # heads with a block
+    for at, end in zip(heads, [*heads[1:], len(rows)], strict=True):
+        block = [k for k in range(at + 1, end) if rows[k].strip()]
+        if not block:
+            if _parsed(rows[at].strip())[0] is None:
+                rows[at] = _margin(rows[at]) + "pass"
+            continue
+        hung.append(at)
+        edge = min((_margin(rows[k]) for k in block), key=len)
+        inner = [rows[k][len(edge) :] for k in range(at + 1, end)]
+        _read(inner)
+        for k, text in enumerate(inner, at + 1):
+            rows[k] = edge + text if text.strip() else ""
+        if _parsed(f"{rows[at].strip()}\n pass")[0] is None and _parsed(f"if 1: pass\n{rows[at].strip()}\n pass")[0] is None and _parsed(f"try: pass\n{rows[at].strip()}\n pass")[0] is None:
+            rows[at] = _margin(rows[at]) + "if 1:"
+    tree = _parsed("\n".join(rows))[0]
+    if tree is None:  # the heads don't belong together
+        for at in heads:
+            rows[at] = _margin(rows[heads[0]]) + ("if 1:" if at in hung else "pass")
+        tree = _parsed("\n".join(rows))[0]
+    return tree
+
+
+def _mend_lines(rows: list[str]) -> ast.Module | None:
     mended: set[int] = set()
     for _ in range(min(TRIES, 2 * len(rows) + 1)):
         tree, e = _parsed("\n".join(rows))
@@ -68,7 +113,7 @@ def _mend(rows: list[str]) -> ast.Module | None:
             return None
         at = min(max((e.lineno or 1) - 1, 0), len(rows) - 1)
         before = next((k for k in range(at - 1, -1, -1) if rows[k].strip()), None)
-        margin = lambda k: rows[k][: len(rows[k]) - len(rows[k].lstrip())]
+        margin = lambda k: _margin(rows[k])
         text = e.msg or ""
         if "unexpected indent" in text and before in mended:
             rows[before] = margin(before) + "if 1:"
@@ -94,13 +139,20 @@ def parse(source: str) -> tuple[ast.Module | None, list[Problem], list[str]]:
     tree, e = _parsed(source)
     if tree is not None:
         return tree, [], source.split("\n")
-    problems = [_problem(e)]
     rows = source.replace("\0", " ").split("\n")
+    first = _problem(e)
+    body, told = _read(rows)
+    return (ast.Module(body, []) if body is not None else None), [first, *(p for p in told if p[2:] != first[2:])], rows
+
+
+def _read(rows: list[str]) -> tuple[list[ast.stmt] | None, list[Problem]]:
+    """The statements of rows that don't parse as a whole, and what was wrong with those that don't; ``rows`` become what was read."""
     starts = [i for i, r in enumerate(rows) if not _GOES_ON.match(r) and not (i and rows[i - 1].startswith("@"))] or [0]
     starts[0] = 0
     ends = [*starts[1:], len(rows)]
     body: list[ast.stmt] = []
-    i, found, room = 0, False, REREADS * (len(source) + 1)
+    problems: list[Problem] = []
+    i, found, room = 0, False, REREADS * (sum(map(len, rows)) + len(rows) + 1)
     while i < len(starts):
         j, lo = i, starts[i]
         tree, e = _parsed("\n".join(rows[lo : ends[i]]))
@@ -114,9 +166,9 @@ def parse(source: str) -> tuple[ast.Module | None, list[Problem], list[str]]:
         if tree is None:
             if not isinstance(e, (RecursionError, MemoryError)):
                 _, e = _parsed("\n".join(rows[lo : ends[i]]))
-            j, told = i, _problem(e, lo) if e else problems[0]
-            if told[2:] != problems[0][2:]:
-                problems.append(told)
+            j = i
+            if e:
+                problems.append(_problem(e, lo))
             some = rows[lo : ends[i]]
             tree = _mend(some)
             rows[lo : ends[i]] = some
@@ -124,7 +176,7 @@ def parse(source: str) -> tuple[ast.Module | None, list[Problem], list[str]]:
             found = True
             body += ast.increment_lineno(tree, lo).body
         i = j + 1
-    return (ast.Module(body, []) if found else None), problems, rows
+    return (body if found else None), problems
 
 
 class Walk:
