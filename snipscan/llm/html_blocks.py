@@ -1,8 +1,9 @@
 """HTML extraction by flat text blocks.
 
 The tags cut a page into blocks of text. A block is described by its words and link density, those of the blocks before and
-after it, and where it stands: in an article, a list, a heading, and in parts that their tags or names say are apart, with
-the share of the page's words that such a part holds and whether it holds an article. A decision tree, grown on a
+after it, and where it stands: in an article, a list, a heading, after a heading of readers' comments, and in parts that their tags
+or names say are apart, with the share of the page's words that such a part holds, its links, and whether it holds an article.
+A name that is only in part one of those ("market-share") says less than a whole one ("share-buttons"). A decision tree, grown on a
 small labelled table of pages, says which blocks are main text; nothing is taken out before it but what isn't text
 (scripts, styles, the head, controls).
 
@@ -33,13 +34,19 @@ BLOCK = "address article aside blockquote body caption center dd details dialog
 #: What an opening tag ends without an end tag, and the tags beyond which it doesn't. Fixed values.
 ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tr": ("tr", "table"), "tbody": ("thead tbody tfoot", "table"), "tfoot": ("thead tbody", "table"), "option": ("option", "select")}
 LINES = "p h1 h2 h3 h4 h5 h6"
-#: Parts apart from the text by their tag; names in class, id and role that nearly always say so; names that also stand on parts of articles; names of parts whose own articles aren't the page's. Fixed values.
+#: Parts apart from the text by their tag. Names in class, id and role: those that say so by themselves, those that articles have uses
+#: for too, those that also stand on parts of articles, what may stand beside them in a longer name; names of parts whose own
+#: articles aren't the page's. Fixed values.
 APART_TAGS = "nav footer aside form menu dialog fieldset"
-STRONG = "ad ads advert advertisement advertising advertorial adslot adsbygoogle breadcrumb breadcrumbs comment comments commentlist commentbox complementary consent contentinfo cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter pager pagination paywall popup promo promoted recommended related replies reply respond reviews share sharing sidebar sidenav signup sitemap skiplink social sponsor sponsored subscribe teaser toolbar topbar widget"
+STRONG = "ad ads advert advertisement advertising advertorial adslot adsbygoogle breadcrumb breadcrumbs comment comments commentlist commentbox complementary consent contentinfo cookie cookies disqus footer gdpr masthead nav navbar navigation pager pagination paywall replies reply respond sidebar sidenav signup sitemap skiplink sponsored toolbar topbar"
+VAGUE = "login menu modal newsletter popup promo promoted recommended related reviews share sharing social sponsor subscribe teaser widget"
 WEAK = "alert banner copyright disclaimer discussion header legal notice privacy search skip tags toc"
+BESIDE = "area bar block bottom box buttons column container desktop first form global group inner last left links list main mobile module most outer page panel post posts primary read right row secondary section site slot top unit widget wrap wrapper"
 OTHERS = "comment comments reply replies teaser related promo sponsored"
+#: What a name says, from the clearest on: a part apart by all of the name, a name that is both, a name that is only partly one of these, a weak one.
+HINTS = ("strong", "vague", "partly", "weak")
 
-_DROPPED, _RAW, _BLOCK, _LINES, _APART, _STRONG, _WEAK, _OTHERS = (frozenset(x.split()) for x in (DROPPED, RAW, BLOCK, LINES, APART_TAGS, STRONG, WEAK, OTHERS))
+_DROPPED, _RAW, _BLOCK, _LINES, _APART, _STRONG, _VAGUE, _WEAK, _BESIDE, _OTHERS = (frozenset(x.split()) for x in (DROPPED, RAW, BLOCK, LINES, APART_TAGS, STRONG, VAGUE, WEAK, BESIDE, OTHERS))
 _ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
 _LISTS = frozenset(("ul", "ol", "menu", "dl"))
 _MAIN = frozenset(("article", "main"))
@@ -50,7 +57,10 @@ _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\
 _STATES = frozenset("has with no without".split())  # first parts of a class that says what a wrapper holds
 #: Shares of its blocks that the thinned copies of a labelled page keep.
 THINNED = (0.7, 0.4, 0.2)
-FEATURES = ["words", "link_density", "words_before", "links_before", "words_after", "links_after", "article", "apart", "hidden", "strong", "strong_share", "weak", "weak_share", "heading", "listed", "tabled"]
+FEATURES = ["words", "link_density", "words_before", "links_before", "words_after", "links_after", "article", "apart", "apart_share", "hidden", *(x for h in HINTS for x in (h, f"{h}_share")), "named_words", "named_links", "heading", "listed", "tabled", "legal", "talk"]
+#: What lines of imprints say, and headings of readers' comments.
+_LEGAL = re.compile(r"^\W{0,3}(?:copyright|©|\(c\))|\ball rights reserved\b|\bpowered by\b|\bterms (?:of (?:use|service)|and conditions)\b|\bprivacy policy\b", re.I)
+_TALK = re.compile(r"^(?:\d+ )?(?:(?:reader|user|your|latest|recent|all|visitor)s?'? )?(?:comments?|replies|responses|reactions)(?: ?\(\d+\))?:?$|^(?:leave|post|write|add) (?:a|your) (?:comment|reply|response)", re.I)
 
 
 @dataclass
@@ -60,6 +70,7 @@ class Part:
     kind: str
     sure: bool = False
     words: int = 0
+    linked: int = 0
     holds: bool = False
 
 
@@ -76,26 +87,37 @@ class Block:
     parts: tuple[int, ...]
 
 
+def _hint(name: str, tag: str) -> tuple[str, bool]:
+    """What a class, id or role says of the element (one of HINTS or nothing), and whether an article within changes nothing."""
+    w = [x for x in re.split(r"[^a-z]+", name) if x]
+    if not w or w[0] in _STATES:
+        return "", False
+    ends, parts = {w[0], w[-1]}, set(w)
+    if tag == "article":
+        return ("strong", True) if ends & _OTHERS else ("", False)
+    if parts <= _STRONG | _VAGUE | _WEAK | _BESIDE:
+        if parts & _STRONG:
+            return "strong", len(w) == 1 and w[0] in _OTHERS
+        if parts & _VAGUE:
+            return "vague", False
+    if ends & (_STRONG | _VAGUE):
+        return "partly", False
+    return ("weak", False) if ends & _WEAK else ("", False)
+
+
 @lru_cache(4096)
 def _marks(tag: str, attributes: str) -> tuple[bool, str, bool]:
-    """(hidden, what its names hint at: "strong", "weak" or "", whether an article within changes nothing)."""
-    hidden, hint, sure = False, "", False
+    """(hidden, what its names hint at, whether an article within changes nothing)."""
+    hidden, hints, sure = False, set(), False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         hidden |= name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and bool(_UNSEEN.search(value)))
-        if name not in ("class", "id", "role") or tag in ("html", "body", "main"):
-            continue
-        for token in _HUMP.sub("-", value).lower().split():
-            w = [x for x in re.split(r"[^a-z0-9]+", token) if x]
-            if not w or w[0] in _STATES:
-                continue
-            ends = {w[0], w[-1]}
-            if ends & (_OTHERS if tag == "article" else _STRONG):
-                hint = "strong"
-                sure |= tag == "article" or (len(w) == 1 and w[0] in _OTHERS)
-            elif ends & _WEAK and tag != "article":
-                hint = hint or "weak"
-    return hidden, hint, sure
+        if name in ("class", "id", "role") and tag not in ("html", "body", "main"):
+            for token in _HUMP.sub("-", value).lower().split():
+                hint, certain = _hint(token, tag)
+                hints.add(hint)
+                sure |= certain
+    return hidden, next((h for h in HINTS if h in hints), ""), sure
 
 
 @dataclass
@@ -127,10 +149,12 @@ def blocks_of(page: str) -> tuple[list[Block], list[Part]]:
         words = " ".join(entities.unescape("".join(text)).split())
         if words:
             n, open_parts = len(words.split()), tuple(o.part for o in stack if o.part >= 0)
+            in_links = len(entities.unescape(" ".join(linked)).split())
             for k in open_parts:
                 parts[k].words += n
+                parts[k].linked += in_links
             line = stack[-1].tag if stack else ""
-            out.append(Block(words, n, len(entities.unescape(" ".join(linked)).split()), within(_MAIN), hidden > 0, line[:1] == "h" and line[1:].isdigit(), within(_LISTS), bool(count.get("table")), open_parts))
+            out.append(Block(words, n, in_links, within(_MAIN), hidden > 0, line[:1] == "h" and line[1:].isdigit(), within(_LISTS), bool(count.get("table")), open_parts))
         text.clear()
         linked.clear()
 
@@ -206,8 +230,8 @@ def blocks_of(page: str) -> tuple[list[Block], list[Part]]:
                     if o.part >= 0:
                         parts[o.part].holds = True
             part = -1
-            if hint == "strong" or apart or hint:
-                parts.append(Part("strong" if hint == "strong" else "apart" if apart else "weak", sure))
+            if apart or hint:
+                parts.append(Part(hint if hint == "strong" or not apart else "apart", sure))
                 part = len(parts) - 1
             stack.append(_Open(tag, hides, part))
             count[tag] = count.get(tag, 0) + 1
@@ -219,8 +243,10 @@ def blocks_of(page: str) -> tuple[list[Block], list[Part]]:
 def describe(blocks: list[Block], parts: list[Part]) -> np.ndarray:
     """A row of FEATURES for each block.
 
-    "article" is 2 in an article, 0 outside of those of the page, 1 on a page without one. "apart", "strong" and "weak" are 2 in such a part, 1 if all such parts around the block hold an article, else 0; the shares
-    are of the page's words in the smallest such part around it, 1 without any.
+    "article" is 2 in an article, 0 outside of those of the page, 1 on a page without one. "apart" and what names say are 2 in such
+    a part, 1 if all such parts around the block hold an article, else 0; the shares are of the page's words in the smallest such
+    part around it, 1 without any; in an article a name that is partly or weakly one of these says nothing. "named_words" and "named_links" are the words and link density of the innermost part with a
+    name. "legal" is 1 for a line of an imprint, "talk" from a heading of readers' comments to the next heading.
     """
     if not blocks:
         return np.zeros((0, len(FEATURES)))
@@ -233,9 +259,16 @@ def describe(blocks: list[Block], parts: list[Part]) -> np.ndarray:
         around = [parts[k] for k in b.parts if parts[k].kind == kind]
         return max((1.0 if p.holds and not p.sure else 2.0 for p in around), default=0.0), min((min(1.0, p.words / total) for p in around), default=1.0)
 
-    rows = []
+    def named(b: Block) -> tuple[float, float]:
+        inner = next((parts[k] for k in reversed(b.parts) if parts[k].kind != "apart"), None)
+        return (float(inner.words), min(1.0, inner.linked / max(1, inner.words))) if inner else (0.0, 0.0)
+
+    rows, talk = [], False
     for b in blocks:
-        rows.append([2 * b.article if has else 1, level(b, "apart")[0], b.hidden, *level(b, "strong"), *level(b, "weak"), b.heading, b.listed, b.tabled])
+        said = b.words <= 6 and bool(_TALK.search(b.text))
+        talk = said or (talk and not b.heading)
+        hints = [x for h in HINTS for x in ((0.0, 1.0) if b.article and h in ("partly", "weak") else level(b, h))]
+        rows.append([2 * b.article if has else 1, *level(b, "apart"), b.hidden, *hints, *named(b), b.heading, b.listed, b.tabled, bool(_LEGAL.search(b.text)), talk])
     return np.column_stack([words, density, shift(words, -1), shift(density, -1), shift(words, 1), shift(density, 1), np.array(rows, float)])
 
 
@@ -260,7 +293,7 @@ class Tree:
         return np.array(self.share)[node] >= 0.5
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 2) -> Tree:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 18, least: int = 2) -> Tree:
     """A decision tree by the Gini gain; ties go to the earlier column and the lower cut."""
     tree = Tree()
 
@@ -300,7 +333,8 @@ def table_rows() -> tuple[np.ndarray, np.ndarray]:
     rows, labels = [], []
     for page, main in PAGES:
         blocks, parts = blocks_of(page)
-        for share in (1.0, *THINNED):
+        whole = any(_TALK.search(b.text) or _LEGAL.search(b.text) for b in blocks)  # what is thinned out there would leave talk that looks like text
+        for share in (1.0, *(() if whole else THINNED)):
             some = [b for b in blocks if rng.random() < share]
             rows.append(describe(some, parts))
             labels += [float(b.text in main) for b in some]
