@@ -10,7 +10,7 @@ from snipscan.functions import catalog
 from snipscan.functions.text import age_text, band_block, barcode
 from snipscan.operators import digest
 from snipscan.operators.classify import classify_rows, emissions
-from snipscan.operators.facts import COUNTERS, with_facts
+from snipscan.operators.facts import COUNTERS, distinct_sources, with_facts
 
 SCHEMA = 1
 BANDS = catalog.BANDS
@@ -29,14 +29,27 @@ def _calm(failed: Column, of: str = "") -> Column:
     return F.when(failed, FAILED).when(n("lines_total") == n("lines_blank"), "nothing to run").otherwise(digest.quiet_synopsis(n("functions"), n("classes"), n("outlined")))
 
 
-def reports(snippets: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """One row for each snippet: parsed, bytes, line and node counts, risk, worst, band, mask, synopsis. One walk, one shuffle."""
-    walked = with_facts(snippets, ("parsed", "failed", "bytes", "counters", "calls", "env"))
+REPORT_PARTS = ("parsed", "failed", "bytes", "counters", "calls", "env")
+
+
+def reports(snippets: DataFrame, rules: DataFrame | None = None, walked: DataFrame | None = None) -> DataFrame:
+    """One row for each snippet: parsed, bytes, line and node counts, risk, worst, band, mask, synopsis. One walk, one shuffle.
+
+    ``walked`` are the snippets with REPORT_PARTS already told, as a ``FactStore`` gives them; then nothing is walked.
+    """
+    walked = with_facts(snippets, REPORT_PARTS) if walked is None else walked
     rows = classify_rows(emissions(walked, "facts.parsed", "facts.failed", "facts.bytes", "facts.counters"), rules)
     r = digest.overview(rows, ["parsed", "failed", "bytes", "counters"]).select("snippet_id", "parsed", "failed", "bytes", "counters.*", "risk", "worst", "mask", "hits", "synopsis")
     return r.withColumns({"band": digest.band(F.col("risk"), F.col("worst")), "synopsis": F.coalesce("synopsis", _calm(F.col("failed"))), "worst": severity_name(F.col("worst"))}).drop("outlined")
 
 
+def reports_once(snippets: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """As ``reports``, at the cost of the distinct sources: each is walked, classified and summed up once, and its report joined to its snippets."""
+    texts, keyed = distinct_sources(snippets.select("snippet_id", "source"))
+    told = reports(texts.withColumnRenamed("source_id", "snippet_id"), rules).withColumnRenamed("snippet_id", "_of")
+    return keyed.join(told, F.col("source_id") == F.col("_of")).drop("source_id", "_of")
+
+
 def events(snippets: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Snippets (snippet_id, ts, name, origin, source) condensed to feed events with at most four notes."""
     walked = with_facts(snippets, ("failed", "counters", "calls", "env"))

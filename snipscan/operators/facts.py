@@ -58,6 +58,11 @@ def _column(values: list, t: pa.DataType) -> pa.Array:
     return pa.array(values, t)
 
 
+def facts_type(parts: tuple[str, ...]) -> str:
+    """The type of the struct ``facts`` of some parts."""
+    return _ddl(pa.struct([(p, _TYPES[p]) for p in parts]))
+
+
 def with_facts(snippets: DataFrame, parts: tuple[str, ...] = ("calls", "env"), source: str = "source") -> DataFrame:
     """``snippets`` with the struct ``facts`` of the parts asked for."""
     kind = pa.struct([(p, _TYPES[p]) for p in parts])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snipscan.operators import classify, digest, events, facts, policy
-from snipscan.plans.corpus import MADE_EVENTS, made_events, table
+from snipscan.plans.corpus import MADE_EVENTS, dealt, made_events, table
 from snipscan.plans.queries import STATS, longs, query
 from snipscan.plans.streams import feed_lines, shared_folder
 from snipscan.streaming import feed
@@ -17,7 +17,7 @@ from snipscan.streaming import feed
 
 def _sources(spark, sf, texts: list[str]) -> DataFrame:
     text = F.get(F.array(*map(F.lit, texts)), (F.col("p_partkey") % len(texts)).cast("int"))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("snippet_id"), F.replace(text, F.lit("{k}"), F.col("p_partkey").cast("string")).alias("source"))
+    return dealt(table(spark, sf, "part").select("p_partkey")).select(F.col("p_partkey").alias("snippet_id"), F.replace(text, F.lit("{k}"), F.col("p_partkey").cast("string")).alias("source"))
 
 
 def _values(rows: list[tuple]) -> str:

@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows of a small file over all cores, before they are parsed, which is dear."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 #: The events' time in milliseconds, whatever the session's time zone.
 def millis():
     return F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
@@ -32,8 +37,7 @@ TEMPLATES = {
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """snippet_id, ts, name, origin, source of each event."""
-    # parsing is dear and the file is small: deal its rows over all cores
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type").repartition(spark.sparkContext.defaultParallelism)
+    e = dealt(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"))
     source = F.lit(None).cast("string")
     for kind, text in TEMPLATES.items():
         filled = F.replace(F.replace(F.lit(text), F.lit("{u}"), F.col("user_id").cast("string")), F.lit("{e}"), F.col("event_id").cast("string"))

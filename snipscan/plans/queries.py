@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from snipscan.functions import catalog, render
 from snipscan.functions import text as fn
 from snipscan.operators import classify, digest, events, facts, panels, policy
-from snipscan.plans.corpus import EFFECTS_SQL, MADE_EVENTS, MADE_HITS, SNIPPET_HITS, made_events, made_hits, snippets, table
+from snipscan.plans.corpus import EFFECTS_SQL, MADE_EVENTS, MADE_HITS, SNIPPET_HITS, dealt, made_events, made_hits, snippets, table
 from snipscan.sources import extract
 from snipscan.streaming import feed
 
@@ -147,7 +147,7 @@ def broken_sources(spark, sf):
     """Sources with a statement that doesn't parse: the others are read, at their own lines."""
     texts = ["import os\nprint 'hello'\nos.system('id {k}')\n", "import os\nx = (\nos.system('rm -rf /d{k}')\n", "import shutil\ndef f(:\n    shutil.rmtree('/data/{k}')\n", "import os\nclass A:\n    b c\n    def g(self): os.remove('f{k}')\n", "\ntry:\n    x +\nexcept E:\n    pass\nopen('log{k}', 'a')\n"]
     text = F.get(F.array(*map(F.lit, texts)), (F.col("p_partkey") % 5).cast("int"))
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("snippet_id"), F.replace(text, F.lit("{k}"), F.col("p_partkey").cast("string")).alias("source"))
+    p = dealt(table(spark, sf, "part").select("p_partkey")).select(F.col("p_partkey").alias("snippet_id"), F.replace(text, F.lit("{k}"), F.col("p_partkey").cast("string")).alias("source"))
     rows = classify.classify_rows(classify.emissions(facts.with_facts(p, ("parsed", "calls", "env")), "facts.parsed")).where("effect is not null")
     return longs(rows, "line").select("snippet_id", "line", "verb", "target", "parsed")
 
@@ -251,7 +251,7 @@ with k(i, effect, severity, note) as (values (0, 'process', 2, 'runs an external
 select p_partkey as snippet_id, effect, cast(severity as bigint) as severity, note from part join k on p_partkey % 7 = i""")
 def keyword_hazards(spark, sf):
     texts = ["import subprocess\nsubprocess.run(c, shell=True)", "import subprocess\nsubprocess.run(c, shell=s)", "import requests\nrequests.get(u, verify=False)", "import requests\nrequests.get(u, verify=v)", "import numpy\nnumpy.load(f, allow_pickle=True)", "import yaml\nyaml.load(f, Loader=yaml.SafeLoader)", "import yaml\nyaml.load(f, Loader=yaml.Loader)"]
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("snippet_id"), F.get(F.array(*map(F.lit, texts)), (F.col("p_partkey") % 7).cast("int")).alias("source"))
+    p = dealt(table(spark, sf, "part").select("p_partkey")).select(F.col("p_partkey").alias("snippet_id"), F.get(F.array(*map(F.lit, texts)), (F.col("p_partkey") % 7).cast("int")).alias("source"))
     return longs(classify.classify(facts.with_facts(p)), "severity").select("snippet_id", "effect", "severity", "note")
 
 
@@ -295,7 +295,7 @@ def catalogue_rules(spark, sf):
 def _commands(spark, sf):
     k, c = F.col("o_orderkey") % 6, F.col("o_custkey").cast("string")
     text = F.when(k == 0, F.concat(F.lit("cd /w && python3 -c 'print("), c, F.lit(")'"))).when(k == 1, F.concat(F.lit("python3 <<'EOF'\nx = "), c, F.lit("\nEOF\n"))).when(k == 2, F.concat(F.lit("sudo -u root timeout 5 python3 -c \"y = "), c, F.lit("\""))).when(k == 3, F.concat(F.lit("echo 'z = "), c, F.lit("' | python3"))).when(k == 4, F.concat(F.lit("bash -lc 'python3 run"), c, F.lit(".py'"))).otherwise("git status")
-    return table(spark, sf, "orders").select("o_orderkey", text.alias("command"))
+    return dealt(table(spark, sf, "orders").select("o_orderkey", "o_custkey")).select("o_orderkey", text.alias("command"))
 
 
 @query("""
@@ -310,7 +310,7 @@ def extract_scripts(spark, sf):
     o = table(spark, sf, "orders")
     c = F.col("o_custkey").cast("string")
     scripts = o.select("o_custkey").distinct().select(F.concat(F.lit("/w/run"), c, F.lit(".py")).alias("path"), F.concat(F.lit("print("), c, F.lit(")\n")).alias("content"))
-    calls = o.select("o_orderkey", F.concat(F.lit("cd /w; env A=1 python3 -u run"), c, F.lit(".py --fast > log 2>&1")).alias("command"))
+    calls = dealt(o.select("o_orderkey", "o_custkey")).select("o_orderkey", F.concat(F.lit("cd /w; env A=1 python3 -u run"), c, F.lit(".py --fast > log 2>&1")).alias("command"))
     return extract.extract_all(calls, files=scripts).select("o_orderkey", "source", "label")
 
 
@@ -318,14 +318,14 @@ def extract_scripts(spark, sf):
 def first_or_itself(spark, sf):
     c = F.col("o_custkey").cast("string")
     text = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("python -c x"), c)).otherwise(F.concat(F.lit("ls "), c))
-    return extract.first_or_itself(table(spark, sf, "orders").select("o_orderkey", text.alias("command")), "o_orderkey")
+    return extract.first_or_itself(dealt(table(spark, sf, "orders").select("o_orderkey", "o_custkey")).select("o_orderkey", text.alias("command")), "o_orderkey")
 
 
 @query("select p_partkey, case p_partkey % 4 when 0 then 'c' || p_size end as code, case p_partkey % 4 when 1 then 'm' || p_size end as module, case p_partkey % 4 when 2 then 's' || p_size || '.py' end as script, p_partkey % 4 = 3 as stdin from part")
 def argv_classify(spark, sf):
     k, v = F.col("p_partkey") % 4, F.col("p_size").cast("string")
     args = F.when(k == 0, F.array(F.lit("-uBc"), F.concat(F.lit("c"), v))).when(k == 1, F.array(F.lit("-W"), F.lit("ignore"), F.lit("-m"), F.concat(F.lit("m"), v))).when(k == 2, F.array(F.lit("-X"), F.lit("dev"), F.concat(F.lit("s"), v, F.lit(".py")), F.lit("-c"))).otherwise(F.array(F.lit("-u"), F.lit("-")))
-    return table(spark, sf, "part").select("p_partkey", extract.argv(args).alias("a")).select("p_partkey", "a.code", "a.module", "a.script", "a.stdin")
+    return dealt(table(spark, sf, "part").select("p_partkey", "p_size")).select("p_partkey", extract.argv(args).alias("a")).select("p_partkey", "a.code", "a.module", "a.script", "a.stdin")
 
 
 @query("""
@@ -335,7 +335,7 @@ def payload_route(spark, sf):
     k, c = F.col("o_orderkey") % 5, F.col("o_custkey").cast("string")
     say = lambda tool, name, value: F.to_json(F.struct(F.lit(tool).alias("tool_name"), F.struct(value.alias(name)).alias("tool_input")))
     payload = F.when(k == 0, say("Python", "code", F.concat(F.lit("x = "), c))).when(k == 1, say("Bash", "command", F.concat(F.lit("python -c 'y = "), c, F.lit("'")))).when(k == 2, say("my_tool", "script", F.concat(F.lit("import m"), c))).when(k == 3, say("NotebookEdit", "new_source", F.lit("q = 1"))).otherwise(say("Write", "code", F.lit("z = 1")))
-    return extract.in_payloads(table(spark, sf, "orders").select("o_orderkey", payload.alias("payload"))).select("o_orderkey", "source", "label")
+    return extract.in_payloads(dealt(table(spark, sf, "orders").select("o_orderkey", "o_custkey")).select("o_orderkey", payload.alias("payload"))).select("o_orderkey", "source", "label")
 
 
 # ---- text
