@@ -290,6 +290,23 @@ def roll_up(nodes: Column, hits: Column) -> Column:
     return F.transform(nodes, rolled)
 
 
+def nested(spine: Column, root: Column) -> Column:
+    """The rolled-up nodes of a snippet, flat and from the top down, as the JSON of one tree: each node holds its ``children``. ``root`` labels the first.
+
+    A node opens where it stands and closes before the next that isn't below it, so neither depth nor width has a limit.
+    """
+    level = lambda k: F.coalesce(F.size(F.get(spine, k)["path"]), F.lit(1))
+
+    def text(n: Column, i: Column) -> Column:
+        own, following = F.size(n["path"]), F.when(i + 1 < F.size(spine), level(i + 1)).otherwise(1)
+        label = F.when(i == 0, root).otherwise(n["label"])
+        told = F.to_json(F.struct(n["node_id"].alias("id"), n["kind"].alias("kind"), label.alias("label"), *[n[k].alias(k) for k in ("detail", "line", "end_line", "depth", "own_effects", "effects", "severity", "weight")]), {"ignoreNullFields": "false"})
+        comma = F.when((i > 0) & (level(i - 1) >= own), ",").otherwise("")
+        return F.concat(comma, F.substring(told, F.lit(1), F.length(told) - 1), F.lit(',"children":['), F.repeat(F.lit("]}"), F.greatest(own - following + 1, F.lit(0))))
+
+    return F.when(F.size(spine) > 0, F.array_join(F.transform(spine, text), ""))
+
+
 def nodes_of(walked: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """A row for each node of snippets with the facts ``calls``, ``env`` and ``nodes``, rolled up: one walk, one shuffle by snippet."""
     rows = classify_rows(emissions(walked.withColumn("_nodes", F.col("facts.nodes")), once=("_nodes",)), rules)

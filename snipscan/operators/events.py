@@ -107,9 +107,12 @@ def documents(snippets: DataFrame, rules: DataFrame | None = None, name: str | N
     """(snippet_id, report): everything known of each snippet as one JSON document, in the nested form of a single report."""
     named = snippets.select("snippet_id", F.coalesce(F.col(name) if name else F.lit(None), F.lit("<snippet>")).alias("_name"), "source")
     d = dossiers(named.withColumn("snippet_id", F.struct("snippet_id", "_name")), rules)
-    meta = F.struct(F.col("snippet_id._name").alias("name"), "bytes", "parsed", "synopsis", "headline")
-    report = F.struct(F.lit(SCHEMA).alias("schema"), meta.alias("meta"), "spine", "imports", "effects", "symbols", "bindings", "metrics", "texture", "diagnostics", "source")
-    return d.select("snippet_id.snippet_id", F.to_json(report, {"ignoreNullFields": "false"}).alias("report"))
+    d = d.select("*", F.col("snippet_id._name").alias("_name"))
+    as_text = lambda *parts: F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})
+    meta = as_text(F.col("_name").alias("name"), "bytes", "parsed", "synopsis", "headline")
+    tree = F.coalesce(digest.nested(F.col("spine"), F.col("_name")), F.lit("null"))
+    rest = F.substring(as_text("imports", "effects", "symbols", "bindings", "metrics", "texture", "diagnostics", "source"), F.lit(2), F.lit(2**31 - 1))
+    return d.select("snippet_id.snippet_id", F.concat(F.lit(f'{{"schema":{SCHEMA},"meta":'), meta, F.lit(',"spine":'), tree, F.lit(","), rest).alias("report"))
 
 
 def totals() -> list[Column]:

@@ -135,7 +135,9 @@ def test_documents_have_every_part(spark):
     assert [(b["line"], b["name"], b["dead"]) for b in r["bindings"]] == sorted((b["line"], b["name"], b["dead"]) for b in r["bindings"])
     assert [(s["canonical"], s["group"], s["origin"], s["count"], s["lines"]) for s in r["symbols"]] == [("numpy.mean", "numpy", "import", 2, [8]), ("print", "<builtins>", "builtin", 1, [8]), ("os.listdir", "os", "import", 1, [6])]
     assert [(c["kind"], c["blank"], c["comment"], c["severity"]) for c in r["texture"]][:8] == [("import", False, False, None), ("import", False, False, None), (None, True, False, None), ("assign", False, False, None), ("assign", False, False, None), ("loop", False, False, "info"), (None, False, True, None), ("call", False, False, "info")]
-    assert [n["prefix"] + n["label"] for n in r["spine"][1:]] == ["├─ import os", "├─ import numpy as np", "├─ b = 1", "├─ a = b", "├─ for p in os.listdir('d')", "│  └─ print(p, np.mean([1]), np.mean([2]))", "└─ def unused()", "   └─ pass"]
+    drawn = lambda n: [n["label"], *map(drawn, n["children"])]
+    assert drawn(r["spine"]) == ["one.py", ["import os"], ["import numpy as np"], ["b = 1"], ["a = b"], ["for p in os.listdir('d')", ["print(p, np.mean([1]), np.mean([2]))"]], ["def unused()", ["pass"]]]
+    assert list(r["spine"]) == ["id", "kind", "label", "detail", "line", "end_line", "depth", "own_effects", "effects", "severity", "weight", "children"] and r["spine"]["weight"] == 9
     assert r["source"] == source.splitlines() and r["metrics"]["risk"] == 4 and r["metrics"]["lines_code"] == 8
     assert got[2]["meta"]["synopsis"] == "nothing to run" and got[2]["meta"]["headline"] == [] and got[2]["meta"]["name"] == "<snippet>"
     assert not got[3]["meta"]["parsed"] and got[3]["diagnostics"][0]["level"] == "error"
