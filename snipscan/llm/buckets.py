@@ -17,19 +17,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from snipscan.llm.bitfield import bit_field, may_be_in, may_hold
 from snipscan.llm.common import discard, materialize, small_batches
 from snipscan.llm.components import connected_components
 from snipscan.llm.skew import hot_keys, join_split
 
 EPSILON = 1e-9  # for bounds whose product with a decimal share isn't exact
-#: So many of the most frequent items are known as such on every worker. They only order the items: others count as rare.
-COMMON = 1 << 18
 
 
-def crowded(members: DataFrame) -> DataFrame:
-    """The members (key, rep, n) of buckets of two or more, with the bucket's leader ``lead``."""
+def crowded(members: DataFrame, sift: bool = False) -> DataFrame:
+    """The members (key, rep, n) of buckets of two or more, with the bucket's leader ``lead``. ``sift``: members of other buckets are left out by a field of bits before they are shuffled (an Arrow function)."""
     sizes = materialize(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
-    shared = materialize(members.join(sizes, "key").select("key", "rep", "n", "size"), "bucket-sizes")
+    some = members.where(may_be_in(sizes.select("key"))(F.col("key"))) if sift else members
+    shared = materialize(some.join(sizes, "key").select("key", "rep", "n", "size"), "bucket-sizes")
     company = shared.groupBy("rep").agg(F.sum("size").alias("company"))
     rank = F.struct((-F.col("company")).alias("c"), F.xxhash64("rep").alias("o"), "rep", "n")
     leads = shared.select("key", "rep", "n").join(company, "rep").groupBy("key").agg(F.min(rank).alias("lead"))
@@ -49,14 +49,14 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 
 Verify = Callable[[DataFrame], DataFrame]
-First = Callable[[DataFrame, float], DataFrame]
+First = Callable[[DataFrame, float], tuple[DataFrame, list[DataFrame]]]
 
 
 def link_buckets(met: DataFrame, verify: Verify, share: float, leaders: int, items: Verify, first_items: First) -> DataFrame:
     """(id, class) of the reps that have a link. ``met`` is what ``crowded`` gives; ``verify`` writes the like pairs (a, b) of a written table.
 
-    ``items`` gives (rep, items) for a table of reps: arrays of different numbers, n of them. Pairs that ``verify`` keeps
-    have a Jaccard likeness of these of at least ``share``. ``first_items`` is ``by_counts`` or ``by_broadcast``.
+    ``items`` gives (rep, class, items) for a table (rep, class): arrays of different numbers, n of them. Pairs that ``verify``
+    keeps have a Jaccard likeness of these of at least ``share``. ``first_items`` is ``by_counts`` or ``by_sifted_counts``.
     """
     first = materialize(_pairs(met.where((F.col("rep") != F.col("lead.rep")) & _fits("n", "lead.n", share))), "pairs-1")
     links = verify(first)
@@ -115,10 +115,11 @@ def _unlinked(met: DataFrame, classes: DataFrame, items: Verify, first_items: Fi
     if not left.limit(1).count():
         discard(left)
         return None
-    sets = materialize(items(left.select("rep")).join(left, "rep").select("rep", "class", "items"), "unlinked-sets")
+    sets = materialize(items(left).select("rep", "class", "items", F.monotonically_increasing_id().alias("nr")), "unlinked-sets")
     place = F.col("place")
     short = place <= F.col("n") - F.ceil(F.lit(2 * share / (1 + share)) * F.col("n") - EPSILON)
-    rows = materialize(first_items(sets, share).withColumn("short", short), "first-items")
+    told, spent = first_items(sets, share)
+    rows = materialize(told.withColumn("short", short), "first-items")
     common = rows.groupBy("item").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("short").alias("any")).where("low <> high and any").select("item")
     near = materialize(rows.join(common, "item"), "shared-items")
     # pairs of classes first, so that a class's own pairs never arise
@@ -129,45 +130,41 @@ def _unlinked(met: DataFrame, classes: DataFrame, items: Verify, first_items: Fi
     fits = (F.col("nx") <= F.col("ny")) & _fits("nx", "ny", share) & (F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= least)
     both = met_classes.join(x, ["item", "cx"]).join(y, (F.col("item") == F.col("_item")) & (F.col("cy") == F.col("_class")) & fits)
     pairs = materialize(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "unlinked-pairs")
-    for done in (left, sets, rows, near):
+    for done in (left, sets, rows, near, *spent):
         discard(done)
     return pairs
 
 
-def by_counts(sets: DataFrame, share: float) -> DataFrame:
-    """(rep, class, n, place, item): the first items of each set by rarity, as many as a larger set of a like pair must share one of. DataFrame functions only."""
+def by_counts(sets: DataFrame, share: float) -> tuple[DataFrame, list[DataFrame]]:
+    """(rep, class, n, place, item): the first items of each set by rarity, as many as a larger set of a like pair must share one of; and written tables that go when it is read. DataFrame functions only."""
     items = materialize(sets.select("rep", "class", F.size("items").alias("n"), F.explode("items").alias("item")), "items")
     counts = items.groupBy(F.col("item").alias("_item")).agg(F.count("*").alias("times"))
     often = join_split(items, counts, "item", "_item", hot=hot_keys(items, "item")).groupBy("rep", "class", "n").agg(F.array_sort(F.collect_list(F.struct("times", "item"))).alias("all"))
     most = (F.col("n") - F.ceil(F.lit(share) * F.col("n") - EPSILON) + 1).cast("int")
-    return often.select("rep", "class", "n", F.posexplode(F.slice("all", 1, most)).alias("place", "_i")).select("rep", "class", "n", "place", "_i.item")
-
-
-def by_broadcast(sets: DataFrame, share: float) -> DataFrame:
-    """As ``by_counts``, but only the counts of the COMMON most frequent items are known, on every worker; nothing but counts is shuffled."""
-    spark = sets.sparkSession
-    small_batches(spark)
-    counts = materialize(sets.select(F.explode("items").alias("item")).groupBy("item").count().where("count > 1"), "item-counts")
-    levels = {r.level: r["count"] for r in counts.groupBy(F.floor(F.log2("count") + EPSILON).alias("level")).count().collect()}
-    level = max(levels, default=0) + 1
-    while level > 1 and sum(v for k, v in levels.items() if k >= level - 1) <= COMMON:
-        level -= 1
-    known = counts.where(F.floor(F.log2("count") + EPSILON) >= level).toPandas().sort_values("item")
-    discard(counts)
-    table = spark.sparkContext.broadcast((known["item"].to_numpy(np.int64), known["count"].to_numpy(np.int64)))
+    return often.select("rep", "class", "n", F.posexplode(F.slice("all", 1, most)).alias("place", "_i")).select("rep", "class", "n", "place", "_i.item"), [items]
+
+
+def by_sifted_counts(sets: DataFrame, share: float) -> tuple[DataFrame, list[DataFrame]]:
+    """As ``by_counts``, but items of one set only aren't told: they come first, and no other set shares them.
+
+    A field of bits leaves most of them out before the exact counts are joined, and sets are known by their number ``nr`` meanwhile.
+    """
+    small_batches(sets.sparkSession)
+    counts = materialize(sets.select(F.explode("items").alias("_item")).groupBy("_item").agg(F.count("*").alias("times")).where("times > 1"), "item-counts")
+    field = sets.sparkSession.sparkContext.broadcast(bit_field(counts.select("_item")))
 
     @F.arrow_udf("array<bigint>")
-    def first(column: pa.Array) -> pa.Array:
-        item, count = table.value
-        out = []
-        for row in column:
-            x = np.asarray(row.values.to_numpy(zero_copy_only=False), np.int64)
-            often = np.zeros(len(x), np.int64)
-            if len(item):
-                at = np.minimum(np.searchsorted(item, x), len(item) - 1)
-                often = np.where(item[at] == x, count[at], 0)
-            k = len(x) - int(np.ceil(share * len(x) - EPSILON)) + 1
-            out.append(x[np.lexsort((x, often))[:k]])
-        return pa.array(out, pa.list_(pa.int64()))
-
-    return sets.select("rep", "class", F.size("items").alias("n"), F.posexplode(first("items")).alias("place", "item"))
+    def shared(column: pa.Array) -> pa.Array:
+        x = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        keep = may_hold(field.value, x)
+        ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+        upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(keep)))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate((np.zeros(1, np.int64), upto[ends])).astype(np.int32)), pa.array(x[keep]))
+
+    items = materialize(sets.select("nr", F.explode(shared("items")).alias("item")), "items")
+    of = sets.select(F.col("nr").alias("_nr"), "rep", "class", F.size("items").alias("n"))
+    found = join_split(items, counts, "item", "_item", hot=hot_keys(items, "item")).groupBy("nr").agg(F.array_sort(F.collect_list(F.struct("times", "item"))).alias("all"))
+    most = (F.col("n") - F.ceil(F.lit(share) * F.col("n") - EPSILON) + 1).cast("int")
+    alone = F.col("n") - F.size("all")
+    first = found.join(of, F.col("nr") == F.col("_nr")).where(most > alone).select("rep", "class", "n", alone.alias("alone"), F.posexplode(F.slice("all", F.lit(1), most - alone)).alias("k", "_i"))
+    return first.select("rep", "class", "n", (F.col("alone") + F.col("k")).alias("place"), F.col("_i.item").alias("item")), [counts, items]

@@ -30,12 +30,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from snipscan.llm.asciiwords import split_words
+from snipscan.llm.bitfield import bit_field, may_hold
 from snipscan.llm.common import discard, materialize, small_batches
 from snipscan.llm.skew import hot_keys, join_split
 
 SIZE, SHINGLE = 10, 5
-#: The field that shows which shingles no item has: bits for each shingle, and log2 of the fewest and most bits (16 MB); with more shingles it lets more pass.
-SPARE, FIELD = 64, (15, 27)
 _PLACES = "array<struct<at: int, shingle: bigint, before: int, around: string>>"
 
 
@@ -79,17 +78,6 @@ def window_shingles(found: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return each.select("window", "s.n", "s.k", F.posexplode("s.shingles").alias("at", "shingle"))
 
 
-def bit_field(shingles: DataFrame) -> np.ndarray:
-    """A bit for each value of the hash's first bits, set where a row of a written table has it."""
-    log = min(FIELD[1], max(FIELD[0], (SPARE * shingles.count()).bit_length()))
-    top = F.shiftrightunsigned("shingle", 64 - log)
-    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(top, F.lit(32)).cast("int"))
-    bits = shingles.groupBy(F.shiftright(top, 5).alias("word")).agg(F.bit_or(one).alias("bits")).toPandas()  # at most as many rows as the field has words
-    out = np.zeros(1 << (log - 5), np.uint32)
-    out[bits["word"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64).astype(np.uint32)
-    return out
-
-
 class _Finder:
     """Where the shingles of a text may be an item's, by a bit field."""
 
@@ -98,12 +86,9 @@ class _Finder:
 
     def __call__(self, words: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(k, places, hashes) for each length of shingle."""
-        field = self.field.value
-        shift = np.uint64(64 - 5 - (len(field).bit_length() - 1))
         for k in self.sizes:
             h = shingle_hashes(words, k)
-            top = h >> shift
-            at = np.flatnonzero(field[top >> np.uint64(5)] >> (top & np.uint64(31)).astype(np.uint32) & np.uint32(1))
+            at = np.flatnonzero(may_hold(self.field.value, h))
             if len(at):
                 yield k, at, h[at].view(np.int64)
 
@@ -173,9 +158,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     of_items = materialize(windows(items, item_key, item_text, size), "item-windows")
     shingles = materialize(window_shingles(of_items), "window-shingles")
     sizes = sorted(r.k for r in shingles.select("k").distinct().collect())
-    counts = count_shingles(docs, _Finder(spark.sparkContext.broadcast(bit_field(shingles)), sizes), text)
+    counts = count_shingles(docs, _Finder(spark.sparkContext.broadcast(bit_field(shingles.select("shingle"))), sizes), text)
     prefix = materialize(prefixes(shingles, counts), "prefixes")
-    finder = _Finder(spark.sparkContext.broadcast(bit_field(prefix)), sizes)
+    finder = _Finder(spark.sparkContext.broadcast(bit_field(prefix.select("shingle"))), sizes)
     told = docs.select(F.col(key).alias("id"), _places(finder, size)(text).alias("w")).select("id", "w.n_words", "w.places")
     rows = materialize(told.withColumn("row", F.monotonically_increasing_id()), "document-places")
     places = rows.select("row", "n_words", F.explode("places").alias("p")).select("row", "n_words", "p.*")

@@ -14,7 +14,7 @@ a shared bucket is like both. Equal texts are one text throughout, known by a di
 
 A text of fewer than WORDS words is one k-mer of all its words; one without a word has none, and is like others without a
 word only where equal byte by byte. Null counts as the empty text; a very long text is read whole. A class is named by its
-smallest id, null if none of its rows has one; of rows with the same id each belongs to the class of its own text. Repeated
+smallest id, null if none of its rows has one (its digest then tells it from others); of rows with the same id each belongs to the class of its own text. Repeated
 rows are in one class. Ties of a hash are broken by the order in the text. An empty table gives an empty result. Columns of
 any name are carried along in a struct, so none can clash.
 """
@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snipscan.llm.buckets import EPSILON, by_broadcast, crowded, link_buckets
+from snipscan.llm.bitfield import may_be_in
+from snipscan.llm.buckets import EPSILON, by_sifted_counts, crowded, link_buckets
 from snipscan.llm.common import discard, materialize, small_batches
 from snipscan.llm.skew import hot_keys, join_split
 from snipscan.llm.textwords import U64, Words, as_bytes, chunks, mix
@@ -220,24 +221,33 @@ def may_be_like(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(room | full | (x == FULL).any(axis=1) | (y == FULL).any(axis=1))
 
 
-def _with_both(pairs: DataFrame, texts: DataFrame, column: str) -> DataFrame:
-    """The pairs (a, b) of a written table with a column of ``texts`` for each side. A text in very many pairs is dealt over several tasks."""
-    left, right = (texts.select(F.col("rep").alias(f"r{x}"), F.col(column).alias(f"{column}_{x}")) for x in "ab")
+def _with_both(pairs: DataFrame, texts: DataFrame, column: str, others: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) of a written table with a column of ``texts`` for each side, or of ``others`` for b. A text in very many pairs is dealt over several tasks."""
+    left, right = (side.select(F.col("rep").alias(f"r{x}"), F.col(column).alias(f"{column}_{x}")) for x, side in (("a", texts), ("b", others or texts)))
     with_a = join_split(pairs.select("a", "b"), left, "a", "ra", hot=hot_keys(pairs, "a")).select("a", "b", f"{column}_a")
     return join_split(with_a, right, "b", "rb", hot=hot_keys(pairs, "b")).select("a", "b", f"{column}_a", f"{column}_b")
 
 
+def _sifted(texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """``texts`` without most of those whose ``rep`` is none of ``reps``, so that few whole texts are shuffled for a join with these."""
+    wanted = materialize(reps.select(F.xxhash64("rep").alias("h")), "wanted")
+    out = texts.where(may_be_in(wanted)(F.xxhash64("rep")))
+    discard(wanted)
+    return out
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of a written table whose texts are near copies, as a written table. Bags rule most others out before whole texts are moved."""
     room = F.arrow_udf(may_be_like, "boolean")
     some = materialize(_with_both(pairs, texts, "bag").where(room("bag_a", "bag_b")).select("a", "b"), "pairs-left")
-    links = materialize(_with_both(some, texts, "text").mapInArrow(_verify, "a binary, b binary"), "links")
+    left, right = (_sifted(texts, some.select(F.col(x).alias("rep"))) for x in "ab")
+    links = materialize(_with_both(some, left, "text", right).mapInArrow(_verify, "a binary, b binary"), "links")
     discard(some)
     return links
 
 
 def _labelled_kmers(texts: DataFrame) -> DataFrame:
-    """(rep, items): the labelled k-mers of each text."""
+    """(rep, class, items): the labelled k-mers of each text."""
     small_batches(texts.sparkSession)
 
     @F.arrow_udf("array<bigint>")
@@ -246,16 +256,16 @@ def _labelled_kmers(texts: DataFrame) -> DataFrame:
         grams = [g for lo, hi in chunks(lower) for g in kmers(lower[lo:hi])]
         return pa.array([labelled(g).view(np.int64) for g in grams], pa.list_(pa.int64()))
 
-    return texts.select("rep", items.asNondeterministic()("text").alias("items"))
+    return texts.select("rep", "class", items.asNondeterministic()("text").alias("items"))
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest) of each row, and for each text its digest, its smallest id ``low``, and the ``class``, a digest. Both are written tables."""
     sketches = materialize(with_sketches(docs), "sketches")
     texts_of = materialize(sketches.groupBy("digest").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct-texts")
-    met = crowded(texts_of.select(F.col("digest").alias("rep"), "n", F.explode("keys").alias("key")))
+    met = crowded(texts_of.select(F.col("digest").alias("rep"), "n", F.explode("keys").alias("key")), sift=True)
     texts = materialize(_texts(docs, texts_of.select("digest", "low").join(met.select(F.col("rep").alias("digest")).distinct(), "digest", "left_semi")), "bucket-texts")
-    classes = link_buckets(met, lambda pairs: verified(pairs, texts), SIMILARITY, LEADERS, lambda some: _labelled_kmers(texts.join(some, "rep", "left_semi")), by_broadcast)
+    classes = link_buckets(met, lambda pairs: verified(pairs, texts), SIMILARITY, LEADERS, lambda some: _labelled_kmers(_sifted(texts, some.select("rep")).join(some, "rep")), by_sifted_counts)
     named = materialize(texts_of.join(classes, F.col("digest") == F.col("id"), "left").select("digest", "low", F.coalesce("class", "digest").alias("class")), "text-classes")
     rows = materialize(sketches.select("doc_id", "digest"), "row-digests")
     for done in (sketches, texts_of, met, texts, classes):
@@ -264,11 +274,11 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id) for each row of ``docs``; a class is named by its smallest document id."""
+    """(doc_id, class_id, class_name) for each row of ``docs``: a class's smallest document id, null if it has none, and the digest of one of its texts, which tells all classes apart."""
     rows, named = _classes(docs.select("doc_id", "text"))
     names = named.groupBy("class").agg(F.min("low").alias("class_id"))
-    texts = materialize(join_split(named.select("digest", "class"), names.withColumnRenamed("class", "_class"), "class", "_class", hot=hot_keys(named, "class")).select(F.col("digest").alias("_digest"), "class_id"), "class-names")
-    return join_split(rows, texts, "digest", "_digest", hot=hot_keys(rows, "digest")).select("doc_id", "class_id")
+    texts = materialize(join_split(named.select("digest", "class"), names.withColumnRenamed("class", "_class"), "class", "_class", hot=hot_keys(named, "class")).select(F.col("digest").alias("_digest"), "class_id", F.lower(F.hex("class")).alias("class_name")), "class-names")
+    return join_split(rows, texts, "digest", "_digest", hot=hot_keys(rows, "digest")).select("doc_id", "class_id", "class_name")
 
 
 def _id_and_digest(docs: DataFrame) -> DataFrame:
@@ -281,8 +291,9 @@ def _id_and_digest(docs: DataFrame) -> DataFrame:
 
 def _texts(docs: DataFrame, used: DataFrame) -> DataFrame:
     """(rep, text, bag) of the texts of ``used`` (digest, low), from the row of the smallest id, so that of many copies one is moved."""
-    wanted = used.select(F.coalesce(F.concat(F.lit("i"), F.col("low")), F.lit("")).alias("id"), "digest")
-    rows = _id_and_digest(docs.select("doc_id", "text")).join(wanted, ["id", "digest"])
+    wanted = materialize(used.select(F.coalesce(F.concat(F.lit("i"), F.col("low")), F.lit("")).alias("id"), "digest").withColumn("h", F.xxhash64("id", "digest")), "wanted-texts")
+    some = may_be_in(wanted.select("h"))  # before the shuffle most texts that no bucket holds go, and copies of those that one does
+    rows = _id_and_digest(docs.select("doc_id", "text")).where(some(F.xxhash64("id", "digest"))).join(wanted.drop("h"), ["id", "digest"])
     once = rows.groupBy(F.col("digest").alias("rep")).agg(F.coalesce(F.min("doc.text"), F.lit("")).alias("text"))
     return once.withColumn("bag", F.arrow_udf(bags, "binary").asNondeterministic()("text"))
 

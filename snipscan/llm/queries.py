@@ -85,7 +85,7 @@ def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = order_minhash.near_classes(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "class_name")
 
 
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,7 +155,7 @@ def near_classes(docs: DataFrame, tau: float = TAU, leaders: int = 3) -> DataFra
         both = join_split(with_a, right, "b", "rb", hot=hot_keys(pairs, "b"))
         return materialize(both.where(pruned_likeness(F.col("sa"), F.col("sb"), tau) >= tau).select("a", "b"), "links")
 
-    items = lambda some: sets.join(some, "rep", "left_semi").select("rep", F.col("sig").cast("array<bigint>").alias("items"))
+    items = lambda some: sets.join(some, "rep").select("rep", "class", F.col("sig").cast("array<bigint>").alias("items"))
     classes = link_buckets(met, verify, tau, leaders, items, by_counts)
     named = materialize(sets.join(classes, F.col("rep") == F.col("id"), "left").select("rep", "low", F.coalesce("class", "rep").alias("class")), "fingerprint-classes")
     names = named.groupBy(F.col("class").alias("_class")).agg(F.min("low").alias("class_id"))

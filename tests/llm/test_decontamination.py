@@ -72,7 +72,7 @@ def test_odd_rows(spark, make):
 
 def test_a_full_field_loses_nothing(spark, make, monkeypatch):
     """With a field of so few bits that it lets all pass, the words decide."""
-    monkeypatch.setattr(dc, "FIELD", (6, 6))
+    monkeypatch.setattr("snipscan.llm.bitfield.LOG_BITS", (7, 7))
     docs, items = [(i, " ".join(f"w{(i * 7 + k) % 50}" for k in range(40))) for i in range(60)], [(9, " ".join(f"w{k}" for k in range(3, 30)))]
     assert told(dc.decontaminate(make(docs), items_of(spark, items))) == brute(docs, items)
 

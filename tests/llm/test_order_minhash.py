@@ -9,7 +9,7 @@ import pytest
 
 from snipscan.llm import order_minhash as om
 from snipscan.llm import skew
-from snipscan.llm.buckets import by_broadcast, by_counts, crowded, link_buckets
+from snipscan.llm.buckets import by_sifted_counts, by_counts, crowded, link_buckets
 from snipscan.llm.common import materialize
 from snipscan.llm.components import connected_components
 from snipscan.llm.queries import QUERIES
@@ -207,7 +207,7 @@ def test_copies_that_only_their_original_joins(make):
     assert set(classes(make(rows)).values()) == {0}
 
 
-@pytest.mark.parametrize("first", [by_counts, by_broadcast])
+@pytest.mark.parametrize("first", [by_counts, by_sifted_counts])
 def test_bucket_of_a_chain_is_linked_whole(spark, first):
     sets = [(r, [r * 2 + k for k in range(40)]) for r in range(120)] + [(500 + r, [10_000 * r + k for k in range(40)]) for r in range(1, 30)]
     random.Random(3).shuffle(sets)
@@ -218,5 +218,5 @@ def test_bucket_of_a_chain_is_linked_whole(spark, first):
         both = pairs.join(table.selectExpr("rep as a", "items as x"), "a").join(table.selectExpr("rep as b", "items as y"), "b")
         return materialize(both.where("size(array_intersect(x, y)) >= 0.8 * size(array_union(x, y))").select("a", "b"), "links")
 
-    got = {r.id: r["class"] for r in link_buckets(met, verify, 0.8, 3, lambda some: table.join(some, "rep", "left_semi"), first).collect()}
+    got = {r.id: r["class"] for r in link_buckets(met, verify, 0.8, 3, lambda some: table.join(some, "rep"), first).collect()}
     assert got == {r: 0 for r in range(120)}
