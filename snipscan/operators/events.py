@@ -126,6 +126,26 @@ def session_stats(events: DataFrame, *keys: str) -> DataFrame:
     return events.groupBy(*keys).agg(*totals())
 
 
+def rolled_stats(events: DataFrame, *keys: str) -> DataFrame:
+    """``session_stats`` at each level of ``keys``, from all of them to none, with ``level``: how many keys count. One pass, summed up before the shuffle."""
+    level = F.lit(len(keys)) - F.bit_count(F.grouping_id())
+    return events.rollup(*keys).agg(level.cast("int").alias("level"), *totals())
+
+
+#: log2 of a sketch's registers. The relative standard error is 1.04 / 2**(SKETCH / 2): 1.6 %.
+SKETCH = 12
+
+
+def sketched(events: DataFrame, *keys: str) -> DataFrame:
+    """(keys, events, sketch) of the distinct sources of each group: a few kB each, whatever the number of sources, to be kept and merged."""
+    return events.groupBy(*keys).agg(F.count("*").alias("events"), F.hll_sketch_agg("source", F.lit(SKETCH)).alias("sketch"))
+
+
+def merged(sketches: DataFrame, *keys: str) -> DataFrame:
+    """Groups of ``sketched``, joined to larger ones: (keys, events, sources), ``sources`` an estimate. The events aren't read again."""
+    return sketches.groupBy(*keys).agg(F.sum("events").alias("events"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("sources"))
+
+
 def rate_per_minute(events: DataFrame, *keys: str) -> DataFrame:
     """Events a minute between the first and the last to arrive (``seq``); null for under two events or a second. A first time of 0 counts as unset."""
     e = events.groupBy(*keys).agg(F.count("*").alias("events"), F.min_by("ts", F.when(F.col("ts") != 0, F.col("seq"))).alias("first_ts"), F.max_by("ts", "seq").alias("last_ts"))

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from snipscan.operators import events as ev
 from snipscan.operators import ranges
 from snipscan.plans.corpus import MADE_EVENTS, made_events
 from snipscan.plans.queries import STATS, longs, query
@@ -105,3 +106,19 @@ def feed_page(spark, sf):
 def feed_trim_whole(spark, sf):
     """One huge log trimmed by sums over its ranges."""
     return feed.trim(made_events(spark, sf).select("seq", F.concat(F.lit("line "), F.col("name")).alias("value")), 20_000)
+
+
+@query(f"with {MADE_EVENTS} select source, band, cast(2 - grouping(source) - grouping(band) as bigint) as level, {STATS} from feed group by rollup (source, band)")
+def rolled_stats(spark, sf):
+    """Totals by source and band, by source, and of all."""
+    return longs(ev.rolled_stats(made_events(spark, sf), "source", "band"), "level")
+
+
+@query(f"with {MADE_EVENTS} select band, count(*) as events, true as near from feed group by band")
+def merged_sketches(spark, sf):
+    """Distinct sources of each band from sketches by day and band, against exact counts: within six standard errors."""
+    e = made_events(spark, sf).withColumn("day", F.floor(F.col("ts") / 86_400_000))
+    told = ev.merged(ev.sketched(e, "band", "day"), "band")
+    exact = e.groupBy("band").agg(F.count_distinct("source").alias("exact")).withColumnRenamed("band", "_band")
+    error = 6 * 1.04 / 2 ** (ev.SKETCH / 2)
+    return told.join(exact, F.col("band") == F.col("_band")).select("band", "events", (F.abs(F.col("sources") - F.col("exact")) <= error * F.col("exact") + 1).alias("near"))
