@@ -51,5 +51,14 @@ def test_long_text(make):
     assert got == brute(rows, 5)
 
 
+def test_hot_lines_are_dealt_over_tasks(make, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SPLIT_ROWS", 20)
+    rows = [(i, f"everywhere\nown {i}\nat {i % 9}\neverywhere", f"s{i % 11}") for i in range(200)]
+    seen, real = [], line_dedup._hot
+    monkeypatch.setattr(line_dedup, "_hot", lambda wide: seen.append(real(wide)) or seen[-1])
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(make(rows)).collect()}
+    assert got == brute(rows, 5) and seen[0].count() == 10
+
+
 def test_query_equals_sql(spark, sf):
     assert differences(QUERIES["op1_line_dedup"](spark, sf), connect(sf), ORACLES["op1_line_dedup"]) == []
