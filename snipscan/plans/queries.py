@@ -589,7 +589,7 @@ def cards(spark, sf):
 
 
 RAMPED = "substr('▁▂▃▄▅▆▇█', least(8, length({0}) // 10 + 1), 1)"
-WHOLE = """
+PIECES = """
 with t(kind, head, sentence, caps, times, calls, imports, given, shape, marks) as (values
   ('view', '█   snippet inert risk 2', '█·· ··· · ···· █· reads /data/u{u} → prints results', 'fs_read      info     ×1|stdout       info     ×1', '   2 list /data/u{u}|   3 print p', '  1 print|  1 os.listdir', 'os', 'p = os.listdir(''/data/u{u}'')', '3 code · 0 comment · 0 blank lines|3 statements · 0 functions · 0 classes · 1 loops · 0 branches · 2 calls · depth 1 · complexity 2', ''),
   ('click', '█   snippet routine risk 38', '·█· █·· · ···· ·· calls https://api.example/{u} → writes 2 files', 'net          notable  ×1|fs_write     notable  ×2', '   2 GET https://api.example/{u}|   3 write open(''out{u}.txt'', ''w'')|   3 truncate out{u}.txt', '  1 open|  1 <file>.write|  1 requests.get', 'requests *', 'r = {given}', '3 code · 0 comment · 0 blank lines|3 statements · 0 functions · 0 classes · 0 loops · 0 branches · 3 calls · depth 0 · complexity 1', ''),
@@ -604,7 +604,8 @@ l as (select event_id, user_id, event_type, n, mark, replace(replace(line, '{e}'
 s as (select event_id, user_id, event_type, string_agg(mark || rtrim(trim(line), ':'), chr(10) order by n) filter (mark is not null) as tree, string_agg(""" + RAMPED.format("trim(line)") + """, '' order by n) as ramp, string_agg(lpad(n::varchar, 4, ' ') || '  ' || line, chr(10) order by n) as code from l group by all),
 w as (select s.*, t.*, 'requests.get(' || chr(39) || 'https://api.example/' || user_id || chr(39) || ')' as got from s join t on event_type = kind),
 f as (select *, replace(given, '{given}', case when length(got) <= 40 then got else substr(got, 1, 39) || '…' end) as kept from w)
-select event_id as snippet_id, array_to_string(list_filter([
+"""
+WHOLE = PIECES + """select event_id as snippet_id, array_to_string(list_filter([
   replace(head || chr(10) || sentence, '{u}', user_id::varchar), tree, caps, times, calls, imports, kept, shape, ramp || chr(10) || marks, code], lambda x: x is not null), chr(10) || chr(10)) as raw from f"""
 WHOLE = f"select snippet_id, replace(replace(replace(raw, '|', chr(10)), '{{e}}', snippet_id::varchar), '{{u}}', user_id::varchar) as page from ({WHOLE}) join events on event_id = snippet_id"
 
