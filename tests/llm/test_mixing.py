@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -32,12 +33,35 @@ def words(text):
     return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
 
 
+def own_targets(sizes):
+    """The targets by the contract's words alone, in exact fractions."""
+    total = sum(sizes.values())
+    weight = {s: 1 + k % 3 for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    stopped = {}
+    while True:
+        rest = {s: w for s, w in weight.items() if s not in stopped}
+        left = total - sum(stopped.values())
+        share = {s: Fraction(left * w, sum(rest.values())) for s, w in rest.items()}
+        above = {s: Fraction(3 * sizes[s]) for s, x in share.items() if x > 3 * sizes[s]}
+        if not above or len(above) == len(rest):
+            return {s: float(x) for s, x in (stopped | share | above).items()}
+        stopped |= above
+
+
+def test_targets_of_random_sources():
+    rng = np.random.default_rng(2)
+    for n in range(1, 40):
+        sizes = {None if k == 3 else f"s{rng.integers(10**6)}é": int(rng.integers(0, 10 ** rng.integers(1, 6))) for k in range(n)}
+        got, want = mixing.source_targets(sizes), own_targets(sizes)
+        assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s], rel=1e-9, abs=1e-6) for s in want)
+
+
 def check(docs, out):
     rows = [(r.doc_id, r.source, words(r.text)) for r in docs.collect()]
     sizes = {}
     for _, s, n in rows:
         sizes[s] = sizes.get(s, 0) + n
-    target = mixing.source_targets(sizes)
+    target = own_targets(sizes)
     got = sorted((r.doc_id is not None, r.doc_id, r.size, r.source_size, round(r.target, 6)) for r in out)
     assert got == sorted((d is not None, d, n, sizes[s], round(target[s], 6)) for d, s, n in rows)
     assert all(r.taken <= 3 * r.size and (r.size == 0 or r.taken % r.size == 0) for r in out)

@@ -224,3 +224,20 @@ def test_clashing_names_are_kept(make, labels):
         assert out.columns[-1] == name and out.columns[: len(docs.columns)] == docs.columns
         assert {(r._score, r._held_out, r._rules, r._counts) for r in out.collect()} == {("s", "h", "r", "c")}
     assert rule_forest.keep_good(docs, labels).columns == docs.columns
+
+
+def test_kept_equals_a_scalar_forest_on_the_documents(spark, sf, documents, labels):
+    """Each document of the query judged one by one: counts, statistics, path lengths tree by tree, threshold."""
+    forest = rule_forest.fit_rules(documents, labels)
+    got = {r.doc_id: r for r in QUERIES["op5_rule_forest"](spark, sf).collect()}
+    seen = set()
+    for r in documents.collect():
+        row, n = got[r.doc_id], len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        if n < 50 or 100 * row.n_repeat_words > 50 * n:
+            assert row.base_failed and not row.kept
+            continue
+        x = rule_forest.statistics(text_counts([r.text.encode()]))[0]
+        odd = 2 ** (-scalar_path(forest, x) / forest.norm)
+        assert odd == pytest.approx(row.anomaly) and row.kept == (odd <= forest.threshold)
+        seen.add(row.kept)
+    assert seen == {True, False}
