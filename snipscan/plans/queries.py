@@ -280,14 +280,26 @@ def secret_names(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", fn.secret_name(name).alias("secret"))
 
 
-@query("select effect, cast(bit as bigint) as bit, cast(1 << bit as bigint) as mask from (select unnest(" + EFFECTS_SQL + ") as effect, unnest(range(0, 13)) as bit)")
+def _told_bits(spark, sf):
+    """(bit, events): how many made events tell of each effect, by the bits of their masks."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(len(catalog.EFFECTS) - 1)), lambda b: F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1), b)) != 0)
+    return made_events(spark, sf).select(F.explode(bits).alias("bit")).groupBy("bit").agg(F.count("*").alias("events"))
+
+
+TOLD_BITS = f"{MADE_EVENTS}, told as (select bit, count(*) as events from feed, (select unnest(range(0, 13)) as bit) where (mask >> bit) & 1 = 1 group by bit)"
+
+
+@query(f"with {TOLD_BITS} select effect, cast(bit as bigint) as bit, cast(1 << bit as bigint) as mask, events from (select unnest({EFFECTS_SQL}) as effect, unnest(range(0, 13)) as bit) join told using (bit)")
 def catalogue_effects(spark, sf):
-    return longs(catalog.effect_table(spark), "bit", "mask").select("effect", "bit", "mask")
+    """The catalogue's effects by bit, with the events that tell of them."""
+    return longs(catalog.effect_table(spark).join(_told_bits(spark, sf), "bit"), "bit", "mask").select("effect", "bit", "mask", "events")
 
 
-@query("select * from (values ('clock', 7), ('concurrency', 9), ('dynamic', 44), ('env', 31), ('exit', 4), ('fs_delete', 9), ('fs_read', 51), ('fs_write', 53), ('net', 78), ('process', 48), ('random', 16), ('stdout', 12)) t(effect, rules)")
+@query(f"with {TOLD_BITS}, r(effect, rules) as (values ('clock', 7), ('concurrency', 9), ('dynamic', 44), ('env', 31), ('exit', 4), ('fs_delete', 9), ('fs_read', 51), ('fs_write', 53), ('net', 78), ('process', 48), ('random', 16), ('stdout', 12)) select effect, rules, events from r join (select unnest({EFFECTS_SQL}) as effect, unnest(range(0, 13)) as bit) using (effect) join told using (bit)")
 def catalogue_rules(spark, sf):
-    return catalog.rule_table(spark).groupBy("effect").agg(F.count("*").cast("int").alias("rules"))
+    """How many rules the catalogue has for each effect, with the events that tell of it."""
+    rules = catalog.rule_table(spark).groupBy("effect").agg(F.count("*").cast("int").alias("rules"))
+    return rules.join(catalog.effect_table(spark), "effect").join(_told_bits(spark, sf), "bit").select("effect", "rules", "events")
 
 
 # ---- sources
@@ -533,9 +545,15 @@ def _light(c: str) -> str:
 THEME_ROWS = ", ".join(str((t, *c)) for t, c in render.THEMES.items())
 
 
-@query(f"with t(theme, inert, routine, c, r) as (values {THEME_ROWS}), l as (select theme, {_light('c')} as a, {_light('r')} as b from t) select theme, round((greatest(a, b) + 0.05) / (least(a, b) + 0.05), 6) as ratio from l")
+@query(f"""with {MADE_EVENTS}, t(theme, a, b, c, d) as (values {THEME_ROWS}), n as (select band, count(*) as events from feed group by band),
+x as (select theme, band, events, d, case band when 'inert' then a when 'routine' then b when 'check' then c else d end as e from t, n),
+l as (select theme, band, events, {_light('e')} as x, {_light('d')} as y from x)
+select theme, band, events, round((greatest(x, y) + 0.05) / (least(x, y) + 0.05), 6) as ratio from l""")
 def theme_contrast(spark, sf):
-    return render.theme_table(spark).select("theme", F.round(render.contrast(F.col("check"), F.col("read")), 6).alias("ratio"))
+    """How far the colour of each band of the events stands from that of the highest, by theme."""
+    told = made_events(spark, sf).groupBy("band").agg(F.count("*").alias("events"))
+    colours = F.explode(F.array(*[F.struct(F.lit(t).alias("theme"), render.band_colour(F.col("band"), t).alias("own"), F.lit(c[3]).alias("top")) for t, c in render.THEMES.items()]))
+    return told.select("band", "events", colours.alias("c")).select("c.theme", "band", "events", F.round(render.contrast(F.col("c.own"), F.col("c.top")), 6).alias("ratio"))
 
 
 PAGE_TEMPLATES = """
