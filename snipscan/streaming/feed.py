@@ -61,25 +61,26 @@ def look(snippets: DataFrame, path: str, checkpoint: str, pages: str | None = No
     """Analyse a stream of snippets: each batch's events go to the feed, and a line for each to ``pages``, if given.
 
     A batch writes to a folder of its own, over what a failed attempt may have left there, so a retry adds nothing twice.
-    With ``errors`` a feed that can't be written doesn't stop the analysis: the batch's number and the error go there as
+    Its events are analysed into a table beside the checkpoint first, and both feed and pages are written from that. With ``errors`` a feed that can't be written doesn't stop the analysis: the batch's number and the error go there as
     a JSON line (batch, feed_error), and its pages are written all the same. ``every`` is the time between polls; without
     it what is there is read and the query ends.
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        events = ev.events(batch)
-        if pages:
-            events = events.persist()
+        spark, staged = batch.sparkSession, f"{checkpoint}/looked-{number}"
+        ev.events(batch).write.mode("overwrite").parquet(staged)  # what fails here is the analysis, and stops the query
+        events = spark.read.parquet(staged)
         try:
             events.write.mode("overwrite").json(f"{path}/batch={number}")
         except Exception as e:
             if errors is None:
                 raise
-            told = batch.sparkSession.createDataFrame([(number, f"{type(e).__name__}: {e}"[:2000])], "batch bigint, feed_error string")
+            told = spark.createDataFrame([(number, f"{type(e).__name__}: {e}"[:2000])], "batch bigint, feed_error string")
             told.write.mode("overwrite").json(f"{errors}/batch={number}")
         if pages:
             events.select(render.line(F.col("name")).alias("value")).write.mode("overwrite").text(f"{pages}/batch={number}")
-            events.unpersist()
+        place = spark._jvm.org.apache.hadoop.fs.Path(staged)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
     when = {"processingTime": every} if every else {"availableNow": True}
     return snippets.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**when).start()

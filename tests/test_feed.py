@@ -132,6 +132,20 @@ def test_a_feed_that_fails_is_told(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/pages/*").count() == 1
 
 
+def test_an_analysis_that_fails_is_no_feed_error(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.json").write_text(json.dumps({"snippet_id": 0, "ts": 5, "name": "n", "origin": "o", "source": "print(1)"}) + "\n")
+    broken = ev.events
+    monkeypatch.setattr(ev, "events", lambda batch: broken(batch).withColumn("risk", F.raise_error(F.lit("odd")).cast("int")))
+    stream = spark.readStream.schema("snippet_id int, ts long, name string, origin string, source string").json(str(tmp_path / "in"))
+    q = feed.look(stream, str(tmp_path / "feed"), str(tmp_path / "cp"), errors=str(tmp_path / "errors"))
+    try:
+        q.awaitTermination(120)
+    except Exception as e:
+        assert "odd" in str(e)
+    assert "odd" in str(q.exception()) and not (tmp_path / "errors").exists()
+
+
 def test_rows_and_cards(spark, tmp_path):
     write(tmp_path / "a.jsonl", [line()])
     events = feed.read(spark, str(tmp_path)).withColumn("seq", F.lit(1))
