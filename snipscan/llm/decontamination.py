@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
