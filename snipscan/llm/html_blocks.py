@@ -58,7 +58,8 @@ _STATES = frozenset("has with no without".split())  # first parts of a class tha
 #: Shares of its blocks that the thinned copies of a labelled page keep.
 THINNED = (0.7, 0.4, 0.2)
 FEATURES = ["words", "link_density", "words_before", "links_before", "words_after", "links_after", "article", "apart", "apart_share", "hidden", *(x for h in HINTS for x in (h, f"{h}_share")), "named_words", "named_links", "heading", "listed", "tabled", "legal", "talk"]
-#: What lines of imprints say, and headings of readers' comments.
+#: What lines of imprints say, of so many words at most, and headings of readers' comments.
+IMPRINT = 40
 _LEGAL = re.compile(r"^\W{0,3}(?:copyright|©|\(c\))|\ball rights reserved\b|\bpowered by\b|\bterms (?:of (?:use|service)|and conditions)\b|\bprivacy policy\b", re.I)
 _TALK = re.compile(r"^(?:\d+ )?(?:(?:reader|user|your|latest|recent|all|visitor)s?'? )?(?:comments?|replies|responses|reactions)(?: ?\(\d+\))?:?$|^(?:leave|post|write|add) (?:a|your) (?:comment|reply|response)", re.I)
 
@@ -256,6 +257,8 @@ def describe(blocks: list[Block], parts: list[Part]) -> np.ndarray:
     has, total = any(b.article for b in blocks), words.sum()
 
     def level(b: Block, kind: str) -> tuple[float, float]:
+        if not b.parts:
+            return 0.0, 1.0
         around = [parts[k] for k in b.parts if parts[k].kind == kind]
         return max((1.0 if p.holds and not p.sure else 2.0 for p in around), default=0.0), min((min(1.0, p.words / total) for p in around), default=1.0)
 
@@ -268,7 +271,7 @@ def describe(blocks: list[Block], parts: list[Part]) -> np.ndarray:
         said = b.words <= 6 and bool(_TALK.search(b.text))
         talk = said or (talk and not b.heading)
         hints = [x for h in HINTS for x in ((0.0, 1.0) if b.article and h in ("partly", "weak") else level(b, h))]
-        rows.append([2 * b.article if has else 1, *level(b, "apart"), b.hidden, *hints, *named(b), b.heading, b.listed, b.tabled, bool(_LEGAL.search(b.text)), talk])
+        rows.append([2 * b.article if has else 1, *level(b, "apart"), b.hidden, *hints, *named(b), b.heading, b.listed, b.tabled, b.words <= IMPRINT and bool(_LEGAL.search(b.text)), talk])
     return np.column_stack([words, density, shift(words, -1), shift(density, -1), shift(words, 1), shift(density, 1), np.array(rows, float)])
 
 
@@ -282,15 +285,15 @@ class Tree:
     share: list[float] = field(default_factory=list)
 
     def main(self, x: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(x), np.int64)
-        column, cut, child = np.array(self.column), np.array(self.cut), np.array(self.child)
-        for _ in range(len(self.column)):
-            live = np.flatnonzero(column[node] >= 0)
-            if not len(live):
-                break
-            at = node[live]
-            node[live] = child[at, (x[live, column[at]] > cut[at]).astype(int)]
-        return np.array(self.share)[node] >= 0.5
+        """Whether each row is main text. Blocks of a page are few, so each walks down by itself."""
+        column, cut, child, share = self.column, self.cut, self.child, self.share
+        out = []
+        for row in x.tolist():
+            node = 0
+            while (c := column[node]) >= 0:
+                node = child[node][row[c] > cut[node]]
+            out.append(share[node] >= 0.5)
+        return np.array(out, bool)
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 18, least: int = 2) -> Tree:
