@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snipscan.llm.bitfield import may_be_in
+from snipscan.llm.bitfield import bit_field, may_be_in, may_hold
 from snipscan.llm.buckets import EPSILON, by_sifted_counts, crowded, link_buckets
 from snipscan.llm.common import discard, materialize, small_batches
 from snipscan.llm.skew import hot_keys, join_split
@@ -43,6 +43,8 @@ SKETCHES, ELL, LEADERS = 24, 2, 3
 SHORT = 32
 #: Bins of a bag of words, and what a bin says that holds as many words or more.
 BINS, FULL = 256, 65_535
+#: Bytes of a digest that a field of bits knows.
+HEAD = 7
 _MULTIPLY = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 _ROWS = 1 << 15
 
@@ -281,19 +283,28 @@ def near_classes(docs: DataFrame) -> DataFrame:
     return join_split(rows, texts, "digest", "_digest", hot=hot_keys(rows, "digest")).select("doc_id", "class_id", "class_name")
 
 
-def _id_and_digest(docs: DataFrame) -> DataFrame:
-    """The row as the struct doc, its id as text (null: empty), its text's digest."""
+def _id_and_digest(docs: DataFrame, of=None) -> DataFrame:
+    """The row as the struct doc, its id as text (null: empty), its text's digest, by ``of`` if that is given."""
     small_batches(docs.sparkSession)
-    digest = F.arrow_udf(digests, "binary").asNondeterministic()
+    digest = (of or F.arrow_udf(digests, "binary")).asNondeterministic()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     return docs.select(row.alias("doc"), F.coalesce(F.concat(F.lit("i"), F.col("doc_id")), F.lit("")).alias("id"), digest("text").alias("digest"))
 
 
 def _texts(docs: DataFrame, used: DataFrame) -> DataFrame:
     """(rep, text, bag) of the texts of ``used`` (digest, low), from the row of the smallest id, so that of many copies one is moved."""
-    wanted = materialize(used.select(F.coalesce(F.concat(F.lit("i"), F.col("low")), F.lit("")).alias("id"), "digest").withColumn("h", F.xxhash64("id", "digest")), "wanted-texts")
-    some = may_be_in(wanted.select("h"))  # before the shuffle most texts that no bucket holds go, and copies of those that one does
-    rows = _id_and_digest(docs.select("doc_id", "text")).where(some(F.xxhash64("id", "digest"))).join(wanted.drop("h"), ["id", "digest"])
+    head = F.conv(F.hex(F.substring("digest", 1, HEAD)), 16, 10).cast("bigint")
+    wanted = materialize(used.select(F.coalesce(F.concat(F.lit("i"), F.col("low")), F.lit("")).alias("id"), "digest", F.call_function("shiftleft", head, F.lit(64 - 8 * HEAD)).alias("h")), "wanted-texts")
+    field = docs.sparkSession.sparkContext.broadcast(bit_field(wanted.select("h")))
+
+    @F.arrow_udf("binary")
+    def wanted_digests(texts: pa.Array) -> pa.Array:
+        """Digests, null for most texts that no bucket holds: the same Python step, for each other one takes a worker more."""
+        found = digests(texts)
+        heads = np.array([int.from_bytes(d[:HEAD], "big") << (64 - 8 * HEAD) for d in found.to_pylist()], U64)
+        return pa.array([d if ok else None for d, ok in zip(found.to_pylist(), may_hold(field.value, heads), strict=True)], pa.binary())
+
+    rows = _id_and_digest(docs.select("doc_id", "text"), wanted_digests).where("digest is not null").join(wanted.drop("h"), ["id", "digest"])
     once = rows.groupBy(F.col("digest").alias("rep")).agg(F.coalesce(F.min("doc.text"), F.lit("")).alias("text"))
     return once.withColumn("bag", F.arrow_udf(bags, "binary").asNondeterministic()("text"))
 
