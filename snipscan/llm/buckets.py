@@ -39,7 +39,7 @@ def crowded(members: DataFrame, sift: bool = False) -> DataFrame:
     return met
 
 
-def _fits(n: str, m: str, share: float) -> Column:
+def _fits(n: str | Column, m: str | Column, share: float) -> Column:
     """Whether sizes allow a likeness of ``share``."""
     return F.least(n, m) >= F.lit(share) * F.greatest(n, m) - EPSILON
 
@@ -48,6 +48,17 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
 
 
+def _met_again(placed: DataFrame, share: float, leaders: int) -> DataFrame:
+    """(rep, lead) of the second round: each member (key, rep, n, class) of a bucket of several classes with those of ``leaders`` leaders, drawn anew for each bucket, that it is compared with.
+
+    A member has at most ``leaders`` rows for a bucket, however large this is; a leader that class or size rules out makes none.
+    """
+    orders = [F.min(F.struct(F.xxhash64("rep", "key", F.lit(r)).alias("o"), F.col("rep").alias("rep"), F.col("n").alias("n"), F.col("class").alias("class"))).alias(f"l{r}") for r in range(leaders)]
+    split = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), *orders).where("low <> high").select("key", F.array(*[f"l{r}" for r in range(leaders)]).alias("leads"))
+    other = F.filter("leads", lambda lead: (lead["class"] != F.col("class")) & _fits("n", lead["n"], share))
+    return placed.join(split, "key").select("rep", F.explode(other).alias("lead"))
+
+
 Verify = Callable[[DataFrame], DataFrame]
 First = Callable[[DataFrame, float], tuple[DataFrame, list[DataFrame]]]
 
@@ -61,11 +72,7 @@ def link_buckets(met: DataFrame, verify: Verify, share: float, leaders: int, ite
     first = materialize(_pairs(met.where((F.col("rep") != F.col("lead.rep")) & _fits("n", "lead.n", share))), "pairs-1")
     links = verify(first)
     classes = connected_components(links)
-    placed = _placed(met, classes)
-    orders = [F.min(F.struct(F.xxhash64("rep", "key", F.lit(r)).alias("o"), F.col("rep").alias("rep"), F.col("n").alias("n"), F.col("class").alias("class"))).alias(f"l{r}") for r in range(leaders)]
-    split = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), *orders).where("low <> high").select("key", F.array(*[f"l{r}" for r in range(leaders)]).alias("leads"))
-    again = placed.join(split, "key").select("rep", "n", "class", F.explode("leads").alias("lead"))
-    second = materialize(_pairs(again.where((F.col("class") != F.col("lead.class")) & _fits("n", "lead.n", share))).join(first, ["a", "b"], "left_anti"), "pairs-2")
+    second = materialize(_pairs(_met_again(_placed(met, classes), share, leaders)).join(first, ["a", "b"], "left_anti"), "pairs-2")
     written = [first, links, second]
     if second.limit(1).count():
         more = verify(second)

@@ -220,3 +220,39 @@ def test_bucket_of_a_chain_is_linked_whole(spark, first):
 
     got = {r.id: r["class"] for r in link_buckets(met, verify, 0.8, 3, lambda some: table.join(some, "rep"), first).collect()}
     assert got == {r: 0 for r in range(120)}
+
+
+def rows_of_leaders(spark, run):
+    """How many rows the explode of a second round's leaders makes while ``run`` runs, from Spark's own counts."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    begun = store.executionsCount()
+    run()
+    bus.waitUntilEmpty()
+    made = []
+    for k in range(begun, store.executionsCount()):
+        execution = store.executionsList().apply(k).executionId()
+        nodes, values = store.planGraph(execution).allNodes(), store.executionMetrics(execution)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if node.name() == "Generate" and "leads" in node.desc():
+                metrics = node.metrics()
+                ids = [m.accumulatorId() for m in (metrics.apply(i) for i in range(metrics.size())) if m.name() == "number of output rows"]
+                made += [int(values.get(i).get().replace(",", "")) for i in ids if values.contains(i)]
+    assert len(made) == 1
+    return made[0]
+
+
+def test_second_round_makes_only_rows_that_class_and_size_allow(spark):
+    base = list(range(10_000, 10_040))
+    sets = [(r, [*base[:38], 2 * r, 2 * r + 1]) for r in range(300)] + [(900 + r, [100_000 * (r + 1) + k for k in range(60)]) for r in range(5)]
+    table = spark.createDataFrame(sets, "rep bigint, items array<bigint>").cache()
+    met = crowded(table.selectExpr("1L as key", "rep", "size(items) as n"))
+
+    def verify(pairs):
+        both = pairs.join(table.selectExpr("rep as a", "items as x"), "a").join(table.selectExpr("rep as b", "items as y"), "b")
+        return materialize(both.where("size(array_intersect(x, y)) >= 0.8 * size(array_union(x, y))").select("a", "b"), "links")
+
+    found = []
+    made = rows_of_leaders(spark, lambda: found.extend(link_buckets(met, verify, 0.8, 3, lambda some: table.join(some, "rep"), by_counts).collect()))
+    assert {r.id: r["class"] for r in found} == {r: 0 for r in range(300)}
+    # only the five others, of another size, may be alike: each of three leaders meets at most four of them, not all 305 members
+    assert 0 < made <= 3 * 4
