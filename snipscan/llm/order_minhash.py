@@ -242,7 +242,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of a written table whose texts are near copies, as a written table. Bags rule most others out before whole texts are moved."""
     room = F.arrow_udf(may_be_like, "boolean")
     some = materialize(_with_both(pairs, texts, "bag").where(room("bag_a", "bag_b")).select("a", "b"), "pairs-left")
-    left, right = (_sifted(texts, some.select(F.col(x).alias("rep"))) for x in "ab")
+    # by shuffles: a broadcast would put the sift and the alignment into one stage, whose tasks take two workers each
+    left, right = (_sifted(texts, some.select(F.col(x).alias("rep"))).hint("merge") for x in "ab")
     links = materialize(_with_both(some, left, "text", right).mapInArrow(_verify, "a binary, b binary"), "links")
     discard(some)
     return links
@@ -267,7 +268,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts_of = materialize(sketches.groupBy("digest").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct-texts")
     met = crowded(texts_of.select(F.col("digest").alias("rep"), "n", F.explode("keys").alias("key")), sift=True)
     texts = materialize(_texts(docs, texts_of.select("digest", "low").join(met.select(F.col("rep").alias("digest")).distinct(), "digest", "left_semi")), "bucket-texts")
-    classes = link_buckets(met, lambda pairs: verified(pairs, texts), SIMILARITY, LEADERS, lambda some: _labelled_kmers(_sifted(texts, some.select("rep")).join(some, "rep")), by_sifted_counts)
+    classes = link_buckets(met, lambda pairs: verified(pairs, texts), SIMILARITY, LEADERS, lambda some: _labelled_kmers(_sifted(texts, some.select("rep")).join(some.hint("merge"), "rep")), by_sifted_counts)
     named = materialize(texts_of.join(classes, F.col("digest") == F.col("id"), "left").select("digest", "low", F.coalesce("class", "digest").alias("class")), "text-classes")
     rows = materialize(sketches.select("doc_id", "digest"), "row-digests")
     for done in (sketches, texts_of, met, texts, classes):

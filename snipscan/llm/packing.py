@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +37,15 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     small_batches(docs.sparkSession)
 
     @F.arrow_udf("array<struct<piece: int, start: bigint, length: bigint, ids_crc32: bigint>>")
-    def cut(texts: pa.Array) -> pa.Array:
-        out = []
-        for ids in tokens.cache(tokenizer).encode(texts.to_pylist()):
-            ids += END_ID.to_bytes(4, "little")
-            step = 4 * capacity
-            out.append([{"piece": k, "start": k * capacity, "length": len(ids[i : i + step]) // 4, "ids_crc32": zlib.crc32(ids[i : i + step])} for k, i in enumerate(range(0, len(ids), step))])
-        return pa.array(out, pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])))
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        with tokens.task_cache(tokenizer) as known:
+            for texts in batches:
+                out = []
+                for ids in known.encode(texts.to_pylist()):
+                    ids += END_ID.to_bytes(4, "little")
+                    step = 4 * capacity
+                    out.append([{"piece": k, "start": k * capacity, "length": len(ids[i : i + step]) // 4, "ids_crc32": zlib.crc32(ids[i : i + step])} for k, i in enumerate(range(0, len(ids), step))])
+                yield pa.array(out, pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])))
 
     return docs.select("doc_id", F.explode(cut.asNondeterministic()("text")).alias("_p")).select("doc_id", "_p.*")
 

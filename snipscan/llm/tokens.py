@@ -7,6 +7,8 @@ after the other. Texts beyond Latin-1, where lower-casing may depend on neighbou
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import public_tokenizers
@@ -105,3 +107,13 @@ def cache(path: str | None = None) -> TokenCache:
     if path not in _CACHES:
         _CACHES[path] = TokenCache(path)
     return _CACHES[path]
+
+
+@contextmanager
+def task_cache(path: str | None = None) -> Iterator[TokenCache]:
+    """This worker's cache for one task: the words go when it ends, for the worker lives on and serves other queries."""
+    found = cache(path)
+    try:
+        yield found
+    finally:
+        found.words.clear()

@@ -7,8 +7,8 @@ import re
 import numpy as np
 import pytest
 
+from snipscan.llm import buckets, skew
 from snipscan.llm import order_minhash as om
-from snipscan.llm import skew
 from snipscan.llm.buckets import by_sifted_counts, by_counts, crowded, link_buckets
 from snipscan.llm.common import materialize
 from snipscan.llm.components import connected_components
@@ -256,3 +256,43 @@ def test_second_round_makes_only_rows_that_class_and_size_allow(spark):
     assert {r.id: r["class"] for r in found} == {r: 0 for r in range(300)}
     # only the five others, of another size, may be alike: each of three leaders meets at most four of them, not all 305 members
     assert 0 < made <= 3 * 4
+
+
+def python_steps(plan):
+    """The Python steps of each stage of a finished plan: exchanges and broadcasts part stages."""
+    steps, path = collections.Counter(), []
+    for line in plan.split("== Initial Plan ==")[0].splitlines():
+        depth = len(re.match(r"[ :+*-]*", line)[0])
+        name = re.sub(r"^\(\d+\) ", "", line[depth:])
+        path = [p for p in path if p[0] < depth]
+        stage = path[-1][1] if path else 0
+        if re.search("Exchange", name):
+            stage = len(steps) + 1
+            steps[stage] = 0
+        elif re.match("ArrowEvalPython|MapInArrow", name):
+            steps[stage] += 1
+        path.append((depth, stage))
+    return steps
+
+
+def test_no_stage_holds_two_python_steps(make, monkeypatch):
+    plans = {}
+
+    def seen(df, name):
+        df.collect()
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, name)
+
+    monkeypatch.setattr(om, "materialize", seen)
+    monkeypatch.setattr(buckets, "materialize", seen)
+    rng = random.Random(5)
+    rows = []
+    for i in range(40):
+        words = [f"v{rng.randrange(10**6)}" for _ in range(120)]
+        rows.append((10 * i, " ".join(words)))
+        rows += [(10 * i + k, " ".join(edited(words, n, rng))) for k, n in ((1, 2), (2, 40), (3, 45))]
+    found = classes(make(rows))
+    assert all(found[10 * i] == found[10 * i + 1] for i in range(40))
+    assert {"links", "unlinked-sets"} <= set(plans)
+    assert any("MapInArrow" in p for p in plans.values())
+    assert {name: max(python_steps(p).values(), default=0) for name, p in plans.items() if max(python_steps(p).values(), default=0) > 1} == {}

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -83,3 +84,15 @@ def test_least_squares_finds_an_exact_mix():
     patterns = np.array([[60, 40, 0, 0], [70, 30, 0, 0], [50, 50, 0, 0]])
     assert np.allclose(packing.fit_repeats(patterns, left), [100, 50, 20], atol=0.5)
     assert packing.plan_packing(np.zeros(101, np.int64), 100) == []
+
+
+def test_workers_keep_no_words_after_a_task(spark, documents):
+    assert packing.pieces(documents.repartition(8)).count() >= documents.count()
+
+    def kept(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"words": [len(c.words) for c in tokens._CACHES.values()] or [-1]})
+
+    words = [r.words for r in spark.range(64).repartition(64).mapInArrow(kept, "words bigint").collect()]
+    # workers are used again, so some hold a tokenizer, and none the words of a task that is over
+    assert max(words) == 0
