@@ -109,9 +109,19 @@ def windowed_totals(events: DataFrame, size: str = "1 minute", late: str = "5 mi
 
 
 def sessions(events: DataFrame, gap: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
-    """Totals by source and session: a session ends after a gap without events."""
+    """Totals by source and session: a session ends after a gap without events; one that comes just as the gap ends opens the next.
+
+    In a batch an event without a time is a session of its own, without start and end; a stream's feed has none.
+    """
+    # Spark joins what lies a whole gap apart, so its gap is a microsecond shorter, the least that a timestamp tells apart
     timed = events.withColumn("at", F.timestamp_millis("ts")).withWatermark("at", late)
-    return timed.groupBy("source", F.session_window("at", gap)).agg(*ev.totals())
+    found = timed.groupBy("source", F.session_window("at", f"{gap} -1 microseconds")).agg(*ev.totals())
+    found = found.withColumn("session_window", F.col("session_window").withField("end", F.expr("session_window.end + interval 1 microsecond")))
+    if events.isStreaming:
+        return found
+    none = F.lit(None).cast(found.schema["session_window"].dataType)
+    timeless = events.where(F.col("ts").isNull()).withColumn("_n", F.monotonically_increasing_id()).groupBy("source", "_n").agg(*ev.totals())
+    return found.unionByName(timeless.withColumn("session_window", none).drop("_n"))
 
 
 def keep_recent(events: DataFrame, n: int = 240):

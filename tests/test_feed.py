@@ -62,6 +62,20 @@ def test_windows_and_sessions(spark, tmp_path):
     assert sum(r.events for r in feed.windowed_totals(events).collect()) == 4
 
 
+def test_sessions_end_with_their_gap(spark, tmp_path):
+    """An event a whole gap after another opens a session, one a millisecond earlier doesn't; without a time each is alone."""
+    at = lambda *ms: [line(ts=1_700_000_000_000 + t) for t in ms]
+    write(tmp_path / "a.jsonl", at(0, 599_999, 1_199_999, 1_799_999, 1_800_000))
+    told = lambda df: sorted((bool(r.session_window) and (r.session_window.end - r.session_window.start).total_seconds(), r.events) for r in df.collect())
+    assert told(feed.sessions(feed.read(spark, str(tmp_path)))) == [(600.0, 1), (600.001, 2), (1199.999, 2)]
+    timed = feed.read(spark, str(tmp_path))
+    lost = timed.withColumn("ts", F.lit(None).cast("bigint")).limit(2)
+    assert told(feed.sessions(timed.unionByName(lost))) == [(False, 1), (False, 1), (600.0, 1), (600.001, 2), (1199.999, 2)]
+    q = feed.sessions(feed.read_stream(spark, str(tmp_path))).writeStream.format("memory").queryName("gaps").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination(90)
+    assert told(spark.table("gaps")) == [(600.0, 1), (600.001, 2), (1199.999, 2)]
+
+
 def test_decisions(spark, tmp_path):
     write(tmp_path / "a.jsonl", [line(risk=0), line(risk=30), line(risk=80)])
     events = feed.read(spark, str(tmp_path))
