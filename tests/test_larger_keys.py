@@ -20,7 +20,7 @@ def longer(tmp_path_factory):
     return con, str(folder)
 
 
-@pytest.mark.parametrize("name", ["dashboards"])
+@pytest.mark.parametrize("name", ["dashboards", "whole_pages"])
 def test_equals_sql(spark, longer, name):
     con, folder = longer
     assert differences(QUERIES[name](spark, folder), con, ORACLES[name]) == []
