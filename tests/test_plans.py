@@ -59,3 +59,16 @@ def test_totals_combine_before_the_shuffle(spark):
 def test_no_window_over_a_whole_table(spark):
     for name in ("hit_dedup", "effect_summary", "timeline_topk", "event_notes_top4", "recent_240", "card_files", "texture_lines", "minimap"):
         assert "SinglePartition" not in plan(QUERIES[name](spark, SF)), name
+
+
+def test_only_what_a_page_shows_is_told(spark):
+    """Cards need no tree, no bindings and no source; a panel is drawn once for all layouts, a page escaped before its themes."""
+    text = plan(QUERIES["contact_sheet"](spark, SF))
+    assert not re.search(r"_kept[^\n]*(nodes|bindings|line_kinds|problems)", text)
+    assert count(text, "&quot;") == 1 and count(text, "×") <= 4
+    assert events.dossiers(snippets(spark, SF), want={"effects"}).columns == ["snippet_id", "risk", "mask", "band", "worst", "headline", "synopsis", "effects"]
+
+
+def test_texts_are_lowered_once(spark):
+    """A call's strings are lowered once, not for each hazard."""
+    assert count(plan(QUERIES["snippet_hits"](spark, SF)), r"translate\(lambda") == 1
